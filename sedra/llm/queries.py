@@ -7,10 +7,14 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sedra.llm import chat_format, license_scan, url_filter
+from sedra.llm import chat_format, license_scan, simhash, url_filter
 from sedra.llm.shared import table
 
 
+def op3_simhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return simhash.near_duplicates(table(spark, sf_dir, "documents"))
+
+
 def op5_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_filter.judge(table(spark, sf_dir, "pages"))
 
@@ -28,6 +32,7 @@ def op9_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op3_simhash_dedup": op3_simhash_dedup,
     "op5_url_filter": op5_url_filter,
     "op7_license_scan": op7_license_scan,
     "op9_chat_format": op9_chat_format,
