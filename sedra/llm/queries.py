@@ -7,10 +7,14 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sedra.llm import chat_format, license_scan, simhash, url_filter
+from sedra.llm import chat_format, license_scan, minhash, simhash, url_filter
 from sedra.llm.shared import table
 
 
+def op2_minhash_fingerprint(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return minhash.compared_with_edited(table(spark, sf_dir, "documents"))
+
+
 def op3_simhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(table(spark, sf_dir, "documents"))
 
@@ -32,6 +36,7 @@ def op9_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op2_minhash_fingerprint": op2_minhash_fingerprint,
     "op3_simhash_dedup": op3_simhash_dedup,
     "op5_url_filter": op5_url_filter,
     "op7_license_scan": op7_license_scan,
