@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sedra.llm import chat_format, license_scan, minhash, simhash, url_filter
+from sedra.llm import chat_format, language_id, license_scan, minhash, simhash, url_filter
 from sedra.llm.shared import table
 
 
@@ -19,6 +19,10 @@ def op3_simhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(table(spark, sf_dir, "documents"))
 
 
+def op4_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return language_id.fit_and_identify(table(spark, sf_dir, "documents"))
+
+
 def op5_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_filter.judge(table(spark, sf_dir, "pages"))
 
@@ -38,6 +42,7 @@ def op9_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_minhash_fingerprint": op2_minhash_fingerprint,
     "op3_simhash_dedup": op3_simhash_dedup,
+    "op4_language_id": op4_language_id,
     "op5_url_filter": op5_url_filter,
     "op7_license_scan": op7_license_scan,
     "op9_chat_format": op9_chat_format,
