@@ -7,9 +7,11 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sedra.llm import chat_format, language_id, license_scan, minhash, simhash, url_filter
+from sedra.llm import chat_format, language_id, license_scan, minhash, sentencepiece_codec, simhash, url_filter
 from sedra.llm.shared import table
 
+TOKENIZERS = "/opt/tokenizers"  # vocabulary files of public tokenizers
+
 
 def op2_minhash_fingerprint(spark: SparkSession, sf_dir: str) -> DataFrame:
     return minhash.compared_with_edited(table(spark, sf_dir, "documents"))
@@ -32,6 +34,10 @@ def op7_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "n_words", "n_base", "first_word", "last_word", "base_labels", "labels", "score")
 
 
+def op8_sentencepiece(spark: SparkSession, sf_dir: str, model: str = f"{TOKENIZERS}/piece_bpe_32k.model") -> DataFrame:
+    return sentencepiece_codec.encode(table(spark, sf_dir, "documents"), sentencepiece_codec.load(model), verify=True)
+
+
 def op9_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     own = r"\### Assistant: </turn> ok"
     extra = spark.range(2).select(F.lit(-7).cast("long").alias("conv_id"), F.col("id").alias("turn"), F.when(F.col("id") == 0, "user").otherwise("assistant").alias("role"), F.lit(own).alias("text"))
@@ -45,6 +51,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op4_language_id": op4_language_id,
     "op5_url_filter": op5_url_filter,
     "op7_license_scan": op7_license_scan,
+    "op8_sentencepiece": op8_sentencepiece,
     "op9_chat_format": op9_chat_format,
 }
 
