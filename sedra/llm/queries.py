@@ -7,12 +7,16 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sedra.llm import chat_format, language_id, license_scan, minhash, sentencepiece_codec, simhash, url_filter
+from sedra.llm import chat_format, language_id, license_scan, minhash, sentencepiece_codec, simhash, topk_search, url_filter
 from sedra.llm.shared import table
 
 TOKENIZERS = "/opt/tokenizers"  # vocabulary files of public tokenizers
 
 
+def op1_exact_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return topk_search.top_k(table(spark, sf_dir, "embeddings"), lambda vec_id: vec_id % 20 == 0)
+
+
 def op2_minhash_fingerprint(spark: SparkSession, sf_dir: str) -> DataFrame:
     return minhash.compared_with_edited(table(spark, sf_dir, "documents"))
 
@@ -46,6 +50,7 @@ def op9_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_exact_topk": op1_exact_topk,
     "op2_minhash_fingerprint": op2_minhash_fingerprint,
     "op3_simhash_dedup": op3_simhash_dedup,
     "op4_language_id": op4_language_id,
@@ -56,6 +61,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
 }
 
 ORACLES: dict[str, Callable[[], str]] = {
+    "op1_exact_topk": topk_search.top_k_sql,
     "op5_url_filter": url_filter.judge_sql,
     "op7_license_scan": license_scan.scan_sql,
 }
