@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sedra.llm import chat_format, language_id, license_scan, minhash, sentencepiece_codec, simhash, topk_search, url_filter
+from sedra.llm import chat_format, language_id, license_scan, minhash, sentencepiece_codec, simhash, token_scan, topk_search, url_filter
 from sedra.llm.shared import table
 
 TOKENIZERS = "/opt/tokenizers"  # vocabulary files of public tokenizers
@@ -49,6 +49,12 @@ def op9_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chat_format.digests(chat_format.format_turns(rows))
 
 
+def op10_token_counts(spark: SparkSession, sf_dir: str, ranks: str = f"{TOKENIZERS}/byte_bpe_50k.tiktoken") -> DataFrame:
+    with open(ranks, "rb") as f:
+        blocks = token_scan.token_blocks(table(spark, sf_dir, "documents"), f.read())
+    return token_scan.count_tokens(blocks).select(F.col("key").alias("doc_id"), "n_tokens", "file", "doc_index", "start", "closed")
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_exact_topk": op1_exact_topk,
     "op2_minhash_fingerprint": op2_minhash_fingerprint,
@@ -58,6 +64,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op7_license_scan": op7_license_scan,
     "op8_sentencepiece": op8_sentencepiece,
     "op9_chat_format": op9_chat_format,
+    "op10_token_counts": op10_token_counts,
 }
 
 ORACLES: dict[str, Callable[[], str]] = {
