@@ -27,7 +27,7 @@ from sedra.llm.hashing import chunks, within
 from sedra.llm.sentencepiece_model import BASE, BPE, NEVER, SPACE, Tables, Vocabulary, finish
 
 LONG = 64
-CACHE = 150_000  # words whose ids a worker keeps, at most twice and one chunk over: those met lately, and those before them
+CACHE = 300_000  # words whose ids a worker keeps, at most twice and one chunk over: those met lately, and those before them
 _CHUNK = 2_000_000  # characters
 _CELLS = 400_000  # characters of equal-length words that advance together
 
@@ -50,12 +50,26 @@ class Encoder:
         self.t = tables
         self.cache: dict[str, bytes] = {}
         self.older: dict[str, bytes] = {}
+        self.asked = np.full(1 << 21, -1, np.int64)
+        self.answers = np.zeros(1 << 21, bool)
         ties = tables.tied if tables.model_type == BPE else []
         self.tied = re.compile("|".join(map(re.escape, sorted(ties, key=len))) or "(?!)")
 
     # -- parts of equal length ------------------------------------------------------------------------------------
 
     def _apart(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+        """_stay_apart(), with an array of earlier answers: words share most of their pairs."""
+        key = a.astype(np.int64) << 32 | b
+        slot = (key ^ key >> 20) * 0x2545F491 >> 7 & (len(self.asked) - 1)
+        out = self.answers[slot]
+        new = np.flatnonzero(self.asked[slot] != key)
+        if len(new):
+            out[new] = self._stay_apart(a[new], b[new])
+            self.asked[slot[new]] = key[new]
+            self.answers[slot[new]] = out[new]
+        return out
+
+    def _stay_apart(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
         """Whether merging the text of symbols a and b leaves just these two: whether no symbol on a's right edge ever joins one on b's left edge.
 
         Going back in time from a and b, the later of the two merges is undone; before that the edges x and y were
@@ -277,6 +291,16 @@ def decode(tables: Tables, ids: np.ndarray, counts: np.ndarray) -> list[str]:
     return out
 
 
+_latest: list[Encoder] = []
+
+
+def _encoder(tables: Tables) -> Encoder:
+    """The worker's encoder for these tables, with the words that its earlier tasks met."""
+    if not _latest or _latest[0].t is not tables:
+        _latest[:] = [Encoder(tables)]
+    return _latest[0]
+
+
 def _ships(df: DataFrame, tables: Tables):
     return df.sparkSession.sparkContext.broadcast(tables)  # bounded by the vocabulary
 
@@ -293,7 +317,7 @@ def encode(df: DataFrame, tables: Tables, text: str = "text", key: str = "doc_id
     shipped = _ships(df, tables)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder = Encoder(shipped.value)
+        encoder = _encoder(shipped.value)
         for whole in batches:
             for at in range(0, whole.num_rows, 2000):
                 b = whole.slice(at, 2000)
