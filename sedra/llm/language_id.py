@@ -18,6 +18,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType, StringType, StructField, StructType
 
 from sedra.llm.hashing import chunks
 
@@ -178,18 +179,23 @@ def training_sample(df: DataFrame, text: str = "text", lang: str = "lang", key:
     return texts, langs
 
 
-def identify(df: DataFrame, model: Model, text: str = "text", key: str = "doc_id") -> DataFrame:
-    """(key, held_out, lang_pred, score) for each row of df, from its whole text alone; other columns are not read."""
-    source = df.select(F.col(key).alias("k"), F.col(text).alias("x"))
-    kind = source.schema["k"].dataType.simpleString()
+def tag(df: DataFrame, model: Model, text: str = "text") -> DataFrame:
+    """df with lang_pred and score, from the whole text alone; a column of df with such a name is replaced."""
+    kept = df.select(*[F.col(f"`{c}`") for c in df.columns if c not in ("lang_pred", "score")])
+    at = kept.columns.index(text)
     shipped = df.sparkSession.sparkContext.broadcast(model)  # bounded by the n-grams of LANDMARKS texts and the languages
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            langs, score = shipped.value.predict(b["x"].to_pylist())
-            yield pa.RecordBatch.from_arrays([b["k"], pa.array(langs, pa.string()), pa.array(score, pa.float64())], names=["k", "lang_pred", "score"])
+            langs, score = shipped.value.predict(b.column(at).to_pylist())
+            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(langs, pa.string()), pa.array(score, pa.float64())], names=[*b.schema.names, "lang_pred", "score"])
+
+    return kept.mapInArrow(run, StructType([*kept.schema.fields, StructField("lang_pred", StringType()), StructField("score", DoubleType())]))
 
-    out = source.mapInArrow(run, f"k {kind}, lang_pred string, score double")
+
+def identify(df: DataFrame, model: Model, text: str = "text", key: str = "doc_id") -> DataFrame:
+    """(key, held_out, lang_pred, score) for each row of df, from its whole text alone; other columns are not read."""
+    out = tag(df.select(F.col(key).alias("k"), F.col(text).alias("x")), model, "x")
     return out.select(F.col("k").alias(key), held_out(F.col("k")).alias("held_out"), "lang_pred", "score")
 
 

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sedra.llm import chat_format, language_id, license_scan, minhash, sentencepiece_codec, simhash, token_scan, topk_search, url_filter
+from sedra.llm import chat_format, language_id, license_scan, minhash, mixing, sentencepiece_codec, simhash, token_scan, topk_search, url_filter
 from sedra.llm.shared import table
 
 TOKENIZERS = "/opt/tokenizers"  # vocabulary files of public tokenizers
@@ -33,6 +33,10 @@ def op5_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_filter.judge(table(spark, sf_dir, "pages"))
 
 
+def op6_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.mix(table(spark, sf_dir, "documents"))
+
+
 def op7_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = license_scan.scan(table(spark, sf_dir, "documents").select("doc_id", "text"))
     return found.select("doc_id", "n_words", "n_base", "first_word", "last_word", "base_labels", "labels", "score")
@@ -61,6 +65,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_simhash_dedup": op3_simhash_dedup,
     "op4_language_id": op4_language_id,
     "op5_url_filter": op5_url_filter,
+    "op6_source_mixing": op6_source_mixing,
     "op7_license_scan": op7_license_scan,
     "op8_sentencepiece": op8_sentencepiece,
     "op9_chat_format": op9_chat_format,
@@ -70,5 +75,6 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
 ORACLES: dict[str, Callable[[], str]] = {
     "op1_exact_topk": topk_search.top_k_sql,
     "op5_url_filter": url_filter.judge_sql,
+    "op6_source_mixing": mixing.mix_sql,
     "op7_license_scan": license_scan.scan_sql,
 }

@@ -166,3 +166,11 @@ def near_duplicates(df: DataFrame, text: str = "text", key: str = "doc_id") -> D
     of_rep = named.groupBy("rep").agg(F.min("least").alias("component_id"))
     by_fp = named.join(of_rep, "rep").select("fp", "component_id")
     return docs.join(by_fp, "fp").select(F.col("k").alias(key), F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+
+
+def representatives(df: DataFrame, text: str = "text", key: str = "doc_id") -> DataFrame:
+    """One row of df for each group of near_duplicates(): that of the least key. Of rows that share this key and the text one stays; a null key stays only where it is alone."""
+    kept = cut(near_duplicates(df, text, key).where(F.col(key).eqNullSafe(F.col("component_id"))).select(F.col(key).alias("_kept")))
+    out = df.join(kept.distinct(), df[key].eqNullSafe(kept["_kept"]), "left_semi")
+    repeated = not kept.groupBy("_kept").count().where("count > 1").isEmpty()
+    return out.dropDuplicates([key, text]) if repeated else out
