@@ -1,22 +1,21 @@
 """SentencePiece encoding and decoding by a batched Viterbi search in numpy.
 
-No piece goes on after a space, so a text falls into words, runs of spaces with what follows. Each distinct word of a
-batch is encoded once. It is cut where no piece holds the two characters next to each other, and parts of equal length
-stand in one matrix and advance together: hashes of all their substrings, from prefix hashes, probe the sorted keys of
-the pieces, and at each position a maximum over the pieces that end there stores a backpointer.
+A text is cut where no piece holds the two characters next to each other, which cuts it at least into words with the
+spaces before them. Each distinct part of a batch is encoded once, and parts are told apart by 64-bit hash and length.
+Parts of equal length stand in one matrix and advance together: hashes of all their substrings, from prefix hashes, probe
+the sorted keys of the pieces, and at each position a maximum over the pieces that end there stores a backpointer.
 
 For a unigram model the maximum is over the summed scores. A BPE model does not maximise a sum: there a piece scores only
 if merging would keep it and the piece before it apart. For each prefix exactly one last piece does, and the path
-through these is the result of the merges. Words with pieces of tied scores (runs of spaces) or of over LONG characters
-without a cut are merged by an agenda instead.
+through these is the result of the merges. Parts that may hold pieces of tied scores (runs of spaces) or of over LONG
+characters are merged by an agenda instead.
 """
 
 from __future__ import annotations
 
 import hashlib
-import re
 from collections.abc import Iterator
-from itertools import chain, pairwise
+from itertools import pairwise
 
 import numpy as np
 import pyarrow as pa
@@ -27,8 +26,8 @@ from sedra.llm.hashing import chunks, within
 from sedra.llm.sentencepiece_model import BASE, BPE, NEVER, SPACE, Tables, Vocabulary, finish
 
 LONG = 64
-CACHE = 300_000  # words whose ids a worker keeps, at most twice and one chunk over: those met lately, and those before them
-_CHUNK = 2_000_000  # characters
+CACHE = 1_000_000  # parts whose ids a worker keeps
+_CHUNK = 1_000_000  # characters
 _CELLS = 400_000  # characters of equal-length words that advance together
 
 
@@ -37,23 +36,16 @@ def load(path: str) -> Tables:
         return Tables(Vocabulary.parse(f.read()))
 
 
-class _Numbers(dict):
-    """Numbers keys in the order in which they are first looked up."""
-
-    def __missing__(self, key: str) -> int:
-        self[key] = n = len(self)
-        return n
-
-
 class Encoder:
     def __init__(self, tables: Tables) -> None:
         self.t = tables
-        self.cache: dict[str, bytes] = {}
-        self.older: dict[str, bytes] = {}
+        self.tied = tables.tied if tables.model_type == BPE else []
+        # The ids of the parts met lately: sorted keys, and where in the pool.
+        self.keys = np.empty(0, np.uint64)
+        self.at, self.lens = np.empty(0, np.int64), np.empty(0, np.int64)
+        self.pool = np.empty(0, np.int32)
         self.asked = np.full(1 << 21, -1, np.int64)
         self.answers = np.zeros(1 << 21, bool)
-        ties = tables.tied if tables.model_type == BPE else []
-        self.tied = re.compile("|".join(map(re.escape, sorted(ties, key=len))) or "(?!)")
 
     # -- parts of equal length ------------------------------------------------------------------------------------
 
@@ -159,124 +151,117 @@ class Encoder:
             live = live[pos[live] > 0]
         return last[marks], marks.sum(axis=1)
 
-    # -- words ----------------------------------------------------------------------------------------------------
-
-    def _parts(self, words: list[str]) -> list[list[str]]:
-        """Each word cut where no piece holds both neighbours."""
-        lens = np.fromiter(map(len, words), np.int64, len(words))
-        c = np.frombuffer("".join(words).encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.int64)
-        pair = c[:-1] << 21 | c[1:]
-        at = np.searchsorted(self.t.joined, pair).clip(max=len(self.t.joined) - 1)
-        cut = np.concatenate(([True], self.t.joined[at] != pair))
-        starts = np.cumsum(lens) - lens
-        cut[starts] = True
-        pieces = np.add.reduceat(cut, starts)
-        out = [[w] for w in words]
-        places = np.flatnonzero(cut)
-        first = np.searchsorted(places, starts)
-        for i in np.flatnonzero(pieces > 1).tolist():
-            edges = [*(places[first[i] : first[i] + pieces[i]] - starts[i]).tolist(), len(words[i])]
-            out[i] = [words[i][a:b] for a, b in pairwise(edges)]
-        return out
+    # -- texts ----------------------------------------------------------------------------------------------------
 
-    def _encode_parts(self, parts: list[str]) -> dict[str, bytes]:
-        """Distinct parts to the raw int32 ids."""
+    def _encode_parts(self, c: np.ndarray, at: np.ndarray, size: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of the parts c[at:at+size], one after the other, and how many each has."""
         t = self.t
-        out: dict[str, bytes] = {}
-        by_len: dict[int, list[str]] = {}
-        for p in parts:
-            if t.model_type == BPE and (len(p) > LONG or self.tied.search(p)):
-                out[p] = np.array([i for s in t.merged(p) for i in t.text_ids(s)], np.int32).tobytes()
-            else:
-                by_len.setdefault(len(p), []).append(p)
-        for n, own in by_len.items():
+        counts = np.zeros(len(at), np.int64)
+        runs: list[tuple[np.ndarray, np.ndarray]] = []  # parts, and their ids one after the other
+        alone = size > LONG if t.model_type == BPE else np.zeros(len(at), bool)
+        if t.model_type == BPE and len(self.tied):
+            # A part with two characters that only meet in tied pieces, such as two space marks, may use one.
+            met = np.flatnonzero(t.pair_flags(c)[1])
+            inside = np.searchsorted(at, met + 1, side="right") - 1
+            ok = (inside >= 0) & (met + 1 < (at + size)[inside]) & (met >= at[inside])
+            alone[inside[ok]] = True
+        for n in np.unique(size[~alone]).tolist():
+            own = np.flatnonzero((size == n) & ~alone)
             step = max(1, _CELLS // n)
             for k in range(0, len(own), step):
                 some = own[k : k + step]
-                chars = np.frombuffer("".join(some).encode("utf-32-le", "surrogatepass"), np.uint32).reshape(-1, n).astype(np.uint64)
-                symbols, counts = self._viterbi(chars)
+                symbols, number = self._viterbi(c[at[some][:, None] + np.arange(n)].astype(np.uint64))
                 ids = np.append(t.symbol_ids, np.int32(-1))[symbols]
-                ends = np.cumsum(counts)
-                odd = {int(r) for r in np.searchsorted(ends, np.flatnonzero(ids < 0), side="right")}
-                raw, edges = ids.tobytes(), [0, *(4 * ends).tolist()]
-                for r, p in enumerate(some):
-                    out[p] = self._spelled(p, symbols[ends[r] - counts[r] : ends[r]], ids[ends[r] - counts[r] : ends[r]]) if r in odd else raw[edges[r] : edges[r + 1]]
-        return out
-
-    def _spelled(self, part: str, symbols: np.ndarray, ids: np.ndarray) -> bytes:
-        """A part with characters out of the vocabulary. Each is a part of its own, or the only such one of its text, as no piece holds it beside another."""
+                odd = np.unique(np.searchsorted(np.cumsum(number), np.flatnonzero(ids < 0), side="right"))
+                if len(odd):
+                    ends = np.cumsum(number)
+                    for r in odd.tolist():
+                        lo, hi = int(ends[r] - number[r]), int(ends[r])
+                        spelled = self._spelled(c[at[some[r]] : at[some[r]] + n], symbols[lo:hi])
+                        counts[some[r]] = len(spelled)
+                        runs.append((some[r : r + 1], spelled))
+                    plain = np.ones(len(some), bool)
+                    plain[odd] = False
+                    ids, some, number = ids[np.repeat(plain, number)], some[plain], number[plain]
+                counts[some] = number
+                runs.append((some, ids))
+        for i in np.flatnonzero(alone).tolist():
+            text = c[at[i] : at[i] + size[i]].astype("<u4").tobytes().decode("utf-32-le", "surrogatepass")
+            ids = np.array([x for part in t.merged(text) for x in t.text_ids(part)], np.int32)
+            counts[i] = len(ids)
+            runs.append((np.array([i]), ids))
+        start = np.cumsum(counts) - counts
+        out = np.empty(int(counts.sum()), np.int32)
+        for some, ids in runs:
+            out[np.repeat(start[some], counts[some]) + within(counts[some])] = ids
+        return out, counts
+
+    def _spelled(self, chars: np.ndarray, symbols: np.ndarray) -> np.ndarray:
+        """The ids of a part some of whose symbols are no pieces: those are spelled in bytes."""
         out: list[int] = []
         at = 0
-        for s, i in zip(symbols.tolist(), ids.tolist(), strict=True):
-            n = 1 if i < 0 else len(self._names[s])
-            out += [i] if i >= 0 else self.t.text_ids(part[at])
+        for s in symbols.tolist():
+            n = self.t.symbol_lens[s]
+            own = int(self.t.symbol_ids[s]) if s < len(self.t.symbol_ids) else -1
+            out += [own] if own >= 0 else self.t.text_ids(chars[at : at + n].astype("<u4").tobytes().decode("utf-32-le", "surrogatepass"))
             at += n
-        return np.array(out, np.int32).tobytes()
-
-    @property
-    def _names(self) -> dict[int, str]:
-        if not hasattr(self, "_own_names"):
-            self._own_names = {int(s): p for p, i in self.t.ids.items() for s in np.flatnonzero(self.t.symbol_ids == i)} if len(self.t.ids) < 2000 else None
-            if self._own_names is None:
-                by_id = {i: p for p, i in self.t.ids.items()}
-                self._own_names = {k: by_id[i] for k, i in enumerate(self.t.symbol_ids.tolist()) if i >= 0}
-        return self._own_names
-
-    def _word_ids(self, words: list[str]) -> list[bytes]:
-        """The raw int32 ids of distinct words; one without a leading space mark has exactly one."""
-        cache, older = self.cache, self.older
-        got = list(map(cache.get, words))
-        new = []
-        for i in [i for i, b in enumerate(got) if b is None]:
-            got[i] = kept = older.get(words[i])
-            if kept is None:
-                new.append(words[i])
-            else:
-                cache[words[i]] = kept
-        fresh: dict[str, bytes] = {}
-        if new:
-            split = self._parts([w if w.startswith(SPACE) else SPACE + w for w in new])
-            known = self._encode_parts(list(dict.fromkeys(p for ps in split for p in ps)))
-            fresh = {w: known[ps[0]] if len(ps) == 1 else b"".join(known[p] for p in ps) for w, ps in zip(new, split, strict=True)}
-        out = [fresh[w] if b is None else b for w, b in zip(words, got, strict=True)]
-        if len(cache) > CACHE:
-            self.older, self.cache = cache, {}
-        self.cache.update((w, b) for w, b in fresh.items() if len(w) <= 32)
-        return out
+        return np.array(out, np.int32)
 
-    @staticmethod
-    def words_of(text: str) -> list[str]:
-        """The words of a text: what follows each space, with the spaces written out unless there is exactly one."""
-        parts = text.replace(" ", SPACE).split(SPACE)
-        if all(parts):
-            return parts
-        out, spaces = [], 0
-        for p in parts:
-            spaces += 1
-            if p:
-                out.append(p if spaces == 1 else SPACE * spaces + p)
-                spaces = 0
-        if spaces:
-            out.append(SPACE * spaces)
-        return out
+    def _known(self, c: np.ndarray, at: np.ndarray, size: np.ndarray, keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Where the pool has the ids of distinct parts with these sorted keys, and how many; new parts are added to it."""
+        place = np.searchsorted(self.keys, keys)
+        hit = self.keys[np.minimum(place, len(self.keys) - 1)] == keys if len(self.keys) else np.zeros(len(keys), bool)
+        new = np.flatnonzero(~hit)
+        if len(new):
+            by_place = new[np.argsort(at[new])]
+            ids, counts = self._encode_parts(c, at[by_place], size[by_place])
+            if len(self.keys) + len(new) > CACHE:
+                # Only the parts of this chunk stay.
+                own = place[hit]
+                n = self.lens[own]
+                self.pool = self.pool[np.repeat(self.at[own], n) + within(n)]
+                self.keys, self.at, self.lens = self.keys[own], np.cumsum(n) - n, n
+            added = np.empty((2, len(keys)), np.int64)
+            added[0, by_place] = len(self.pool) + np.cumsum(counts) - counts
+            added[1, by_place] = counts
+            self.pool = np.concatenate((self.pool, ids))
+            merged = np.concatenate((self.keys, keys[new]))
+            order = np.argsort(merged, kind="stable")
+            self.keys = merged[order]
+            self.at = np.concatenate((self.at, added[0, new]))[order]
+            self.lens = np.concatenate((self.lens, added[1, new]))[order]
+            place = np.searchsorted(self.keys, keys)
+        return self.at[place], self.lens[place]
+
+    def _encode_chunk(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """encode() for texts that are not empty: each gets a space mark first, spaces become marks."""
+        t = self.t
+        c = np.frombuffer("".join([SPACE + x for x in texts]).encode("utf-32-le", "surrogatepass"), np.uint32).copy()
+        c[c == 32] = ord(SPACE)
+        first = np.fromiter((len(x) + 1 for x in texts), np.int64, len(texts))
+        first = np.cumsum(first) - first
+        cut = np.ones(len(c), bool)
+        cut[1:] = ~t.pair_flags(c)[0]
+        cut[first] = True
+        at = np.flatnonzero(cut)
+        size = np.diff(np.append(at, len(c)))
+        keys = t.part_keys(c, at, size)
+        distinct, one, number = np.unique(keys, return_index=True, return_inverse=True)
+        place, n = self._known(c, at[one], size[one], distinct)
+        each = n[number]
+        ids = self.pool[np.repeat(place[number], each) + within(each)]
+        return ids, np.add.reduceat(each, np.searchsorted(at, first))
 
     def encode(self, texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
         """The ids of the texts, one after the other, and how many each has; none for null or empty."""
-        ids, counts = [np.empty(0, np.int32)], [np.empty(0, np.int64)]
+        counts = np.zeros(len(texts), np.int64)
+        ids = [np.empty(0, np.int32)]
         for i, j in chunks(texts, _CHUNK):
-            split = [self.words_of(t) if t else [] for t in texts[i:j]]
-            code = _Numbers()
-            number = np.fromiter(map(code.__getitem__, chain.from_iterable(split)), np.int64)
-            raw = self._word_ids(list(code))
-            size = np.fromiter((len(r) // 4 for r in raw), np.int64, len(raw))
-            pool = np.frombuffer(b"".join(raw), np.int32)
-            each = size[number]
-            ids.append(pool[np.repeat((np.cumsum(size) - size)[number], each) + within(each)])
-            per = np.fromiter(map(len, split), np.int64, len(split))
-            total = np.concatenate(([0], np.cumsum(each)))
-            edge = np.concatenate(([0], np.cumsum(per)))
-            counts.append(np.diff(total[edge]))
-        return np.concatenate(ids), np.concatenate(counts)
+            own = [k for k in range(i, j) if texts[k]]
+            if own:
+                found, counts[own] = self._encode_chunk([texts[k] for k in own])
+                ids.append(found)
+        return np.concatenate(ids), counts
 
 
 def decode(tables: Tables, ids: np.ndarray, counts: np.ndarray) -> list[str]:
@@ -295,7 +280,7 @@ _latest: list[Encoder] = []
 
 
 def _encoder(tables: Tables) -> Encoder:
-    """The worker's encoder for these tables, with the words that its earlier tasks met."""
+    """The worker's encoder for these tables, with the parts that its earlier tasks met."""
     if not _latest or _latest[0].t is not tables:
         _latest[:] = [Encoder(tables)]
     return _latest[0]

@@ -117,7 +117,20 @@ class Tables:
         self.keys, self.key_symbols = hashes[by_hash], by_hash.astype(np.int32)
         self.maybe = np.zeros(1 << 20, bool)
         self.maybe[self.keys >> np.uint64(44)] = True
-        self.joined = np.unique(np.array([ord(a) << 21 | ord(b) for p in self.ids for a, b in zip(p, p[1:], strict=False)] + [-1], np.int64))
+        # Characters that stand next to each other in a piece: bit 0; in one of tied score: bit 1.
+        beside: dict[tuple[str, str], int] = {}
+        tied_pieces = set(self.tied) if self.model_type == BPE else set()
+        for p in self.ids:
+            for ab in zip(p, p[1:], strict=False):
+                beside[ab] = beside.get(ab, 0) | (3 if p in tied_pieces else 1)
+        letters = sorted({x for ab in beside for x in ab})
+        self.small = np.zeros(0x110000, np.uint16)
+        self.small[[ord(x) for x in letters]] = np.arange(1, len(letters) + 1)
+        width = len(letters) + 1
+        self.beside = np.zeros((width, width), np.uint8)
+        for (x, y), flag in beside.items():
+            self.beside[self.small[ord(x)], self.small[ord(y)]] = flag
+        self.symbol_lens = [*map(len, names), 1]
         if self.model_type == BPE:
             self.rank = np.array([self.order[p] if len(p) > 1 else 0 for p in names] + [0], np.int64)
             self.left = np.array([number[last[p][0]] if len(p) > 1 else -1 for p in names] + [-1], np.int64)
@@ -133,6 +146,19 @@ class Tables:
         self.spell_at = np.cumsum(self.spell_len) - self.spell_len
         self.spell = np.frombuffer(b"".join(spell), np.uint8)
 
+    def pair_flags(self, c: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """For each pair of neighbours: whether a piece holds it, and whether one of tied score does."""
+        x = self.small[c]
+        flag = self.beside[x[:-1], x[1:]]
+        return flag > 0, flag > 1
+
+    def part_keys(self, c: np.ndarray, at: np.ndarray, size: np.ndarray) -> np.ndarray:
+        """A hash of each part c[at:at+size], where the parts follow each other: sums of mixed characters and places."""
+        place = np.arange(len(c), dtype=np.int64) - np.repeat(at, size)
+        with np.errstate(over="ignore"):
+            mixed = finish((c.astype(np.uint64) << np.uint64(32) | place.astype(np.uint64)) * BASE)
+            return finish(np.add.reduceat(mixed, at) + size.astype(np.uint64) * BASE)
+
     def join_rank(self, x: np.ndarray, y: np.ndarray) -> np.ndarray:
         """The rank of the merge of symbols x and y, NEVER if their joined text is no symbol."""
         out = np.full(len(x), NEVER)
