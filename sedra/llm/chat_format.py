@@ -26,6 +26,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from sedra.llm.shared import in_batches
+
 OPEN, CLOSE = "### ", "</turn>\n"
 TRAINED = "assistant"
 #: Tokens that a part expands to, per unit of its size (image tiles, audio seconds, document pages).
@@ -110,7 +112,7 @@ def format_turns(df: DataFrame) -> DataFrame:
                 tok.append(sum(a["tokens"] for a in found))
             yield pa.RecordBatch.from_arrays([b["c"], b["t"], pa.array(seg, pa.string()), pa.array(lo, pa.int32()), pa.array(hi, pa.int32()), pa.array(att, pa.string()), pa.array(tok, pa.int64())], names=["conv_id", "turn", "segment", "loss_start", "loss_end", "attachments", "expanded_tokens"])
 
-    return source.mapInArrow(run, SEGMENTS.format(kind=kind))
+    return in_batches(source, run, SEGMENTS.format(kind=kind))
 
 
 @dataclass
@@ -165,4 +167,4 @@ def digests(segments: DataFrame) -> DataFrame:
             yield rows([now])
 
     dealt = segments.select("conv_id", "turn", "segment", "loss_start", "loss_end").repartition("conv_id").sortWithinPartitions("conv_id", "turn", "segment")
-    return dealt.mapInArrow(run, DIGESTS.format(kind=kind))
+    return in_batches(dealt, run, DIGESTS.format(kind=kind))

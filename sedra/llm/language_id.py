@@ -21,6 +21,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, StringType, StructField, StructType
 
 from sedra.llm.hashing import chunks
+from sedra.llm.shared import in_batches
 
 SIZES = 4  # longest n-gram
 BUCKET_BITS = 20
@@ -122,25 +123,23 @@ def fit(texts: list[str], langs: list[str]) -> Model:
     if not names:
         return Model([], np.empty(0, np.int64), np.empty((0, 0)), np.empty(0))
     label = np.searchsorted(names, langs)
-    parts = [(i, presence(texts[i:j])) for i, j in _groups(texts)]
-    doc = np.concatenate([i + p[0] for i, p in parts])
-    gram = np.concatenate([p[1] for _, p in parts])
-    norm = np.sqrt(np.maximum(np.bincount(doc, minlength=len(texts)), 1))
     share = -(-LANDMARKS // len(names))
     marks = np.sort(np.concatenate([np.flatnonzero(label == c)[:share] for c in range(len(names))]))
-    row = np.full(len(texts), -1)
-    row[marks] = np.arange(len(marks))
-    own = row[doc] >= 0
-    grams = np.unique(gram[own])
+    found = [(marks[i:j], *presence([texts[t] for t in marks[i:j]])[:2]) for i, j in _groups([texts[t] for t in marks])]
+    grams = np.unique(np.concatenate([g for _, _, g in found]))
     m = np.zeros((len(grams), len(marks)), np.float32)  # presence of a gram in a landmark, over the landmark's norm
-    m[np.searchsorted(grams, gram[own]), row[doc[own]]] = 1
-    m /= norm[marks]
-    at = np.searchsorted(grams, gram).clip(max=len(grams) - 1)
-    known = grams[at] == gram
+    for own, doc, gram in found:
+        m[np.searchsorted(grams, gram), np.searchsorted(marks, own)[doc]] = 1
+        m[:, np.searchsorted(marks, own)] /= np.sqrt(np.maximum(np.bincount(doc, minlength=len(own)), 1)).astype(np.float32)
     kernel = np.zeros((len(texts), len(marks)))
-    for t in range(len(texts)):
-        lo, hi = np.searchsorted(doc, (t, t + 1))
-        kernel[t] = m[at[lo:hi][known[lo:hi]]].sum(axis=0, dtype=np.float64) / norm[t]
+    for i, j in _groups(texts):
+        doc, gram, _ = presence(texts[i:j])
+        edge = np.searchsorted(doc, np.arange(j - i + 1))
+        at = np.searchsorted(grams, gram).clip(max=len(grams) - 1)
+        known = grams[at] == gram
+        for t in range(j - i):
+            own = slice(edge[t], edge[t + 1])
+            kernel[i + t] = m[at[own][known[own]]].sum(axis=0) / np.sqrt(max(1, edge[t + 1] - edge[t]))
     values, vectors = np.linalg.eigh(kernel[marks])
     keep = values > 1e-8 * values.max()
     root = vectors[:, keep] / np.sqrt(values[keep])
@@ -190,7 +189,7 @@ def tag(df: DataFrame, model: Model, text: str = "text") -> DataFrame:
             langs, score = shipped.value.predict(b.column(at).to_pylist())
             yield pa.RecordBatch.from_arrays([*b.columns, pa.array(langs, pa.string()), pa.array(score, pa.float64())], names=[*b.schema.names, "lang_pred", "score"])
 
-    return kept.mapInArrow(run, StructType([*kept.schema.fields, StructField("lang_pred", StringType()), StructField("score", DoubleType())]))
+    return in_batches(kept, run, StructType([*kept.schema.fields, StructField("lang_pred", StringType()), StructField("score", DoubleType())]))
 
 
 def identify(df: DataFrame, model: Model, text: str = "text", key: str = "doc_id") -> DataFrame:

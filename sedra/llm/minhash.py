@@ -19,6 +19,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from sedra.llm.hashing import chunks, mix, shingle_hashes
+from sedra.llm.shared import in_batches
 
 WORDS, SEED = 5, 42
 BIN_BITS, LOW = 9, 4
@@ -90,7 +91,7 @@ def fingerprints(df: DataFrame, text: str = "text", key: str = "doc_id") -> Data
             out = [f for i, j in chunks(texts) for f in packed(*signatures(texts[i:j]))]
             yield pa.RecordBatch.from_arrays([b["k"], pa.array(out, pa.string())], names=["k", "fingerprint"])
 
-    return source.mapInArrow(run, f"k {kind}, fingerprint string").withColumnRenamed("k", key)
+    return in_batches(source, run, f"k {kind}, fingerprint string").withColumnRenamed("k", key)
 
 
 def edited(text: str, other: str) -> str:
@@ -166,4 +167,4 @@ def compared_with_edited(df: DataFrame) -> DataFrame:
                 yield _compared(part)
                 last = part[-1:]
 
-    return dealt.mapInArrow(run, OUT)
+    return in_batches(dealt, run, OUT)

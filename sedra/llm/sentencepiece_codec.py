@@ -24,6 +24,7 @@ from pyspark.sql import functions as F
 
 from sedra.llm.hashing import chunks, within
 from sedra.llm.sentencepiece_model import BASE, BPE, NEVER, SPACE, Tables, Vocabulary, finish
+from sedra.llm.shared import in_batches
 
 LONG = 64
 CACHE = 1_000_000  # parts whose ids a worker keeps
@@ -315,7 +316,7 @@ def encode(df: DataFrame, tables: Tables, text: str = "text", key: str = "doc_id
                 yield pa.RecordBatch.from_arrays(cols, names=names)
 
     schema = f"k {kind}, n_tokens long, token_ids array<int>" + ", decoded_sha256 string" * verify
-    return source.mapInArrow(run, schema).withColumnRenamed("k", key)
+    return in_batches(source, run, schema).withColumnRenamed("k", key)
 
 
 def decode_table(df: DataFrame, tables: Tables, ids: str = "token_ids", key: str = "doc_id") -> DataFrame:
@@ -332,4 +333,4 @@ def decode_table(df: DataFrame, tables: Tables, ids: str = "token_ids", key: str
             texts = [None if r is None else t for r, t in zip(rows, decode(shipped.value, flat, counts), strict=True)]
             yield pa.RecordBatch.from_arrays([b["k"], pa.array(texts, pa.string())], names=["k", "text"])
 
-    return source.mapInArrow(run, f"k {kind}, text string").withColumnRenamed("k", key)
+    return in_batches(source, run, f"k {kind}, text string").withColumnRenamed("k", key)

@@ -3,9 +3,11 @@
 from __future__ import annotations
 
 import uuid
+from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 
@@ -24,6 +26,17 @@ def shared_dir(spark: SparkSession) -> str:
     return (spark.conf.get("spark.checkpoint.dir", None) or "/tmp/checkpoints").rstrip("/")
 
 
+BATCH_BYTES = 8 << 20
+
+
+def in_batches(df: DataFrame, run: Callable, schema: str | StructType) -> DataFrame:
+    """df.mapInArrow(run, schema) with batches of about BATCH_BYTES at most, so that long texts don't make large ones."""
+    conf, name = df.sparkSession.conf, "spark.sql.execution.arrow.maxBytesPerBatch"
+    if conf.get(name) == "67108864b":  # the default; a value that was set stays
+        conf.set(name, f"{BATCH_BYTES}b")
+    return df.mapInArrow(run, schema)
+
+
 def cut(df: DataFrame) -> DataFrame:
     """Write df to the shared folder and read it again: the lineage ends there, and an executor's loss costs no rerun of what came before."""
     return cut_at(df)[0]

@@ -24,7 +24,7 @@ from pyspark.sql import functions as F
 
 from sedra.llm.components import components
 from sedra.llm.hashing import chunks, shingle_hashes, within
-from sedra.llm.shared import cut
+from sedra.llm.shared import cut, in_batches
 
 BITS, RADIUS, WORDS, SEED = 64, 3, 3, 42
 MOST = 1024  # fingerprints of a bucket that are compared with each other
@@ -71,7 +71,7 @@ def fingerprints(df: DataFrame, text: str = "text", key: str = "doc_id") -> Data
             fp = np.concatenate([np.empty(0, np.uint64), *(fingerprints_of(texts[i:j]) for i, j in chunks(texts))])
             yield pa.RecordBatch.from_arrays([b["k"], pa.array(fp.view(np.int64))], names=["k", "fp"])
 
-    return source.mapInArrow(run, f"k {kind}, fp long").withColumnRenamed("k", key)
+    return in_batches(source, run, f"k {kind}, fp long").withColumnRenamed("k", key)
 
 
 def _signed(x: int) -> int:
@@ -139,7 +139,7 @@ def _bucket_edges(buckets: DataFrame) -> DataFrame:
                 vs.append(fps[label[child]])
             yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x).view(np.int64)) for x in (us, vs)], names=["u", "v"])
 
-    return buckets.select("fps").mapInArrow(run, "u long, v long")
+    return in_batches(buckets.select("fps"), run, "u long, v long")
 
 
 def links(fps: DataFrame) -> DataFrame:

@@ -18,7 +18,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from sedra.llm.shared import cut
+from sedra.llm.shared import cut, in_batches
 
 WIDTH = 2  # bytes of an id
 BLOCK_TOKENS = 1 << 20
@@ -78,7 +78,7 @@ def token_blocks(df: DataFrame, ranks_file: bytes, end: int = END, block_tokens:
         if size:
             yield block(size)
 
-    return source.mapInArrow(run, f"file string, block long, payload binary, keys array<{kind}>")
+    return in_batches(source, run, f"file string, block long, payload binary, keys array<{kind}>")
 
 
 def flat_file_blocks(spark: SparkSession, path: str, width: int = WIDTH, block_tokens: int = BLOCK_TOKENS) -> DataFrame:
@@ -106,7 +106,7 @@ def flat_file_blocks(spark: SparkSession, path: str, width: int = WIDTH, block_t
                     payload = f.read(step)
                 yield pa.RecordBatch.from_arrays([pa.array([file]), pa.array([start // step], pa.int64()), pa.array([payload], pa.binary())], names=["file", "block", "payload"])
 
-    return cuts.mapInArrow(run, "file string, block long, payload binary")
+    return in_batches(cuts, run, "file string, block long, payload binary")
 
 
 def write_flat_files(tokens: DataFrame, path: str, payload: str = "payload", end: int = END) -> None:
@@ -142,7 +142,7 @@ def count_tokens(blocks: DataFrame, end: int = END, width: int = WIDTH) -> DataF
             keys = [b["keys"]] if keyed else []
             yield pa.RecordBatch.from_arrays([b["file"], b["block"], pa.array(n, pa.int64()), lists, *keys], names=["file", "block", "n", "ends", *["keys"] * keyed])
 
-    scanned = cut(source.mapInArrow(run, "file string, block long, n long, ends array<long>" + f", keys array<{kind}>" * keyed))
+    scanned = cut(in_batches(source, run, "file string, block long, n long, ends array<long>" + f", keys array<{kind}>" * keyed))
     before = Window.partitionBy("file").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
     slim = scanned.select("file", "block", "n", F.size("ends").cast("long").alias("seps"), F.array_max("ends").alias("last"))
     placed = slim.withColumn("offset", F.coalesce(F.sum("n").over(before), F.lit(0)))

@@ -13,7 +13,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from sedra.llm.shared import ascii_lower
+from sedra.llm.shared import ascii_lower, in_batches
 
 #: Rules as (verdict, host/path), and the vocabulary.
 RULES = (("allow", "com/"), ("block", "example.com/en/"), ("allow", "www.example.com/en/"), ("block", "net/es/"), ("block", "net/fr/"))
@@ -105,7 +105,7 @@ def judge(df: DataFrame, url: str = "url", key: str = "page_id", rules=RULES, st
                 names=["key", "host", "path", "rule", "verdict", "n_strict", "n_soft"],
             )
 
-    out = source.mapInArrow(run, f"key {kind}, host string, path string, rule string, verdict string, n_strict int, n_soft int")
+    out = in_batches(source, run, f"key {kind}, host string, path string, rule string, verdict string, n_strict int, n_soft int")
     return out.withColumnRenamed("key", key)
 
 
