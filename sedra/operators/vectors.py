@@ -97,7 +97,7 @@ def _in_blocks(queries: DataFrame, collection: DataFrame, k: int, metric: str, q
     return out.select(F.col("q").alias(query), F.col("d").alias(doc), "distance")
 
 
-def nearest_lsh(queries: DataFrame, collection: DataFrame, k: int = 10, query: str = "query_id", doc: str = "doc_id", vector: str = "embedding", planes: int = 4, tables: int = 16, seed: int = 7, dim: int = 64) -> DataFrame:
+def nearest_lsh(queries: DataFrame, collection: DataFrame, k: int = 10, query: str = "query_id", doc: str = "doc_id", vector: str = "embedding", planes: int = 4, tables: int = 24, seed: int = 7, dim: int = 64) -> DataFrame:
     """nearest() by cosine distance among the rows that share a bucket with the query in some table of random hyperplanes: approximate, for collections too large to read for each query."""
     signs = np.random.default_rng(seed).standard_normal((tables, planes, dim))
 

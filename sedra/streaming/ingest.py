@@ -16,7 +16,7 @@ def ingest_stream(spark: SparkSession, folder: str, collection: Collection, chec
     A batch that is run twice after a failure stores its files' rows once, since they replace their sources'.
     """
     config = config or IngestConfig()
-    files = spark.readStream.format("binaryFile").load(folder)
+    files = spark.readStream.format("binaryFile").schema("path string, modificationTime timestamp, length long, content binary").load(folder)
 
     def store(batch: DataFrame, _: int) -> None:
         collection.replace_sources(collection_rows(cleaned(extract(batch)).where("text is not null"), config))
