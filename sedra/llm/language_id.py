@@ -181,7 +181,8 @@ def training_sample(df: DataFrame, text: str = "text", lang: str = "lang", key:
 def tag(df: DataFrame, model: Model, text: str = "text") -> DataFrame:
     """df with lang_pred and score, from the whole text alone; a column of df with such a name is replaced."""
     kept = df.select(*[F.col(f"`{c}`") for c in df.columns if c not in ("lang_pred", "score")])
-    at = kept.columns.index(text)
+    at, names = kept.columns.index(text), [*kept.columns, "lang_pred", "score"]
+    kept = kept.toDF(*[f"c{k}" for k in range(len(kept.columns))])  # names with dots can't be handed over
     shipped = df.sparkSession.sparkContext.broadcast(model)  # bounded by the n-grams of LANDMARKS texts and the languages
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -189,7 +190,7 @@ def tag(df: DataFrame, model: Model, text: str = "text") -> DataFrame:
             langs, score = shipped.value.predict(b.column(at).to_pylist())
             yield pa.RecordBatch.from_arrays([*b.columns, pa.array(langs, pa.string()), pa.array(score, pa.float64())], names=[*b.schema.names, "lang_pred", "score"])
 
-    return in_batches(kept, run, StructType([*kept.schema.fields, StructField("lang_pred", StringType()), StructField("score", DoubleType())]))
+    return in_batches(kept, run, StructType([*kept.schema.fields, StructField("lang_pred", StringType()), StructField("score", DoubleType())])).toDF(*names)
 
 
 def identify(df: DataFrame, model: Model, text: str = "text", key: str = "doc_id") -> DataFrame:

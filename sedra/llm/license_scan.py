@@ -106,7 +106,8 @@ def scan(df: DataFrame, text: str = "text", templates: tuple[Template, ...] = TE
     ])
     added = ["n_words", "n_base", "first_word", "last_word", "base_labels", "labels", "score"]
     kept = [c for c in df.columns if c not in added]
-    out = df.select(*kept, F.array_remove(F.split(ascii_lower(F.coalesce(F.col(text), F.lit(""))), GAP), "").alias("_words"))
+    # df's columns travel in one struct, so that no name of theirs meets one used here.
+    out = df.select(F.struct(*[F.col(f"`{c}`") for c in kept], F.lit(0).alias("_")).alias("_row"), F.array_remove(F.split(ascii_lower(F.coalesce(F.col(f"`{text}`"), F.lit(""))), GAP), "").alias("_words"))
     words = F.col("_words")
     places = F.filter(F.transform(words, lambda w, i: F.struct(w.alias("word"), i.alias("pos"))), lambda x: x["word"].isin(anchors))
     in_place = lambda start, items: F.filter(items, lambda r: (start + r["off"] >= 0) & (F.get(words, start + r["off"]) == r["word"]))
@@ -120,7 +121,7 @@ def scan(df: DataFrame, text: str = "text", templates: tuple[Template, ...] = TE
     starts = F.transform(F.col("_base"), lambda c: c["start"].cast("long"))
     names = lambda found: F.array_join(F.array_sort(F.array_distinct(F.transform(found, lambda c: c["label"]))), ",")
     return out.withColumn("_base", base).select(
-        *kept,
+        *[F.col("_row").getField(c).alias(c) for c in kept],
         F.size(words).cast("long").alias("n_words"),
         F.size("_base").cast("long").alias("n_base"),
         F.array_min(starts).alias("first_word"),

@@ -148,7 +148,7 @@ def compared_with_edited(df: DataFrame) -> DataFrame:
     docs = df.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(-(1 << 63))).alias("ord"), F.col("doc_id").cast("long").alias("key"), F.coalesce("text", F.lit("")).alias("x"))
     ranges = 4 * int(spark.conf.get("spark.sql.shuffle.partitions"))
     ids = docs.select(F.col("ord").cast("double").alias("at"))
-    cuts = sorted(set(ids.approxQuantile("at", [i / ranges for i in range(1, ranges)], 0.25 / ranges)))
+    cuts = sorted(set(ids.approxQuantile("at", [i / ranges for i in range(1, ranges)], 0.25 / ranges))) or [0.0]
     deal = Bucketizer(splits=[-float("inf"), *cuts, float("inf")], inputCol="at", outputCol="b")
     bucketed = deal.transform(docs.withColumn("at", F.col("ord").cast("double"))).select("ord", "key", "x", F.col("b").cast("int").alias("bucket"))
     tops = bucketed.groupBy("bucket").agg(F.max("ord").alias("top")).orderBy(F.desc("bucket")).collect()

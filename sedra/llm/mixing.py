@@ -59,7 +59,8 @@ def _share(nodes: DataFrame, parent: list[str]) -> DataFrame:
     before = by.orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
     level = (F.col("amount") - F.coalesce(F.sum("capacity").over(before), F.lit(0))) / (F.sum("weight").over(by) - F.coalesce(F.sum("weight").over(before), F.lit(0.0)))
     tried = nodes.withColumn("weighs", F.col("weight") > 0).withColumn("level", F.when(F.col("weighs"), level)).withColumn("full", F.col("weighs") & (F.col("capacity") <= F.col("level") * F.col("weight")))
-    common = F.min(F.when(F.col("weighs") & ~F.col("full"), F.struct((F.col("capacity") / F.col("weight")).alias("at"), F.col("level").alias("level")))).over(by)["level"]
+    # Past the first child that isn't full the level only falls, so the greatest is the one at which the rest is shared.
+    common = F.max(F.when(F.col("weighs") & ~F.col("full"), F.col("level"))).over(by)
     got = F.when(~F.col("weighs"), 0).when(F.col("full"), F.col("capacity")).otherwise(F.floor(common * F.col("weight")))
     return tried.withColumn("got", got.cast("long")).drop("weighs", "level", "full")
 
@@ -145,7 +146,7 @@ def mix_sql(plan: Plan = PLAN) -> str:
         steps.append(f"""n{k} as (select *, {weight(level)} as weight from (select {', '.join(keys)}, sum(tokens)::bigint * {plan.max_epochs} as capacity from leaves group by all) {join}),
         l{k} as (select *, (amount - coalesce(sum(capacity) over {order}, 0))::double / (sum(weight) over ({part}) - coalesce(sum(weight) over {order}, 0.0)) as level from n{k}),
         f{k} as (select *, weight > 0 and capacity <= level * weight as is_full from l{k}),
-        c{k} as (select *, arg_min(level, capacity / weight) filter (where weight > 0 and not is_full) over ({part}) as common from f{k}),
+        c{k} as (select *, max(level) filter (where weight > 0 and not is_full) over ({part}) as common from f{k}),
         a{k} as (select {', '.join(keys)}, (case when weight <= 0 then 0 when is_full then capacity else floor(common * weight) end)::bigint as amount from c{k})""")
         above = f"a{k}"
     domain = "case " + " ".join(f"when {test} then '{d}'" for d, test in _domain_sql()) + " end"

@@ -5,7 +5,7 @@ spaces before them. Each distinct part of a batch is encoded once, and parts are
 Parts of equal length stand in one matrix and advance together: hashes of all their substrings, from prefix hashes, probe
 the sorted keys of the pieces, and at each position a maximum over the pieces that end there stores a backpointer.
 
-For a unigram model the maximum is over the summed scores. A BPE model does not maximise a sum: there a piece scores only
+For a unigram model the maximum is over the summed scores; paths whose sums differ by rounding alone are ties. A BPE model does not maximise a sum: there a piece scores only
 if merging would keep it and the piece before it apart. For each prefix exactly one last piece does, and the path
 through these is the result of the merges. Parts that may hold pieces of tied scores (runs of spaces) or of over LONG
 characters are merged by an agenda instead.

@@ -170,8 +170,11 @@ def near_duplicates(df: DataFrame, text: str = "text", key: str = "doc_id") -> D
 
 def representatives(df: DataFrame, text: str = "text", key: str = "doc_id") -> DataFrame:
     """One row of df for each group of near_duplicates(): that of the least key. Of rows that share this key and the text one stays; a null key stays only where it is alone."""
-    kept = cut(near_duplicates(df, text, key).where(F.col(key).eqNullSafe(F.col("component_id"))).select(F.col(key).alias("_kept")))
+    name = "_kept"
+    while name in df.columns:
+        name += "_"
+    kept = cut(near_duplicates(df, text, key).where(F.col(key).eqNullSafe(F.col("component_id"))).select(F.col(key).alias(name)))
     # Most keys are kept, so their table grows with the documents: never broadcast, whatever its size. Keys are spread evenly.
-    out = df.join(kept.distinct().hint("merge"), df[key].eqNullSafe(F.col("_kept")), "left_semi")
-    repeated = not kept.groupBy("_kept").count().where("count > 1").isEmpty()
+    out = df.join(kept.distinct().hint("merge"), F.col(key).eqNullSafe(F.col(name)), "left_semi")
+    repeated = not kept.groupBy(name).count().where("count > 1").isEmpty()
     return out.dropDuplicates([key, text]) if repeated else out
