@@ -7,8 +7,8 @@ own shortage shared among its siblings, one level up. Sorted by capacity over we
 a level is solved by running sums: no iteration, nothing on the driver.
 
 A leaf then takes whole epochs of its documents and, of one more, the shortest prefix that reaches the rest of its
-amount, in the order of a hash of seed, epoch and document. The place where a prefix ends is found from token sums of
-4096 ranges of the hash and then within one range, so a leaf of any size is never sorted in one task.
+amount, in the order of a hash of seed, epoch and document. The place where a prefix ends is found from token sums of 256
+ranges of the hash, then of 256 ranges within one of them, and last within one of these: no leaf is sorted in one task.
 """
 
 from __future__ import annotations
@@ -23,6 +23,7 @@ from sedra.llm.shared import cut
 
 LEVELS = ("domain", "lang", "source")
 WORD = r"[^\x20\x09-\x0D]+"
+STEPS = 2  # times that a hash range is narrowed to one of its 256 parts
 MOST_BROADCAST = 100_000  # leaves that are sent to every executor; more are joined by a shuffle
 
 
@@ -83,14 +84,22 @@ def _hash(plan: Plan, epoch: Column, key: Column) -> Column:
     return F.md5(F.concat(F.lit(f"{plan.seed}:"), epoch.cast("string"), F.lit(":"), F.coalesce(key.cast("string"), F.lit("null"))).cast("binary"))
 
 
+def _units(slim: DataFrame, edge: DataFrame, plan: Plan) -> DataFrame:
+    """The rows of slim within the hash range that their leaf's prefix ends in."""
+    own = with_leaves(slim, edge, "inner").withColumn("hash", _hash(plan, F.col("epochs"), F.col("key")))
+    return own.where(F.startswith("hash", "prefix"))
+
+
 def leaf_plan(slim: DataFrame, plan: Plan = PLAN) -> DataFrame:
     """(domain, lang, source, tokens, quota, epochs, last) for slim (key, domain, lang, source, n_tokens): whole epochs, and the hash of the last document of the prefix of the next one, null for none."""
     leaves = cut(budgets(slim.groupBy(*LEVELS).agg(F.sum("n_tokens").alias("tokens")), plan).withColumn("epochs", F.when(F.col("tokens") > 0, F.floor(F.col("quota") / F.col("tokens"))).otherwise(0).cast("int")).withColumn("part", F.col("quota") - F.col("epochs") * F.col("tokens")))
-    units = with_leaves(slim, leaves.where("part > 0").select(*LEVELS, "epochs", "part"), "inner").withColumn("hash", _hash(plan, F.col("epochs"), F.col("key"))).withColumn("range", F.substring("hash", 1, 3))
-    sums = units.groupBy(*LEVELS, "range", "part").agg(F.sum("n_tokens").alias("n"))
-    before = Window.partitionBy(*LEVELS).orderBy("range").rowsBetween(Window.unboundedPreceding, -1)
-    edge = sums.withColumn("before", F.coalesce(F.sum("n").over(before), F.lit(0))).where("before < part and before + n >= part").select(*LEVELS, "range", "before")
-    near = units.join(edge, [*LEVELS, "range"]).groupBy(*LEVELS, "hash", "part", "before").agg(F.sum("n_tokens").alias("n"))
+    edge = leaves.where("part > 0").select(*LEVELS, "epochs", "part", F.lit("").alias("prefix"), F.lit(0).cast("long").alias("before"))
+    for _ in range(STEPS):
+        # The sums of the next 256 ranges of each leaf, and the one among them that reaches its part.
+        sums = _units(slim, edge, plan).groupBy(*LEVELS, "epochs", "part", "before", F.substring("hash", 1, F.length("prefix") + 2).alias("prefix")).agg(F.sum("n_tokens").alias("n"))
+        before = Window.partitionBy(*LEVELS).orderBy("prefix").rowsBetween(Window.unboundedPreceding, -1)
+        edge = cut(sums.withColumn("before", F.col("before") + F.coalesce(F.sum("n").over(before), F.lit(0))).where("before < part and before + n >= part").drop("n"))
+    near = _units(slim, edge, plan).groupBy(*LEVELS, "hash", "part", "before").agg(F.sum("n_tokens").alias("n"))
     inner = Window.partitionBy(*LEVELS).orderBy("hash").rowsBetween(Window.unboundedPreceding, -1)
     last = near.withColumn("start", F.col("before") + F.coalesce(F.sum("n").over(inner), F.lit(0))).where("start < part").groupBy(*LEVELS).agg(F.max("hash").alias("last"))
     return cut(leaves.join(last, list(LEVELS), "left").select(*LEVELS, "tokens", "quota", "epochs", "last"))
