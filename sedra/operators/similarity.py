@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from sedra.functions import text as T
-from sedra.operators.splitters import sentence_clusters
+from sedra.operators.splitters import sentence_clusters, similarities
 
 
 def sentence_rows(df: DataFrame, text: str = "text", key: str = "doc_id") -> DataFrame:
@@ -22,16 +22,21 @@ def featured(df: DataFrame, text: str = "text", key: str = "doc_id") -> DataFram
     return sentence_rows(df, text, key).select(key, "i", T.features(F.col("sentence")).alias("f")).select(key, "i", "f.*")
 
 
+def _later(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+    """For each sentence, its similarity with those after it."""
+    for rows in batches:
+        yield rows.map(lambda parts: [row[i + 1 :] for i, row in enumerate(similarities(list(parts)))])
+
+
 def pair_similarities(df: DataFrame, text: str = "text", key: str = "doc_id") -> DataFrame:
     """(key, i, j, sim) for the sentence pairs i < j of each document.
 
-    A document's sentences stay in one row with their features, computed once; a pair is made from the array, so nothing
-    is shuffled and one long document costs one row's loop. The pairs are what is asked for; they leave as they are made.
+    A document's sentences stay in one row, and its pairs are scored by matrix products over sets that are made once; so
+    nothing is shuffled. The pairs are what is asked for; text.pair_similarity() is the same for two columns.
     """
-    parts = df.select(key, F.transform(T.sentences(F.col(text)), T.features).alias("f"))
-    rows = parts.select(key, "f", F.posexplode("f").alias("i", "a"))
-    later = F.transform(F.filter(F.transform("f", lambda b, j: F.struct(j.alias("j"), b.alias("b"))), lambda x: x["j"] > F.col("i")), lambda x: F.struct(x["j"].alias("j"), T.pair_similarity(F.col("a"), x["b"]).alias("sim")))
-    return rows.select(key, "i", F.explode(later).alias("p")).select(key, "i", "p.j", "p.sim")
+    own = df.select(key, F.pandas_udf(_later, "array<array<double>>")(T.sentences(F.col(text))).alias("later"))
+    rows = own.select(key, F.posexplode("later").alias("i", "sims"))
+    return rows.select(key, "i", F.posexplode("sims").alias("at", "sim")).select(key, "i", (F.col("i") + F.col("at") + 1).alias("j"), "sim")
 
 
 def _clusters(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:

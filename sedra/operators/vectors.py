@@ -2,13 +2,16 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+import functools
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type
+from pyspark.sql.types import StructField
 
 BROADCAST_QUERIES = 4096  # queries that are sent to every executor; more are dealt in blocks
 BLOCK_ROWS = 65536  # collection rows of a block
@@ -49,16 +52,51 @@ METRICS: dict[str, Callable[[Column, Column], Column]] = {"l2": l2sq, "cosine":
 
 
 def nearest(queries: DataFrame, collection: DataFrame, k: int = 10, metric: str = "l2", query: str = "query_id", doc: str = "doc_id", vector: str = "embedding") -> DataFrame:
-    """(query, doc, distance, retrieval_rank from 1): for each query its k nearest, ties to the smaller doc.
+    """(query, doc, distance, retrieval_rank from 1): for each query its k nearest, ties to the smaller doc. Null vectors take no part.
 
-    Queries are counted. Up to BROADCAST_QUERIES are sent to every executor and the collection is read once, each
-    partition passing on k rows a query at most. More are dealt in blocks against blocks of the collection.
+    Up to BROADCAST_QUERIES queries are sent along to every task and the collection is read once, each batch passing on k
+    rows a query at most. More queries are dealt in blocks against blocks of the collection.
     """
-    if queries.count() > BROADCAST_QUERIES:
+    asked = queries.where(F.col(vector).isNotNull()).select(query, _doubles(F.col(vector)).alias("v")).limit(BROADCAST_QUERIES + 1).collect()
+    if len(asked) > BROADCAST_QUERIES:
         return _ranked(_in_blocks(queries, collection, k, metric, query, doc, vector), k, query, doc)
-    few = F.broadcast(queries.select(query, F.col(vector).alias("_q")))
-    pairs = collection.select(doc, F.col(vector).alias("_c")).join(few, how="cross")
-    return _ranked(pairs.select(query, doc, METRICS[metric](F.col("_q"), F.col("_c")).alias("distance")), k, query, doc)
+    return _ranked(_against_few(asked, queries.schema[query], collection, k, metric, query, doc, vector), k, query, doc)
+
+
+def _apart(q: np.ndarray, c: np.ndarray, metric: str) -> np.ndarray:
+    """Distances of all rows of q and c, summed dimension by dimension as METRICS does, so that equal rows stay equal."""
+    inner = lambda x, y: functools.reduce(lambda s, i: s + x[:, i, None] * y[None, :, i], range(x.shape[1]), np.zeros((len(x), len(y))))
+    if metric == "l2":
+        out = np.zeros((len(q), len(c)))
+        for i in range(q.shape[1]):
+            gap = q[:, i, None] - c[None, :, i]
+            out += gap * gap
+        return out
+    length = lambda x: np.sqrt(functools.reduce(lambda s, i: s + x[:, i] * x[:, i], range(x.shape[1]), np.zeros(len(x))))
+    size = length(q)[:, None] * length(c)
+    return np.maximum(0.0, 1 - np.divide(inner(q, c), size, out=np.zeros_like(size), where=size > 0))
+
+
+def _against_few(asked: list, key: StructField, collection: DataFrame, k: int, metric: str, query: str, doc: str, vector: str) -> DataFrame:
+    """At most BROADCAST_QUERIES queries, sent along, against each batch of the collection: k rows a query and batch go on."""
+    ids = pa.array([r[0] for r in asked], to_arrow_type(key.dataType))
+    q = np.array([r[1] for r in asked], np.float64).reshape(len(asked), -1)
+    right = collection.where(F.col(vector).isNotNull()).select(F.col(doc).alias("d"), _doubles(F.col(vector)).alias("v"))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            if not b.num_rows or not len(q):
+                continue
+            b = b.take(pc.sort_indices(b["d"]))  # so that a stable sort by distance breaks ties
+            c = np.asarray(b["v"].flatten()).reshape(b.num_rows, -1)
+            for i in range(0, len(q), 64):
+                apart = _apart(q[i : i + 64], c, metric)
+                first = np.argsort(apart, axis=1, kind="stable")[:, :k]
+                row = np.repeat(np.arange(i, i + len(apart)), first.shape[1])
+                yield pa.RecordBatch.from_arrays([ids.take(pa.array(row)), b["d"].take(pa.array(first.ravel())), pa.array(np.take_along_axis(apart, first, axis=1).ravel())], names=["q", "d", "distance"])
+
+    out = right.mapInArrow(run, f"q {key.dataType.simpleString()}, d {right.schema['d'].dataType.simpleString()}, distance double")
+    return out.select(F.col("q").alias(query), F.col("d").alias(doc), "distance")
 
 
 def _ranked(pairs: DataFrame, k: int, query: str, doc: str) -> DataFrame:
@@ -67,6 +105,7 @@ def _ranked(pairs: DataFrame, k: int, query: str, doc: str) -> DataFrame:
 
 
 def _in_blocks(queries: DataFrame, collection: DataFrame, k: int, metric: str, query: str, doc: str, vector: str) -> DataFrame:
+    queries, collection = queries.where(F.col(vector).isNotNull()), collection.where(F.col(vector).isNotNull())
     groups, stripes = max(1, -(-queries.count() // BROADCAST_QUERIES)), max(1, -(-collection.count() // BLOCK_ROWS))
     number = lambda df, key, parts: F.pmod(F.xxhash64(key), F.lit(parts)).cast("int")
     left = queries.select(F.col(query).alias("q"), _doubles(F.col(vector)).alias("v")).withColumn("g", number(queries, "q", groups)).withColumn("s", F.explode(F.sequence(F.lit(0), F.lit(stripes - 1))))
@@ -78,16 +117,10 @@ def _in_blocks(queries: DataFrame, collection: DataFrame, k: int, metric: str, q
         if a.num_rows and b.num_rows:
             b = b.take(pc.sort_indices(b["d"].combine_chunks()))  # so that a stable sort by distance breaks ties
             x, y = (np.asarray(t["v"].combine_chunks().flatten()).reshape(t.num_rows, -1) for t in (a, b))
-            for i in range(0, len(x), 256):
-                part = x[i : i + 256]
-                inner = part @ y.T
-                if metric == "l2":
-                    apart = (part**2).sum(axis=1)[:, None] + (y**2).sum(axis=1) - 2 * inner
-                else:
-                    size = np.sqrt((part**2).sum(axis=1))[:, None] * np.sqrt((y**2).sum(axis=1))
-                    apart = np.maximum(0.0, 1 - np.divide(inner, size, out=np.zeros_like(inner), where=size > 0))
+            for i in range(0, len(x), 64):
+                apart = _apart(x[i : i + 64], y, metric)
                 first = np.argsort(apart, axis=1, kind="stable")[:, :k]
-                rows.append(np.repeat(np.arange(i, i + len(part)), first.shape[1]))
+                rows.append(np.repeat(np.arange(i, i + len(apart)), first.shape[1]))
                 near.append(first.ravel())
                 far.append(np.take_along_axis(apart, first, axis=1).ravel())
         at = [np.concatenate([np.empty(0, t), *p]) for t, p in ((np.int64, rows), (np.int64, near), (np.float64, far))]

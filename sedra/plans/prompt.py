@@ -48,6 +48,11 @@ def replies(asked: DataFrame, load: Callable[[], Callable[[list[str]], list[str]
     return asked.select("query_id", "prompt").mapInPandas(run, f"query_id {kind}, reply string, error string")
 
 
+def answer(retriever: Retriever, queries: DataFrame, top_k: int = 5, load: Callable[[], Callable[[list[str]], list[str]]] = lambda: extractive) -> DataFrame:
+    """(query_id, reply, error) for each message: search, prompt, model."""
+    return replies(prompts(queries, augment(retriever, queries, top_k)), load)
+
+
 def split_prompt(section: str, chunk_size: int) -> str:
     """What a model is asked for split points of a section."""
     return (

@@ -144,5 +144,6 @@ def test_search_and_prompt(spark):
         return model
 
     assert {r.error for r in prompt.replies(spark.createDataFrame([(1, "x")], "query_id long, prompt string"), broken).collect()} == {"no model"}
+    assert {r.query_id: r.reply for r in prompt.answer(own, asked, 2).collect()} == {1: "red apple pie", 2: "a car 100%"}
     assert own.info().first().n == 3
     assert "SPLIT_POINTS" in prompt.split_prompt("text", 200)
