@@ -103,6 +103,25 @@ def goes_on(previous: str, now: str) -> str:
     return f"({starts} or len({a}) = 0 or len({b}) = 0 or {jaccard(a, b)} > 0.2)"
 
 
+def marked(x: str) -> str:
+    """With chr(2) before and chr(3) after each run of word characters: RE2 has no Unicode word edges, so they are written out."""
+    return f"regexp_replace({x}, '([{WORD}]+)', chr(2) || '\\1' || chr(3), 'g')"
+
+
+def found(x: str, pattern: str) -> str:
+    """Distinct matches in marked text of a pattern in which < and > stand for the marks."""
+    whole = pattern.replace("<", "\x02").replace(">", "\x03")
+    return f"list_distinct(list_transform(regexp_extract_all({x}, {q(whole)}), lambda m: translate(m, chr(2) || chr(3), '')))"
+
+
+_D = r"\p{Nd}"
+FEATURED = f"""s as (select doc_id, {sentence_list('text')} as s from documents), r as ({posexplode('doc_id', 's', 's', 'i', 'sentence')}),
+    k as (select *, {marked('sentence')} as here, {marked('lower(sentence)')} as low from r),
+    featured as (select doc_id, i, {content('sentence', P.FEATURE_STOP_WORDS)} as words, {found('low', f'<[{P.PHRASE_LETTERS}]+>[{WS}]+<[{P.PHRASE_LETTERS}]+>')} as noun_phrases,
+      list_distinct(list_concat(list_concat({found('here', f'<{_D}+>(?:[.,]<{_D}+>)*')}, {found('here', f'<{_D}{{1,2}}>[/-]<{_D}{{1,2}}>[/-]<{_D}{{2,4}}>')}), {found('here', '<[A-Z][a-z]+>')})) as entities,
+      len(sentence)::int as length, len({tokens('sentence')})::int as word_count from k)"""
+
+
 def buckets(x: str) -> str:
     return f"list_transform(regexp_extract_all(lower({x}), '[{WORD}]+'), lambda w: ('0x' || substr(md5(w), 1, 8))::bigint % 64)"
 
@@ -206,6 +225,10 @@ ORACLES: dict[str, str] = {
       select g.doc_id, g.i, g.n, case when joins then chunk_pos else chunk_pos + 1 end, case when joins then chunk || ' ' || now else now end
       from walk join g on g.doc_id = walk.doc_id and g.i = walk.i + 1, lateral (select g.n <= 2 or (g.goes_on and len(chunk) + len(now) + 1 <= 200) as joins))
     select doc_id, chunk_pos, arg_max(chunk, i) as chunk from walk group by doc_id, chunk_pos""",
+    "sentence_features": f"with {FEATURED} select doc_id, i, {', '.join(f"array_to_string(list_sort({c}), '|') as {c}" for c in ('words', 'noun_phrases', 'entities'))}, length, word_count from featured",
+    "sentence_pair_similarity": f"""with {FEATURED} select a.doc_id, a.i, b.i as j, round(0.5 * coalesce({jaccard('a.words', 'b.words')}, 0) + 0.25 * coalesce({jaccard('a.noun_phrases', 'b.noun_phrases')}, 0)
+      + 0.15 * coalesce({jaccard('a.entities', 'b.entities')}, 0) + 0.1 * (1 - abs(a.length - b.length) / greatest(a.length, b.length)::double), 9) as sim
+      from featured a join featured b on a.doc_id = b.doc_id and a.i < b.i""",
     "cluster_pair_linkage": """with v as (select label, embedding::double[] as e from embeddings),
     u as (select label, list_transform(e, lambda x: coalesce(x / nullif(sqrt(list_sum(list_transform(e, lambda y: y * y))), 0), 0)) as e from v),
     m as (select label, i, avg(e[i]) as x from u, range(1, 65) t(i) group by all)
