@@ -1,8 +1,9 @@
 """Exact top-k inner products over vectors sorted by length.
 
 Candidates are dealt by descending length into blocks, and blocks in turn to stripes, so that each stripe descends through
-all lengths. A group is a set of queries against a stripe. It stops at the first block whose longest vector, by
-Cauchy-Schwarz, can't reach the k-th score of any query. Within a block, vectors and queries are rotated onto the right
+all lengths. Each query's k-th score among the longest vectors is a first bound; queries with like bounds form groups, and
+a block goes to a group only if its longest vector can, by Cauchy-Schwarz, reach the least bound of the group. A group
+against a stripe stops at the first block that can't reach any of its queries' k-th scores so far. Within a block, vectors and queries are rotated onto the right
 singular vectors of a sample: the sum over the first HEAD coordinates plus the product of the lengths of the rest bounds
 the score, and only pairs whose bound reaches the k-th score are multiplied out. The rotation's choice affects speed only.
 
@@ -27,6 +28,7 @@ BLOCK = 1024  # vectors of a block
 STRIPE = 16  # blocks of a stripe
 GROUP = 4096  # queries of a group at most
 SPAN = 8  # groups at least, while they have 64 queries
+SEEDS = 4  # blocks of the longest vectors that give the first bounds
 SAMPLE = 4096  # vectors that the rotation is computed from
 EXACT = 2.0**52
 
@@ -77,13 +79,27 @@ def _pack(dim: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBa
     return run
 
 
+def _bounded(dim: int, seeds: list, rotation: np.ndarray, k: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """Queries (id, v) with the k-th score that the seed blocks give them (-inf for fewer) and the length that a vector needs to reach it."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            q = _matrix(b["v"], dim)
+            bound = search_group(np.asarray(b["id"]), q, seeds, rotation, k).least
+            length = np.sqrt((q**2).sum(axis=1))
+            need = np.divide(bound, length, out=np.zeros(len(q)), where=(length > 0) & (bound > 0)) * (1 - 1e-9)
+            yield pa.RecordBatch.from_arrays([b["id"], b["v"], pa.array(bound), pa.array(need)], names=["id", "v", "bound", "need"])
+
+    return run
+
+
 class Best:
     """The k best candidates of each query so far: ties go to the smaller id."""
 
-    def __init__(self, n: int, k: int) -> None:
+    def __init__(self, n: int, k: int, bound: np.ndarray | None = None) -> None:
         self.k = k
         self.query, self.score, self.id = np.empty(0, np.int64), np.empty(0), np.empty(0, np.int64)
-        self.least = np.full(n, -np.inf)
+        self.least = np.full(n, -np.inf) if bound is None else bound.copy()
 
     def add(self, query: np.ndarray, score: np.ndarray, ids: np.ndarray) -> None:
         if not len(query):
@@ -96,12 +112,12 @@ class Best:
         kept = place < self.k
         self.query, self.score, self.id = q[kept], s[kept], i[kept]
         full = place == self.k - 1
-        self.least[q[full]] = s[full]
+        self.least[q[full]] = np.maximum(self.least[q[full]], s[full])
 
 
-def search_group(q_ids: np.ndarray, q: np.ndarray, blocks: list[tuple[float, np.ndarray, np.ndarray]], rotation: np.ndarray, k: int) -> Best:
-    """The k best of the blocks' vectors for each query but those of its own id."""
-    best = Best(len(q), k)
+def search_group(q_ids: np.ndarray, q: np.ndarray, blocks: list[tuple[float, np.ndarray, np.ndarray]], rotation: np.ndarray, k: int, bound: np.ndarray | None = None) -> Best:
+    """The k best of the blocks' vectors for each query but those of its own id, without scores below a query's bound."""
+    best = Best(len(q), k, bound)
     turned = q @ rotation
     head, tail = turned[:, :HEAD], np.sqrt((turned[:, HEAD:] ** 2).sum(axis=1))
     length = np.sqrt((q**2).sum(axis=1))
@@ -152,20 +168,26 @@ def top_k(df: DataFrame, is_query: Callable[[Column], Column], k: int = 20, key:
 
     dealt = vectors.repartitionByRange(F.desc("norm"), "id").sortWithinPartitions(F.desc("norm"), "id", "v")
     blocks = cut(dealt.select("id", "v", "norm").mapInArrow(_pack(dim), "longest double, block long, ids binary, rows binary, narrow boolean"))
-    # One row a block: its number in the order of length deals it to a stripe.
+    unpack = lambda r: (r["longest"], np.frombuffer(r["ids"], "<i8"), np.frombuffer(r["rows"], np.int16 if r["narrow"] else np.float64).reshape(-1, dim).astype(np.float64))
+    seeds = [unpack(r) for r in blocks.orderBy(F.desc("longest"), "block").limit(SEEDS).collect()]
+    queries = cut(vectors.where(is_query(F.col("id"))).select("id", "v").distinct().mapInArrow(_bounded(dim, seeds, rotation, k), "id long, v array<double>, bound double, need double"))
+    # Groups of queries of like needs; a crowd of equal needs is dealt to several by hash.
+    edges = sorted(set(queries.approxQuantile("need", [i / SPAN for i in range(1, SPAN)], 0.01)))
+    level = sum((F.when(F.col("need") >= e, 1).otherwise(0) for e in edges), F.lit(0))
+    within = max(1, -(-groups // (len(edges) + 1)))
+    queries = queries.withColumn("group", level * within + F.pmod(F.xxhash64("id"), F.lit(within)).cast("int")).withColumn("stripe", F.explode(F.sequence(F.lit(0), F.lit(stripes - 1))))
+    needs = spark.createDataFrame(queries.groupBy("group").agg(F.min("need").alias("need")).collect(), "group int, need double")  # one row a group
+    # One row a block: its number in the order of length deals it to a stripe, and the groups' needs pick where it goes.
     order = blocks.select("longest", "block").withColumn("stripe", F.pmod(F.row_number().over(Window.orderBy(F.desc("longest"), "block")), F.lit(stripes)))
-    blocks = blocks.join(order.select("block", "stripe"), "block").withColumn("group", F.explode(F.sequence(F.lit(0), F.lit(groups - 1))))
-    queries = vectors.where(is_query(F.col("id"))).select("id", "v").distinct().withColumn("group", F.pmod(F.xxhash64("id"), F.lit(groups)).cast("int")).withColumn("stripe", F.explode(F.sequence(F.lit(0), F.lit(stripes - 1))))
+    sent = order.join(needs, F.col("longest") >= F.col("need")).select("block", "stripe", "group")
+    blocks = blocks.join(sent, "block")
 
     def run(left: pa.Table, right: pa.Table) -> pa.Table:
         out = [np.empty(0, np.int64)] * 3
         if left.num_rows and right.num_rows:
             ids = np.asarray(left["id"].combine_chunks())
-            parts = [
-                (longest, np.frombuffer(i, "<i8"), np.frombuffer(r, np.int16 if narrow else np.float64).reshape(-1, dim).astype(np.float64))
-                for longest, i, r, narrow in zip(*(right[c].to_pylist() for c in ("longest", "ids", "rows", "narrow")), strict=True)
-            ]
-            best = search_group(ids, _matrix(left["v"], dim), parts, rotation, k)
+            parts = [unpack(r) for r in right.select(["longest", "ids", "rows", "narrow"]).to_pylist()]
+            best = search_group(ids, _matrix(left["v"], dim), parts, rotation, k, np.asarray(left["bound"].combine_chunks()))
             out = [ids[best.query], best.id, best.score.astype(np.int64)]
         return pa.table([pa.array(c, pa.int64()) for c in out], names=["query_id", "vec_id", "score"])
 
