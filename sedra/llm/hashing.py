@@ -10,7 +10,7 @@ import numpy as np
 _P1, _P2, _P3, _P4, _P5 = (np.uint64(x) for x in (0x9E3779B185EBCA87, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0x85EBCA77C2B2AE63, 0x27D4EB2F165667C5))
 _PAD = 40  # readable bytes after the last word
 
-CHUNK_BYTES = 2_000_000  # of text that are worked on at once
+CHUNK_BYTES = 1_000_000  # of text that are worked on at once
 
 
 def chunks(texts: list[str | None], size: int = CHUNK_BYTES) -> Iterator[tuple[int, int]]:

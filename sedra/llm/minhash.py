@@ -14,7 +14,6 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.ml.feature import Bucketizer
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -144,6 +143,8 @@ def compared_with_edited(df: DataFrame) -> DataFrame:
     Documents are dealt once, by ranges of doc_id; the first row of a range also goes to the range before it. The
     bounds are quantiles of the slim doc_id column, a few for each shuffle partition, and all that the driver holds.
     """
+    from pyspark.ml.feature import Bucketizer  # here, as executors import this module too
+
     spark = df.sparkSession
     docs = df.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(-(1 << 63))).alias("ord"), F.col("doc_id").cast("long").alias("key"), F.coalesce("text", F.lit("")).alias("x"))
     ranges = 4 * int(spark.conf.get("spark.sql.shuffle.partitions"))
