@@ -221,7 +221,11 @@ class Reranking:
         return ranked(fused(out, keys, weights), best_score("combined"), top_k)
 
 
-def candidates_of(found: DataFrame, queries: DataFrame, documents: DataFrame) -> DataFrame:
-    """Candidate rows from nearest(): found (query_id, doc_id, distance, retrieval_rank), queries (query_id, query), documents (doc_id, document)."""
-    joined = found.join(queries.select("query_id", "query"), "query_id").join(documents.select("doc_id", "document"), "doc_id")
+def candidates_of(found: DataFrame, queries: DataFrame, documents: DataFrame, few: bool = False) -> DataFrame:
+    """Candidate rows from nearest(): found (query_id, doc_id, distance, retrieval_rank), queries (query_id, query), documents (doc_id, document).
+
+    `few` says that the rows of found are known to be few: they are sent to the documents then, which stay where they are.
+    """
+    asked = found.join(queries.select("query_id", "query"), "query_id")
+    joined = documents.select("doc_id", "document").join(F.broadcast(asked) if few else asked, "doc_id")
     return joined.select("query_id", "query", "doc_id", "document", score_of(F.col("distance")).alias("retrieval_score"), "retrieval_rank", F.create_map().cast("map<string,double>").alias("rerank_scores"))

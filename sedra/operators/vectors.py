@@ -57,7 +57,7 @@ def nearest(queries: DataFrame, collection: DataFrame, k: int = 10, metric: str
     Up to BROADCAST_QUERIES queries are sent along to every task and the collection is read once, each batch passing on k
     rows a query at most. More queries are dealt in blocks against blocks of the collection.
     """
-    asked = queries.where(F.col(vector).isNotNull()).select(query, _doubles(F.col(vector)).alias("v")).limit(BROADCAST_QUERIES + 1).collect()
+    asked = queries.select(query, _doubles(F.col(vector)).alias("v")).limit(BROADCAST_QUERIES + 1).collect()
     if len(asked) > BROADCAST_QUERIES:
         return _ranked(_in_blocks(queries, collection, k, metric, query, doc, vector), k, query, doc)
     return _ranked(_against_few(asked, queries.schema[query], collection, k, metric, query, doc, vector), k, query, doc)
@@ -79,12 +79,14 @@ def _apart(q: np.ndarray, c: np.ndarray, metric: str) -> np.ndarray:
 
 def _against_few(asked: list, key: StructField, collection: DataFrame, k: int, metric: str, query: str, doc: str, vector: str) -> DataFrame:
     """At most BROADCAST_QUERIES queries, sent along, against each batch of the collection: k rows a query and batch go on."""
+    asked = [r for r in asked if r[1] is not None]
     ids = pa.array([r[0] for r in asked], to_arrow_type(key.dataType))
-    q = np.array([r[1] for r in asked], np.float64).reshape(len(asked), -1)
-    right = collection.where(F.col(vector).isNotNull()).select(F.col(doc).alias("d"), _doubles(F.col(vector)).alias("v"))
+    q = np.array([r[1] for r in asked], np.float64).reshape(len(asked), -1 if asked else 0)
+    right = collection.select(F.col(doc).alias("d"), _doubles(F.col(vector)).alias("v"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
+            b = b.filter(pc.is_valid(b["v"]))  # here, as a filter in the plan would work out the vectors twice
             if not b.num_rows or not len(q):
                 continue
             b = b.take(pc.sort_indices(b["d"]))  # so that a stable sort by distance breaks ties
@@ -105,7 +107,6 @@ def _ranked(pairs: DataFrame, k: int, query: str, doc: str) -> DataFrame:
 
 
 def _in_blocks(queries: DataFrame, collection: DataFrame, k: int, metric: str, query: str, doc: str, vector: str) -> DataFrame:
-    queries, collection = queries.where(F.col(vector).isNotNull()), collection.where(F.col(vector).isNotNull())
     groups, stripes = max(1, -(-queries.count() // BROADCAST_QUERIES)), max(1, -(-collection.count() // BLOCK_ROWS))
     number = lambda df, key, parts: F.pmod(F.xxhash64(key), F.lit(parts)).cast("int")
     left = queries.select(F.col(query).alias("q"), _doubles(F.col(vector)).alias("v")).withColumn("g", number(queries, "q", groups)).withColumn("s", F.explode(F.sequence(F.lit(0), F.lit(stripes - 1))))
@@ -114,6 +115,7 @@ def _in_blocks(queries: DataFrame, collection: DataFrame, k: int, metric: str, q
 
     def run(a: pa.Table, b: pa.Table) -> pa.Table:
         rows, near, far = [], [], []
+        a, b = (t.filter(pc.is_valid(t["v"])) for t in (a, b))
         if a.num_rows and b.num_rows:
             b = b.take(pc.sort_indices(b["d"].combine_chunks()))  # so that a stable sort by distance breaks ties
             x, y = (np.asarray(t["v"].combine_chunks().flatten()).reshape(t.num_rows, -1) for t in (a, b))

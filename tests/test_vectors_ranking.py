@@ -43,6 +43,8 @@ def test_nearest_of_nothing_and_ties(spark):
     asked = spark.createDataFrame([(9, [1.0, 0.0])], "query_id long, embedding array<float>")
     assert [r.doc_id for r in V.nearest(asked, df, 2).orderBy("retrieval_rank").collect()] == [1, 3]
     assert V.nearest(asked, df.where("false"), 2).count() == 0
+    nulls = df.unionByName(spark.createDataFrame([(0, None)], df.schema))
+    assert V.nearest(asked, nulls, 9).count() == 3 and V.nearest(asked.withColumn("embedding", F.lit(None).cast("array<float>")), df, 2).count() == 0
 
 
 def test_lsh_recall(spark, data):
