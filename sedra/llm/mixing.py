@@ -68,13 +68,13 @@ def _share(nodes: DataFrame, parent: list[str]) -> DataFrame:
 
 def budgets(leaves: DataFrame, plan: Plan) -> DataFrame:
     """(domain, lang, source, tokens, quota) for leaves (domain, lang, source, tokens); shares are rounded down to whole tokens."""
-    top = leaves.agg(F.floor(F.coalesce(F.sum("tokens"), F.lit(0)) * F.lit(float(plan.budget))).alias("amount"))
+    amount = leaves.agg(F.floor(F.coalesce(F.sum("tokens"), F.lit(0)) * F.lit(float(plan.budget))).cast("long")).first()[0]
     above, keys = None, []
     out = None
     for k, level in enumerate(LEVELS):
         keys = list(LEVELS[: k + 1])
         nodes = leaves.groupBy(*keys).agg((F.sum("tokens") * plan.max_epochs).alias("capacity")).withColumn("weight", _weight(plan, level))
-        nodes = nodes.crossJoin(F.broadcast(top)) if above is None else nodes.join(above, keys[:-1])  # top is one row
+        nodes = nodes.withColumn("amount", F.lit(amount)) if above is None else nodes.join(above, keys[:-1])
         out = _share(nodes, keys[:-1])
         above = out.select(*keys, F.col("got").alias("amount"))
     return leaves.join(out.select(*LEVELS, F.col("got").alias("quota")), list(LEVELS))

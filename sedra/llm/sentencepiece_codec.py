@@ -29,7 +29,7 @@ from sedra.llm.shared import in_batches
 LONG = 64
 CACHE = 1_000_000  # parts whose ids a worker keeps
 _CHUNK = 1_000_000  # characters
-_CELLS = 400_000  # characters of equal-length words that advance together
+_CELLS = 100_000  # characters of equal-length words that advance together
 
 
 def load(path: str) -> Tables:
@@ -45,8 +45,8 @@ class Encoder:
         self.keys = np.empty(0, np.uint64)
         self.at, self.lens = np.empty(0, np.int64), np.empty(0, np.int64)
         self.pool = np.empty(0, np.int32)
-        self.asked = np.full(1 << 21, -1, np.int64)
-        self.answers = np.zeros(1 << 21, bool)
+        self.asked = np.full(1 << 20, -1, np.int64)
+        self.answers = np.zeros(1 << 20, bool)
 
     # -- parts of equal length ------------------------------------------------------------------------------------
 

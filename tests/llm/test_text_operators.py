@@ -23,7 +23,7 @@ def test_query_equals_sql(spark, duck, data, name):
 def test_topk_odd_vectors(spark):
     nan, inf = float("nan"), float("inf")
     rows = [(0, [1.0, 2.0]), (20, [1.0, 2.0]), (1, [1.0, nan]), (2, [inf, 1.0]), (3, None), (4, [None, 1.0]), (5, [1.0]), (None, [9.0, 9.0]), (6, [-0.01, 0.0]), (6, [-0.01, 0.0]), (40, [])]
-    df = spark.createDataFrame(rows, "vec_id long, embedding array<float>").withColumnRenamed("x", "x")
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<float>")
     got = defaultdict(list)
     for r in topk_search.top_k(df, lambda i: i % 20 == 0, 3).orderBy("query_id", "rank").collect():
         got[r.query_id].append((r.rank, r.vec_id, r.score))
