@@ -15,9 +15,9 @@ def titles(chats: DataFrame, length: int = 40) -> DataFrame:
 
 def start(chats: DataFrame, greetings: DataFrame) -> DataFrame:
     """chats and new ones: greetings (role, text) each open a chat, numbered on from the last."""
-    last = chats.agg(F.coalesce(F.max("conv_id"), F.lit(-1)).alias("last"))
-    own = greetings.withColumn("n", F.row_number().over(Window.orderBy("role", "text"))).join(F.broadcast(last), how="cross")  # last is one row
-    return chats.select(*COLUMNS).unionByName(own.select((F.col("last") + F.col("n")).alias("conv_id"), F.lit(0).cast("long").alias("turn"), "role", "text"))
+    last = chats.agg(F.coalesce(F.max("conv_id"), F.lit(-1))).first()[0]
+    own = greetings.withColumn("n", F.row_number().over(Window.orderBy("role", "text")))
+    return chats.select(*COLUMNS).unionByName(own.select((F.lit(last) + F.col("n")).alias("conv_id"), F.lit(0).cast("long").alias("turn"), "role", "text"))
 
 
 def send(chats: DataFrame, messages: DataFrame) -> DataFrame:
