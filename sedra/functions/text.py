@@ -25,6 +25,11 @@ def nfc(text: Column) -> Column:
     return F.coalesce(F.pandas_udf(_nfc, "string")(F.when(text.rlike(r"[^\x{0}-\x{2ff}]"), text)), text)
 
 
+def let(value: Column, f: Callable[[Column], Column]) -> Column:
+    """f(value), with the value worked out once: a lambda that names an expression works it out for every element."""
+    return F.get(F.transform(F.array(value), f), F.lit(0))
+
+
 def strip(text: Column) -> Column:
     """Without white space (all of Unicode's, not just spaces) at both ends."""
     return F.regexp_replace(text, rf"^[{P.WS}]+|[{P.WS}]+\z", "")
@@ -175,8 +180,9 @@ def jaccard(a: Column, b: Column) -> Column:
 
 def should_group(previous: Column, current: Column) -> Column:
     """Whether a sentence goes on with the one before: it starts with a connector, either has no content words, or over a fifth of them are shared."""
-    a, b = content_words(previous, P.GROUPING_STOP_WORDS), content_words(current, P.GROUPING_STOP_WORDS)
-    return starts_with_connector(current) | (F.size(a) == 0) | (F.size(b) == 0) | F.coalesce(jaccard(a, b) > 0.2, F.lit(True))
+    pair = F.struct(content_words(previous, P.GROUPING_STOP_WORDS).alias("a"), content_words(current, P.GROUPING_STOP_WORDS).alias("b"))
+    shared = let(pair, lambda p: (F.size(p["a"]) == 0) | (F.size(p["b"]) == 0) | F.coalesce(jaccard(p["a"], p["b"]) > 0.2, F.lit(True)))
+    return starts_with_connector(current) | shared
 
 
 def numbers(text: Column) -> Column:

@@ -13,6 +13,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from sedra.functions import text as T
+from sedra.functions.text import let
 from sedra.operators.splitters import METHODS, Size, split
 
 
@@ -27,11 +28,16 @@ def small_text(text: Column, size: Size) -> Column:
 
 def token_chunks(text: Column, size: Size) -> Column:
     """Windows of words, and what is left after the full ones: with an overlap always something, be it the overlap alone."""
-    words, step = T.tokens(text), size.chunk - size.overlap
-    n = F.size(words)
-    full = F.when(n >= size.chunk, F.floor((n - size.chunk) / step) + 1).otherwise(0).cast("int")
-    starts = F.transform(F.when(full * step < n, F.sequence(F.lit(0), full)).when(full > 0, F.sequence(F.lit(0), full - 1)).otherwise(F.array().cast("array<int>")), lambda k: k * step)
-    return F.transform(starts, lambda s: F.array_join(F.slice(words, s + 1, size.chunk), " "))
+    step = size.chunk - size.overlap
+
+    def windows(words: Column) -> Column:
+        n = F.size(words)
+        full = F.when(n >= size.chunk, F.floor((n - size.chunk) / step) + 1).otherwise(0).cast("int")
+        count = let(full, lambda m: m + F.when(m * step < n, 1).otherwise(0))
+        numbers = let(count, lambda m: F.when(m > 0, F.sequence(F.lit(0), m - 1)).otherwise(F.array().cast("array<int>")))
+        return F.transform(numbers, lambda k: F.array_join(F.slice(words, k * step + 1, size.chunk), " "))
+
+    return let(T.tokens(text), windows)
 
 
 def fixed_chunks(text: Column, size: Size) -> Column:
@@ -43,17 +49,19 @@ def fixed_chunks(text: Column, size: Size) -> Column:
 
 def last_words(text: Column, n: int) -> Column:
     """The last n words; the text as it is if it has no more."""
-    words = T.tokens(text)
-    return F.when(F.size(words) <= n, text).otherwise(F.array_join(F.slice(words, -n, n), " "))
+    return F.when(text.isNotNull(), let(T.tokens(text), lambda words: F.when(F.size(words) <= n, text).otherwise(F.array_join(F.slice(words, -n, n), " "))))
 
 
 def overlapped(previous: Column, chunk: Column, size: Size) -> Column:
     """A chunk after the last words of the one before (null for the first), unless it starts with them or would pass 1.2 times chunk_size."""
     if size.overlap == 0:
         return chunk
-    lead = last_words(previous, size.overlap)
-    joined = F.concat(lead, F.lit(" "), chunk)
-    return F.when(lead.isNotNull() & (lead != "") & ~F.startswith(chunk, T.strip(lead)) & (F.length(joined) <= size.chunk * 1.2), joined).otherwise(chunk)
+
+    def joined(lead: Column) -> Column:
+        both = F.concat(lead, F.lit(" "), chunk)
+        return F.when(lead.isNotNull() & (lead != "") & ~F.startswith(chunk, T.strip(lead)) & (F.length(both) <= size.chunk * 1.2), both).otherwise(chunk)
+
+    return let(last_words(previous, size.overlap), joined)
 
 
 def with_overlap(chunks: DataFrame, size: Size, key: str = "doc_id", pos: str = "chunk_pos", chunk: str = "chunk") -> DataFrame:
@@ -64,16 +72,20 @@ def with_overlap(chunks: DataFrame, size: Size, key: str = "doc_id", pos: str =
 
 def grouped_sentences(parts: Column, size: Size) -> Column:
     """Sentences that go on with each other, joined while they fit: a fold over pairs that are judged beforehand."""
-    pairs = F.transform(F.sequence(F.lit(2), F.size(parts)), lambda i: F.struct(F.element_at(parts, i).alias("s"), T.should_group(F.element_at(parts, i - 1), F.element_at(parts, i)).alias("on")))
-    first = F.element_at(parts, 1)
 
-    def fold(state: Column, pair: Column) -> Column:
-        joins = pair["on"] & (F.length(state["open"]) + F.length(pair["s"]) + 1 <= size.chunk)
-        return F.struct(F.when(joins, state["done"]).otherwise(F.concat(state["done"], F.array(state["open"]))).alias("done"), F.when(joins, F.concat(state["open"], F.lit(" "), pair["s"])).otherwise(pair["s"]).alias("open"))
+    def folded(parts: Column) -> Column:
+        pairs = F.transform(F.sequence(F.lit(2), F.size(parts)), lambda i: F.struct(F.element_at(parts, i).alias("s"), T.should_group(F.element_at(parts, i - 1), F.element_at(parts, i)).alias("on")))
+
+        def fold(state: Column, pair: Column) -> Column:
+            joins = pair["on"] & (F.length(state["open"]) + F.length(pair["s"]) + 1 <= size.chunk)
+            grown = F.struct(state["done"].alias("done"), F.concat(state["open"], F.lit(" "), pair["s"]).alias("open"))
+            return F.when(joins, grown).otherwise(F.struct(F.concat(state["done"], F.array(state["open"])).alias("done"), pair["s"].alias("open")))
+
+        start = F.struct(F.array().cast("array<string>").alias("done"), F.element_at(parts, 1).alias("open"))
+        groups = F.aggregate(pairs, start, fold, lambda state: F.concat(state["done"], F.array(state["open"])))
+        return F.when(F.size(parts) <= 2, F.array(F.array_join(parts, " "))).otherwise(groups)
 
-    start = F.struct(F.array().cast("array<string>").alias("done"), first.alias("open"))
-    folded = F.aggregate(pairs, start, fold, lambda state: F.concat(state["done"], F.array(state["open"])))
-    return F.when(F.size(parts) <= 2, F.array(F.array_join(parts, " "))).otherwise(folded)
+    return let(parts, folded)
 
 
 def _splitter(method: str, size: Size, ask: Callable[[str], list[int]] | None) -> Callable:
