@@ -32,7 +32,7 @@ def let(value: Column, f: Callable[[Column], Column]) -> Column:
 
 def strip(text: Column) -> Column:
     """Without white space (all of Unicode's, not just spaces) at both ends."""
-    return F.regexp_replace(text, rf"^[{P.WS}]+|[{P.WS}]+\z", "")
+    return F.btrim(text, F.lit(P.WS_CHARS))
 
 
 def strip_zero_width(text: Column) -> Column:
@@ -66,7 +66,7 @@ def two_newlines(text: Column) -> Column:
 
 def rtrim_lines(text: Column) -> Column:
     """Each line without white space at its end; a line ends at a newline only."""
-    return F.array_join(F.transform(F.split(text, "\n"), lambda line: F.regexp_replace(line, rf"[{P.WS}]+\z", "")), "\n")
+    return F.array_join(F.transform(F.split(text, "\n"), lambda line: F.rtrim(line, F.lit(P.WS_CHARS))), "\n")
 
 
 def drop_single_letters(text: Column) -> Column:
