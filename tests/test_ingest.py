@@ -121,3 +121,12 @@ def test_chats(spark):
     assert {r.conv_id: r.title for r in named.collect()} == {0: "Hi", 4: "Named", 5: "New"}
     assert chats.delete(sent, spark.createDataFrame([(0,)], "conv_id long")).where("conv_id = 0").count() == 0
     assert chats.start(own.where("false"), spark.createDataFrame([("user", "x")], "role string, text string")).first().conv_id == 0
+
+
+def test_every_toxic_source_is_deleted(spark, data):
+    from sedra.queries import QUERIES
+
+    source = {r.doc_id: r.source for r in spark.read.parquet(f"{data}/documents.parquet").select("doc_id", "source").collect()}
+    toxic = {source[r.doc_id] for r in spark.read.parquet(f"{data}/labels.parquet").where("toxic = 1").collect() if r.doc_id in source}
+    left = {r.source for r in QUERIES["delete_by_source"](spark, data).collect()}
+    assert toxic and left == set(source.values()) - toxic
