@@ -16,9 +16,9 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql.types import DoubleType, StringType, StructField, StructType
+from pyspark.sql.types import BooleanType, DoubleType, StringType, StructField, StructType
 
 from sedra.llm.hashing import chunks
 from sedra.llm.shared import in_batches
@@ -26,7 +26,7 @@ from sedra.llm.shared import in_batches
 SIZES = 4  # longest n-gram
 BUCKET_BITS = 20
 SAMPLE = 2400  # texts that the model is fitted on, in equal shares for the languages; this bound does not grow with the input
-SAMPLE_CHARS = 20_000  # longer texts are not fitted on; every text is predicted whole
+SAMPLE_CHARS = 20_000  # longer texts are fitted on only for a language that has no others; every text is predicted whole
 LANDMARKS = 256
 RIDGE = 1e-2
 SEED = 17
@@ -78,6 +78,10 @@ def presence(texts: list[str | None]) -> tuple[np.ndarray, np.ndarray, np.ndarra
     return (keys >> np.uint32(BUCKET_BITS)).astype(np.int64), (keys & np.uint32((1 << BUCKET_BITS) - 1)).astype(np.int64), has
 
 
+def has_letter(text: str | None) -> bool:
+    return bool(text) and any(map(str.isalpha, text))
+
+
 def _groups(texts: list[str | None]) -> Iterator[tuple[int, int]]:
     for i, j in chunks(texts, _CHUNK):
         for k in range(i, j, 4096):
@@ -159,38 +163,55 @@ def held_out(key: Column) -> Column:
 
 
 def training_sample(df: DataFrame, text: str = "text", lang: str = "lang", key: str = "doc_id") -> tuple[list[str], list[str]]:
-    """Up to SAMPLE labelled texts that are not held out, in equal shares for the languages, chosen by a hash of the key; rows without key, lang or text take no part."""
-    rows = df.select(F.col(key).alias("k"), F.col(text).alias("x"), F.col(lang).alias("l")).where(F.col("k").isNotNull() & F.col("l").isNotNull() & F.col("x").isNotNull() & ~held_out(F.col("k")))
-    counts = {r["l"]: r["n"] for r in rows.groupBy("l").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "l").limit(SAMPLE).collect()}
+    """Up to SAMPLE labelled texts that are not held out, in equal shares for the languages, chosen by a hash of the key; rows without key, lang or letter take no part.
+
+    A language's texts of up to SAMPLE_CHARS are taken. One that gets none by that gets its shortest distinct texts: the
+    first, and more as long as they fit in what its share may hold.
+    """
+    pick = (F.pmod(F.xxhash64("k", F.lit(SEED)), F.lit(1 << 30)) / F.lit(float(1 << 30))).alias("at")
+    rows = df.select(F.col(key).alias("k"), F.col(text).alias("x"), F.col(lang).alias("l"))
+    rows = rows.where(F.col("k").isNotNull() & F.col("l").isNotNull() & F.col("x").rlike(r"\p{L}") & ~held_out(F.col("k"))).select("k", "x", "l", pick, F.length("x").alias("size"))
+    short = F.col("size") <= SAMPLE_CHARS
+    counts = {r["l"]: r["short"] for r in rows.groupBy("l").agg(F.count("*").alias("n"), F.count_if(short).alias("short")).orderBy(F.desc("n"), "l").limit(SAMPLE).collect()}
     if not counts:
         return [], []
     share = max(1, SAMPLE // len(counts))
-    most = F.create_map(*[F.lit(v) for name, n in counts.items() for v in (name, min(1.0, 1.5 * share / n + 20 / n))])
-    pick = (F.pmod(F.xxhash64("k", F.lit(SEED)), F.lit(1 << 30)) / F.lit(float(1 << 30))).alias("at")
-    found = rows.select("k", "x", "l", pick).where((F.col("at") < F.element_at(most, F.col("l"))) & (F.length("x") <= SAMPLE_CHARS)).orderBy("at", "k", "x").limit(2 * SAMPLE).select("l", "x").collect()
-    taken: dict[str, int] = dict.fromkeys(counts, 0)
-    texts, langs = [], []
-    for r in found:
-        if taken[r["l"]] < share:
-            taken[r["l"]] += 1
-            texts.append(r["x"])
-            langs.append(r["l"])
-    return texts, langs
-
-
-def tag(df: DataFrame, model: Model, text: str = "text") -> DataFrame:
-    """df with lang_pred and score, from the whole text alone; a column of df with such a name is replaced."""
-    kept = df.select(*[F.col(f"`{c}`") for c in df.columns if c not in ("lang_pred", "score")])
-    at, names = kept.columns.index(text), [*kept.columns, "lang_pred", "score"]
+    most = F.create_map(*[F.lit(v) for name, n in counts.items() for v in (name, min(1.0, (1.5 * share + 20) / max(n, 1)))])
+    own = rows.where(short & (F.col("at") < F.element_at(most, F.col("l")))).withColumn("place", F.row_number().over(Window.partitionBy("l").orderBy("at", "k", "x")))
+    found = own.where(F.col("place") <= share).select("at", "k", "x", "l").collect()
+    lacking = sorted(set(counts) - {r["l"] for r in found})
+    if lacking:
+        found += _shortest(rows.where(F.col("l").isin(lacking)), share).select("at", "k", "x", "l").collect()
+    found.sort(key=lambda r: (r["at"], r["k"], r["x"]))
+    return [r["x"] for r in found], [r["l"] for r in found]
+
+
+def _shortest(rows: DataFrame, share: int) -> DataFrame:
+    """The shortest distinct texts of each language: one at least, and up to share while they have share * SAMPLE_CHARS characters at most. They are chosen by size before any text is moved."""
+    rows = rows.withColumn("digest", F.xxhash64("x"))
+    by = Window.partitionBy("l").orderBy("size", "at", "k", "digest")
+    placed = rows.select("l", "k", "at", "size", "digest").distinct().withColumn("place", F.row_number().over(by)).where(F.col("place") <= share)
+    taken = placed.withColumn("sum", F.sum("size").over(by.rowsBetween(Window.unboundedPreceding, 0))).where((F.col("place") == 1) | (F.col("sum") <= share * SAMPLE_CHARS))
+    names = ["l", "k", "size", "digest"]
+    return rows.join(F.broadcast(taken.select(*names)), names, "left_semi").dropDuplicates(names)
+
+
+def tag(df: DataFrame, model: Model, text: str = "text", letters: str | None = None) -> DataFrame:
+    """df with lang_pred and score, from the whole text alone, and whether it has a letter as `letters` if that is given; a column of df with such a name is replaced."""
+    more = [StructField("lang_pred", StringType()), StructField("score", DoubleType()), *([StructField(letters, BooleanType())] if letters else [])]
+    kept = df.select(*[F.col(f"`{c}`") for c in df.columns if c not in {f.name for f in more}])
+    at, names = kept.columns.index(text), [*kept.columns, *(f.name for f in more)]
     kept = kept.toDF(*[f"c{k}" for k in range(len(kept.columns))])  # names with dots can't be handed over
     shipped = df.sparkSession.sparkContext.broadcast(model)  # bounded by the n-grams of LANDMARKS texts and the languages
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            langs, score = shipped.value.predict(b.column(at).to_pylist())
-            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(langs, pa.string()), pa.array(score, pa.float64())], names=[*b.schema.names, "lang_pred", "score"])
+            texts = b.column(at).to_pylist()
+            langs, score = shipped.value.predict(texts)
+            found = [pa.array(langs, pa.string()), pa.array(score, pa.float64()), *([pa.array(map(has_letter, texts), pa.bool_())] if letters else [])]
+            yield pa.RecordBatch.from_arrays([*b.columns, *found], names=[*b.schema.names, *(f.name for f in more)])
 
-    return in_batches(kept, run, StructType([*kept.schema.fields, StructField("lang_pred", StringType()), StructField("score", DoubleType())])).toDF(*names)
+    return in_batches(kept, run, StructType([*kept.schema.fields, *more])).toDF(*names)
 
 
 def identify(df: DataFrame, model: Model, text: str = "text", key: str = "doc_id") -> DataFrame:

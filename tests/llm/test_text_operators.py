@@ -99,6 +99,25 @@ def test_language_odd_rows(odd, none, spark):
     assert tagged.where("doc_id = 3").first().k == "own k"
 
 
+def test_language_of_long_texts_only(spark, monkeypatch):
+    monkeypatch.setattr(language_id, "SAMPLE_CHARS", 60)
+    rows = [(i, "the cat and the dog sing", "en") for i in range(40)] + [(i, "der Hund und die Katze singen " * (3 + i % 3), "de") for i in range(40, 80)]
+    rows += [(i, "...", "de") for i in range(80, 90)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    texts, langs = language_id.training_sample(df)
+    assert {t for t, la in zip(texts, langs, strict=True) if la == "de"} == {r[1] for r in rows[40:80]}
+    assert all(r.lang_pred == rows[r.doc_id][2] for r in language_id.fit_and_identify(df).collect() if r.doc_id < 80)
+    alone = language_id.fit_and_identify(df.where("doc_id between 40 and 79")).collect()
+    assert len(alone) == 40 and all(r.lang_pred == "de" for r in alone)
+
+
+def test_rare_languages_of_many_are_learned(spark, monkeypatch):
+    monkeypatch.setattr(language_id, "SAMPLE", 70)
+    rows = [(i, f"text {i}", f"l{i % 65}") for i in range(6500)] + [(i, f"text {i}", f"rare{i % 5}") for i in range(6500, 6520)]
+    langs = language_id.training_sample(spark.createDataFrame(rows, "doc_id long, text string, lang string"))[1]
+    assert sorted(langs) == sorted({r[2] for r in rows})
+
+
 def test_license_places(odd, none, spark):
     rows = {r.doc_id: r for r in license_scan.scan(odd.select("doc_id", "text", "_words", "_row", "labels", "`a.b`")).collect()}
     r = rows[8]

@@ -269,3 +269,11 @@ def test_stages_on_odd_rows(spark, data, odd, none):
             assert out.columns == list(corpus_pipeline.COLUMNS)
             assert out.count() <= 4 * docs.count()
         assert corpus_pipeline.STAGES[-1][1](spark, docs, data).count() == docs.count()
+
+
+def test_language_stage_without_labels_keeps_letters(spark, data, documents):
+    import corpus_pipeline
+
+    rows = [(1, "a text", None, "src0", 6), (2, "12 ?!", None, "src0", 5), (3, None, None, "src1", None), (4, "日本", None, "src1", 2), (5, "", None, "src1", 0)]
+    out = corpus_pipeline.identify_language(spark, spark.createDataFrame(rows, documents.schema), data).collect()
+    assert sorted((r.doc_id, r.text, r.lang) for r in out) == [(1, "a text", "und"), (4, "日本", "und")]
