@@ -21,6 +21,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import LongType, StructField, StructType
 
 from sedra.llm.components import components
 from sedra.llm.hashing import chunks, shingle_hashes, within
@@ -152,6 +153,14 @@ def links(fps: DataFrame) -> DataFrame:
     return _bucket_edges(cold.select("fps").unionByName(hot.select("fps")))
 
 
+def _components(df: DataFrame, text: str, key: str) -> tuple[DataFrame, DataFrame]:
+    """(k, fp) for each row of df, and (fp, least, rep) for each fingerprint: its least key, and a fingerprint that stands for its component."""
+    docs = cut(fingerprints(df, text, key).withColumnRenamed(key, "k"))
+    classes = docs.groupBy("fp").agg(F.min("k").alias("least"))
+    roots = components(links(classes.select("fp"))).select(F.col("u").alias("fp"), F.col("v").alias("rep"))
+    return docs, cut(classes.join(roots, "fp", "left").select("fp", "least", F.coalesce("rep", "fp").alias("rep")))
+
+
 def near_duplicates(df: DataFrame, text: str = "text", key: str = "doc_id") -> DataFrame:
     """(key, fingerprint, component_id) for each row of df; component_id is the least key that a chain of links reaches.
 
@@ -159,22 +168,40 @@ def near_duplicates(df: DataFrame, text: str = "text", key: str = "doc_id") -> D
     fingerprint and so a component. Repeated rows stay repeated. A null key is kept; it names a component only where no
     other key can. An empty table gives none. Columns other than key and text are not read.
     """
-    docs = cut(fingerprints(df, text, key).withColumnRenamed(key, "k"))
-    classes = docs.groupBy("fp").agg(F.min("k").alias("least"))
-    roots = components(links(classes.select("fp"))).select(F.col("u").alias("fp"), F.col("v").alias("rep"))
-    named = cut(classes.join(roots, "fp", "left").select("fp", "least", F.coalesce("rep", "fp").alias("rep")))
+    docs, named = _components(df, text, key)
     of_rep = named.groupBy("rep").agg(F.min("least").alias("component_id"))
     by_fp = named.join(of_rep, "rep").select("fp", "component_id")
     return docs.join(by_fp, "fp").select(F.col("k").alias(key), F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
+def _with_fingerprint(df: DataFrame, name: str, text: str) -> DataFrame:
+    """df and each row's fingerprint as a signed long."""
+    at, names = df.columns.index(text), [*df.columns, name]
+    plain = df.toDF(*[f"c{k}" for k in range(len(df.columns))])  # names with dots can't be handed over
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            texts = b.column(at).to_pylist()
+            fp = np.concatenate([np.empty(0, np.uint64), *(fingerprints_of(texts[i:j]) for i, j in chunks(texts))])
+            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(fp.view(np.int64))], names=[*b.schema.names, "fp"])
+
+    return in_batches(plain, run, StructType([*plain.schema.fields, StructField("fp", LongType())])).toDF(*names)
+
+
 def representatives(df: DataFrame, text: str = "text", key: str = "doc_id") -> DataFrame:
-    """One row of df for each group of near_duplicates(): that of the least key. Of rows that share this key and the text one stays; a null key stays only where it is alone."""
-    name = "_kept"
+    """One row of df for each group of links that near_duplicates() follows: one of the least key, and of its least fingerprint there. A null key stays only where no other key is in the group."""
+    name, own = "_kept", "_fp"
     while name in df.columns:
         name += "_"
-    kept = cut(near_duplicates(df, text, key).where(F.col(key).eqNullSafe(F.col("component_id"))).select(F.col(key).alias(name)))
+    while own in df.columns:
+        own += "_"
+    docs, named = _components(df, text, key)
+    least = named.groupBy("rep").agg(F.min(F.struct(F.col("least").isNull().alias("none"), "least", "fp")).alias("m"))
+    kept = cut(least.select(F.col("m.least").alias(name), F.col("m.fp").alias("fp")))
     # Most keys are kept, so their table grows with the documents: never broadcast, whatever its size. Keys are spread evenly.
-    out = df.join(kept.distinct().hint("merge"), F.col(key).eqNullSafe(F.col(name)), "left_semi")
-    repeated = not kept.groupBy(name).count().where("count > 1").isEmpty()
-    return out.dropDuplicates([key, text]) if repeated else out
+    if docs.groupBy("k").count().where("count > 1").isEmpty():
+        return df.join(kept.select(name).hint("merge"), F.col(key).eqNullSafe(F.col(name)), "left_semi")
+    # A key (or null) of several rows doesn't tell which of them is meant: their fingerprints do.
+    kept = kept.withColumnRenamed("fp", f"{name}fp").hint("merge")
+    out = _with_fingerprint(df, own, text).join(kept, F.col(key).eqNullSafe(F.col(name)) & (F.col(own) == F.col(f"{name}fp")), "left_semi")
+    return out.dropDuplicates([key, own]).drop(own)

@@ -117,6 +117,15 @@ def test_simhash_odd_rows(odd, none):
     assert simhash.near_duplicates(none).count() == 0 and simhash.representatives(none).count() == 0
 
 
+def test_representatives_of_null_and_repeated_keys(spark):
+    a, b, c, d = (" ".join(f"{w}{i}" for i in range(300)) for w in "abcd")
+    near = "B" + b[1:] + "!"  # the same words but for case and the mark
+    rows = [(1, a), (None, a), (None, c), (None, c), (2, b), (2, near), (3, a), (3, d), (4, d)]
+    assert simhash.fingerprints_of([b])[0] == simhash.fingerprints_of([near])[0]
+    kept = sorted(((r.doc_id, r.text) for r in simhash.representatives(spark.createDataFrame(rows, "doc_id long, text string")).collect()), key=repr)
+    assert len(kept) == 4 and {(1, a), (None, c), (3, d)} < set(kept) and sum(r in ((2, b), (2, near)) for r in kept) == 1
+
+
 def shingles(text):
     w = brute_words(text)
     return frozenset(b" ".join(w[i : i + 5]) for i in range(max(1, len(w) - 4))) if w else frozenset()
