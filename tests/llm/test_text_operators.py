@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 import hashlib
+import math
+import random
 import zlib
 from collections import defaultdict
 
@@ -28,12 +30,43 @@ def test_topk_odd_vectors(spark):
     for r in topk_search.top_k(df, lambda i: i % 20 == 0, 3).orderBy("query_id", "rank").collect():
         got[r.query_id].append((r.rank, r.vec_id, r.score))
     square = 64 * 64 * 5
-    assert got[0] == [(1, 20, square), (2, 5, 64 * 64), (3, 40, 0)]
+    assert got[0] == [(1, 20, square), (2, 5, 64 * 64), (3, 40, 0)]  # the two rows of 6 score -64
     assert got[20][0] == (1, 0, square) and got[40][0] == (1, 0, 0)
     assert topk_search.top_k(df.where("false"), lambda i: i % 20 == 0).count() == 0
     assert topk_search.top_k(df.where("vec_id = 0"), lambda i: i % 20 == 0).count() == 0
 
 
+def brute_top_k(rows, k):
+    """Integer scores in Python, for rows (id, vector)."""
+    whole = [(i, [math.floor(64 * x) for x in v]) for i, v in rows]
+    out = {}
+    for i in {i for i, _ in whole if i % 20 == 0}:
+        scores = [(sum(a * b for a, b in zip(q, c, strict=True)), j) for q in {tuple(v) for n, v in whole if n == i} for j, c in whole if j != i]
+        out[i] = [(r + 1, j, max(-(1 << 63), min((1 << 63) - 1, s))) for r, (s, j) in enumerate(sorted(scores, key=lambda p: (-max(-(1 << 63), min((1 << 63) - 1, p[0])), p[1]))[:k])]
+    return out
+
+
+@pytest.mark.parametrize("size", [1.0, 2.0**24, 2.0**40, 2.0**52, 2.0**120])
+def test_topk_is_exact_at_any_size(spark, duck, monkeypatch, size):
+    """Scores that float64 rounds, rows that are there twice, ties, and small blocks and stripes."""
+    for name, value in (("BLOCK", 8), ("STRIPE", 2), ("GROUP", 3), ("SEEDS", 1)):
+        monkeypatch.setattr(topk_search, name, value)
+    rng = random.Random(5)
+    rows = [(i, [size * rng.uniform(-1, 1) * rng.choice((1, 1e-3)), 5.015625 * rng.random(), rng.uniform(-3, 3)]) for i in range(120)]
+    rows += [(7, rows[7][1]), (300, rows[7][1]), (301, rows[7][1]), (40, rows[40][1]), (60, rows[3][1])]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>").repartition(5)
+    got = defaultdict(list)
+    for r in topk_search.top_k(df, lambda i: i % 20 == 0, 20).orderBy("query_id", "rank").collect():
+        got[r.query_id].append((r.rank, r.vec_id, r.score))
+    assert got == brute_top_k(rows, 20)
+    if size == 2.0**24:
+        duck.execute("create or replace temp table embeddings as select unnest($1) as vec_id, unnest($2) as embedding", [[i for i, _ in rows], [v for _, v in rows]])
+        try:
+            assert sorted(duck.sql(topk_search.top_k_sql()).fetchall()) == sorted((q, r, v, s) for q, own in got.items() for r, v, s in own)
+        finally:
+            duck.execute("drop table temp.embeddings")
+
+
 def test_topk_groups_and_pruning():
     rng = np.random.default_rng(0)
     v = np.floor(64 * rng.standard_normal((3000, 32)) * rng.exponential(1, (3000, 1)))
