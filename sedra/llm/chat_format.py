@@ -9,8 +9,10 @@ to are counted. A turn is written as
 with `\\`, `#`, `<` and, in a role, `:` escaped by a backslash. No unescaped `#` or `<` of a text is left, so neither the
 turn marks nor the placeholders `<|type:n|>` can be forged, and the text is got back by removing the backslashes.
 
-Formatting is local to a row. Only the digests need a conversation's turns in order: rows are dealt by conversation,
-sorted on disk if need be, and streamed through running hashes, so a conversation of any length takes constant memory.
+Formatting is local to a row. A conversation's output is its turns' segments joined, with loss spans in offsets of that
+output. The digests come from the output alone: a reader that is given the output in pieces, and the spans, finds the
+turns by their marks and takes the spans' text out, wherever the pieces were cut. It holds the text of an open turn and
+running hashes, a few bytes a character of the longest turn, whatever the conversation's length.
 A conversation's SHA-256 is sequential by definition, so its turns do pass through one task.
 """
 
@@ -33,22 +35,35 @@ TRAINED = "assistant"
 #: Tokens that a part expands to, per unit of its size (image tiles, audio seconds, document pages).
 TOKENS_PER_UNIT = {"image": 256, "audio": 25, "document": 512}
 
-_ESCAPE = re.compile(r"[\\#<]")
-_ESCAPE_ROLE = re.compile(r"[\\#<:]")
-_UNESCAPE = re.compile(r"\\(.)", re.S)
-_TURN = re.compile(r"### ((?:[^\\#<:]|\\.)*): ((?:[^\\#<]|\\.|<\|(?:image|audio|document):\d+\|>)*)</turn>\n", re.S)
+# Possessive, so that no state is kept for the characters that have been read.
+_ROLE = re.compile(r"### ((?:[^\\#<:]++|\\.)*+): ", re.S)
+_TEXT = re.compile(r"(?:[^\\#<]++|\\.|<\|(?:image|audio|document):\d+\|>)*+", re.S)
+_PLACEHOLDER = re.compile(r"\\.|<\|(?:image|audio|document):\d+\|>", re.S)
+_PIECE = 1 << 16  # characters that are unescaped at once
 
 
 def escape(text: str) -> str:
-    return _ESCAPE.sub(lambda m: "\\" + m[0], text)
+    return text.replace("\\", "\\\\").replace("#", "\\#").replace("<", "\\<")
 
 
 def escape_role(role: str) -> str:
-    return _ESCAPE_ROLE.sub(lambda m: "\\" + m[0], role)
+    return escape(role).replace(":", "\\:")
+
+
+def unescaped(text: str) -> Iterator[str]:
+    """The text without its escapes, in pieces."""
+    at = 0
+    while at < len(text):
+        piece = text[at : at + _PIECE]
+        if (len(piece) - len(piece.rstrip("\\"))) % 2:  # the piece would end within an escape
+            piece = text[at : at + _PIECE + 1]
+        at += len(piece)
+        # Backslashes come in pairs or before another escaped character, and pairs are found from the left.
+        yield "\\".join(part.replace("\\", "") for part in piece.split("\\\\"))
 
 
 def unescape(text: str) -> str:
-    return _UNESCAPE.sub(r"\1", text)
+    return "".join(unescaped(text))
 
 
 @dataclass
@@ -82,10 +97,11 @@ def format_turn(role: str | None, parts: list[dict]) -> tuple[str, int, int, lis
 
 def read_turn(segment: str) -> tuple[str, str]:
     """Role and text of a formatted turn; placeholders stay as they are."""
-    m = _TURN.fullmatch(segment)
-    if not m:
+    head = _ROLE.match(segment)
+    body = head and _TEXT.match(segment, head.end())
+    if not body or segment[body.end() :] != CLOSE:
         raise ValueError(f"not a formatted turn: {segment[:80]!r}")
-    return unescape(m[1]), unescape(m[2])
+    return unescape(head[1]), unescape(body[0])
 
 
 SEGMENTS = "conv_id {kind}, turn long, segment string, loss_start int, loss_end int, attachments string, expanded_tokens long"
@@ -116,55 +132,102 @@ def format_turns(df: DataFrame) -> DataFrame:
 
 
 @dataclass
-class _Running:
-    """What is known of the conversation that is streaming by."""
+class Reader:
+    """Reads the output of one conversation from pieces of it; piece bounds are of no account. close() tells of an output that ends within a turn."""
 
-    key: object
+    key: object = None
     turns: int = 0
-    chars: int = 0
+    chars: int = 0  # of the output, read or waiting
     loss_chars: int = 0
+    placeholders: int = 0
     all_sha: object = field(default_factory=hashlib.sha256)
     loss_sha: object = field(default_factory=hashlib.sha256)
-
-    def add(self, segment: str, lo: int, hi: int) -> None:
-        role, text = read_turn(segment)
-        self.turns += 1
-        self.chars += len(segment)
-        self.all_sha.update(f"{role}\n{text}\n".encode("utf-8", "surrogatepass"))
-        if hi > lo:
-            trained = unescape(segment[lo:hi])
-            self.loss_chars += len(trained)
-            self.loss_sha.update(trained.encode("utf-8", "surrogatepass"))
-
-
-DIGESTS = "conv_id {kind}, n_turns long, turns_sha256 string, loss_chars long, loss_sha256 string, formatted_chars long"
+    waiting: list[str] = field(default_factory=list)  # what follows the last whole turn
+    spans: list[tuple[int, int]] = field(default_factory=list)  # of the loss mask, in the output, not yet read
+
+    def feed(self, piece: str, spans: list[tuple[int, int]]) -> None:
+        """More of the output, and loss spans (start, end in the whole output) that end in what is known of it by now."""
+        self.waiting.append(piece)
+        self.chars += len(piece)
+        self.spans += spans
+        # A turn can only end where a piece, or a piece and the end of what is before it, holds the mark.
+        if CLOSE in piece or (len(self.waiting) > 1 and CLOSE in "".join(self.waiting)[-len(piece) - len(CLOSE) :]):
+            self._turns()
+
+    def _turns(self) -> None:
+        output = self.waiting[0] if len(self.waiting) == 1 else "".join(self.waiting)
+        base, at = self.chars - len(output), 0  # the output's offset of what waits, and of what is read in it
+        while at < len(output):
+            head = _ROLE.match(output, at)
+            body = head and _TEXT.match(output, head.end())
+            if not body or not output.startswith(CLOSE, body.end()):
+                break
+            self.turns += 1
+            self._add(self.all_sha, head[1])
+            self.all_sha.update(b"\n")
+            self._add(self.all_sha, output[head.end() : body.end()])
+            self.all_sha.update(b"\n")
+            self.placeholders += sum(m[0][0] == "<" for m in _PLACEHOLDER.finditer(output, head.end(), body.end()))
+            at = body.end() + len(CLOSE)
+            while self.spans and self.spans[0][1] <= base + at:
+                lo, hi = self.spans.pop(0)
+                self.loss_chars += self._add(self.loss_sha, output[lo - base : hi - base])
+        self.waiting = [output[at:]] if at < len(output) else []
+
+    @staticmethod
+    def _add(sha, escaped: str) -> int:
+        n = 0
+        for part in unescaped(escaped):
+            sha.update(part.encode("utf-8", "surrogatepass"))
+            n += len(part)
+        return n
+
+    def close(self) -> Reader:
+        self._turns()
+        if self.waiting:
+            raise ValueError(f"not a formatted turn: {self.waiting[0][:80]!r}")
+        return self
+
+
+DIGESTS = "conv_id {kind}, n_turns long, turns_sha256 string, loss_chars long, loss_sha256 string, formatted_chars long, n_attachments long, expanded_tokens long"
 
 
 def digests(segments: DataFrame) -> DataFrame:
-    """One row for each conversation of format_turns(), parsed back from the segments and loss spans.
+    """One row for each conversation of format_turns(), read back from its joined output and the loss spans in it.
 
     Turns go by number (null first), equal numbers by segment. A null conv_id is a conversation of its own. A table
-    without rows gives none. Memory: one batch of rows and two running hashes.
+    without rows gives none. n_attachments counts the output's placeholders. Memory: a batch of rows, the text of one
+    turn and two running hashes.
     """
     kind = segments.schema["conv_id"].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        now: _Running | None = None
+        now: Reader | None = None
+        expanded = 0
+
+        def row(d: Reader, tokens: int) -> tuple:
+            d.close()
+            return d.key, d.turns, d.all_sha.hexdigest(), d.loss_chars, d.loss_sha.hexdigest(), d.chars, d.placeholders, tokens
 
-        def rows(done: list[_Running]) -> pa.RecordBatch:
-            return pa.RecordBatch.from_arrays([pa.array([d.key for d in done], key_type), pa.array([d.turns for d in done], pa.int64()), pa.array([d.all_sha.hexdigest() for d in done], pa.string()), pa.array([d.loss_chars for d in done], pa.int64()), pa.array([d.loss_sha.hexdigest() for d in done], pa.string()), pa.array([d.chars for d in done], pa.int64())], names=["conv_id", "n_turns", "turns_sha256", "loss_chars", "loss_sha256", "formatted_chars"])
+        def rows(done: list[tuple]) -> pa.RecordBatch:
+            kinds = (key_type, pa.int64(), pa.string(), pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.int64())
+            cols = zip(*done, strict=True) if done else [()] * len(kinds)
+            return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, kinds, strict=True)], names=["conv_id", "n_turns", "turns_sha256", "loss_chars", "loss_sha256", "formatted_chars", "n_attachments", "expanded_tokens"])
 
         for b in batches:
             key_type, done = b.schema.field("conv_id").type, []
-            for key, segment, lo, hi in zip(b["conv_id"].to_pylist(), b["segment"].to_pylist(), b["loss_start"].to_pylist(), b["loss_end"].to_pylist(), strict=True):
+            for key, segment, lo, hi, tokens in zip(*(b[c] for c in ("conv_id", "segment", "loss_start", "loss_end", "expanded_tokens")), strict=True):
+                key, lo, hi = key.as_py(), lo.as_py(), hi.as_py()
                 if now is None or now.key != key:
                     if now is not None:
-                        done.append(now)
-                    now = _Running(key)
-                now.add(segment, lo, hi)
+                        done.append(row(now, expanded))
+                    now, expanded = Reader(key), 0
+                start = now.chars  # where the segment begins in the conversation's output
+                now.feed(segment.as_py(), [(start + lo, start + hi)] if hi > lo else [])
+                expanded += tokens.as_py()
             yield rows(done)
         if now is not None:
-            yield rows([now])
+            yield rows([row(now, expanded)])
 
-    dealt = segments.select("conv_id", "turn", "segment", "loss_start", "loss_end").repartition("conv_id").sortWithinPartitions("conv_id", "turn", "segment")
+    dealt = segments.select("conv_id", "turn", "segment", "loss_start", "loss_end", "expanded_tokens").repartition("conv_id").sortWithinPartitions("conv_id", "turn", "segment")
     return in_batches(dealt, run, DIGESTS.format(kind=kind))

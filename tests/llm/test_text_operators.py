@@ -5,6 +5,8 @@ from __future__ import annotations
 import hashlib
 import math
 import random
+import re
+import tracemalloc
 import zlib
 from collections import defaultdict
 
@@ -194,11 +196,49 @@ def test_turns_read_back(role, text):
     assert chat_format.read_turn(segment) == (role, text)
     inner = segment[len(chat_format.OPEN) : -len(chat_format.CLOSE)]
     for control in ("###", "</turn>", "<|"):
-        assert control not in chat_format._UNESCAPE.sub("", inner)
+        assert control not in re.sub(r"\\.", "", inner, flags=re.S)
     if role == "assistant":
         assert chat_format.unescape(segment[lo:hi]) == text
 
 
+@settings(max_examples=150, deadline=None)
+@given(st.lists(st.tuples(st.sampled_from(["user", "assistant", "a:b# "]), TRICKY), max_size=5), st.lists(st.integers(0, 300), max_size=6))
+def test_output_is_read_wherever_it_is_cut(turns, cuts):
+    output, spans = "", []
+    for role, text in turns:
+        segment, lo, hi, _ = chat_format.format_turn(role, [{"type": "text", "text": text}, {"type": "image", "ref": "a"}])
+        spans += [(len(output) + lo, len(output) + hi)] if hi > lo else []
+        output += segment
+    reader, edges = chat_format.Reader(), [0, *sorted(min(c, len(output)) for c in cuts), len(output)]
+    for a, b in zip(edges, edges[1:], strict=False):
+        reader.feed(output[a:b], [s for s in spans if a < s[1] <= b])
+    reader.close()
+    said = "".join(f"{t}<|image:0|>" for r, t in turns if r == "assistant")
+    assert (reader.turns, reader.placeholders, reader.chars) == (len(turns), len(turns), len(output))
+    assert reader.all_sha.hexdigest() == hashlib.sha256("".join(f"{r}\n{t}<|image:0|>\n" for r, t in turns).encode()).hexdigest()
+    assert (reader.loss_chars, reader.loss_sha.hexdigest()) == (len(said), hashlib.sha256(said.encode()).hexdigest())
+    if output:
+        broken = chat_format.Reader()
+        broken.feed(output[:-1], [])
+        with pytest.raises(ValueError):
+            broken.close()
+
+
+@pytest.mark.parametrize("unit", ["a", "\\", "# <|image:0|> </turn>\n", "\n"])
+def test_memory_of_a_long_turn(unit):
+    """20 MB of text, formatted and read back, in at most 8 bytes a character of the output."""
+    text = unit * (20_000_000 // len(unit))
+    tracemalloc.start()
+    segment, lo, hi, _ = chat_format.format_turn("assistant", [{"type": "text", "text": text}])
+    reader = chat_format.Reader()
+    reader.feed(segment, [(lo, hi)])
+    reader.close()
+    most = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert reader.loss_sha.hexdigest() == hashlib.sha256(text.encode()).hexdigest() and reader.turns == 1
+    assert most < 8 * len(segment)
+
+
 def test_parts():
     segment, lo, hi, found = chat_format.format_turn("assistant", [{"type": "text", "text": "see <|image:0|>"}, {"type": "image", "ref": "a.png", "size": 2}, {"type": "audio", "ref": "b.wav"}, {"type": "document", "ref": None, "size": 3}])
     assert segment.replace("\\<", "").count("<|image:0|>") == 1 and [a["tokens"] for a in found] == [512, 25, 1536] and [a["type"] for a in found] == ["image", "audio", "document"]
@@ -230,5 +270,6 @@ def test_chat_odd_rows(spark):
     turns = chat_format.format_turns(df)
     assert turns.where("conv_id = 2").first().expanded_tokens == 256
     got = {r.conv_id: r for r in chat_format.digests(turns).collect()}
+    assert (got[2].n_attachments, got[2].expanded_tokens, got[1].n_attachments) == (2, 512, 0)
     assert got[1].n_turns == 3 and got[1].loss_chars == 300_000 and got[None].n_turns == 1 and got[2].n_turns == 2
     assert chat_format.digests(chat_format.format_turns(df.where("false"))).count() == 0
