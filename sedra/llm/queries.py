@@ -55,8 +55,7 @@ def op9_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op10_token_counts(spark: SparkSession, sf_dir: str, ranks: str = f"{TOKENIZERS}/byte_bpe_50k.tiktoken") -> DataFrame:
     with open(ranks, "rb") as f:
-        blocks = token_scan.token_blocks(table(spark, sf_dir, "documents"), f.read())
-    return token_scan.count_tokens(blocks).select(F.col("key").alias("doc_id"), "n_tokens", "file", "doc_index", "start", "closed")
+        return token_scan.count_documents(table(spark, sf_dir, "documents"), f.read())
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {

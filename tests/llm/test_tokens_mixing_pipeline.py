@@ -117,12 +117,29 @@ def test_token_query_equals_brute_force(spark, data, documents, ranks):
     assert {r.doc_id: r.n_tokens for r in rows} == want and len(rows) == len(want) and all(r.closed for r in rows)
 
 
-@pytest.mark.parametrize("block", [1, 7, 1000, 1 << 20])
-def test_blocks_are_stitched(odd, ranks, block):
+@pytest.mark.parametrize("block, file", [(1, 40), (7, 3000), (1000, 1), (1 << 20, 1 << 24)])
+def test_blocks_and_files_are_stitched(odd, ranks, block, file, monkeypatch):
+    """Documents over many blocks, many documents in a block, and few or many files give the same counts."""
+    monkeypatch.setattr(token_scan, "SUPER", 3)
     own = token_scan.encoding(ranks)
-    short = odd.where("doc_id is null or doc_id <> 5").select("doc_id", "text") if block == 1 else odd
-    want = sorted(((r.doc_id, len(own.encode_ordinary(r.text or ""))) for r in short.collect()), key=repr)
-    assert sorted(((r.key, r.n_tokens) for r in token_scan.count_tokens(token_scan.token_blocks(short, ranks, block_tokens=block)).collect()), key=repr) == want
+    short = odd.where("doc_id is null or doc_id not in (5, 10)").select("doc_id", "text") if block == 1 else odd
+    want = sorted(((r.doc_id, len(own.encode_ordinary(r.text or "")), True) for r in short.collect()), key=repr)
+    for parts in (1, 5):
+        rows = token_scan.count_documents(short.repartition(parts), ranks, block_tokens=block, file_tokens=file).collect()
+        assert sorted(map(tuple, rows), key=repr) == want
+    assert token_scan.count_documents(odd.where("false"), ranks).count() == 0
+
+
+def test_long_runs(spark, ranks):
+    """5 MB of one character; short enough runs are encoded as the library does."""
+    own = token_scan.encoding(ranks)
+    for white in (" ", "\n", "\u3000", "\t \r\n", "\x1f"):
+        for text in (white * 5000, f"a{white * 5000}b", f"{white * 9000} b{white * 6000}\n", f"x {white * 4096}7", f"{white * 5000}\u00a0!"):
+            assert token_scan.encode(own, text).tolist() == own.encode_ordinary(text), (white, text[-3:])
+    texts = [unit * 5_000_000 for unit in (" ", "\n", "a")] + [" " * 5_000_000 + "a"]
+    rows = token_scan.count_documents(spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "doc_id long, text string"), ranks).collect()
+    got = {r.doc_id: r.n_tokens for r in rows}
+    assert got[0] == len(own._encode_single_piece(texts[0].encode())) and got[1] == 5_000_000 / 2 and got[2] == 5_000_000 / 4 and got[3] == len(own._encode_single_piece(b" " * 4_999_999)) + 1
 
 
 def test_flat_files(spark, tmp_path):
@@ -135,13 +152,15 @@ def test_flat_files(spark, tmp_path):
     (tmp_path / "more" / "open.bin").write_bytes(flat + np.array([9, 9], "<u2").tobytes())
     (tmp_path / "more" / "empty.bin").write_bytes(b"")
     (tmp_path / "more" / "none.bin").write_bytes(np.array([1, 1, 1, 1], "<u2").tobytes())
+    (tmp_path / "more" / "torn.bin").write_bytes(flat + b"\x07")
     starts = np.cumsum([0, *(len(d) + 1 for d in docs)])
     for block in (1, 3, 1000):
-        for path in (f"file://{tmp_path}/more", f"{tmp_path}/more"):
+        for path, whole in ((f"file://{tmp_path}/more", 100), (f"{tmp_path}/more", token_scan.WHOLE)):
             got = defaultdict(list)
-            for r in token_scan.count_tokens(token_scan.flat_file_blocks(spark, path, block_tokens=block)).orderBy("doc_index").collect():
+            for r in token_scan.count_tokens(token_scan.flat_file_blocks(spark, path, block_tokens=block, whole=whole)).orderBy("doc_index").collect():
                 got[r.file.rsplit("/", 1)[1]].append((r.doc_index, r.start, r.n_tokens, r.closed))
             assert got["open.bin"] == [(k, starts[k], len(d), True) for k, d in enumerate(docs)] + [(6, starts[6], 2, False)]
+            assert got["torn.bin"] == [(k, starts[k], len(d), True) for k, d in enumerate(docs)] + [(6, starts[6], 0, False)]
             assert got["none.bin"] == [(0, 0, 4, False)] and "empty.bin" not in got
 
 
