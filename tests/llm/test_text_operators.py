@@ -167,6 +167,43 @@ def test_license_places(odd, none, spark):
     assert got == cases
 
 
+def brute_licences(text):
+    """Labels and score by trying every start of every template."""
+    w, labels, score = license_scan.words_of(text), set(), 0.0
+    for t in license_scan.index():
+        for start in range(-600, len(w)):
+            hits = sum(0 <= start + i < len(w) and w[start + i] == x for i, x in t.rare)
+            at, slack = start + t.key_at, 0 if t.template.base else license_scan.SLACK
+            if hits >= t.needed and any(tuple(w[s : s + len(t.key)]) == t.key for s in range(max(0, at - slack), max(0, at + slack) + 1)):
+                labels.add(t.template.label)
+                score = max(score, hits / len(t.rare))
+    return ",".join(sorted(labels)), score
+
+
+def test_license_texts_whole_and_changed(spark):
+    """Every licence text is found, also with its two rarest words changed, in the middle of other text, and with words put in."""
+    texts = {}
+    for t in license_scan.index():
+        if t.template.base:
+            continue
+        words = t.template.text.split()
+        texts[" ".join(words)] = t.template.label
+        if len(words) > license_scan.RARE:
+            changed = list(words)
+            for i, _ in t.rare[:2]:
+                if not t.key_at <= i < t.key_at + len(t.key):
+                    changed[i] = "altered"
+            texts["Some code here. " + " ".join(changed) + " and more"] = t.template.label
+            half = len(words) // 2 if len(words) // 2 >= t.key_at + len(t.key) or len(words) // 2 <= t.key_at else t.key_at
+            texts[" ".join([*words[:half], "put", "in", *words[half:]])] = t.template.label
+    plain = "the software is provided with a copy of the public notice, free of charge, to any person and without warranty " * 20
+    rows = license_scan.scan(spark.createDataFrame([(t,) for t in [*texts, plain]], "text string")).collect()
+    assert len(rows) == len(texts) + 1
+    for r in rows:
+        assert (r.labels, r.score) == brute_licences(r.text)
+        assert texts.get(r.text, "") in r.labels.split(",")
+
+
 def test_license_many_places(spark):
     r = license_scan.scan(spark.createDataFrame([("mit license " * 2000,)], "text string")).first()
     assert (r.n_base, r.first_word, r.last_word) == (2000, 0, 3998)
