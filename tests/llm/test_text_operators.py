@@ -213,16 +213,41 @@ def test_url_rules(spark):
     cases = {
         "https://a.example.com/en/x": ("example.com/en/", "block"), "https://www.example.com/en/x": ("www.example.com/en/", "allow"), "http://m.www.example.com/en/": ("www.example.com/en/", "allow"),
         "HTTP://Foo.COM/x?y": ("com/", "allow"), "http://foo.com": (None, "allow"), "http://x.net/fr/spam": ("net/fr/", "block"), "http://x.org/my-casino/": (None, "block"),
-        "http://x.org/casinos": (None, "allow"), "http://x.org/free?win=1": (None, "block"), "http://x.org/free/free": (None, "allow"), "no host": (None, "allow"), None: (None, "allow"), "": (None, "allow"), "a://b.org://c/spam": (None, "block"), "http://foo.com:80/x": (None, "allow"),
+        "http://x.org/casinox": (None, "allow"), "http://x.org/poker?bonus=1": (None, "block"), "http://x.org/poker/poker": (None, "allow"), "http://x.org/free?click=win&ads=track": (None, "allow"), "no host": (None, "allow"), None: (None, "allow"), "": (None, "allow"), "a://b.org://c/spam": (None, "block"), "http://foo.com:80/x": (None, "allow"),
     }
     df = spark.createDataFrame([(k, u, "own") for k, u in enumerate(cases)] + [(None, "http://q.com/", "own")], "page_id long, url string, verdict string")
     got = {r.page_id: r for r in url_filter.judge(df).collect()}
     for k, (u, (rule, verdict)) in enumerate(cases.items()):
         assert (got[k].rule, got[k].verdict) == (rule, verdict), u
-    assert (got[3].host, got[3].path, got[10].host, got[11].path) == ("foo.com", "/x", "", "") and got[None].rule == "com/"
+    assert (got[3].host, got[3].path, got[11].host, got[12].path) == ("foo.com", "/x", "", "") and got[None].rule == "com/"
     assert url_filter.judge(df.where("false")).count() == 0
 
 
+def test_url_terms(spark):
+    """Percent codes, counts, long urls, repeated rows."""
+    cases = {
+        "http://x.org/%63asino": ("block", 1, 0, 1), "http://x.org/a%2Fcasino%2fb": ("block", 1, 0, 1), "http://x.org/%2563asino": ("allow", 0, 0, 0), "http://x.org/%%63asino%": ("block", 1, 0, 1), "http://x.org/%C3%A9casino": ("allow", 0, 0, 0),
+        "http://x.org/POKER-poker_Bonus": ("block", 0, 2, 3), "http://x.org/" + "poker/" * 100_000: ("allow", 0, 1, 100_000), "http://x.org/" + "a" * 1_000_000 + "/porn": ("block", 1, 0, 1), "http://essex.org/sextant/adultery": ("allow", 0, 0, 0),
+    }
+    got = url_filter.judge(spark.createDataFrame([(k, u) for k, u in enumerate(cases)] * 2, "page_id long, url string")).collect()
+    assert sorted((r.page_id, r.verdict, r.n_strict, r.n_soft, r.n_hits) for r in got) == sorted([(k, *want) for k, want in enumerate(cases.values())] * 2)
+    terms = url_filter.vocabulary()
+    assert not set(terms["strict"]) & set(terms["soft"]) and min(map(len, terms.values())) > 50 and all(re.fullmatch("[a-z0-9]+", t) for own in terms.values() for t in own)
+
+
+@settings(max_examples=300, deadline=None)
+@given(st.text(alphabet=st.sampled_from("%0123456789abcdefABCDEF/-"), max_size=30))
+def test_url_decoding(url):
+    out, i = "", 0
+    while i < len(url):
+        code = url[i + 1 : i + 3]
+        if url[i] == "%" and len(code) == 2 and not set(code) & set("%/-") and 0x20 <= int(code, 16) <= 0x7E:
+            out, i = out + chr(int(code, 16)), i + 3
+        else:
+            out, i = out + url[i], i + 1
+    assert url_filter.decoded(url) == "".join(c.lower() if "A" <= c <= "Z" else c for c in out)
+
+
 TRICKY = st.text(alphabet=st.sampled_from("\\#<>/ :|tunrAsi\n😀"), max_size=40)
 
 
