@@ -4,7 +4,8 @@ A tree of domain, language and source has a weight at each node. The token budge
 among its children in proportion to their weights, but a child gets no more than its subtree holds in MAX_EPOCHS epochs,
 and what it can't take is shared among its siblings in the same way. Only where all of a node's children are full is its
 own shortage shared among its siblings, one level up. Sorted by capacity over weight, the full children come first, so
-a level is solved by running sums: no iteration, nothing on the driver.
+a level is solved by running sums: no iteration, nothing on the driver. Shares are whole tokens: what rounding down
+leaves goes to the children with the largest remainders, a token each.
 
 A leaf then takes whole epochs of its documents and, of one more, the shortest prefix that reaches the rest of its
 amount, in the order of a hash of seed, epoch and document. The place where a prefix ends is found from token sums of 256
@@ -43,7 +44,7 @@ PLAN = Plan({"domain": {"web": 4.0, "books": 3.0, "code": 1.0, "reference": 2.0}
 
 
 def domain_of(source: Column) -> Column:
-    return F.get(F.array(*map(F.lit, DOMAINS)), (F.crc32(source.cast("binary")) % len(DOMAINS)).cast("int"))
+    return F.get(F.array(*map(F.lit, DOMAINS)), (F.conv(F.substring(F.md5(source.cast("binary")), 1, 4), 16, 10).cast("int") % len(DOMAINS)).cast("int"))
 
 
 def _weight(plan: Plan, level: str) -> Column:
@@ -61,13 +62,19 @@ def _share(nodes: DataFrame, parent: list[str]) -> DataFrame:
     level = (F.col("amount") - F.coalesce(F.sum("capacity").over(before), F.lit(0))) / (F.sum("weight").over(by) - F.coalesce(F.sum("weight").over(before), F.lit(0.0)))
     tried = nodes.withColumn("weighs", F.col("weight") > 0).withColumn("level", F.when(F.col("weighs"), level)).withColumn("full", F.col("weighs") & (F.col("capacity") <= F.col("level") * F.col("weight")))
     # Past the first child that isn't full the level only falls, so the greatest is the one at which the rest is shared.
-    common = F.max(F.when(F.col("weighs") & ~F.col("full"), F.col("level"))).over(by)
-    got = F.when(~F.col("weighs"), 0).when(F.col("full"), F.col("capacity")).otherwise(F.floor(common * F.col("weight")))
-    return tried.withColumn("got", got.cast("long")).drop("weighs", "level", "full")
+    shared = F.col("weighs") & ~F.col("full")
+    exact = F.max(F.when(shared, F.col("level"))).over(by) * F.col("weight")
+    got = F.when(~F.col("weighs"), 0).when(F.col("full"), F.col("capacity")).otherwise(F.floor(exact)).cast("long")
+    tried = tried.withColumn("shared", shared).withColumn("got", got).withColumn("part", F.when(F.col("shared"), exact - F.floor(exact)))
+    # A child that isn't full holds more than its share, so one token more always fits.
+    rest = F.col("amount") - F.sum("got").over(by)
+    names = [F.col(c).asc() for c in LEVELS if c in nodes.columns and c not in parent]
+    place = F.row_number().over(by.orderBy(F.col("part").desc_nulls_last(), *names))
+    return tried.withColumn("rest", rest).withColumn("place", place).withColumn("got", F.col("got") + (F.col("shared") & (F.col("place") <= F.col("rest"))).cast("long")).drop("weighs", "level", "full", "shared", "part", "rest", "place")
 
 
 def budgets(leaves: DataFrame, plan: Plan) -> DataFrame:
-    """(domain, lang, source, tokens, quota) for leaves (domain, lang, source, tokens); shares are rounded down to whole tokens."""
+    """(domain, lang, source, tokens, quota) for leaves (domain, lang, source, tokens). The quotas add up to the budget, unless every child of some node with weights is full."""
     amount = leaves.agg(F.floor(F.coalesce(F.sum("tokens"), F.lit(0)) * F.lit(float(plan.budget))).cast("long")).first()[0]
     above, keys = None, []
     out = None
@@ -156,9 +163,11 @@ def mix_sql(plan: Plan = PLAN) -> str:
         l{k} as (select *, (amount - coalesce(sum(capacity) over {order}, 0))::double / (sum(weight) over ({part}) - coalesce(sum(weight) over {order}, 0.0)) as level from n{k}),
         f{k} as (select *, weight > 0 and capacity <= level * weight as is_full from l{k}),
         c{k} as (select *, max(level) filter (where weight > 0 and not is_full) over ({part}) as common from f{k}),
-        a{k} as (select {', '.join(keys)}, (case when weight <= 0 then 0 when is_full then capacity else floor(common * weight) end)::bigint as amount from c{k})""")
+        g{k} as (select *, (case when weight <= 0 then 0 when is_full then capacity else floor(common * weight) end)::bigint as got, case when weight > 0 and not is_full then common * weight - floor(common * weight) end as part from c{k}),
+        r{k} as (select *, amount - sum(got) over ({part}) as rest, row_number() over ({part} order by part desc nulls last, {level}) as place from g{k}),
+        a{k} as (select {', '.join(keys)}, (got + (part is not null and place <= rest)::int)::bigint as amount from r{k})""")
         above = f"a{k}"
-    domain = "case " + " ".join(f"when {test} then '{d}'" for d, test in _domain_sql()) + " end"
+    domain = f"([{', '.join(f"'{d}'" for d in DOMAINS)}])[('0x' || substr(md5(coalesce(source, '')), 1, 4))::int % {len(DOMAINS)} + 1]"
     return f"""
     with slim as (select doc_id as key, {domain} as domain, coalesce(lang, '') as lang, coalesce(source, '') as source,
         len(regexp_extract_all(coalesce(text, ''), '[^\\x20\\x09-\\x0D]+'))::bigint as n_tokens from documents),
@@ -171,13 +180,3 @@ def mix_sql(plan: Plan = PLAN) -> str:
     running as (select *, coalesce(sum(n) over (partition by domain, lang, source order by hash rows between unbounded preceding and 1 preceding), 0) as start from summed),
     taken as (select u.*, u.epochs + (r.start < u.part)::int as times from units u join running r on u.hash = r.hash and u.domain = r.domain and u.lang = r.lang and u.source = r.source)
     select key as doc_id, domain, lang, source, n_tokens, unnest(range(times::bigint))::int as epoch from taken where times > 0"""
-
-
-def _domain_sql() -> list[tuple[str, str]]:
-    """The domain of each source name of the synthetic tables, as DuckDB lacks crc32."""
-    import zlib
-
-    names: dict[str, list[str]] = {d: [] for d in DOMAINS}
-    for s in ["", *(f"src{i}" for i in range(100))]:
-        names[DOMAINS[zlib.crc32(s.encode()) % len(DOMAINS)]].append(s)
-    return [(d, f"coalesce(source, '') in ({', '.join(repr(s) for s in own)})") for d, own in names.items() if own]

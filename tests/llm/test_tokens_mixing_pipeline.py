@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import hashlib
+import math
 import os
 import random
 from collections import defaultdict
@@ -199,8 +200,12 @@ def brute_mix(rows, plan):
                 own[leaf[len(prefix)]] += n * plan.max_epochs
         shares = brute_shares({c: (weigh(mixing.LEVELS[len(prefix)], c), cap) for c, cap in own.items()}, amount)
         out = {}
-        for c, got in shares.items():
-            out |= down((*prefix, c), int(got + 1e-9))
+        whole = {c: int(got + 1e-9) for c, got in shares.items()}
+        part = sorted((c for c in shares if weigh(mixing.LEVELS[len(prefix)], c) > 0 and own[c] > shares[c]), key=lambda c: (-(shares[c] - whole[c]), c))
+        for c in part[: max(0, amount - sum(whole.values()))]:
+            whole[c] += 1
+        for c, got in whole.items():
+            out |= down((*prefix, c), got)
         return out
 
     quota = down((), int(sum(leaves.values()) * plan.budget))
@@ -239,9 +244,29 @@ def test_shortages_go_to_siblings_first(spark):
     """A leaf that can't take its share leaves it to its siblings; only a whole node's shortage goes up."""
     leaves = spark.createDataFrame([("a", "x", "s1", 10), ("a", "x", "s2", 1000), ("a", "y", "s3", 1000), ("b", "x", "s4", 5)], "domain string, lang string, source string, tokens long")
     got = {r.source: r.quota for r in mixing.budgets(leaves, mixing.Plan(budget=400 / 2015, max_epochs=1)).collect()}
-    # a and b get 200 each, but b holds 5: a gets 395, x and y half of it; s1 holds 10, so s2 takes the rest of x.
-    assert got == {"s1": 10, "s2": 187, "s3": 197, "s4": 5}
-
+    # a and b get 200 each, but b holds 5: a gets 395, x and y half of it and x, the first, the odd one; s1 holds 10, so s2 takes the rest of x.
+    assert got == {"s1": 10, "s2": 188, "s3": 197, "s4": 5}
+
+
+@pytest.mark.parametrize("budget", [0.1, 1 / 3, 0.777, 1.0, 1.9])
+def test_quotas_add_up(spark, budget):
+    rng = random.Random(8)
+    rows = {(rng.choice("abc"), rng.choice("xyz"), f"s{rng.randrange(40)}"): rng.randrange(1, 999) for _ in range(70)}
+    leaves = spark.createDataFrame([(*k, n) for k, n in rows.items()], "domain string, lang string, source string, tokens long")
+    plan = mixing.Plan({"domain": {"a": 0.7, "b": 1.3}, "lang": {"x": 0.1}}, budget, 2)
+    found = mixing.budgets(leaves, plan).collect()
+    assert sum(r.quota for r in found) == math.floor(sum(rows.values()) * budget) and all(0 <= r.quota <= 2 * r.tokens for r in found)
+
+
+def test_sql_knows_any_source(spark, duck):
+    """Sources of any name, null among them."""
+    rows = [(i, "a b c " * (i % 7), ("en", "de", None)[i % 3], ("https://x.org/é", "it's", "", None, "src7")[i % 5]) for i in range(200)]
+    got = sorted(map(tuple, mixing.mix(spark.createDataFrame(rows, "doc_id long, text string, lang string, source string")).collect()))
+    duck.execute("create or replace temp table documents as select unnest($1) as doc_id, unnest($2) as text, unnest($3) as lang, unnest($4) as source", [list(c) for c in zip(*rows, strict=True)])
+    try:
+        assert sorted(duck.sql(mixing.mix_sql()).fetchall()) == got
+    finally:
+        duck.execute("drop table temp.documents")
 
 def test_mixing_odd_rows(odd, none):
     taken = mixing.mix(odd)
