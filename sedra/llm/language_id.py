@@ -7,6 +7,8 @@ text's n-grams, so landmarks and regression fold into one matrix of n-gram weigh
 its presence matrix with that matrix.
 
 Texts are lower-cased, and each run of other characters than letters is one space. N-grams are hashed to 2^20 buckets.
+The landmarks' n-grams are kept as one bit for each landmark and bucket: 32 MB at most for 256 landmarks. The model holds
+4 bytes for each bucket and language.
 """
 
 from __future__ import annotations
@@ -25,13 +27,14 @@ from sedra.llm.shared import in_batches
 
 SIZES = 4  # longest n-gram
 BUCKET_BITS = 20
-SAMPLE = 2400  # texts that the model is fitted on, in equal shares for the languages; this bound does not grow with the input
+SAMPLE = 2400  # texts that the model is fitted on, in equal shares for the languages, and so the most languages that are learned, the most frequent first; this bound does not grow with the input
 SAMPLE_CHARS = 20_000  # longer texts are fitted on only for a language that has no others; every text is predicted whole
 LANDMARKS = 256
 RIDGE = 1e-2
 SEED = 17
 UNKNOWN = "und"
 _CHUNK = 400_000  # characters
+_ROWS = 1 << 14  # of the landmarks' bits that are unpacked at once
 
 _tables: dict[str, np.ndarray] = {}
 
@@ -107,7 +110,7 @@ class Model:
             doc, at = doc[at > 0], at[at > 0] - 1
             if len(doc):
                 first = np.flatnonzero(np.concatenate(([True], doc[1:] != doc[:-1])))
-                out[i + doc[first]] = np.add.reduceat(self.weights[at], first, axis=0)
+                out[i + doc[first]] = np.add.reduceat(self.weights[at], first, axis=0, dtype=np.float64)
             out[i:j] /= np.sqrt(np.maximum(own, 1))[:, None]
         return out + self.bias, letters
 
@@ -129,12 +132,14 @@ def fit(texts: list[str], langs: list[str]) -> Model:
     label = np.searchsorted(names, langs)
     share = -(-LANDMARKS // len(names))
     marks = np.sort(np.concatenate([np.flatnonzero(label == c)[:share] for c in range(len(names))]))
-    found = [(marks[i:j], *presence([texts[t] for t in marks[i:j]])[:2]) for i, j in _groups([texts[t] for t in marks])]
+    found = [(np.searchsorted(marks, marks[i:j]), *presence([texts[t] for t in marks[i:j]])[:2]) for i, j in _groups([texts[t] for t in marks])]
     grams = np.unique(np.concatenate([g for _, _, g in found]))
-    m = np.zeros((len(grams), len(marks)), np.float32)  # presence of a gram in a landmark, over the landmark's norm
+    bits = np.zeros((len(grams), -(-len(marks) // 8)), np.uint8)  # which landmarks hold a gram
+    norm = np.ones(len(marks))
     for own, doc, gram in found:
-        m[np.searchsorted(grams, gram), np.searchsorted(marks, own)[doc]] = 1
-        m[:, np.searchsorted(marks, own)] /= np.sqrt(np.maximum(np.bincount(doc, minlength=len(own)), 1)).astype(np.float32)
+        np.bitwise_or.at(bits, (np.searchsorted(grams, gram), own[doc] >> 3), (128 >> (own[doc] & 7)).astype(np.uint8))
+        norm[own] = np.sqrt(np.maximum(np.bincount(doc, minlength=len(own)), 1))
+    held = lambda rows: np.unpackbits(bits[rows], axis=1, count=len(marks))
     kernel = np.zeros((len(texts), len(marks)))
     for i, j in _groups(texts):
         doc, gram, _ = presence(texts[i:j])
@@ -142,8 +147,9 @@ def fit(texts: list[str], langs: list[str]) -> Model:
         at = np.searchsorted(grams, gram).clip(max=len(grams) - 1)
         known = grams[at] == gram
         for t in range(j - i):
-            own = slice(edge[t], edge[t + 1])
-            kernel[i + t] = m[at[own][known[own]]].sum(axis=0) / np.sqrt(max(1, edge[t + 1] - edge[t]))
+            own = at[edge[t] : edge[t + 1]][known[edge[t] : edge[t + 1]]]
+            both = sum((held(own[x : x + _ROWS]).sum(axis=0, dtype=np.int64) for x in range(0, len(own), _ROWS)), np.zeros(len(marks), np.int64))
+            kernel[i + t] = both / (norm * np.sqrt(max(1, edge[t + 1] - edge[t])))
     values, vectors = np.linalg.eigh(kernel[marks])
     keep = values > 1e-8 * values.max()
     root = vectors[:, keep] / np.sqrt(values[keep])
@@ -154,7 +160,9 @@ def fit(texts: list[str], langs: list[str]) -> Model:
     solved = np.linalg.solve(centred.T @ centred + RIDGE * len(texts) / len(names) * np.eye(features.shape[1]), centred.T @ (target - mean_t))
     if len(names) == 1:
         mean_t = np.ones(1)
-    return Model(names, grams, (m @ (root @ solved)).astype(np.float64), mean_t - mean_f @ solved)
+    folded = (root @ solved) / norm[:, None]
+    weights = np.concatenate([(held(slice(x, x + _ROWS)) @ folded).astype(np.float32) for x in range(0, len(grams), _ROWS)])
+    return Model(names, grams, weights, mean_t - mean_f @ solved)
 
 
 def held_out(key: Column) -> Column:

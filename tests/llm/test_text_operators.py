@@ -102,12 +102,30 @@ def test_language_does_not_see_labels(documents):
     assert {r.doc_id: (r.lang_pred, r.score) for r in language_id.identify(other, model).collect()} == plain
 
 
+def brute_grams(text):
+    """The distinct n-grams of 1 to 4 characters of the folded text."""
+    folded = re.sub(" +", " ", "".join(c.lower() if c.isalpha() and len(c.lower()) == 1 else c if c.isalpha() else " " for c in f" {text or ''} "))
+    return {folded[i : i + n] for n in range(1, 5) for i in range(len(folded) - n + 1)}
+
+
+def test_language_grams_equal_plain_sets():
+    """As many n-grams as plain sets have, shared by as many texts, but for a few that share a bucket."""
+    texts = ["The cat, and THE dog!", "", None, "?!", "Straße İstanbul ǅ 日本語", " a  b ", "x" * 3000, "ab" * 50, "a\n\tb", "été été"] * 3
+    doc, gram, has = language_id.presence(texts)
+    own = [set(gram[doc == i].tolist()) for i in range(len(texts))]
+    plain = [brute_grams(t) for t in texts]
+    for i in range(10):
+        assert len(own[i]) == len(plain[i]) and own[i] == own[i + 10] and has[i] == any(c.isalpha() for c in texts[i] or "")
+        for j in range(10):
+            assert len(own[i] & own[j]) == len(plain[i] & plain[j])
+
+
 def test_language_scores_equal_the_kernel():
     """The folded weights give what kernels with each landmark give."""
     texts = ["the cat and the dog", "der Hund und die Katze", "the bird sings", "die Vögel singen", "a house", "ein Haus"]
     langs = ["en", "de"] * 3
     model = language_id.fit(texts, langs)
-    sets = [set(language_id.presence([t])[1].tolist()) for t in texts]
+    sets = [brute_grams(t) for t in texts]
     kernel = lambda a, b: len(a & b) / np.sqrt(len(a) * len(b))
     gram = np.array([[kernel(a, b) for b in sets] for a in sets])
     values, vectors = np.linalg.eigh(gram)
@@ -118,7 +136,7 @@ def test_language_scores_equal_the_kernel():
     centred = features - features.mean(axis=0)
     w = np.linalg.solve(centred.T @ centred + language_id.RIDGE * 3 * np.eye(keep.sum()), centred.T @ (target - target.mean(axis=0)))
     fresh = "the dogs sing"
-    own = set(language_id.presence([fresh])[1].tolist())
+    own = brute_grams(fresh)
     want = np.array([kernel(own, s) for s in sets]) @ root @ w + target.mean(axis=0) - features.mean(axis=0) @ w
     assert np.allclose(model.scores([fresh])[0][0], want, atol=1e-5)
 
@@ -153,6 +171,19 @@ def test_rare_languages_of_many_are_learned(spark, monkeypatch):
     assert sorted(langs) == sorted({r[2] for r in rows})
 
 
+def test_many_languages_keep_their_share(spark):
+    """120 languages, 20 of them rare: each has as many texts as it has or as its share allows."""
+    rows = [(i, f"text number {i} of language l{i % 100}", f"l{i % 100}") for i in range(12_000)] + [(i, f"rare {i}", f"rare{i % 20}") for i in range(12_000, 12_400)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    texts, langs = language_id.training_sample(df)
+    share = language_id.SAMPLE // 120
+    free = [la for i, _, la in rows if zlib.crc32(str(i).encode()) % 4 != 2]
+    for la in set(free):
+        assert langs.count(la) == min(share, free.count(la))
+    model = language_id.fit(texts, langs)
+    assert len(model.langs) == 120 and model.weights.dtype == np.float32
+
+
 def test_license_places(odd, none, spark):
     rows = {r.doc_id: r for r in license_scan.scan(odd.select("doc_id", "text", "_words", "_row", "labels", "`a.b`")).collect()}
     r = rows[8]
