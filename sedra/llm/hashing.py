@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterator
 from itertools import chain
 
@@ -13,12 +14,16 @@ _PAD = 40  # readable bytes after the last word
 CHUNK_BYTES = 1_000_000  # of text that are worked on at once
 
 
-def chunks(texts: list[str | None], size: int = CHUNK_BYTES) -> Iterator[tuple[int, int]]:
-    """Ranges of texts of about `size` characters each; a longer text is a range of its own."""
+CHUNK_TEXTS = 1024  # that are worked on at once
+LONG = 1 << 16  # bytes of a shingle from which the library hashes it alone
+
+
+def chunks(texts: list[str | None], size: int = CHUNK_BYTES, most: int = CHUNK_TEXTS) -> Iterator[tuple[int, int]]:
+    """Ranges of up to `most` texts of about `size` characters in all; a longer text is a range of its own."""
     start, total = 0, 0
     for i, t in enumerate(texts):
         n = len(t) if t else 0
-        if total and total + n > size:
+        if i - start == most or (total and total + n > size):
             yield start, i
             start, total = i, 0
         total += n
@@ -43,6 +48,14 @@ def mix(h: np.ndarray) -> np.ndarray:
 
 def xxh64(buf: np.ndarray, starts: np.ndarray, lens: np.ndarray, seed: int = 42) -> np.ndarray:
     """XXH64 of the slices buf[start:start+len]; buf (uint8) must go on for 40 bytes after the last slice."""
+    long = np.flatnonzero(lens > LONG)
+    if len(long):
+        import xxhash
+
+        out, short = np.empty(len(lens), np.uint64), lens <= LONG
+        out[short] = xxh64(buf, starts[short], lens[short], seed)
+        out[long] = [xxhash.xxh64_intdigest(buf[a : a + n].data, seed) for a, n in zip(starts[long].tolist(), lens[long].tolist(), strict=True)]
+        return out
     lane64 = np.ndarray((len(buf) - 7,), "<u8", buf, strides=(1,))
     lane32 = np.ndarray((len(buf) - 3,), "<u4", buf, strides=(1,))
     order = np.argsort(lens.astype(np.uint16) if lens.size and lens.max() < 65536 else lens, kind="stable")
@@ -84,13 +97,49 @@ def xxh64(buf: np.ndarray, starts: np.ndarray, lens: np.ndarray, seed: int = 42)
     return out
 
 
-def shingle_hashes(texts: list[str | None], k: int, seed: int = 42) -> tuple[np.ndarray, np.ndarray]:
-    """XXH64 of every text's k-word shingles, text after text, and how many each text has.
+def shingle_hashes(texts: list[str | None], k: int, seed: int = 42) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """(text numbers in rising order, XXH64 values) of the texts' k-word shingles, in pieces of about CHUNK_BYTES of text; a longer text comes in several.
 
     Words: A-Z lower-cased, split at ASCII white space; a shingle's words are joined by a space. A text of fewer words
-    has one shingle, one without words or null none. The words of a text stand joined in one buffer, so a shingle is a slice of it.
+    has one shingle, one without words or null none.
     """
-    split = [t.encode("utf-8", "surrogatepass").lower().split() if t else [] for t in texts]
+    for i, j in chunks(texts, CHUNK_BYTES):
+        if j - i == 1 and texts[i] and len(texts[i]) > CHUNK_BYTES:
+            for words in _word_pieces(texts[i], k):
+                yield np.full(max(1, len(words) - k + 1), i), _hashes([words], k, seed)[0]
+        else:
+            h, counts = _hashes([_words(t) for t in texts[i:j]], k, seed)
+            yield np.repeat(np.arange(i, j), counts), h
+
+
+def _words(text: str | None) -> list[bytes]:
+    return text.encode("utf-8", "surrogatepass").lower().split() if text else []
+
+
+def _word_pieces(text: str, k: int) -> Iterator[list[bytes]]:
+    """The words of a long text, so that each shingle is in just one piece: a piece begins with the last k - 1 words of the one before."""
+    held: list[bytes] = []
+    found = False
+    at = 0
+    while at < len(text):
+        gap = _GAP.search(text, at + CHUNK_BYTES)
+        stop = gap.start() if gap else len(text)
+        words = held + _words(text[at:stop])
+        at = stop
+        if len(words) >= k:
+            found = True
+            yield words
+            words = words[len(words) - k + 1 :]
+        held = words
+    if held and not found:
+        yield held
+
+
+_GAP = re.compile("[\\x20\\x09-\\x0D]")
+
+
+def _hashes(split: list[list[bytes]], k: int, seed: int) -> tuple[np.ndarray, np.ndarray]:
+    """The shingles' values, text after text, and how many each text has. The words stand joined in one buffer, so a shingle is a slice of it."""
     counts = np.fromiter(map(len, split), np.int64, len(split))
     per_text = np.where(counts >= k, counts - k + 1, (counts > 0).astype(np.int64))
     if not counts.sum():

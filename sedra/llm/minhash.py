@@ -48,12 +48,10 @@ def _densify(least: np.ndarray) -> np.ndarray:
 
 def signatures(texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
     """(LOW-bit values of shape texts x BINS, whether the text has any word)."""
-    h, counts = shingle_hashes(texts, WORDS, SEED)
     least = np.full((len(texts), BINS), _NONE, np.uint64)
-    doc = np.repeat(np.arange(len(texts)), counts)
-    place = doc * BINS + (h >> np.uint64(64 - BIN_BITS)).astype(np.int64)
-    np.minimum.at(least.ravel(), place, h & np.uint64((1 << (64 - BIN_BITS)) - 1))
-    some = counts > 0
+    for doc, h in shingle_hashes(texts, WORDS, SEED):
+        np.minimum.at(least.ravel(), doc * BINS + (h >> np.uint64(64 - BIN_BITS)).astype(np.int64), h & np.uint64((1 << (64 - BIN_BITS)) - 1))
+    some = (least != _NONE).any(axis=1)
     least[some] = _densify(least[some])
     # Mixed with the bin's number, so that bins which copied one value agree with another text's by chance independently.
     with np.errstate(over="ignore"):

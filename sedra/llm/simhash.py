@@ -46,19 +46,19 @@ _SPREAD = np.array([sum(((b >> k) & 1) << (8 * k) for k in range(8)) for b in ra
 
 def fingerprints_of(texts: list[str | None], words: int = WORDS, seed: int = SEED) -> np.ndarray:
     """The texts' fingerprints (uint64); zero for null or no words."""
-    h, counts = shingle_hashes(texts, words, seed)
-    out = np.zeros(len(texts), np.uint64)
-    if not len(h):
-        return out
-    # Each hash becomes eight words with a bit in each byte; up to 255 of them add up without a carry.
-    spread = _SPREAD[h.view(np.uint8).reshape(-1, 8)]
-    blocks = -(-counts // 255)
-    starts = np.repeat(np.cumsum(counts) - counts, blocks) + 255 * within(blocks)
-    sums = np.add.reduceat(spread, starts, axis=0).view(np.uint8).reshape(-1, 64).astype(np.int64)
-    full = np.flatnonzero(counts)
-    ones = np.add.reduceat(sums, (np.cumsum(blocks) - blocks)[full], axis=0)
-    out[full] = np.packbits(2 * ones > counts[full, None], axis=1, bitorder="little").view("<u8").ravel()
-    return out
+    ones, counts = np.zeros((len(texts), BITS), np.int64), np.zeros(len(texts), np.int64)
+    for doc, h in shingle_hashes(texts, words, seed):
+        if not len(h):
+            continue
+        # Each hash becomes eight words with a bit in each byte; up to 255 of them add up without a carry.
+        spread = _SPREAD[h.view(np.uint8).reshape(-1, 8)]
+        own, first, n = np.unique(doc, return_index=True, return_counts=True)
+        blocks = -(-n // 255)
+        starts = np.repeat(first, blocks) + 255 * within(blocks)
+        sums = np.add.reduceat(spread, starts, axis=0).view(np.uint8).reshape(-1, 64).astype(np.int64)
+        ones[own] += np.add.reduceat(sums, np.cumsum(blocks) - blocks, axis=0)
+        counts[own] += n
+    return np.packbits(2 * ones > counts[:, None], axis=1, bitorder="little").view("<u8").ravel()
 
 
 def fingerprints(df: DataFrame, text: str = "text", key: str = "doc_id") -> DataFrame:

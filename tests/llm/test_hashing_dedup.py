@@ -53,6 +53,55 @@ def brute_components(rows):
     return {(i, f): least[find(f)] for i, f in rows}
 
 
+def test_long_texts_come_in_pieces(monkeypatch):
+    """Cut into pieces of any size, a text has the same shingles."""
+    rng = random.Random(6)
+    texts = [" ".join(rng.choice(("ab", "Cd", "é", "x" * 70, "\u00a0")) for _ in range(rng.randrange(60))) for _ in range(40)] + [None, "", " \n", "a" * 200_000, f"b {'c' * 70_000} d e f", "one two"]
+    for size in (1, 10, 100, hashing.CHUNK_BYTES):
+        monkeypatch.setattr(hashing, "CHUNK_BYTES", size)
+        for k in (1, 3, 5):
+            found = [(int(d), int(h)) for docs, hs in hashing.shingle_hashes(texts, k) for d, h in zip(docs, hs, strict=True)]
+            want = []
+            for i, t in enumerate(texts):
+                w = brute_words(t)
+                want += [(i, xxhash.xxh64_intdigest(b" ".join(w[a : a + k]), 42)) for a in range(max(len(w) - k + 1, min(1, len(w))))]
+            assert found == want
+        assert simhash.fingerprints_of(texts).tolist() == [brute_simhash(t) for t in texts]
+
+
+def brute_minhash(text):
+    """One-permutation MinHash in Python integers."""
+    w = brute_words(text)
+    if not w:
+        return ""
+    rest_bits, full = 64 - minhash.BIN_BITS, (1 << 64) - 1
+    least = {}
+    for p in [b" ".join(w[i : i + 5]) for i in range(len(w) - 4)] or [b" ".join(w)]:
+        h = xxhash.xxh64_intdigest(p, 42)
+        b, v = h >> rest_bits, h & ((1 << rest_bits) - 1)
+        least[b] = min(v, least.get(b, v))
+
+    def mixed(x):
+        x = (x ^ x >> 33) * 0xC2B2AE3D27D4EB4F & full
+        x = (x ^ x >> 29) * 0x165667B19E3779F9 & full
+        return x ^ x >> 32
+
+    digits = []
+    for b in range(minhash.BINS):
+        at, k = b, 0
+        while at not in least:
+            k += 1
+            at = mixed(b * 0x9E3779B97F4A7C15 + k & full) >> rest_bits
+        digits.append(mixed(least[at] + b * 0x9E3779B97F4A7C15 & full) & 15)
+    return "".join(f"{d:x}" for d in digits)
+
+
+def test_minhash_equals_plain_python():
+    rng = random.Random(9)
+    texts = [None, "", "a", "The the THE", "a b c d e f", " ".join(str(rng.randrange(50)) for _ in range(3000)), "x " * 900] + [" ".join(rng.choice("abcdefgh") for _ in range(n)) for n in (3, 5, 6, 20, 200)]
+    assert minhash.packed(*minhash.signatures(texts)) == [brute_minhash(t) for t in texts]
+
+
 def test_masks_cover_every_pair():
     for family in (simhash.FIRST, simhash.SECOND):
         tables = simhash.masks(family)
