@@ -46,17 +46,39 @@ def _densify(least: np.ndarray) -> np.ndarray:
     return out
 
 
-def signatures(texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
-    """(LOW-bit values of shape texts x BINS, whether the text has any word)."""
+def bins(texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
+    """(the bins' values after densification, of shape texts x BINS, whether the text has any word)."""
     least = np.full((len(texts), BINS), _NONE, np.uint64)
     for doc, h in shingle_hashes(texts, WORDS, SEED):
         np.minimum.at(least.ravel(), doc * BINS + (h >> np.uint64(64 - BIN_BITS)).astype(np.int64), h & np.uint64((1 << (64 - BIN_BITS)) - 1))
     some = (least != _NONE).any(axis=1)
     least[some] = _densify(least[some])
-    # Mixed with the bin's number, so that bins which copied one value agree with another text's by chance independently.
+    return least, some
+
+
+def low_bits(least: np.ndarray) -> np.ndarray:
+    """The LOW bits that are kept of each bin. They are mixed with the bin's number, so that bins which copied one value agree with another text's by chance independently."""
     with np.errstate(over="ignore"):
         low = mix(least + np.arange(BINS, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15))
-    return (low & np.uint64((1 << LOW) - 1)).astype(np.uint8), some
+    return (low & np.uint64((1 << LOW) - 1)).astype(np.uint8)
+
+
+def signatures(texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
+    """(LOW-bit values of shape texts x BINS, whether the text has any word)."""
+    least, some = bins(texts)
+    return low_bits(least), some
+
+
+def band_keys(least: np.ndarray, bands: int, rows: int) -> np.ndarray:
+    """A key for each of `bands` groups of `rows` bins (uint64, texts x bands): texts that agree in a group share its key."""
+    out = np.empty((len(least), bands), np.uint64)
+    with np.errstate(over="ignore"):
+        for b in range(bands):
+            key = np.full(len(least), b + 1, np.uint64)
+            for r in range(rows):
+                key = mix((key + least[:, (b * rows + r) * BINS // (bands * rows)]) * np.uint64(0x9E3779B97F4A7C15))
+            out[:, b] = key
+    return out
 
 
 def packed(values: np.ndarray, some: np.ndarray) -> list[str]:

@@ -23,6 +23,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import LongType, StructField, StructType
 
+from sedra.llm import near_copies
 from sedra.llm.components import components
 from sedra.llm.hashing import chunks, shingle_hashes, within
 from sedra.llm.shared import cut, in_batches
@@ -153,12 +154,34 @@ def links(fps: DataFrame) -> DataFrame:
     return _bucket_edges(cold.select("fps").unionByName(hot.select("fps")))
 
 
-def _components(df: DataFrame, text: str, key: str) -> tuple[DataFrame, DataFrame]:
-    """(k, fp) for each row of df, and (fp, least, rep) for each fingerprint: its least key, and a fingerprint that stands for its component."""
-    docs = cut(fingerprints(df, text, key).withColumnRenamed(key, "k"))
+def _sketched(df: DataFrame, text: str, key: str) -> DataFrame:
+    """(k, fp, keys, bins) for each row of df: its fingerprint, and what near_copies.links() takes."""
+    source = df.select(F.col(key).alias("k"), F.col(text).alias("x"))
+    kind = source.schema["k"].dataType.simpleString()
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            texts = b["x"].to_pylist()
+            for i, j in chunks(texts):
+                yield pa.RecordBatch.from_arrays([b["k"].slice(i, j - i), pa.array(fingerprints_of(texts[i:j]).view(np.int64)), *near_copies.sketch(texts[i:j])], names=["k", "fp", "keys", "bins"])
+
+    return in_batches(source, run, f"k {kind}, fp long, {near_copies.SKETCH}")
+
+
+def _components(df: DataFrame, text: str, key: str, copies: bool = False) -> tuple[DataFrame, DataFrame]:
+    """(k, fp) for each row of df, and (fp, least, rep) for each fingerprint: its least key, and a fingerprint that stands for its component. With `copies`, near copies by their shingles are linked too."""
+    docs = cut(_sketched(df, text, key) if copies else fingerprints(df, text, key).withColumnRenamed(key, "k"))
     classes = docs.groupBy("fp").agg(F.min("k").alias("least"))
-    roots = components(links(classes.select("fp"))).select(F.col("u").alias("fp"), F.col("v").alias("rep"))
-    return docs, cut(classes.join(roots, "fp", "left").select("fp", "least", F.coalesce("rep", "fp").alias("rep")))
+    edges = links(classes.select("fp"))
+    if copies:
+        # The sketch of one row of the least key stands for the fingerprint's texts.
+        classes = cut(classes)
+        own = docs.join(classes.withColumnRenamed("fp", "_fp"), (F.col("fp") == F.col("_fp")) & F.col("k").eqNullSafe(F.col("least"))).select("fp", "keys", "bins")
+        if not docs.groupBy("k", "fp").count().where("count > 1").isEmpty():
+            own = own.dropDuplicates(["fp"])
+        edges = edges.unionByName(near_copies.links(cut(own)))
+    roots = components(edges).select(F.col("u").alias("fp"), F.col("v").alias("rep"))
+    return docs.select("k", "fp"), cut(classes.join(roots, "fp", "left").select("fp", "least", F.coalesce("rep", "fp").alias("rep")))
 
 
 def near_duplicates(df: DataFrame, text: str = "text", key: str = "doc_id") -> DataFrame:
@@ -189,13 +212,17 @@ def _with_fingerprint(df: DataFrame, name: str, text: str) -> DataFrame:
 
 
 def representatives(df: DataFrame, text: str = "text", key: str = "doc_id") -> DataFrame:
-    """One row of df for each group of links that near_duplicates() follows: one of the least key, and of its least fingerprint there. A null key stays only where no other key is in the group."""
+    """One row of df for each group of links: one of the least key, and of its least fingerprint there. A null key stays only where no other key is in the group.
+
+    Texts link as in near_duplicates(), or where they share near_copies.LIKENESS of their five-word shingles: such copies
+    often differ in more than RADIUS bits.
+    """
     name, own = "_kept", "_fp"
     while name in df.columns:
         name += "_"
     while own in df.columns:
         own += "_"
-    docs, named = _components(df, text, key)
+    docs, named = _components(df, text, key, copies=True)
     least = named.groupBy("rep").agg(F.min(F.struct(F.col("least").isNull().alias("none"), "least", "fp")).alias("m"))
     kept = cut(least.select(F.col("m.least").alias(name), F.col("m.fp").alias("fp")))
     # Most keys are kept, so their table grows with the documents: never broadcast, whatever its size. Keys are spread evenly.

@@ -12,7 +12,7 @@ import xxhash
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
-from sedra.llm import components, hashing, minhash, queries, simhash
+from sedra.llm import components, hashing, minhash, near_copies, queries, simhash
 
 
 @settings(max_examples=60, deadline=None)
@@ -102,6 +102,38 @@ def test_minhash_equals_plain_python():
     assert minhash.packed(*minhash.signatures(texts)) == [brute_minhash(t) for t in texts]
 
 
+def brute_groups(texts):
+    """texts {id: text}: the least id of each one's group, by all pairs of fingerprints and of packed bins."""
+    ids, root = sorted(texts), {i: i for i in texts}
+    fps, (low, some) = simhash.fingerprints_of([texts[i] for i in ids]), minhash.signatures([texts[i] for i in ids])
+
+    def find(x):
+        while root[x] != x:
+            x = root[x]
+        return x
+
+    for a, i in enumerate(ids):
+        near = np.bitwise_count(fps ^ fps[a]) <= 3
+        if some[a]:
+            near |= some & (((low == low[a]).mean(axis=1) - 1 / 16) / (15 / 16) >= near_copies.LIKENESS)
+        for b in np.flatnonzero(near):
+            x, y = find(i), find(ids[b])
+            root[max(x, y)] = min(x, y)
+    return {i: find(i) for i in ids}
+
+
+def test_groups_equal_all_pairs(spark, data):
+    """Over 1,000 documents: one of each group stays, and true shingle likeness of 0.8 or more puts a pair in one group."""
+    docs = spark.read.parquet(f"{data}/../sf0.01/documents.parquet")
+    texts = {r.doc_id: r.text for r in docs.collect()}
+    least = brute_groups(texts)
+    kept = simhash.representatives(docs)
+    assert kept.columns == docs.columns and sorted(r.doc_id for r in kept.collect()) == sorted({*least.values()})
+    sets = {i: {tuple(w[k : k + 5]) for k in range(max(1, len(w) - 4))} for i, w in ((i, brute_words(t)) for i, t in texts.items()) if w}
+    alike = [(a, b) for a, b in combinations(sorted(sets), 2) if 5 * min(len(sets[a]), len(sets[b])) >= 4 * max(len(sets[a]), len(sets[b])) and 5 * len(sets[a] & sets[b]) >= 4 * len(sets[a] | sets[b])]
+    assert len(alike) > 50 and sum(least[a] == least[b] for a, b in alike) >= 0.9 * len(alike)
+
+
 def test_masks_cover_every_pair():
     for family in (simhash.FIRST, simhash.SECOND):
         tables = simhash.masks(family)

@@ -291,11 +291,10 @@ def test_pipeline_equals_its_parts(spark, data, documents):
     model = language_id.fit(*language_id.training_sample(documents))
     langs, _ = model.predict([r.text for r in rows.values()])
     kept = {i: (r.text, la, r.source) for (i, r), la in zip(rows.items(), langs, strict=True) if la != "und"}
-    fp = dict(zip(kept, simhash.fingerprints_of([t for t, _, _ in kept.values()]).tolist(), strict=True))
-    from tests.llm.test_hashing_dedup import brute_components
+    from tests.llm.test_hashing_dedup import brute_groups
 
-    root = brute_components(list(fp.items()))
-    kept = {i: v for i, v in kept.items() if root[i, fp[i]] == i}
+    least = brute_groups({i: t for i, (t, _, _) in kept.items()})
+    kept = {i: v for i, v in kept.items() if least[i] == i}
     table = spark.createDataFrame([(i, *v) for i, v in kept.items()], "doc_id long, text string, lang string, source string")
     slim = [tuple(r) for r in mixing.slim_of(table).collect()]
     want = sorted((k, tuple(own.encode(kept[k][0]))) for k, *_ in brute_mix(slim, mixing.PLAN))
