@@ -1,7 +1,7 @@
 """Licence scan by a positional index of rare tokens, in DataFrame functions alone.
 
 A template is a licence's text or a phrase, as a sequence of words. Words are ranked by inverse document frequency over
-the set of templates; each template's RARE highest go into the index with their offsets. A file's words are looked up in
+the set of templates; each template's highest, up to RARE, go into the index with their offsets. A file's words are looked up in
 it, and each posting proposes a start of its template: the word's place less its offset. Proposals that agree are one, and
 the postings that stand at their relative positions from it are counted, so any share of a template's rare words can find
 it, whichever of them were changed. A template is found where enough of them are in place and its mandatory key phrase
@@ -28,7 +28,7 @@ from sedra.llm.shared import UPPER, ascii_lower
 #: What separates words, in lower-cased text.
 GAP = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 TEXTS = Path(__file__).with_name("data") / "licences.txt"  # templates that add labels of the method's own
-RARE = 12  # indexed words of a template
+RARE = 12  # indexed words of a template at most, and half of a shorter one's, so that its common words stay out
 ENOUGH = 0.5  # share of them that must stand in place in a text with more words than that,
 ENOUGH_SHORT = 0.7  # and in a shorter phrase
 SLACK = 8  # words by which a key phrase may be off its place, where words before it were put in or left out
@@ -90,7 +90,7 @@ def index(texts: tuple[Template, ...] | None = None) -> list[Indexed]:
             rare, needed = list(range(len(words))), len(words)
         else:
             first = sorted({w: i for i, w in reversed(list(enumerate(words)))}.values(), key=lambda i: (-math.log(len(texts) / df[words[i]]), zlib.crc32(words[i].encode()), i))
-            rare = sorted(first[:RARE])
+            rare = sorted(first[: min(RARE, max(3, len(words) // 2))])
             needed = math.ceil((ENOUGH if len(words) > RARE else ENOUGH_SHORT) * len(rare))
         out.append(Indexed(t, tuple((i, words[i]) for i in rare), tuple(key), at, needed))
     return out
