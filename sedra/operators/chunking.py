@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 from sedra.functions import text as T
 from sedra.functions.text import let
-from sedra.operators.splitters import METHODS, Size, split
+from sedra.operators.splitters import METHODS, Size, grouped, split
 
 
 def _not_blank(chunks: Column) -> Column:
@@ -71,21 +71,14 @@ def with_overlap(chunks: DataFrame, size: Size, key: str = "doc_id", pos: str =
 
 
 def grouped_sentences(parts: Column, size: Size) -> Column:
-    """Sentences that go on with each other, joined while they fit: a fold over pairs that are judged beforehand."""
+    """Sentences that go on with each other, joined while they fit."""
 
-    def folded(parts: Column) -> Column:
-        pairs = F.transform(F.sequence(F.lit(2), F.size(parts)), lambda i: F.struct(F.element_at(parts, i).alias("s"), T.should_group(F.element_at(parts, i - 1), F.element_at(parts, i)).alias("on")))
-
-        def fold(state: Column, pair: Column) -> Column:
-            joins = pair["on"] & (F.length(state["open"]) + F.length(pair["s"]) + 1 <= size.chunk)
-            grown = F.struct(state["done"].alias("done"), F.concat(state["open"], F.lit(" "), pair["s"]).alias("open"))
-            return F.when(joins, grown).otherwise(F.struct(F.concat(state["done"], F.array(state["open"])).alias("done"), pair["s"].alias("open")))
-
-        start = F.struct(F.array().cast("array<string>").alias("done"), F.element_at(parts, 1).alias("open"))
-        groups = F.aggregate(pairs, start, fold, lambda state: F.concat(state["done"], F.array(state["open"])))
-        return F.when(F.size(parts) <= 2, F.array(F.array_join(parts, " "))).otherwise(groups)
+    @F.pandas_udf("array<string>")
+    def run(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        for lists in batches:
+            yield lists.map(lambda own: grouped(list(own), size))
 
-    return let(parts, folded)
+    return run(parts)
 
 
 def _splitter(method: str, size: Size, ask: Callable[[str], list[int]] | None) -> Callable:

@@ -1,10 +1,11 @@
 """Texts to vectors. The default embedder hashes words to buckets; a model can take its place.
 
-The words and their buckets come from JVM functions; Python only counts integers, a batch at a time.
+The words come from JVM functions; Python hashes each distinct word of a batch once, and counts integers.
 """
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
@@ -17,9 +18,9 @@ from pyspark.sql import functions as F
 from sedra.functions import text as T
 
 
-def buckets(text: Column, dim: int) -> Column:
-    """The bucket of each word: the first 32 bits of its MD5 modulo dim."""
-    return F.transform(T.words(F.lower(F.coalesce(text, F.lit("")))), lambda w: (F.conv(F.substring(F.md5(w.cast("binary")), 1, 8), 16, 10).cast("long") % dim).cast("int"))
+def bucket(word: str, dim: int) -> int:
+    """The bucket of a word: the first 32 bits of its MD5 modulo dim."""
+    return int.from_bytes(hashlib.md5(word.encode("utf-8", "surrogatepass")).digest()[:4], "big") % dim
 
 
 def _counter(dim: int) -> Callable:
@@ -28,8 +29,9 @@ def _counter(dim: int) -> Callable:
         for lists in batches:
             n = len(lists)
             row = np.repeat(np.arange(n), np.diff(np.asarray(lists.offsets)))
-            flat = np.asarray(lists.flatten()).astype(np.int64)
-            counts = np.bincount(row * dim + flat, minlength=n * dim).reshape(n, dim).astype(np.float64)
+            words = lists.flatten().dictionary_encode()
+            hashed = np.fromiter((bucket(w, dim) for w in words.dictionary.to_pylist()), np.int64, len(words.dictionary))
+            counts = np.bincount(row * dim + hashed[np.asarray(words.indices)], minlength=n * dim).reshape(n, dim).astype(np.float64)
             length = np.sqrt((counts**2).sum(axis=1, keepdims=True))
             counts = np.divide(counts, length, out=counts, where=length > 0)
             yield pa.ListArray.from_arrays(pa.array(np.arange(n + 1) * dim, pa.int32()), pa.array(counts.ravel()))
@@ -48,7 +50,7 @@ class HashingEmbedder:
         return f"hashing-{self.dim}"
 
     def embed(self, text: Column) -> Column:
-        return _counter(self.dim)(buckets(text, self.dim))
+        return _counter(self.dim)(T.words(F.lower(F.coalesce(text, F.lit("")))))
 
 
 @dataclass(frozen=True)

@@ -68,25 +68,28 @@ def terms(text: Column) -> Column:
 
 
 def tfidf_terms(candidates: DataFrame) -> DataFrame:
-    """(query_id, doc_id, term, tf, df, idf, weight): TF-IDF of each document, fitted on its query's candidates, rows of length 1."""
-    tf = candidates.select("query_id", "doc_id", F.explode(terms(F.col("document"))).alias("term")).groupBy("query_id", "doc_id", "term").agg(F.count("*").alias("tf"))
-    order = Window.partitionBy("query_id").orderBy(F.desc("total"), "term")
-    vocabulary = tf.groupBy("query_id", "term").agg(F.count("*").alias("df"), F.sum("tf").alias("total")).withColumn("place", F.row_number().over(order)).where(F.col("place") <= MOST_TERMS)
-    n = candidates.groupBy("query_id").agg(F.count("*").alias("n"))
-    idf = vocabulary.join(n, "query_id").select("query_id", "term", "df", (F.log((1 + F.col("n")) / (1 + F.col("df"))) + 1).alias("idf"))
-    raw = tf.join(idf, ["query_id", "term"]).withColumn("w", F.col("tf") * F.col("idf"))
-    length = F.sqrt(F.sum(F.col("w") * F.col("w")).over(Window.partitionBy("query_id", "doc_id")))
+    """(query_id, doc_id, term, tf, df, idf, weight): TF-IDF of each document, fitted on its query's candidates, rows of length 1.
+
+    Candidates are dealt by query once; all counts after that are within a query's few documents.
+    """
+    by = lambda *keys: Window.partitionBy("query_id", *keys)
+    sized = candidates.select("query_id", "doc_id", "document").withColumn("n", F.count("*").over(_query()))
+    tf = sized.select("query_id", "doc_id", "n", F.explode(terms(F.col("document"))).alias("term")).groupBy("query_id", "doc_id", "n", "term").agg(F.count("*").alias("tf"))
+    counted = tf.withColumn("df", F.count("*").over(by("term"))).withColumn("total", F.sum("tf").over(by("term")))
+    known = counted.withColumn("place", F.dense_rank().over(_query().orderBy(F.desc("total"), "term"))).where(F.col("place") <= MOST_TERMS)
+    raw = known.withColumn("idf", F.log((1 + F.col("n")) / (1 + F.col("df"))) + 1).withColumn("w", F.col("tf") * F.col("idf"))
+    length = F.sqrt(F.sum(F.col("w") * F.col("w")).over(by("doc_id")))
     return raw.select("query_id", "doc_id", "term", "tf", "df", "idf", (F.col("w") / length).alias("weight"))
 
 
 def tfidf_scores(candidates: DataFrame) -> DataFrame:
     """(query_id, doc_id, tfidf): the product of the query's vector with each candidate's; terms that no candidate has are ignored."""
-    weights = tfidf_terms(candidates)
-    asked = candidates.select("query_id", "query").distinct().select("query_id", F.explode(terms(F.col("query"))).alias("term")).groupBy("query_id", "term").agg(F.count("*").alias("tf"))
-    known = asked.join(weights.select("query_id", "term", "idf").distinct(), ["query_id", "term"]).withColumn("w", F.col("tf") * F.col("idf"))
-    unit = known.select("query_id", "term", (F.col("w") / F.sqrt(F.sum(F.col("w") * F.col("w")).over(_query()))).alias("q"))
-    hit = weights.join(unit, ["query_id", "term"]).groupBy("query_id", "doc_id").agg(F.round(F.sum(F.col("weight") * F.col("q")), 12).alias("tfidf"))  # rounded, as sums of equal documents may differ in their order
-    return candidates.select("query_id", "doc_id").join(hit, ["query_id", "doc_id"], "left").select("query_id", "doc_id", F.coalesce("tfidf", F.lit(0.0)).alias("tfidf"))
+    asked = candidates.groupBy("query_id").agg(F.first("query").alias("query")).select("query_id", F.explode(terms(F.col("query"))).alias("term")).groupBy("query_id", "term").agg(F.count("*").alias("asked"))
+    hit = tfidf_terms(candidates).join(asked, ["query_id", "term"]).withColumn("q", F.col("asked") * F.col("idf"))
+    # A term that several candidates have is one of the query's vector.
+    unit = F.sqrt(F.sum(F.col("q") * F.col("q") / F.col("df")).over(_query()))
+    own = hit.withColumn("unit", unit).groupBy("query_id", "doc_id").agg(F.round(F.sum(F.col("weight") * F.col("q") / F.col("unit")), 12).alias("tfidf"))  # rounded, as sums of equal documents may differ in their order
+    return candidates.select("query_id", "doc_id").join(own, ["query_id", "doc_id"], "left").select("query_id", "doc_id", F.coalesce("tfidf", F.lit(0.0)).alias("tfidf"))
 
 
 def with_score(candidates: DataFrame, method: str, score: Column) -> DataFrame:

@@ -259,7 +259,7 @@ ORACLES: dict[str, str] = {
     "vectorized_files": f"""with {STORED}, files as (select distinct source as name, source as url from documents union all select 'file' || doc_id, 'file' || doc_id from labels where toxic = 1),
     have as (select source as url, count(*) as n from stored group by source)
     select name, url, n is not null as vectorized, coalesce(n, 0) as n_chunks from files left join have using (url)""",
-    "delete_by_source": f"""with {STORED}, gone as (select distinct source from labels join documents using (doc_id) where toxic = 1 and doc_id % 7 = 0)
+    "delete_by_source": f"""with {STORED}, gone as (select distinct source from labels join documents using (doc_id) where toxic = 1)
     select source, count(*) as n from stored where source not in (select source from gone) group by source""",
     "prompt_build": f"""with {SCORES}, placed as (select *, row_number() over (partition by query_id order by cross_score desc, retrieval_rank)::int as rank from scored),
     l as (select query_id, string_agg(replace(replace({q(LINE)}, '%d', rank::varchar), '%s', document), '' order by rank) as body from placed where rank <= 5 group by query_id)

@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from sedra.operators.embedding import HashingEmbedder, ModelEmbedder
 from sedra.operators.ranking import Reranking, candidates_of, ranked
 from sedra.operators.vectors import BROADCAST_QUERIES, nearest
+from sedra.sources.shared import cut
 
 MOST_FOR_FEW = 32  # candidates of a query up to which those of BROADCAST_QUERIES queries are broadcast
 
@@ -21,7 +22,8 @@ def retrieve(queries: DataFrame, documents: DataFrame, k: int = 10, metric: str
     vectors = documents if "embedding" in documents.columns else documents.select("doc_id", embedder.embed(F.col("document")).alias("embedding"))
     asked = queries.select("query_id", embedder.embed(F.col("query")).alias("embedding"))
     few = queries.limit(BROADCAST_QUERIES + 1).count() <= BROADCAST_QUERIES and k <= MOST_FOR_FEW
-    return candidates_of(nearest(asked, vectors, k, metric), queries, documents, few)
+    # Rerankers read the candidates several times: they are k rows a query, and written once.
+    return cut(candidates_of(nearest(asked, vectors, k, metric), queries, documents, few))
 
 
 @dataclass
