@@ -1,81 +1,162 @@
-"""A collection: a named, append-only table of (id, embedding, metadata, document), made by one embedder.
+"""A collection: a named table of (id, embedding, metadata, document), made by one embedder.
 
-It is a folder of versions, each a Parquet table. Appending adds files to the latest; deleting writes the next version
-without the rows, so readers of the one before are not disturbed, and drops older ones.
+It is a log. Each write puts Parquet files into a folder of their own, numbered by step: rows, or sources that are deleted
+from all earlier steps. Nothing that is stored is written again, so a write costs its own size. A step counts once the
+next manifest names it: a small file that is created only if there is none of its number, so that of two writers at once
+one goes first and the other follows, and readers keep what they began with. compact() folds the log into one step.
 """
 
 from __future__ import annotations
 
+import json
+import uuid
 from dataclasses import dataclass
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from sedra.sources.shared import drop, file_system, new_table
+
 METADATA = "struct<source_file:string,file_name:string,length:int,token:int,created_at:string>"
 SCHEMA = f"id string, embedding array<double>, metadata {METADATA}, document string"
+TRIES = 100  # of publishing a step, while other writers are first
 
 
 @dataclass
 class Collection:
+    """A collection in a folder, made if it isn't there; without a path, one of the session's own in the shared folder."""
+
     spark: SparkSession
-    path: str
+    path: str | None = None
     name: str = "documents"
     embedder: str = "hashing-64"
 
     def __post_init__(self) -> None:
-        self.path = f"{self.path.rstrip('/')}/{self.name}"
-        if not self._exists(f"{self.path}/meta"):
-            self.spark.createDataFrame([(self.name, self.embedder)], "name string, embedder string").coalesce(1).write.parquet(f"{self.path}/meta")
-            self.spark.createDataFrame([], SCHEMA).write.parquet(self._version(1))
-        made_by = self.spark.read.parquet(f"{self.path}/meta").first()["embedder"]
+        self.path = f"{(self.path or new_table(self.spark)).rstrip('/')}/{self.name}"
+        if self._newest() < 0:
+            self._create(0, {"embedder": self.embedder, "rows": [], "gone": []})
+        made_by = self._manifest()["embedder"]
         if made_by != self.embedder:
             raise ValueError(f"collection {self.name} was made with embedder {made_by}, not {self.embedder}")
 
-    def _fs(self, path: str):
-        target = self.spark._jvm.org.apache.hadoop.fs.Path(path)
-        return target.getFileSystem(self.spark._jsc.hadoopConfiguration()), target
-
-    def _exists(self, path: str) -> bool:
-        fs, target = self._fs(path)
-        return fs.exists(target)
-
-    def _version(self, n: int) -> str:
-        return f"{self.path}/version-{n:06d}"
-
-    def _latest(self) -> int:
-        fs, target = self._fs(self.path)
-        names = (s.getPath() for s in fs.listStatus(target))
-        return max(int(p.getName().split("-")[1]) for p in names if p.getName().startswith("version-") and self._exists(f"{p}/_SUCCESS"))
+    def _file(self, n: int) -> str:
+        return f"{self.path}/manifest-{n:08d}.json"
+
+    def _newest(self) -> int:
+        """The number of the last manifest, -1 for none."""
+        fs, target = file_system(self.spark, self.path)
+        if not fs.exists(target):
+            return -1
+        names = (s.getPath().getName() for s in fs.listStatus(target))
+        return max((int(n.split("-")[1].split(".")[0]) for n in names if n.startswith("manifest-")), default=-1)
+
+    def _create(self, n: int, content: dict) -> bool:
+        """Whether manifest n is ours now; False if there is one."""
+        fs, target = file_system(self.spark, self._file(n))
+        try:
+            out = fs.create(target, False)
+        except Exception as e:
+            if fs.exists(target):
+                return False
+            raise e
+        try:
+            out.write(bytearray(json.dumps(content).encode()))
+        finally:
+            out.close()
+        return True
+
+    def _manifest(self, n: int | None = None) -> dict:
+        """Manifest n or the last one; one that is being written counts as not there yet."""
+        n = self._newest() if n is None else n
+        while True:
+            text = "\n".join(r.value for r in self.spark.read.text(self._file(n), wholetext=True).collect())
+            try:
+                return json.loads(text) | {"number": n}
+            except ValueError:
+                if n == 0:
+                    raise
+                n -= 1
+
+    def _publish(self, kinds: dict[str, str]) -> int:
+        """Names written folders (kind: path) as the next step; returns its number."""
+        for _ in range(TRIES):
+            now = self._manifest()
+            step = now.pop("number") + 1
+            if self._create(step, {**now, **{k: [*now[k], [step, path]] for k, path in kinds.items()}}):
+                return step
+        raise RuntimeError(f"{TRIES} other writers were first")
+
+    def _write(self, df: DataFrame) -> str:
+        path = f"{self.path}/step-{uuid.uuid4().hex}"
+        df.write.parquet(path)
+        return path
+
+    def _read(self, steps: list, schema: str) -> DataFrame:
+        """The tables of [step, path] entries with their step; folders of one step share a name and a schema."""
+        out = self.spark.createDataFrame([], f"{schema}, step int")
+        if not steps:
+            return out
+        # One scan of all folders: the file's folder tells the step.
+        number = F.create_map(*[F.lit(x) for step, path in steps for x in (path.rsplit("/", 1)[1], step)])
+        rows = self.spark.read.schema(schema).parquet(*[path for _, path in steps])
+        return rows.withColumn("step", F.element_at(number, F.regexp_extract(F.col("_metadata.file_path"), r"/(step-[0-9a-f]+)/", 1)))
 
     def rows(self) -> DataFrame:
-        return self.spark.read.schema(SCHEMA).parquet(self._version(self._latest()))
-
-    def append(self, rows: DataFrame) -> None:
-        rows.select("id", F.col("embedding").cast("array<double>").alias("embedding"), F.col("metadata").cast(METADATA).alias("metadata"), "document").write.mode("append").parquet(self._version(self._latest()))
-
-    def replace_sources(self, rows: DataFrame) -> None:
-        """Append rows in place of all earlier rows of their sources, so that ingesting again does not double them."""
-        kept = without_sources(self.rows(), rows.select(F.col("metadata.source_file").alias("source_file")).distinct())
-        self._write(kept.unionByName(rows.select("id", F.col("embedding").cast("array<double>").alias("embedding"), F.col("metadata").cast(METADATA).alias("metadata"), "document")))
+        """The rows that are there now; later writes don't change the result."""
+        now = self._manifest()
+        rows = self._read(now["rows"], SCHEMA)
+        if now["gone"]:
+            gone = self._read(now["gone"], "source_file string").groupBy("source_file").agg(F.max("step").alias("until"))
+            rows = rows.join(gone, (F.col("metadata.source_file") == F.col("source_file")) & (F.col("step") < F.col("until")), "left_anti")
+        return rows.select("id", "embedding", "metadata", "document")
+
+    def append(self, rows: DataFrame) -> DataFrame:
+        """Add rows; returns them as they are stored."""
+        return self._stored(self._store({"rows": rows}))
+
+    def replace_sources(self, rows: DataFrame, sources: DataFrame) -> DataFrame:
+        """Put rows in place of all that is stored of the sources (source_file), which may have no rows any more; returns them as they are stored. One step, so no reader sees half of it."""
+        return self._stored(self._store({"gone": sources, "rows": rows}))
 
     def delete_sources(self, sources: DataFrame) -> None:
         """Delete the rows of the given sources (source_file)."""
-        self._write(without_sources(self.rows(), sources))
-
-    def _write(self, rows: DataFrame) -> None:
-        now = self._latest()
-        rows.write.parquet(self._version(now + 1))
-        for n in range(now - 1, 0, -1):
-            fs, target = self._fs(self._version(n))
-            if not fs.exists(target):
-                break
-            fs.delete(target, True)
+        self._store({"gone": sources})
+
+    def _store(self, what: dict[str, DataFrame]) -> str | None:
+        paths = {}
+        if "gone" in what:
+            paths["gone"] = self._write(what["gone"].select(F.col("source_file").cast("string").alias("source_file")).where("source_file is not null").distinct())
+        if "rows" in what:
+            paths["rows"] = self._write(what["rows"].select("id", F.col("embedding").cast("array<double>").alias("embedding"), F.col("metadata").cast(METADATA).alias("metadata"), "document"))
+        self._publish(paths)
+        return paths.get("rows")
+
+    def _stored(self, path: str) -> DataFrame:
+        return self.spark.read.schema(SCHEMA).parquet(path)
+
+    def compact(self) -> None:
+        """Fold the log: the live rows are written once, and folders that no manifest needs then are removed. Not beside other writers."""
+        now = self._manifest()
+        path = self._write(self.rows())
+        number = now["number"]
+        if not self._create(number + 1, {"embedder": now["embedder"], "rows": [[number + 1, path]], "gone": []}):
+            drop(self.spark, path)
+            raise RuntimeError("another writer was first")
+        for _, old in [*now["rows"], *now["gone"]]:
+            drop(self.spark, old)
+        for n in range(number, -1, -1):
+            drop(self.spark, self._file(n))
 
     def stats(self) -> DataFrame:
         """(collection, n): one row."""
         return stats(self.rows(), self.name)
 
 
+def stats(self) -> DataFrame:
+        """(collection, n): one row."""
+        return stats(self.rows(), self.name)
+
+
 def stats(rows: DataFrame, name: str) -> DataFrame:
     return rows.agg(F.count("*").alias("n")).select(F.lit(name).alias("collection"), "n")
 

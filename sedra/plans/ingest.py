@@ -1,7 +1,8 @@
-"""Ingest: files to text, cleaned, split, embedded, formatted and stored. One plan without a shuffle."""
+"""Ingest: files to text, cleaned, split, embedded, formatted and stored. Files are read once, and no text is shuffled."""
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from dataclasses import dataclass, field
 
 from pyspark.sql import DataFrame, SparkSession
@@ -13,6 +14,7 @@ from sedra.operators.collection import Collection
 from sedra.operators.embedding import HashingEmbedder, ModelEmbedder
 from sedra.operators.splitters import METHODS, Size
 from sedra.sources.files import checked_name, extract, scan
+from sedra.sources.shared import cut_at, drop
 
 
 @dataclass(frozen=True)
@@ -46,11 +48,23 @@ def collection_rows(documents: DataFrame, config: IngestConfig, source: str = "p
     return rows.select("id", config.embedder.embed(F.col("content")).alias("embedding"), "metadata", F.col("content").alias("document"))
 
 
-def ingest(spark: SparkSession, folder: str, collection: Collection, config: IngestConfig | None = None, name: str | None = None, replace: bool = True) -> DataFrame:
+def store(found: DataFrame, collection: Collection, config: IngestConfig, replace: bool = True) -> DataFrame:
+    """Store cleaned files (path, text, error) in a collection; (path, n_chunks, error) for each. The files are read, once, before that: their texts are written to the shared folder."""
+    found, path = cut_at(found)
+    rows = collection_rows(found.where("text is not null"), config)
+    stored = collection.replace_sources(rows, found.select(F.col("path").alias("source_file"))) if replace else collection.append(rows)
+    counts = stored.groupBy(F.col("metadata.source_file").alias("path")).agg(F.count("*").alias("n_chunks"))
+    report, _ = cut_at(found.select("path", "error").join(counts, "path", "left").select("path", F.coalesce("n_chunks", F.lit(0)).alias("n_chunks"), "error"))
+    drop(found.sparkSession, path)
+    return report
+
+
+def ingest(spark: SparkSession, folder: str, collection: Collection, config: IngestConfig | None = None, name: str | None = None, replace: bool = True, pages_of: Callable[[bytes], list[str]] | None = None, ocr: Callable[[bytes, int], str] | None = None) -> DataFrame:
     """Store the files of a folder, or the named one; returns (path, n_chunks, error) for each.
 
-    A file that can't be read gives an error row and stores nothing. With `replace`, rows that an earlier ingest of the
-    same files stored are replaced; without it they stay beside the new ones.
+    A file that can't be read gives an error row and stores nothing. With `replace`, what earlier ingests of the same
+    files stored goes, also where a file is empty or unreadable now; without it, it stays beside the new rows.
+    `pages_of` and `ocr` are extract()'s.
     """
     config = config or IngestConfig()
     if collection.embedder != config.embedder.id:
@@ -60,11 +74,4 @@ def ingest(spark: SparkSession, folder: str, collection: Collection, config: Ing
         files = files.where(F.element_at(F.split("path", "/"), -1) == checked_name(name))
         if files.select("path").isEmpty():
             raise FileNotFoundError(f"{folder}/{name}")
-    found = cleaned(extract(files))
-    rows = collection_rows(found.where("text is not null"), config)
-    if replace:
-        collection.replace_sources(rows)
-    else:
-        collection.append(rows)
-    stored = collection.rows().groupBy(F.col("metadata.source_file").alias("path")).agg(F.count("*").alias("n_chunks"))
-    return found.select("path", "error").join(stored, "path", "left").select("path", F.coalesce("n_chunks", F.lit(0)).alias("n_chunks"), "error")
+    return store(cleaned(extract(files, pages_of, ocr)), collection, config, replace)

@@ -37,11 +37,19 @@ def checked_name(name: str | None) -> str:
 
 
 def scan(spark: SparkSession, folder: str) -> DataFrame:
-    """(path, modificationTime, length, content); content is read only where it is used."""
+    """(path, modificationTime, length, content) of a folder's regular files; content is read only where it is used.
+
+    Spark's reader leaves out files without a byte, so those are added from the file system's own list.
+    """
     fs, target = _fs(spark, folder)
     if not fs.exists(target):
         fs.mkdirs(target)
-    return spark.read.format("binaryFile").load(folder)
+    rows = spark.read.format("binaryFile").load(folder)
+    empty = [(str(s.getPath().toString()), s.getModificationTime()) for s in fs.listStatus(target) if s.isFile() and s.getLen() == 0 and not s.getPath().getName().startswith(("_", "."))]
+    if not empty:
+        return rows
+    more = spark.createDataFrame(empty, "path string, at long").select("path", F.timestamp_millis("at").alias("modificationTime"), F.lit(0).cast("long").alias("length"), F.lit(b"").alias("content"))
+    return rows.unionByName(more)
 
 
 def list_files(spark: SparkSession, folder: str) -> DataFrame:

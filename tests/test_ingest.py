@@ -99,6 +99,48 @@ def test_ingest_again_does_not_double(spark, folder, tmp_path):
         IngestConfig(method="none")
 
 
+def test_emptied_and_broken_files_lose_their_rows(spark, folder, tmp_path):
+    own = Collection(spark, f"file://{tmp_path}/store")
+    ingest(spark, folder, own, IngestConfig(40, 5))
+    names = lambda: {r[0] for r in own.rows().select("metadata.file_name").distinct().collect()}
+    assert names() == {"a.DOCX", "b.txt", "c.pdf"}
+    files.upload(spark, folder, "b.txt", b"")
+    files.upload(spark, folder, "a.DOCX", b"broken now")
+    report = {r.path.rsplit("/", 1)[1]: r.n_chunks for r in ingest(spark, folder, own, IngestConfig(40, 5)).collect()}
+    assert names() == {"c.pdf"} and report["b.txt"] == report["a.DOCX"] == 0 and report["c.pdf"] > 0
+    seen = ingest(spark, folder, own, IngestConfig(40, 5), "c.pdf", ocr=lambda content, k: "read by eye").first()
+    assert seen.n_chunks == 1 and own.rows().where("document like '%read by eye%'").count() == 1
+
+
+def test_collection_log(spark, tmp_path):
+    """Writes leave earlier files alone, readers keep what they began with, writers at once both count, and compacting changes no row."""
+    own = Collection(spark, f"file://{tmp_path}/store")
+    row = lambda source, text: (f"{source}:{text}", [1.0], (source, source, 1, 1, "now"), text)
+    table = lambda *rows: spark.createDataFrame([row(*r) for r in rows], "id string, embedding array<double>, metadata struct<source_file:string,file_name:string,length:int,token:int,created_at:string>, document string")
+    gone = lambda *names: spark.createDataFrame([(n,) for n in names], "source_file string")
+    held = lambda c: sorted(r.id for r in c.rows().collect())
+    assert held(own) == []
+    own.append(table(("a", "1"), ("b", "1"), (None, "1")))
+    stamps = {p: p.stat().st_mtime_ns for p in (tmp_path / "store").rglob("*.parquet")}
+    before = own.rows()
+    other = Collection(spark, f"file://{tmp_path}/store")
+    own.replace_sources(table(("a", "2")), gone("a", None))
+    other.append(table(("b", "2")))
+    assert held(own) == held(other) == ["None:1", "a:2", "b:1", "b:2"] and sorted(r.id for r in before.collect()) == ["None:1", "a:1", "b:1"]
+    assert all(p.stat().st_mtime_ns == t for p, t in stamps.items())
+    now = own._manifest()["number"]
+    assert not own._create(now, {}) and own._newest() == now
+    own.delete_sources(gone("b"))
+    own.append(table(("b", "3")))
+    want = held(own)
+    assert want == ["None:1", "a:2", "b:3"]
+    own.compact()
+    assert held(own) == held(other) == want and len([p for p in (tmp_path / "store" / "documents").iterdir() if p.is_dir()]) == 1
+    other.append(table(("a", "4")))
+    assert held(own) == sorted([*want, "a:4"])
+    assert held(Collection(spark, name="of its own")) == []
+
+
 def test_stream(spark, folder, tmp_path):
     own = Collection(spark, f"file://{tmp_path}/store")
     go = lambda: ingest_stream(spark, folder, own, f"file://{tmp_path}/progress", IngestConfig(40, 5)).awaitTermination()
