@@ -86,9 +86,9 @@ def jaccard(a: str, b: str) -> str:
     return f"(len(list_intersect({a}, {b})) / nullif(len(list_distinct(list_concat({a}, {b}))), 0)::double)"
 
 
-def token_chunks(size: int, overlap: int) -> str:
+def token_chunks(size: int, overlap: int, source: str = "documents") -> str:
     step = size - overlap
-    return f"""w as (select *, {tokens('text')} as words from documents),
+    return f"""w as (select *, {tokens('text')} as words from {source}),
     m as (select *, case when len(words) >= {size} then (len(words) - {size}) // {step} + 1 else 0 end as full_ones from w),
     c as (select *, list_transform(range(full_ones + (full_ones * {step} < len(words))::int), lambda k: array_to_string(words[k * {step} + 1 : k * {step} + {size}], ' ')) as chunks from m)"""
 
@@ -187,6 +187,27 @@ def knn(metric: str, select: str) -> str:
 STORED = f"{token_chunks(50, 10)}, stored as (select source, unnest(chunks) as document from c)"
 
 
+AS_FILES = "'/data/' || doc_id || '.txt'"
+LIBRARY = "library as (select doc_id, text as document from documents)"
+CHUNK_LIBRARY = f"""{token_chunks(50, 10)}, x as ({posexplode('doc_id', 'chunks', 'c', 'chunk_pos', 'chunk')}),
+    library as (select sha256({AS_FILES} || ':' || chunk_pos || ':' || chunk) as doc_id, chunk as document from x)"""
+
+#: Window by window: base rows stand before a text's first window. `last` tells that a window reaches the end.
+CHARACTER = f"""with recursive d as materialized (select doc_id, text, len(text) as n from documents where len(text) > 0),
+    walk(doc_id, k, start, cut, last) as (
+      select doc_id, -1, -1, 0, false from d
+      union all
+      select doc_id, k + 1, start, case when start + 200 >= n then n when mark > 0 and low + mark <> stop then low + mark when blank > 0 and from_blank + blank + 1 <> stop then from_blank + blank + 1
+          when ahead > 1 then stop + ahead - 1 when back > 0 then stop - back else stop end, start + 200 >= n
+      from (select *, coalesce(len(regexp_extract(substr(text, low + 1, least(stop + 51, n) - low), '^((?s:.*?)[{P.SENTENCE_END}]) ', 1)), 0) as mark,
+          strpos(substr(text, from_blank + 1, least(stop + 100, n - 1) + 1 - from_blank), chr(10) || chr(10)) as blank,
+          strpos(substr(text, stop + 1, least(stop + 50, n) - stop), ' ') as ahead, strpos(reverse(substr(text, half + 1, stop - half)), ' ') as back
+        from (select *, start + 200 as stop, greatest(start + 1, start + 150) as low, greatest(start + 1, start + 100) as from_blank, start + 101 as half
+          from (select d.doc_id, text, n, k, case when cut - 30 > start then cut - 30 else cut end as start from walk join d on d.doc_id = walk.doc_id where not last) where start < n))),
+    out as (select doc_id, k, {strip("substr(text, start + 1, cut - start)")} as chunk from walk join d using (doc_id) where k >= 0)
+    select doc_id, (row_number() over (partition by doc_id order by k) - 1)::int as chunk_pos, chunk from out where chunk <> ''"""
+
+
 ORACLES: dict[str, str] = {
     "clean_nfc": cleaning("nfc"),
     "clean_zero_width": cleaning("zero_width"),
@@ -261,6 +282,17 @@ ORACLES: dict[str, str] = {
     select name, url, n is not null as vectorized, coalesce(n, 0) as n_chunks from files left join have using (url)""",
     "delete_by_source": f"""with {STORED}, gone as (select distinct source from labels join documents using (doc_id) where toxic = 1)
     select source, count(*) as n from stored where source not in (select source from gone) group by source""",
+    "chunk_character": CHARACTER,
+    "ingest_upsert": f"""with now as (select doc_id, case when toxic = 1 then substr(text, 1, 200) when quality = 0 then '' else text end as text from documents left join labels using (doc_id)),
+    {token_chunks(50, 10, 'now')}, x as ({posexplode('doc_id', 'chunks', 'c', 'chunk_pos', 'chunk')})
+    select sha256({AS_FILES} || ':' || chunk_pos || ':' || chunk) as id, {AS_FILES} as source_file, len({tokens('chunk')})::int as token, chunk as document from x""",
+    "search_collection": by("cross_score", "where rank <= 3").replace(LIBRARY, CHUNK_LIBRARY),
+    "files_extracted": """select source || '.txt' as name, 'txt' as file_type, source || ': ' || count(*) || ' documents' || chr(10) || sum(n_chars)::bigint || ' characters' as text, false as failed from documents group by source
+    union all values ('picture.PNG', 'png', null, true), ('empty.txt', 'txt', '', false)""",
+    "reply_stub": f"""with {SCORES}, placed as (select *, row_number() over (partition by query_id order by cross_score desc, retrieval_rank)::int as rank from scored),
+    l as (select query_id, string_agg(replace(replace({q(LINE)}, '%d', rank::varchar), '%s', document), '' order by rank) as body from placed where rank <= 5 group by query_id),
+    p as (select query_id, coalesce(string_split(replace({q(HEAD)}, '%s', query) || coalesce(body, ''), chr(10))[2], '') as line from asked left join l using (query_id))
+    select query_id, case when strpos(line, ': ') > 0 then substr(line, strpos(line, ': ') + 2) else '' end as reply, null::varchar as error from p""",
     "prompt_build": f"""with {SCORES}, placed as (select *, row_number() over (partition by query_id order by cross_score desc, retrieval_rank)::int as rank from scored),
     l as (select query_id, string_agg(replace(replace({q(LINE)}, '%d', rank::varchar), '%s', document), '' order by rank) as body from placed where rank <= 5 group by query_id)
     select query_id, replace({q(HEAD)}, '%s', query) || coalesce(body, '') as prompt from asked left join l using (query_id)""",

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Callable, Iterator
 
 import pandas as pd
@@ -59,3 +60,23 @@ def split_prompt(section: str, chunk_size: int) -> str:
         "Find where the topic of the text below changes, so that it can be cut into parts of about "
         f"{chunk_size} characters. Answer with one line: SPLIT_POINTS: [p1, p2, ...], the character positions of the cuts.\n\n{section}"
     )
+
+
+_LISTED = re.compile(r"SPLIT_POINTS:\s*\[([\d,\s]+)\]")
+
+
+def parsed_points(answer: str) -> list[int]:
+    """The positions that an answer lists, in order; without a list, the first ten numbers of two digits or more. text.split_points() is the same for a column."""
+    listed = _LISTED.search(answer)
+    return sorted(int(x) for x in (re.findall(r"\d+", listed[1]) if listed else re.findall(r"\b\d{2,}\b", answer)[:10]))
+
+
+def asking(model: Callable[[str], str], chunk_size: int) -> Callable[[str], list[int]]:
+    """What the llm splitting method asks with: a section to the positions in the model's answer to split_prompt()."""
+    return lambda section: parsed_points(model(split_prompt(section, chunk_size)))
+
+
+def every_hundred(prompt: str) -> str:
+    """The stand-in for a model that suggests split points: one every 100 characters of the section."""
+    section = prompt.partition("\n\n")[2]
+    return f"The topic changes often. SPLIT_POINTS: [{', '.join(str(p) for p in range(100, len(section), 100))}]"

@@ -9,12 +9,15 @@ from pyspark.sql import functions as F
 
 from sedra.functions import text as T
 from sedra.operators import chunking, ranking, similarity, vectors
-from sedra.operators.collection import stats, vectorized_status, without_sources
+from sedra.operators.collection import Collection, stats, vectorized_status, without_sources
 from sedra.operators.embedding import HashingEmbedder
 from sedra.operators.ranking import Reranking
 from sedra.operators.splitters import Size
 from sedra.plans import chats, prompt
+from sedra.plans.ingest import IngestConfig, collection_rows, store
 from sedra.plans.search import Retriever, retrieve
+from sedra.sources import files
+from sedra.sources.shared import new_table
 from sedra.sources.tables import table
 
 #: Put before each text that is cleaned, as the tables hold few of the patterns.
@@ -77,7 +80,13 @@ _chunked("chunk_character", "character")
 _chunked("chunk_recursive", "recursive")
 _chunked("chunk_semantic", "semantic")
 _chunked("chunk_cluster_semantic", "cluster_semantic")
-_chunked("chunk_llm_stub", "llm")
+
+
+@query
+def chunk_llm_stub(spark: SparkSession, folder: str) -> DataFrame:
+    """Split where a stand-in for a model suggests: it answers the prompt in words, and its answer is parsed."""
+    return chunking.chunk(_documents(spark, folder), "llm", SIZE, ask=prompt.asking(prompt.every_hundred, SIZE.chunk))
+
 
 
 @query
@@ -304,6 +313,45 @@ def delete_by_source(spark: SparkSession, folder: str) -> DataFrame:
     return left.groupBy(F.col("metadata.source_file").alias("source")).agg(F.count("*").alias("n"))
 
 
+TOKEN_INGEST = IngestConfig(TOKEN_SIZE.chunk, TOKEN_SIZE.overlap, "token")
+
+
+def _as_files(documents: DataFrame) -> DataFrame:
+    """Documents (doc_id, text) as extracted files."""
+    return documents.select(F.concat(F.lit("/data/"), F.col("doc_id").cast("string"), F.lit(".txt")).alias("path"), "text", F.lit(None).cast("string").alias("error"))
+
+
+@query
+def ingest_upsert(spark: SparkSession, folder: str) -> DataFrame:
+    """A collection of all documents, after those with a toxic label came again with their first 200 characters, and others of low quality without any."""
+    docs, own = _documents(spark, folder), Collection(spark, name="upserts")
+    store(_as_files(docs), own, TOKEN_INGEST)
+    again = docs.join(table(spark, folder, "labels"), "doc_id").where("toxic = 1 or quality = 0")
+    store(_as_files(again.withColumn("text", F.when(F.col("toxic") == 1, F.substring("text", 1, 200)).otherwise(""))), own, TOKEN_INGEST)
+    return own.rows().select("id", "metadata.source_file", "metadata.token", "document")
+
+
+@query
+def search_collection(spark: SparkSession, folder: str) -> DataFrame:
+    """Two-stage search over the stored chunks of all documents."""
+    own = Collection(spark, name="chunks")
+    own.append(collection_rows(_as_files(_documents(spark, folder)), TOKEN_INGEST))
+    return Retriever.of(own).search(_asked(spark, folder)).select("query_id", "doc_id", F.round("score", 6).alias("score"), "rank")
+
+
+@query
+def files_extracted(spark: SparkSession, folder: str) -> DataFrame:
+    """Sources uploaded as text files of their counts, a picture, an empty file, and one that is deleted again: what the folder's files hold."""
+    landing = f"{new_table(spark)}/landing"
+    for r in _documents(spark, folder).groupBy("source").agg(F.count("*").alias("n"), F.sum("n_chars").alias("chars")).toLocalIterator():  # a row a source
+        files.upload(spark, landing, f"{r['source']}.txt", f"{r['source']}: {r['n']} documents\n{r['chars']} characters".encode())
+    for name, content in (("picture.PNG", b"\x89PNG"), ("empty.txt", b""), ("gone.txt", b"gone")):
+        files.upload(spark, landing, name, content)
+    files.delete(spark, landing, "gone.txt")
+    read = files.extract(files.scan(spark, landing))
+    return read.select(F.element_at(F.split("path", "/"), -1).alias("name"), "file_type", "text", F.col("error").isNotNull().alias("failed"))
+
+
 @query
 def prompt_build(spark: SparkSession, folder: str) -> DataFrame:
     asked = _asked(spark, folder)
