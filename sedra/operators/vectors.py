@@ -132,18 +132,81 @@ def _in_blocks(queries: DataFrame, collection: DataFrame, k: int, metric: str, q
     return out.select(F.col("q").alias(query), F.col("d").alias(doc), "distance")
 
 
-def nearest_lsh(queries: DataFrame, collection: DataFrame, k: int = 10, query: str = "query_id", doc: str = "doc_id", vector: str = "embedding", planes: int = 4, tables: int = 24, seed: int = 7, dim: int = 64) -> DataFrame:
-    """nearest() by cosine distance among the rows that share a bucket with the query in some table of random hyperplanes: approximate, for collections too large to read for each query."""
-    signs = np.random.default_rng(seed).standard_normal((tables, planes, dim))
-
-    def keys(v: Column) -> Column:
-        flat = _doubles(v)
-        bit = lambda t, p: F.when(_sum(F.zip_with(flat, F.array(*[F.lit(float(x)) for x in signs[t, p]]), lambda x, y: x * y)) >= 0, 1 << p).otherwise(0)
-        return F.array(*[F.struct(F.lit(t).alias("t"), sum((bit(t, p) for p in range(1, planes)), bit(t, 0)).alias("key")) for t in range(tables)])
-
-    q = queries.select(query, F.col(vector).alias("_q"), F.explode(keys(F.col(vector))).alias("at"))
-    c = collection.select(doc, F.col(vector).alias("_c"), F.explode(keys(F.col(vector))).alias("at"))
-    pairs = q.join(c, "at").dropDuplicates([query, doc])
+SKETCH_BITS = 512
+PER_NEIGHBOUR = 10  # candidates of a query for each of its k neighbours
+
+
+def _sketched(df: DataFrame, key: str, vector: str, name: str, planes: np.ndarray) -> DataFrame:
+    """(name, code): on which side of each plane a vector lies, packed. Null vectors and those of another size are left out."""
+    dim = planes.shape[0]
+    source = df.select(F.col(key).alias(name), _doubles(F.col(vector)).alias("v")).where(F.size("v") == dim)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            side = np.asarray(b["v"].flatten()).reshape(-1, dim) @ planes >= 0
+            yield pa.RecordBatch.from_arrays([b[name], pa.array([r.tobytes() for r in np.packbits(side, axis=1)], pa.binary())], names=[name, "code"])
+
+    return source.mapInArrow(run, f"{name} {source.schema[name].dataType.simpleString()}, code binary")
+
+
+def _codes(column: pa.Array | pa.ChunkedArray) -> np.ndarray:
+    return np.frombuffer(b"".join(column.to_pylist()), np.uint64).reshape(len(column), -1)
+
+
+def _closest(q: np.ndarray, c: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(query, row, differing bits): the n rows of each query's fewest differing bits, the first of equals."""
+    parts = []
+    for i in range(len(q)):
+        apart = np.bitwise_count(q[i] ^ c).sum(axis=1)
+        first = np.argsort(apart, kind="stable")[:n]
+        parts.append((np.full(len(first), i), first, apart[first]))
+    return tuple(np.concatenate([np.empty(0, np.int64), *(p[x] for p in parts)]).astype(np.int64) for x in range(3))
+
+
+def nearest_lsh(queries: DataFrame, collection: DataFrame, k: int = 10, query: str = "query_id", doc: str = "doc_id", vector: str = "embedding", bits: int = SKETCH_BITS, per: int = PER_NEIGHBOUR, seed: int = 7) -> DataFrame:
+    """nearest() by cosine distance among the k * per rows whose random-hyperplane sketches differ least from the query's: approximate.
+
+    The sketch of a vector is `bits` sides of random planes, an eighth of its 64 floats' bytes. Only ids and sketches are
+    compared and moved; vectors are fetched for the candidates alone. Up to BROADCAST_QUERIES queries' sketches are sent
+    along to every task; more are dealt in blocks. The size of vectors is the collection's largest; others take no part.
+    """
+    dim = collection.agg(F.max(F.size(vector))).first()[0] or 1
+    planes = np.random.default_rng(seed).standard_normal((max(1, dim), bits))
+    n = k * per
+    left, right = _sketched(queries, query, vector, "q", planes), _sketched(collection, doc, vector, "d", planes)
+    kinds = {name: df.schema[name].dataType.simpleString() for name, df in (("q", left), ("d", right))}
+    schema = f"q {kinds['q']}, d {kinds['d']}, apart long"
+
+    def found(ids: pa.Array, q: np.ndarray, docs: pa.Array, c: np.ndarray) -> list:
+        at, row, apart = _closest(q, c, n)
+        return [ids.take(pa.array(at)), docs.take(pa.array(row)), pa.array(apart)]
+
+    asked = left.limit(BROADCAST_QUERIES + 1).collect()
+    if len(asked) <= BROADCAST_QUERIES:
+        ids, codes = pa.array([r["q"] for r in asked], to_arrow_type(left.schema["q"].dataType)), [bytes(r["code"]) for r in asked]
+
+        def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            q = _codes(pa.array(codes, pa.binary())) if codes else None
+            for b in batches:
+                if b.num_rows and codes:
+                    b = b.take(pc.sort_indices(b["d"]))  # so that a stable sort by bits breaks ties
+                    yield pa.RecordBatch.from_arrays(found(ids, q, b["d"], _codes(b["code"])), names=["q", "d", "apart"])
+
+        near = right.mapInArrow(each, schema)
+    else:
+        groups, stripes = -(-queries.count() // BROADCAST_QUERIES), max(1, -(-collection.count() // BLOCK_ROWS))
+        number = lambda key, parts: F.pmod(F.xxhash64(key), F.lit(parts)).cast("int")
+        own = left.withColumn("g", number("q", groups)).withColumn("s", F.explode(F.sequence(F.lit(0), F.lit(stripes - 1))))
+        rows = right.withColumn("s", number("d", stripes)).withColumn("g", F.explode(F.sequence(F.lit(0), F.lit(groups - 1))))
+
+        def pair(a: pa.Table, b: pa.Table) -> pa.Table:
+            b = b.take(pc.sort_indices(b["d"].combine_chunks()))
+            return pa.table(found(a["q"].combine_chunks(), _codes(a["code"]), b["d"].combine_chunks(), _codes(b["code"])), names=["q", "d", "apart"])
+
+        near = own.groupBy("g", "s").cogroup(rows.groupBy("g", "s")).applyInArrow(pair, schema)
+    place = F.row_number().over(Window.partitionBy("q").orderBy("apart", "d"))
+    kept = near.withColumn("place", place).where(F.col("place") <= n).select(F.col("q").alias(query), F.col("d").alias(doc))
+    pairs = kept.join(queries.select(query, F.col(vector).alias("_q")), query).join(collection.select(doc, F.col(vector).alias("_c")), doc)
     return _ranked(pairs.select(query, doc, METRICS["cosine"](F.col("_q"), F.col("_c")).alias("distance")), k, query, doc)
 
 

@@ -47,6 +47,21 @@ def test_nearest_of_nothing_and_ties(spark):
     assert V.nearest(asked, nulls, 9).count() == 3 and V.nearest(asked.withColumn("embedding", F.lit(None).cast("array<float>")), df, 2).count() == 0
 
 
+def test_lsh_reads_few_and_finds_most(spark, data, monkeypatch):
+    """At 2,000 vectors: 5 % of all pairs are candidates, and recall is 0.9 or more; many queries in blocks find the same; any size of vector."""
+    all_ = spark.read.parquet(f"{data}/../sf0.1/embeddings.parquet").select(F.col("vec_id").alias("doc_id"), "embedding")
+    asked = all_.where("doc_id % 20 = 0").select(F.col("doc_id").alias("query_id"), "embedding")
+    want = {(r.query_id, r.doc_id) for r in V.nearest(asked, all_, 10, "cosine").collect()}
+    few = {(r.query_id, r.doc_id) for r in V.nearest_lsh(asked, all_, 10).collect()}
+    assert len(want & few) / len(want) >= 0.9 and 10 * V.PER_NEIGHBOUR <= 0.05 * all_.count()
+    monkeypatch.setattr(V, "BROADCAST_QUERIES", 30)
+    monkeypatch.setattr(V, "BLOCK_ROWS", 300)
+    assert {(r.query_id, r.doc_id) for r in V.nearest_lsh(asked, all_, 10).collect()} == few
+    short = spark.createDataFrame([(i, [float(i % 7), 1.0, -float(i % 3)]) for i in range(40)] + [(40, None), (41, [1.0])], "doc_id long, embedding array<float>")
+    own = short.where("doc_id < 3").select(F.col("doc_id").alias("query_id"), "embedding")
+    assert V.nearest_lsh(own, short, 3).count() == 9 and V.nearest_lsh(own, short.where("false"), 3).count() == 0 and V.nearest_lsh(own.where("false"), short, 3).count() == 0
+
+
 def test_lsh_recall(spark, data):
     all_ = spark.read.parquet(f"{data}/embeddings.parquet").select(F.col("vec_id").alias("doc_id"), "embedding")
     asked = all_.where("doc_id % 10 = 0").select(F.col("doc_id").alias("query_id"), "embedding")
