@@ -13,7 +13,8 @@ from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_type
 from pyspark.sql.types import StructField
 
-BROADCAST_QUERIES = 4096  # queries that are sent to every executor; more are dealt in blocks
+BROADCAST_QUERIES = 4096  # queries that are sent to every executor, if they have
+BROADCAST_BYTES = 64 << 20  # bytes of vectors at most; more are dealt in blocks
 BLOCK_ROWS = 65536  # collection rows of a block
 
 
@@ -54,11 +55,14 @@ METRICS: dict[str, Callable[[Column, Column], Column]] = {"l2": l2sq, "cosine":
 def nearest(queries: DataFrame, collection: DataFrame, k: int = 10, metric: str = "l2", query: str = "query_id", doc: str = "doc_id", vector: str = "embedding") -> DataFrame:
     """(query, doc, distance, retrieval_rank from 1): for each query its k nearest, ties to the smaller doc. Null vectors take no part.
 
-    Up to BROADCAST_QUERIES queries are sent along to every task and the collection is read once, each batch passing on k
+    Up to BROADCAST_QUERIES queries of BROADCAST_BYTES are broadcast and the collection is read once, each batch passing on k
     rows a query at most. More queries are dealt in blocks against blocks of the collection.
     """
-    asked = queries.select(query, _doubles(F.col(vector)).alias("v")).limit(BROADCAST_QUERIES + 1).collect()
-    if len(asked) > BROADCAST_QUERIES:
+    own = queries.select(query, _doubles(F.col(vector)).alias("v"))
+    first = own.where("v is not null").limit(1).collect()
+    most = min(BROADCAST_QUERIES, BROADCAST_BYTES // (8 * max(1, len(first[0]["v"])))) if first else BROADCAST_QUERIES
+    asked = own.limit(most + 1).collect()
+    if len(asked) > most:
         return _ranked(_in_blocks(queries, collection, k, metric, query, doc, vector), k, query, doc)
     return _ranked(_against_few(asked, queries.schema[query], collection, k, metric, query, doc, vector), k, query, doc)
 
@@ -81,10 +85,11 @@ def _against_few(asked: list, key: StructField, collection: DataFrame, k: int, m
     """At most BROADCAST_QUERIES queries, sent along, against each batch of the collection: k rows a query and batch go on."""
     asked = [r for r in asked if r[1] is not None]
     ids = pa.array([r[0] for r in asked], to_arrow_type(key.dataType))
-    q = np.array([r[1] for r in asked], np.float64).reshape(len(asked), -1 if asked else 0)
+    shipped = collection.sparkSession.sparkContext.broadcast(np.array([r[1] for r in asked], np.float64).reshape(len(asked), -1 if asked else 0))  # BROADCAST_BYTES at most
     right = collection.select(F.col(doc).alias("d"), _doubles(F.col(vector)).alias("v"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        q = shipped.value
         for b in batches:
             b = b.filter(pc.is_valid(b["v"]))  # here, as a filter in the plan would work out the vectors twice
             if not b.num_rows or not len(q):

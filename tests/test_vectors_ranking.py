@@ -38,6 +38,14 @@ def test_nearest_in_blocks_equals_broadcast(spark, data, monkeypatch):
         monkeypatch.undo()
 
 
+def test_stop_words_are_sparks(spark):
+    from pyspark.ml.feature import StopWordsRemover
+
+    from sedra.operators.ranking import STOP_WORDS
+
+    assert set(STOP_WORDS) == set(StopWordsRemover.loadDefaultStopWords("english"))
+
+
 def test_nearest_of_nothing_and_ties(spark):
     df = spark.createDataFrame([(3, [1.0, 0.0]), (1, [1.0, 0.0]), (2, [0.0, 1.0])], "doc_id long, embedding array<float>")
     asked = spark.createDataFrame([(9, [1.0, 0.0])], "query_id long, embedding array<float>")
