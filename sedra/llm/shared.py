@@ -1,17 +1,15 @@
-"""What the operators share: tables in the shared folder, and ASCII-only lower case."""
+"""What the operators share: tables in the shared folder, bounded batches, and ASCII-only lower case."""
 
 from __future__ import annotations
 
-import re
-import tempfile
-import uuid
-from collections.abc import Callable, Iterator
-from contextlib import contextmanager
+from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
+from sedra.sources.shared import cut, cut_at, drop, exists, new_table, shared_dir, tables_removed  # noqa: F401
+
 UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 
 
@@ -24,79 +22,15 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def shared_dir(spark: SparkSession, name: str = "") -> str:
-    """The folder that driver and executors share, or `sedra-{name}` in it: spark.checkpoint.dir. Where that is unset, a session of local threads takes a temporary folder of its own; on a cluster it is refused, as machines share no such folder."""
-    folder = spark.conf.get("spark.checkpoint.dir", None) or _local.get(spark.sparkContext.applicationId)
-    if not folder:
-        if not re.match(r"local(\[|$)", spark.sparkContext.master):
-            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
-        folder = _local[spark.sparkContext.applicationId] = f"file://{tempfile.mkdtemp(prefix='sedra-')}"
-    return f"{folder.rstrip('/')}/sedra-{name}" if name else folder.rstrip("/")
-
-
-_local: dict[str, str] = {}  # folders of local sessions, by application
-
-
 BATCH_BYTES = 4 << 20
 
 
 def in_batches(df: DataFrame, run: Callable, schema: str | StructType) -> DataFrame:
-    """df.mapInArrow(run, schema) with batches of about BATCH_BYTES at most, so that long texts don't make large ones."""
+    """df.mapInArrow(run, schema) with batches of about BATCH_BYTES at most, so that long texts don't make large ones.
+
+    Spark takes the bound from the session, when the plan runs; so it is set there, and stays, unless another was set.
+    """
     conf, name = df.sparkSession.conf, "spark.sql.execution.arrow.maxBytesPerBatch"
     if conf.get(name) == "67108864b":  # the default; a value that was set stays
         conf.set(name, f"{BATCH_BYTES}b")
     return df.mapInArrow(run, schema)
-
-
-def cut(df: DataFrame) -> DataFrame:
-    """Write df to the shared folder and read it again: the lineage ends there, and an executor's loss costs no rerun of what came before."""
-    return cut_at(df)[0]
-
-
-_written: list[tuple[SparkSession, str]] = []  # tables of cut_at() that are not yet dropped
-_depth: list[int] = []  # of _written, where each open tables_removed() began
-
-
-def new_table(spark: SparkSession) -> str:
-    """A path in the shared folder for a table of one's own."""
-    path = shared_dir(spark, uuid.uuid4().hex)
-    if _depth:
-        _written.append((spark, path))
-    return path
-
-
-def cut_at(df: DataFrame) -> tuple[DataFrame, str]:
-    """cut(), and the path, for drop()."""
-    spark = df.sparkSession
-    path = new_table(spark)
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path), path
-
-
-def _fs(spark: SparkSession, path: str):
-    target = spark._jvm.org.apache.hadoop.fs.Path(path)
-    return target.getFileSystem(spark._jsc.hadoopConfiguration()), target
-
-
-def exists(spark: SparkSession, path: str) -> bool:
-    fs, target = _fs(spark, path)
-    return fs.exists(target)
-
-
-def drop(spark: SparkSession, path: str) -> None:
-    """Delete a table of cut_at() that no later plan reads."""
-    fs, target = _fs(spark, path)
-    fs.delete(target, True)
-
-
-@contextmanager
-def tables_removed() -> Iterator[None]:
-    """Removes the tables that operators write to the shared folder while it is open, when it closes. Write results, which may read them, before that."""
-    _depth.append(len(_written))
-    try:
-        yield
-    finally:
-        since = _depth.pop()
-        for spark, path in _written[since:]:
-            drop(spark, path)
-        del _written[since:]

@@ -258,3 +258,15 @@ def test_short_texts_do_not_agree_by_chance():
 def test_densifying_one_bin_fills_all():
     fp, some = minhash.signatures(["one two"])
     assert some.all() and fp.shape == (1, minhash.BINS)
+
+
+def test_shared_tables_are_removed(spark):
+    from sedra.llm import shared
+
+    with shared.tables_removed():
+        kept, path = shared.cut_at(spark.range(3))
+        assert kept.count() == 3 and shared.exists(spark, path)
+    assert not shared.exists(spark, path)
+    kept, path = shared.cut_at(spark.range(3))
+    assert shared.exists(spark, path) and path.startswith(shared.shared_dir(spark))
+    shared.drop(spark, path)
