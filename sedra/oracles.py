@@ -208,6 +208,56 @@ CHARACTER = f"""with recursive d as materialized (select doc_id, text, len(text)
     select doc_id, (row_number() over (partition by doc_id order by k) - 1)::int as chunk_pos, chunk from out where chunk <> ''"""
 
 
+def recursive(base: int) -> str:
+    """CTEs from n0 (doc_id, path, t), texts of over 200 characters at paths of `base` numbers, to split (doc_id, path, chunk): level by level of separators, then overlaps from the deepest level up."""
+    steps = []
+    for k, mark in enumerate(P.SEPARATORS):
+        s = " || ".join(f"chr({ord(c)})" for c in mark)
+        # A long piece is a place holder, chr(2), among the packed ones; its own pieces go below that place.
+        steps.append(f"""y{k} as (select doc_id, path, list_transform(range(1, len(string_split(t, {s})) + 1), lambda i: string_split(t, {s})[i] || case when i < len(string_split(t, {s})) then {s} else '' end) as pieces from n{k} where contains(t, {s})),
+    z{k} as (select doc_id, path, list_filter(pieces, lambda p: len(p) > 200) as longs, list_reduce(list_transform(pieces, lambda p: [case when len(p) > 200 then chr(2) else p end]),
+      lambda acc, x: case when x[1] <> chr(2) and acc[-1] <> chr(2) and len(acc[-1]) + len(x[1]) <= 200 then list_concat(acc[1 : len(acc) - 1], [acc[-1] || x[1]]) else list_concat(acc, x) end) as packed from y{k}),
+    c{k} as (select doc_id, list_append(path, g) as path, {strip("packed[g]")} as chunk from (select *, unnest(range(1, len(packed) + 1)) as g from z{k}) where packed[g] <> chr(2)),
+    n{k + 1} as (select doc_id, path, t from n{k} where not contains(t, {s})
+      union all select doc_id, list_append(path, list_filter(range(1, len(packed) + 1), lambda g: packed[g] = chr(2))[j]), longs[j] from (select *, unnest(range(1, len(longs) + 1)) as j from z{k}))""")
+    last = len(P.SEPARATORS)
+    all_ = " union all ".join(f"select doc_id, path, chunk, false as fixed from c{k} where chunk <> ''" for k in range(last))
+    steps.append(f"""f as (select doc_id, list_append(path, w + 1) as path, {strip("substr(t, w + 1, 200)")} as chunk from (select *, unnest(range(0, len(t), 170)) as w from n{last})),
+    o{base + last + 1} as ({all_} union all select doc_id, path, chunk, true from f where chunk <> '')""")
+    for level in range(base + last + 1, base, -1):
+        lead = overlap_words("before", 30)
+        steps.append(f"""v{level} as (select *, case when len(path) >= {level} and not (fixed and len(path) = {level}) then lag(chunk) over (partition by doc_id, path[1 : {level - 1}], len(path) >= {level} order by path) end as before from o{level}),
+    u{level} as (select *, case when before is not null then {lead} end as lead_words from v{level}),
+    o{level - 1} as (select doc_id, path, fixed, case when lead_words is not null and lead_words <> '' and not starts_with(chunk, {strip('lead_words')}) and len(lead_words || ' ' || chunk) <= 240 then lead_words || ' ' || chunk else chunk end as chunk from u{level})""")
+    return ",\n    ".join([*steps, f"split as (select doc_id, path, chunk from o{base})"])
+
+
+def numbered(source: str) -> str:
+    return f"select doc_id, (row_number() over (partition by doc_id order by path) - 1)::int as chunk_pos, chunk from {source}"
+
+
+#: Neighbouring sentences that go on with each other, joined while they fit; s holds the sentence lists.
+GROUPS = f"""s as (select doc_id, {sentence_list('text')} as s from documents), r as ({posexplode('doc_id', 's', 's', 'i', 'now')}),
+    p as (select *, lag(now) over (partition by doc_id order by i) as previous, count(*) over (partition by doc_id) as n from r),
+    g as materialized (select doc_id, i, now, n, case when i = 0 then false else {goes_on('previous', 'now')} end as goes_on from p),
+    walk(doc_id, i, n, chunk_pos, chunk) as (
+      select doc_id, i, n, 0, now from g where i = 0
+      union all
+      select g.doc_id, g.i, g.n, case when joins then chunk_pos else chunk_pos + 1 end, case when joins then chunk || ' ' || now else now end
+      from walk join g on g.doc_id = walk.doc_id and g.i = walk.i + 1, lateral (select g.n <= 2 or (g.goes_on and len(chunk) + len(now) + 1 <= 200) as joins)),
+    groups as (select doc_id, chunk_pos, arg_max(chunk, i) as chunk from walk group by doc_id, chunk_pos)"""
+
+#: Short texts and those of one sentence stay whole, those of two are split by separators, others by groups, and groups that are too long again.
+SEMANTIC = f"""with recursive {GROUPS}, kinds as (select doc_id, text, case when len(text) <= 200 or len(s) <= 1 then 'whole' when len(s) < 3 then 'pair' else 'groups' end as kind from documents join s using (doc_id)),
+    parts as (select doc_id, 0 as chunk_pos, text as chunk, kind from kinds where kind <> 'groups' union all select doc_id, chunk_pos, chunk, kind from groups join kinds using (doc_id) where kind = 'groups'),
+    n0 as (select doc_id, [chunk_pos::bigint] as path, chunk as t from parts where kind <> 'whole' and len(chunk) > 200), {recursive(1)},
+    everything as (select * from split union all select doc_id, [chunk_pos::bigint], {strip('chunk')} from parts where (kind = 'whole' or len(chunk) <= 200) and {strip('chunk')} <> '')
+    {numbered('everything')}"""
+
+RECURSIVE = f"""with n0 as (select doc_id, []::bigint[] as path, text as t from documents where len(text) > 200), {recursive(0)},
+    everything as (select * from split union all select doc_id, []::bigint[], {strip('text')} from documents where len(text) <= 200 and {strip('text')} <> '')
+    {numbered('everything')}"""
+
 ORACLES: dict[str, str] = {
     "clean_nfc": cleaning("nfc"),
     "clean_zero_width": cleaning("zero_width"),
@@ -237,15 +287,9 @@ ORACLES: dict[str, str] = {
     "sentence_should_group": f"""with s as (select doc_id, {sentence_list('text')} as s from documents), r as ({posexplode('doc_id', 's', 's', 'i', 'now')}),
     p as (select *, lag(now) over (partition by doc_id order by i) as previous from r)
     select doc_id, i, {goes_on('previous', 'now')} as goes_on from p where i > 0""",
-    "sentence_group_greedy": f"""with recursive s as (select doc_id, {sentence_list('text')} as s from documents), r as ({posexplode('doc_id', 's', 's', 'i', 'now')}),
-    p as (select *, lag(now) over (partition by doc_id order by i) as previous, count(*) over (partition by doc_id) as n from r),
-    g as materialized (select doc_id, i, now, n, case when i = 0 then false else {goes_on('previous', 'now')} end as goes_on from p),
-    walk(doc_id, i, n, chunk_pos, chunk) as (
-      select doc_id, i, n, 0, now from g where i = 0
-      union all
-      select g.doc_id, g.i, g.n, case when joins then chunk_pos else chunk_pos + 1 end, case when joins then chunk || ' ' || now else now end
-      from walk join g on g.doc_id = walk.doc_id and g.i = walk.i + 1, lateral (select g.n <= 2 or (g.goes_on and len(chunk) + len(now) + 1 <= 200) as joins))
-    select doc_id, chunk_pos, arg_max(chunk, i) as chunk from walk group by doc_id, chunk_pos""",
+    "sentence_group_greedy": f"with recursive {GROUPS} select doc_id, chunk_pos, chunk from groups",
+    "chunk_recursive": RECURSIVE,
+    "chunk_semantic": SEMANTIC,
     "sentence_features": f"with {FEATURED} select doc_id, i, {', '.join(f"array_to_string(list_sort({c}), '|') as {c}" for c in ('words', 'noun_phrases', 'entities'))}, length, word_count from featured",
     "sentence_pair_similarity": f"""with {FEATURED} select a.doc_id, a.i, b.i as j, round(0.5 * coalesce({jaccard('a.words', 'b.words')}, 0) + 0.25 * coalesce({jaccard('a.noun_phrases', 'b.noun_phrases')}, 0)
       + 0.15 * coalesce({jaccard('a.entities', 'b.entities')}, 0) + 0.1 * (1 - abs(a.length - b.length) / greatest(a.length, b.length)::double), 9) as sim
