@@ -30,6 +30,7 @@ from sedra.llm.shared import cut, in_batches
 
 BITS, RADIUS, WORDS, SEED = 64, 3, 3, 42
 MOST = 1024  # fingerprints of a bucket that are compared with each other
+HOT, SALTS = 1000, 64  # a fingerprint of over a HOT-th of all rows is joined in SALTS parts
 
 
 def masks(codes: list[int], bits: int = BITS, dims: int = RADIUS + 1) -> list[int]:
@@ -169,9 +170,9 @@ def _sketched(df: DataFrame, text: str, key: str) -> DataFrame:
 
 
 def _components(df: DataFrame, text: str, key: str, copies: bool = False) -> tuple[DataFrame, DataFrame]:
-    """(k, fp) for each row of df, and (fp, least, rep) for each fingerprint: its least key, and a fingerprint that stands for its component. With `copies`, near copies by their shingles are linked too."""
+    """(k, fp) for each row of df, and (fp, least, n, rep) for each fingerprint: its least key, its rows, and a fingerprint that stands for its component. With `copies`, near copies by their shingles are linked too."""
     docs = cut(_sketched(df, text, key) if copies else fingerprints(df, text, key).withColumnRenamed(key, "k"))
-    classes = docs.groupBy("fp").agg(F.min("k").alias("least"))
+    classes = docs.groupBy("fp").agg(F.min("k").alias("least"), F.count("*").alias("n"))
     edges = links(classes.select("fp"))
     if copies:
         # The sketch of one row of the least key stands for the fingerprint's texts.
@@ -181,7 +182,7 @@ def _components(df: DataFrame, text: str, key: str, copies: bool = False) -> tup
             own = own.dropDuplicates(["fp"])
         edges = edges.unionByName(near_copies.links(cut(own)))
     roots = components(edges).select(F.col("u").alias("fp"), F.col("v").alias("rep"))
-    return docs.select("k", "fp"), cut(classes.join(roots, "fp", "left").select("fp", "least", F.coalesce("rep", "fp").alias("rep")))
+    return docs.select("k", "fp"), cut(classes.join(roots, "fp", "left").select("fp", "least", "n", F.coalesce("rep", "fp").alias("rep")))
 
 
 def near_duplicates(df: DataFrame, text: str = "text", key: str = "doc_id") -> DataFrame:
@@ -194,7 +195,12 @@ def near_duplicates(df: DataFrame, text: str = "text", key: str = "doc_id") -> D
     docs, named = _components(df, text, key)
     of_rep = named.groupBy("rep").agg(F.min("least").alias("component_id"))
     by_fp = named.join(of_rep, "rep").select("fp", "component_id")
-    return docs.join(by_fp, "fp").select(F.col("k").alias(key), F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+    # Fewer than HOT fingerprints can have over a HOT-th of the rows each, so their list is small.
+    rows = named.agg(F.sum("n")).first()[0] or 0
+    hot = F.broadcast(named.where(F.col("n") > rows // HOT).select("fp", F.lit(SALTS).alias("salts")))
+    dealt = docs.join(hot, "fp", "left").withColumn("salt", F.coalesce(F.pmod(F.xxhash64("k", F.spark_partition_id()), F.col("salts")), F.lit(0)).cast("int"))
+    by_fp = by_fp.join(hot, "fp", "left").withColumn("salt", F.explode(F.sequence(F.lit(0), F.coalesce("salts", F.lit(1)) - 1)))
+    return dealt.join(by_fp.select("fp", "salt", "component_id"), ["fp", "salt"]).select(F.col("k").alias(key), F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
 def _with_fingerprint(df: DataFrame, name: str, text: str) -> DataFrame:
