@@ -1,9 +1,10 @@
 """Links between texts that share most of their five-word shingles, found by bands of one-permutation MinHash bins.
 
-Texts that agree in all bins of a band share a bucket. A bucket gives no pairs of all its members: each is tried against
-the bucket's least fingerprint and against its neighbour in the order of fingerprints, turned by another number of bits
-in each band, so that near copies tend to stand next to each other. Candidates are twice the members at most, however
-large a bucket is. The likeness of each candidate is then estimated from the packed bins.
+Texts that agree in all bins of a band share a bucket. Each member of a bucket is tried against the bucket's least one,
+which links almost all of a group of copies. Only members that it does not link are apart, and these are tried against
+every member of the bucket, in cells of about CELL rows a side; so no pair of a bucket is left out, whatever its size, and
+a bucket whose members are all linked costs a row each. Likeness is estimated from the packed bins. A cell gives a
+spanning forest of its links, never its pairs.
 """
 
 from __future__ import annotations
@@ -12,15 +13,17 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from sedra.llm import minhash
-from sedra.llm.shared import cut, in_batches
+from sedra.llm.shared import cut, in_batches, join_hot
 
 LIKENESS = 0.8
 BANDS, ROWS = 20, 5  # a pair of likeness 0.8 agrees in some band with probability 0.9996
-LANES = 64  # parts of a bucket in which neighbours are looked for, by the leading bits of the turned fingerprint
+CELL = 1024  # rows of a side of a cell, give or take what hashing does
+
+_AGREE = np.array([(b >> 4 == 0) + (b & 15 == 0) for b in range(256)], np.uint8)  # of two bins in a byte, those that differ in no bit
 
 
 def sketch(texts: list[str | None]) -> tuple[pa.Array, pa.Array]:
@@ -35,25 +38,68 @@ def sketch(texts: list[str | None]) -> tuple[pa.Array, pa.Array]:
 SKETCH = "keys array<long>, bins binary"
 
 
+def alike(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Whether rows of packed bins (uint8, BINS / 2 a row) are of LIKENESS by estimate."""
+    chance = 2.0**-minhash.LOW
+    return (_AGREE[a ^ b].sum(axis=-1, dtype=np.int64) / minhash.BINS - chance) / (1 - chance) >= LIKENESS
+
+
+def _matrix(bins: pa.Array) -> np.ndarray:
+    return np.frombuffer(b"".join(bins.to_pylist()), np.uint8).reshape(-1, minhash.BINS // 2)
+
+
+def forest(apart: np.ndarray, bins: np.ndarray, label: np.ndarray) -> list[tuple[int, int]]:
+    """Pairs of rows of `bins` that connect what links from the rows `apart` to any row connect. `label` numbers what is connected already, and is brought up to date."""
+    out = []
+    for r in apart:
+        near = np.flatnonzero(alike(bins, bins[r]))
+        known, first = np.unique(label[near], return_index=True)
+        if len(known) > 1:
+            out += [(r, x) for x in near[first] if label[x] != label[r]]
+            label[np.isin(label, known)] = label[r]
+    return out
+
+
 def links(sketches: DataFrame) -> DataFrame:
-    """Edges (u, v) between fingerprints for sketches (fp, keys, bins), one row a fingerprint; those without keys have none."""
-    rows = sketches.where("keys is not null").select("fp", F.posexplode("keys").alias("band", "key"))
-    turned = F.expr("shiftleft(fp, band * 3) | shiftrightunsigned(fp, 64 - band * 3)")
-    # Keys differ between bands, and one of a single row has no pair.
-    shared = rows.groupBy("key").agg(F.count("*").alias("n"), F.min("fp").alias("least")).where("n > 1").select("key", "least")
-    members = cut(rows.join(shared, "key").select("key", "fp", "least", turned.alias("turned")))
-    star = members.where("fp <> least").select(F.col("fp").alias("u"), F.col("least").alias("v"))
-    lane = Window.partitionBy("key", F.shiftrightunsigned("turned", 64 - (LANES - 1).bit_length())).orderBy("turned")
-    chain = members.select(F.col("fp").alias("u"), F.lag("fp").over(lane).alias("v")).where("v is not null and u <> v")
-    pairs = star.unionByName(chain).select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct()
-    known = sketches.where("keys is not null").select("fp", "bins")
-    both = pairs.join(known.select(F.col("fp").alias("u"), F.col("bins").alias("a")), "u").join(known.select(F.col("fp").alias("v"), F.col("bins").alias("b")), "v")
+    """Edges (u, v) of ids that connect all texts which share a bucket and are alike, for sketches (id: distinct longs, keys, bins)."""
+    rows = sketches.select("id", F.explode("keys").alias("key"))  # keys differ between bands
+    shared = cut(rows.groupBy("key").agg(F.count("*").alias("n"), F.min("id").alias("least")).where("n > 1"))
+    members = cut(join_hot(rows, shared, "key").select("key", "id", "least"))
+    bins = sketches.select("id", "bins")
+    star = members.where("id <> least").select(F.col("id").alias("u"), F.col("least").alias("v")).distinct()
+    both = star.join(bins.select(F.col("id").alias("u"), F.col("bins").alias("a")), "u").join(bins.select(F.col("id").alias("v"), F.col("bins").alias("b")), "v")
+
+    def tried(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            yield b.select(["u", "v"]).filter(pa.array(alike(_matrix(b["a"]), _matrix(b["b"]))))
+
+    near = cut(in_batches(both.select("u", "v", "a", "b"), tried, "u long, v long"))
+    told = members.join(near.select(F.col("u").alias("id"), F.col("v").alias("least"), F.lit(True).alias("linked")), ["id", "least"], "left")
+    told = cut(told.select("key", "id", F.expr("id <> least and linked is null").alias("apart")))
+    return near.unionByName(_rest(told, bins))
+
+
+def _rest(told: DataFrame, bins: DataFrame) -> DataFrame:
+    """Edges (u, v) from the members apart to any of their bucket, for members (key, id, apart)."""
+    buckets = told.groupBy("key").agg(F.count("*").alias("n"), F.count_if("apart").alias("m"), F.sum(F.xxhash64("id", "apart").cast("decimal(38,0)")).alias("same"))
+    # Two members have been tried; of buckets with the same members, one is enough.
+    todo = cut(buckets.where("m > 0 and n > 2").groupBy("n", "m", "same").agg(F.min("key").alias("key")).select("key", "n", "m"))
+    parts = lambda of: F.ceil(F.col(of) / CELL).cast("int")
+    part = lambda of: F.pmod(F.xxhash64("id", F.lit(of)), F.col(of)).cast("int")
+    own = join_hot(told, todo.select("key", "n", parts("m").alias("down"), parts("n").alias("across")), "key")
+    # A member apart stands in a row of cells, and every member in a column.
+    down = F.when(F.col("apart"), F.transform(F.sequence(F.lit(0), F.col("across") - 1), lambda j: F.struct(part("down").alias("i"), j.alias("j"), F.lit(True).alias("asks"))))
+    across = F.transform(F.sequence(F.lit(0), F.col("down") - 1), lambda i: F.struct(i.alias("i"), part("across").alias("j"), F.lit(False).alias("asks")))
+    dealt = own.select("key", "id", "apart", F.explode(F.concat(F.coalesce(down, F.array().cast("array<struct<i:int,j:int,asks:boolean>>")), across)).alias("at"))
+    cells = dealt.groupBy("key", "at.i", "at.j", "id", "apart").agg(F.bool_or("at.asks").alias("asks")).join(bins, "id").groupBy("key", "i", "j").agg(F.collect_list(F.struct("id", "apart", "asks", "bins")).alias("rows"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            x, y = (np.frombuffer(b"".join(b[c].to_pylist()), np.uint8).reshape(-1, minhash.BINS // 2) for c in ("a", "b"))
-            agree = ((x >> 4) == (y >> 4)).sum(axis=1) + ((x & 15) == (y & 15)).sum(axis=1)
-            chance = 2.0**-minhash.LOW
-            yield b.select(["u", "v"]).filter(pa.array((agree / minhash.BINS - chance) / (1 - chance) >= LIKENESS))
+            for cell in b["rows"]:
+                rows = cell.values
+                ids, apart, asks = (np.asarray(rows.field(c).to_numpy(zero_copy_only=False)) for c in ("id", "apart", "asks"))
+                label = np.where(apart, np.arange(len(ids)), len(ids))  # the least member links all that are not apart
+                pairs = np.array(forest(np.flatnonzero(asks), _matrix(rows.field("bins")), label), np.int64).reshape(-1, 2)
+                yield pa.RecordBatch.from_arrays([pa.array(ids[pairs[:, k]]) for k in (0, 1)], names=["u", "v"])
 
-    return in_batches(both.select("u", "v", "a", "b"), run, "u long, v long")
+    return in_batches(cells.select("rows"), run, "u long, v long")

@@ -26,11 +26,10 @@ from pyspark.sql.types import LongType, StructField, StructType
 from sedra.llm import near_copies
 from sedra.llm.components import components
 from sedra.llm.hashing import chunks, shingle_hashes, within
-from sedra.llm.shared import cut, in_batches
+from sedra.llm.shared import cut, in_batches, join_hot
 
 BITS, RADIUS, WORDS, SEED = 64, 3, 3, 42
 MOST = 1024  # fingerprints of a bucket that are compared with each other
-HOT, SALTS = 1000, 64  # a fingerprint of over a HOT-th of all rows is joined in SALTS parts
 
 
 def masks(codes: list[int], bits: int = BITS, dims: int = RADIUS + 1) -> list[int]:
@@ -169,18 +168,23 @@ def _sketched(df: DataFrame, text: str, key: str) -> DataFrame:
     return in_batches(source, run, f"k {kind}, fp long, {near_copies.SKETCH}")
 
 
+def _copy_edges(docs: DataFrame) -> DataFrame:
+    """Edges (u, v) between fingerprints for (fp, id, keys, bins), a row a text, where id stands for the bins: of texts with the same bins, and of those that near_copies.links() finds. Every distinct sketch takes part, also where several texts share a fingerprint."""
+    sketches = cut(docs.groupBy("id", "keys", "bins").agg(F.min("fp").alias("fp"), F.max("fp").alias("most")))
+    least = sketches.select("id", "fp")
+    same = docs.select("fp", "id").join(sketches.where("fp <> most").select("id", F.col("fp").alias("v")), "id").select(F.col("fp").alias("u"), "v").where("u <> v").distinct()
+    near = near_copies.links(sketches.select("id", "keys", "bins"))
+    ends = near.join(least.toDF("u", "fu"), "u").join(least.toDF("v", "fv"), "v").select(F.col("fu").alias("u"), F.col("fv").alias("v"))
+    return same.unionByName(ends)
+
+
 def _components(df: DataFrame, text: str, key: str, copies: bool = False) -> tuple[DataFrame, DataFrame]:
     """(k, fp) for each row of df, and (fp, least, n, rep) for each fingerprint: its least key, its rows, and a fingerprint that stands for its component. With `copies`, near copies by their shingles are linked too."""
     docs = cut(_sketched(df, text, key) if copies else fingerprints(df, text, key).withColumnRenamed(key, "k"))
     classes = docs.groupBy("fp").agg(F.min("k").alias("least"), F.count("*").alias("n"))
     edges = links(classes.select("fp"))
     if copies:
-        # The sketch of one row of the least key stands for the fingerprint's texts.
-        classes = cut(classes)
-        own = docs.join(classes.withColumnRenamed("fp", "_fp"), (F.col("fp") == F.col("_fp")) & F.col("k").eqNullSafe(F.col("least"))).select("fp", "keys", "bins")
-        if not docs.groupBy("k", "fp").count().where("count > 1").isEmpty():
-            own = own.dropDuplicates(["fp"])
-        edges = edges.unionByName(near_copies.links(cut(own)))
+        edges = edges.unionByName(_copy_edges(docs.where("keys is not null").select("fp", F.xxhash64("bins").alias("id"), "keys", "bins")))
     roots = components(edges).select(F.col("u").alias("fp"), F.col("v").alias("rep"))
     return docs.select("k", "fp"), cut(classes.join(roots, "fp", "left").select("fp", "least", "n", F.coalesce("rep", "fp").alias("rep")))
 
@@ -194,13 +198,9 @@ def near_duplicates(df: DataFrame, text: str = "text", key: str = "doc_id") -> D
     """
     docs, named = _components(df, text, key)
     of_rep = named.groupBy("rep").agg(F.min("least").alias("component_id"))
-    by_fp = named.join(of_rep, "rep").select("fp", "component_id")
-    # Fewer than HOT fingerprints can have over a HOT-th of the rows each, so their list is small.
-    rows = named.agg(F.sum("n")).first()[0] or 0
-    hot = F.broadcast(named.where(F.col("n") > rows // HOT).select("fp", F.lit(SALTS).alias("salts")))
-    dealt = docs.join(hot, "fp", "left").withColumn("salt", F.coalesce(F.pmod(F.xxhash64("k", F.spark_partition_id()), F.col("salts")), F.lit(0)).cast("int"))
-    by_fp = by_fp.join(hot, "fp", "left").withColumn("salt", F.explode(F.sequence(F.lit(0), F.coalesce("salts", F.lit(1)) - 1)))
-    return dealt.join(by_fp.select("fp", "salt", "component_id"), ["fp", "salt"]).select(F.col("k").alias(key), F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+    by_fp = cut(named.join(of_rep, "rep").select("fp", "n", "component_id"))
+    out = join_hot(docs, by_fp, "fp")
+    return out.select(F.col("k").alias(key), F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
 def _with_fingerprint(df: DataFrame, name: str, text: str) -> DataFrame:

@@ -8,6 +8,7 @@ from collections import defaultdict
 from itertools import combinations
 
 import numpy as np
+import pytest
 import xxhash
 from hypothesis import given, settings
 from hypothesis import strategies as st
@@ -134,6 +135,36 @@ def test_groups_equal_all_pairs(spark, data):
     assert len(alike) > 50 and sum(least[a] == least[b] for a, b in alike) >= 0.9 * len(alike)
 
 
+def drifting(rng, n, words=300, step=12):
+    """n texts, each the one before with `step` words in a row replaced: neighbours are alike, ends are not, and many share a bucket with a least one that is not like them."""
+    own = [f"w{rng.randrange(5000)}" for _ in range(words)]
+    out = []
+    for _ in range(n):
+        at = rng.randrange(words - step)
+        own = [*own[:at], *(f"w{rng.randrange(5000)}" for _ in range(step)), *own[at + step :]]
+        out.append(" ".join(own))
+    return out
+
+
+@pytest.mark.parametrize("cell", [1024, 4])
+def test_no_pair_of_a_bucket_is_left_out(spark, monkeypatch, cell):
+    """Chains of copies, in one cell a bucket and in many: groups equal those of all pairs."""
+    monkeypatch.setattr(near_copies, "CELL", cell)
+    rng = random.Random(8)
+    texts = dict(enumerate([*drifting(rng, 40), *drifting(rng, 25), *drifting(rng, 12, 80, 4), "", "one", "one", *("clean text " + " ".join(f"v{rng.randrange(9999)}" for _ in range(50)) for _ in range(10))]))
+    docs = spark.createDataFrame([(i, t) for i, t in texts.items()], "doc_id long, text string").repartition(3)
+    assert sorted(r.doc_id for r in simhash.representatives(docs).collect()) == sorted({*brute_groups(texts).values()})
+
+
+def test_texts_of_one_fingerprint_all_take_part(spark):
+    """Two texts of one fingerprint have sketches of their own: what is like the second is linked, too."""
+    low, some = minhash.signatures(["a b c d e f", "a b c d e g"])
+    a, c = (bytes((r[0::2] << 4) | r[1::2]) for r in low)
+    rows = [(7, 1, [1], a), (7, 2, [2], c), (9, 2, [2], c), (11, 3, [2], c[:-1] + bytes([c[-1] ^ 1])), (12, 4, [9], a)]
+    got = simhash._copy_edges(spark.createDataFrame(rows, "fp long, id long, keys array<long>, bins binary")).collect()
+    assert some.all() and {(max(r.u, r.v), min(r.u, r.v)) for r in got} == {(9, 7), (11, 7)}
+
+
 def test_masks_cover_every_pair():
     for family in (simhash.FIRST, simhash.SECOND):
         tables = simhash.masks(family)
