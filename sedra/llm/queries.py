@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sedra.llm import chat_format, language_id, license_scan, minhash, mixing, sentencepiece_codec, simhash, token_scan, topk_search, url_filter
+from sedra.llm import chat_format, language_id, license_scan, minhash, mixing, sentencepiece_codec, simhash, token_scan, topk_search, url_filter, warc
 from sedra.llm.shared import table
 
 TOKENIZERS = "/opt/tokenizers"  # vocabulary files of public tokenizers
@@ -58,6 +58,10 @@ def op10_token_counts(spark: SparkSession, sf_dir: str, ranks: str = f"{TOKENIZE
         return token_scan.count_documents(table(spark, sf_dir, "documents"), f.read())
 
 
+def op11_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return warc.archive(table(spark, sf_dir, "pages"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_exact_topk": op1_exact_topk,
     "op2_minhash_fingerprint": op2_minhash_fingerprint,
@@ -69,6 +73,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_sentencepiece": op8_sentencepiece,
     "op9_chat_format": op9_chat_format,
     "op10_token_counts": op10_token_counts,
+    "op11_warc": op11_warc,
 }
 
 ORACLES: dict[str, Callable[[], str]] = {
@@ -76,4 +81,5 @@ ORACLES: dict[str, Callable[[], str]] = {
     "op5_url_filter": url_filter.judge_sql,
     "op6_source_mixing": mixing.mix_sql,
     "op7_license_scan": license_scan.scan_sql,
+    "op11_warc": warc.archive_sql,
 }
