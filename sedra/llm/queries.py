@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sedra.llm import chat_format, language_id, license_scan, minhash, mixing, sentencepiece_codec, simhash, token_scan, topk_search, url_filter, warc
+from sedra.llm import chat_format, language_id, license_scan, minhash, mixing, sentencepiece_codec, simhash, token_scan, topk_search, url_filter, vector_codes, warc
 from sedra.llm.shared import table
 
 TOKENIZERS = "/opt/tokenizers"  # vocabulary files of public tokenizers
@@ -62,6 +62,10 @@ def op11_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc.archive(table(spark, sf_dir, "pages"))
 
 
+def op12_vector_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return vector_codes.compress(table(spark, sf_dir, "embeddings"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_exact_topk": op1_exact_topk,
     "op2_minhash_fingerprint": op2_minhash_fingerprint,
@@ -74,6 +78,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op9_chat_format": op9_chat_format,
     "op10_token_counts": op10_token_counts,
     "op11_warc": op11_warc,
+    "op12_vector_codes": op12_vector_codes,
 }
 
 ORACLES: dict[str, Callable[[], str]] = {
@@ -82,4 +87,5 @@ ORACLES: dict[str, Callable[[], str]] = {
     "op6_source_mixing": mixing.mix_sql,
     "op7_license_scan": license_scan.scan_sql,
     "op11_warc": warc.archive_sql,
+    "op12_vector_codes": vector_codes.compress_sql,
 }
