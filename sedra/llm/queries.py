@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sedra.llm import chat_format, language_id, license_scan, minhash, mixing, sentencepiece_codec, simhash, token_scan, topk_search, url_filter, vector_codes, warc
+from sedra.llm import chat_format, language_id, license_scan, minhash, mixing, prefix_trie, sentencepiece_codec, simhash, token_scan, topk_search, url_filter, vector_codes, warc
 from sedra.llm.shared import table
 
 TOKENIZERS = "/opt/tokenizers"  # vocabulary files of public tokenizers
@@ -66,6 +66,10 @@ def op12_vector_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return vector_codes.compress(table(spark, sf_dir, "embeddings"))
 
 
+def op13_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return prefix_trie.trie(table(spark, sf_dir, "conversations"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_exact_topk": op1_exact_topk,
     "op2_minhash_fingerprint": op2_minhash_fingerprint,
@@ -79,6 +83,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op10_token_counts": op10_token_counts,
     "op11_warc": op11_warc,
     "op12_vector_codes": op12_vector_codes,
+    "op13_prefix_trie": op13_prefix_trie,
 }
 
 ORACLES: dict[str, Callable[[], str]] = {
@@ -88,4 +93,5 @@ ORACLES: dict[str, Callable[[], str]] = {
     "op7_license_scan": license_scan.scan_sql,
     "op11_warc": warc.archive_sql,
     "op12_vector_codes": vector_codes.compress_sql,
+    "op13_prefix_trie": prefix_trie.trie_sql,
 }
