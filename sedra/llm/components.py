@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from sedra.llm.shared import cut_at, drop
+from sedra.llm.shared import cut_at, drop, join_hot
 
 MOST_ROUNDS = 64
 
@@ -19,7 +19,7 @@ def components(edges: DataFrame) -> DataFrame:
     """(u, v) for every node u of the edge list (u, v) except the least of its component, which is v.
 
     Each step sends an edge to the least neighbour of one end, found by a partially aggregated minimum; no neighbour list
-    is ever gathered, so a hub costs rows, not memory. A round is written to the shared folder, so lineage stays short.
+    is ever gathered, so a hub costs rows, not memory, and it is joined in salted parts. A round is written to the shared folder, so lineage stays short.
     Self-loops and repeated edges don't matter; no edges give no rows. Edges must not hold nulls.
     """
     spark = edges.sparkSession
@@ -29,10 +29,10 @@ def components(edges: DataFrame) -> DataFrame:
         if not state[0]:
             return now
         both = now.unionByName(now.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
-        large = both.join(least, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
-        least = large.groupBy("u").agg(F.min("v").alias("m"))
-        small = large.join(least, "u").where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(least.select("u", F.col("m").alias("v"))).distinct()
+        least = both.groupBy("u").agg(F.min("v").alias("m"), F.count("*").alias("n")).select("u", F.least("u", "m").alias("m"), "n")
+        large = join_hot(both, least, "u", 2 * state[0]).where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
+        least = large.groupBy("u").agg(F.min("v").alias("m"), F.count("*").alias("n"))
+        small = join_hot(large, least, "u", 2 * state[0]).where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(least.select("u", F.col("m").alias("v"))).distinct()
         new, new_path = cut_at(small)
         drop(spark, path)
         now, path, before, state = new, new_path, state, _state(new)

@@ -2,9 +2,14 @@
 
 Texts that agree in all bins of a band share a bucket. Each member of a bucket is tried against the bucket's least one,
 which links almost all of a group of copies. Only members that it does not link are apart, and these are tried against
-every member of the bucket, in cells of about CELL rows a side; so no pair of a bucket is left out, whatever its size, and
-a bucket whose members are all linked costs a row each. Likeness is estimated from the packed bins. A cell gives a
-spanning forest of its links, never its pairs.
+every member of the bucket, in cells of about CELL rows a side; a bucket whose members are all linked costs a row each.
+Likeness is estimated from the packed bins. A cell gives a spanning forest of its links, never its pairs.
+
+Texts that share a template, but not LIKENESS, share buckets by the thousand. A bucket with more than MOST_PAIRS pairs to
+try is dealt again, by SUB_BANDS bands of ten further bins that its own key chooses, and its parts are worked like
+buckets; what is still large is dealt once more, and then all pairs are tried. A pair of likeness 0.8 meets in a part of its
+bucket with probability 0.85, independently in each bucket, so that over all bands it meets with probability 0.998 where
+every bucket is dealt once more, and 0.995 where it is twice; a pair of likeness 0.4 in one of 10,000 buckets.
 """
 
 from __future__ import annotations
@@ -17,11 +22,15 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from sedra.llm import minhash
+from sedra.llm.hashing import mix
 from sedra.llm.shared import cut, in_batches, join_hot
 
 LIKENESS = 0.8
 BANDS, ROWS = 20, 5  # a pair of likeness 0.8 agrees in some band with probability 0.9996
 CELL = 1024  # rows of a side of a cell, give or take what hashing does
+MOST_PAIRS = 1 << 18  # that a bucket is tried for before it is dealt again
+LEVELS = 3  # times that rows are dealt to buckets
+SUB_BANDS, SUB_BYTES = 14, 5  # bands of a bucket's parts, and the bytes of two bins each
 
 _AGREE = np.array([(b >> 4 == 0) + (b & 15 == 0) for b in range(256)], np.uint8)  # of two bins in a byte, those that differ in no bit
 
@@ -61,13 +70,31 @@ def forest(apart: np.ndarray, bins: np.ndarray, label: np.ndarray) -> list[tuple
 
 
 def links(sketches: DataFrame) -> DataFrame:
-    """Edges (u, v) of ids that connect all texts which share a bucket and are alike, for sketches (id: distinct longs, keys, bins)."""
-    rows = sketches.select("id", F.explode("keys").alias("key"))  # keys differ between bands
-    shared = cut(rows.groupBy("key").agg(F.count("*").alias("n"), F.min("id").alias("least")).where("n > 1"))
-    members = cut(join_hot(rows, shared, "key").select("key", "id", "least"))
+    """Edges (u, v) of ids that connect texts which are alike, for sketches (id: distinct longs, keys, bins)."""
     bins = sketches.select("id", "bins")
-    star = members.where("id <> least").select(F.col("id").alias("u"), F.col("least").alias("v")).distinct()
-    both = star.join(bins.select(F.col("id").alias("u"), F.col("bins").alias("a")), "u").join(bins.select(F.col("id").alias("v"), F.col("bins").alias("b")), "v")
+    told, edges = _starred(sketches.select("id", F.explode("keys").alias("key"), F.lit(True).alias("apart")), bins)  # keys differ between bands
+    for level in range(LEVELS):
+        buckets = told.groupBy("key").agg(F.count("*").alias("n"), F.count_if("apart").alias("m"), F.sum(F.xxhash64("id", "apart").cast("decimal(38,0)")).alias("same"))
+        # Two members have been tried; of buckets with the same members, one is enough.
+        todo = cut(buckets.where("m > 0 and n > 2").groupBy("n", "m", "same").agg(F.min("key").alias("key")).select("key", "n", "m"))
+        large = F.col("m") * F.col("n") > MOST_PAIRS if level < LEVELS - 1 else F.lit(False)
+        edges = edges.unionByName(_all_pairs(told, todo.where(~large), bins))
+        again = todo.where(large)
+        if again.isEmpty():
+            break
+        told, more = _starred(_dealt_again(join_hot(told, again.select("key", "n"), "key"), bins, level), bins)
+        edges = edges.unionByName(more)
+    return edges
+
+
+def _starred(rows: DataFrame, bins: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """The members (key, id, apart) of buckets that hold a member apart, for rows of the same columns, and the edges (u, v) from a bucket's members to its least. Those are not apart any more."""
+    rows = cut(rows)
+    shared = cut(rows.groupBy("key").agg(F.count("*").alias("n"), F.min("id").alias("least"), F.count_if("apart").alias("m")).where("n > 1 and m > 0").drop("m"))
+    members = cut(join_hot(rows, shared, "key").select("key", "id", "least", "apart"))
+    star = cut(members.where("id <> least").select(F.col("id").alias("u"), F.col("least").alias("v")).distinct())
+    hubs = star.groupBy("v").agg(F.count("*").alias("n")).join(bins.select(F.col("id").alias("v"), F.col("bins").alias("b")), "v")
+    both = join_hot(star.join(bins.select(F.col("id").alias("u"), F.col("bins").alias("a")), "u"), hubs, "v")
 
     def tried(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -75,15 +102,40 @@ def links(sketches: DataFrame) -> DataFrame:
 
     near = cut(in_batches(both.select("u", "v", "a", "b"), tried, "u long, v long"))
     told = members.join(near.select(F.col("u").alias("id"), F.col("v").alias("least"), F.lit(True).alias("linked")), ["id", "least"], "left")
-    told = cut(told.select("key", "id", F.expr("id <> least and linked is null").alias("apart")))
-    return near.unionByName(_rest(told, bins))
+    return cut(told.select("key", "id", F.expr("apart and id <> least and linked is null").alias("apart"))), near
 
 
-def _rest(told: DataFrame, bins: DataFrame) -> DataFrame:
-    """Edges (u, v) from the members apart to any of their bucket, for members (key, id, apart)."""
-    buckets = told.groupBy("key").agg(F.count("*").alias("n"), F.count_if("apart").alias("m"), F.sum(F.xxhash64("id", "apart").cast("decimal(38,0)")).alias("same"))
-    # Two members have been tried; of buckets with the same members, one is enough.
-    todo = cut(buckets.where("m > 0 and n > 2").groupBy("n", "m", "same").agg(F.min("key").alias("key")).select("key", "n", "m"))
+def sub_keys(keys: np.ndarray, bins: np.ndarray, level: int) -> np.ndarray:
+    """SUB_BANDS keys (int64) for each row of packed bins: of what it has in SUB_BYTES bytes each, which a bucket's key chooses."""
+    out = np.empty((len(keys), SUB_BANDS), np.uint64)
+    order = np.argsort(keys, kind="stable")
+    own, starts = np.unique(keys[order], return_index=True)
+    numbers = np.arange(1, SUB_BANDS + 1, dtype=np.uint64)
+    with np.errstate(over="ignore"):
+        for key, rows in zip(own.tolist(), np.split(order, starts[1:]), strict=True):
+            at = np.random.default_rng([key & (1 << 63) - 1, key < 0, level]).permutation(bins.shape[1])[: SUB_BANDS * SUB_BYTES].reshape(SUB_BANDS, SUB_BYTES)
+            value = np.zeros((len(rows), SUB_BANDS), np.uint64)
+            for k in range(SUB_BYTES):
+                value = (value << np.uint64(8)) | bins[rows][:, at[:, k]]
+            out[rows] = mix(mix(np.uint64(key & (1 << 64) - 1) + numbers) ^ value * np.uint64(0x9E3779B97F4A7C15))
+    return out.view(np.int64)
+
+
+def _dealt_again(members: DataFrame, bins: DataFrame, level: int) -> DataFrame:
+    """(key, id, apart) by sub_keys(), for members of large buckets."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            if b.num_rows:
+                keys = sub_keys(np.asarray(b["key"]), _matrix(b["bins"]), level)
+                row = pa.array(np.repeat(np.arange(len(keys)), SUB_BANDS))
+                yield pa.RecordBatch.from_arrays([pa.array(keys.ravel()), b["id"].take(row), b["apart"].take(row)], names=["key", "id", "apart"])
+
+    return in_batches(members.select("key", "id", "apart").join(bins, "id"), run, "key long, id long, apart boolean")
+
+
+def _all_pairs(told: DataFrame, todo: DataFrame, bins: DataFrame) -> DataFrame:
+    """Edges (u, v) from the members apart to any of their bucket, for members (key, id, apart) and the buckets (key, n, m) to do."""
     parts = lambda of: F.ceil(F.col(of) / CELL).cast("int")
     part = lambda of: F.pmod(F.xxhash64("id", F.lit(of)), F.col(of)).cast("int")
     own = join_hot(told, todo.select("key", "n", parts("m").alias("down"), parts("n").alias("across")), "key")

@@ -36,14 +36,15 @@ def in_batches(df: DataFrame, run: Callable, schema: str | StructType) -> DataFr
 HOT, SALTS = 1000, 64  # a key of over a HOT-th of all rows is joined in SALTS parts
 
 
-def join_hot(rows: DataFrame, named: DataFrame, key: str) -> DataFrame:
+def join_hot(rows: DataFrame, named: DataFrame, key: str | list[str], total: int | None = None) -> DataFrame:
     """rows.join(named, key) for `named` of a row a key, with n, the key's rows. n is left out.
 
-    Keys of over a HOT-th of what the n add up to are joined in SALTS parts; fewer than HOT can be, so their list is
-    small and is broadcast.
+    Keys of over a HOT-th of all rows (`total`, or what the n add up to) are joined in SALTS parts; fewer than HOT can
+    be, so their list is small and is broadcast.
     """
-    total = named.agg(F.sum("n")).first()[0] or 0
-    hot = F.broadcast(named.where(F.col("n") > total // HOT).select(key, F.lit(SALTS).alias("salts")))
-    dealt = rows.join(hot, key, "left").withColumn("salt", F.coalesce(F.pmod(F.xxhash64(*rows.columns, F.spark_partition_id()), F.col("salts")), F.lit(0)).cast("int")).drop("salts")
-    parts = named.drop("n").join(hot, key, "left").withColumn("salt", F.explode(F.sequence(F.lit(0), F.coalesce("salts", F.lit(1)) - 1))).drop("salts")
-    return dealt.join(parts, [key, "salt"]).drop("salt")
+    keys = [key] if isinstance(key, str) else key
+    total = named.agg(F.sum("n")).first()[0] or 0 if total is None else total
+    hot = F.broadcast(named.where(F.col("n") > total // HOT).select(*keys, F.lit(SALTS).alias("salts")))
+    dealt = rows.join(hot, keys, "left").withColumn("salt", F.coalesce(F.pmod(F.xxhash64(*rows.columns, F.spark_partition_id()), F.col("salts")), F.lit(0)).cast("int")).drop("salts")
+    parts = named.drop("n").join(hot, keys, "left").withColumn("salt", F.explode(F.sequence(F.lit(0), F.coalesce("salts", F.lit(1)) - 1))).drop("salts")
+    return dealt.join(parts, [*keys, "salt"]).drop("salt")

@@ -149,7 +149,7 @@ def links(fps: DataFrame) -> DataFrame:
     tables = fps.select("fp", F.explode(_tables(F.col("fp"), masks(FIRST))).alias("at")).select("fp", "at.t", "at.key")
     sizes = cut(tables.groupBy("t", "key").agg(F.count("*").alias("n")).where("n > 1"))
     cold = tables.join(sizes.where(F.col("n") <= MOST).select("t", "key"), ["t", "key"]).groupBy("t", "key").agg(F.collect_list("fp").alias("fps"))
-    hot = tables.join(sizes.where(F.col("n") > MOST).select("t", "key"), ["t", "key"]).select("fp", "t", "key", F.explode(_tables(F.col("fp"), masks(SECOND))).alias("at"))
+    hot = join_hot(tables, sizes.where(F.col("n") > MOST), ["t", "key"]).select("fp", "t", "key", F.explode(_tables(F.col("fp"), masks(SECOND))).alias("at"))
     hot = hot.groupBy("t", "key", F.col("at.t").alias("t2"), F.col("at.key").alias("key2")).agg(F.collect_list("fp").alias("fps")).where(F.size("fps") > 1)
     return _bucket_edges(cold.select("fps").unionByName(hot.select("fps")))
 
@@ -173,8 +173,9 @@ def _copy_edges(docs: DataFrame) -> DataFrame:
     sketches = cut(docs.groupBy("id", "keys", "bins").agg(F.min("fp").alias("fp"), F.max("fp").alias("most")))
     least = sketches.select("id", "fp")
     same = docs.select("fp", "id").join(sketches.where("fp <> most").select("id", F.col("fp").alias("v")), "id").select(F.col("fp").alias("u"), "v").where("u <> v").distinct()
-    near = near_copies.links(sketches.select("id", "keys", "bins"))
-    ends = near.join(least.toDF("u", "fu"), "u").join(least.toDF("v", "fv"), "v").select(F.col("fu").alias("u"), F.col("fv").alias("v"))
+    near = cut(near_copies.links(sketches.select("id", "keys", "bins")))
+    hubs = near.groupBy("v").agg(F.count("*").alias("n")).join(least.toDF("v", "fv"), "v")
+    ends = join_hot(near.join(least.toDF("u", "fu"), "u"), hubs, "v").select(F.col("fu").alias("u"), F.col("fv").alias("v"))
     return same.unionByName(ends)
 
 
@@ -197,8 +198,8 @@ def near_duplicates(df: DataFrame, text: str = "text", key: str = "doc_id") -> D
     other key can. An empty table gives none. Columns other than key and text are not read.
     """
     docs, named = _components(df, text, key)
-    of_rep = named.groupBy("rep").agg(F.min("least").alias("component_id"))
-    by_fp = cut(named.join(of_rep, "rep").select("fp", "n", "component_id"))
+    of_rep = named.groupBy("rep").agg(F.min("least").alias("component_id"), F.count("*").alias("n"))
+    by_fp = cut(join_hot(named, of_rep, "rep").select("fp", "n", "component_id"))
     out = join_hot(docs, by_fp, "fp")
     return out.select(F.col("k").alias(key), F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 

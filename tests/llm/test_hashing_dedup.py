@@ -156,6 +156,38 @@ def test_no_pair_of_a_bucket_is_left_out(spark, monkeypatch, cell):
     assert sorted(r.doc_id for r in simhash.representatives(docs).collect()) == sorted({*brute_groups(texts).values()})
 
 
+def templated(rng, n, shared=180, own=120):
+    """n texts that share 60 % of their words in one run, so that many agree in whole bands, but none are alike."""
+    template = " ".join(f"t{k}" for k in range(shared))
+    return [template + " " + " ".join(f"w{rng.randrange(10**6)}" for _ in range(own)) for _ in range(n)]
+
+
+def test_large_buckets_are_dealt_again(spark, monkeypatch):
+    """Copies hidden among texts of one template are found: pairs of a true likeness of 0.8 or more, at a recall of 0.9 or more, with few pairs tried."""
+    rng = random.Random(12)
+    texts = templated(rng, 1500)
+    for t in texts[:150]:  # each with a copy in which a few words in a row differ
+        w = t.split()
+        at = rng.randrange(180, 280)
+        texts.append(" ".join([*w[:at], *(f"z{rng.randrange(10**6)}" for _ in range(18)), *w[at + 18 :]]))
+    keys, bins = near_copies.sketch(texts)
+    rows = [(i, k, bytes(b)) for i, (k, b) in enumerate(zip(keys.to_pylist(), bins.to_pylist(), strict=True))]
+    sketches = spark.createDataFrame(rows, "id long, keys array<long>, bins binary")
+    sets = [{tuple(w[k : k + 5]) for k in range(len(w) - 4)} for w in map(str.split, texts)]
+    true = [i for i in range(150) if len(sets[i] & sets[1500 + i]) >= 0.8 * len(sets[i] | sets[1500 + i])]
+    assert len(true) > 100
+    found = {}
+    for most in (1 << 40, 1 << 8):
+        tried = []
+        monkeypatch.setattr(near_copies, "MOST_PAIRS", most)
+        monkeypatch.setattr(near_copies, "_all_pairs", lambda told, todo, bins, run=near_copies._all_pairs: tried.append(todo.selectExpr("sum(m * n)").first()[0] or 0) or run(told, todo, bins))
+        found[most] = {(min(r.u, r.v), max(r.u, r.v)) for r in near_copies.links(sketches).collect()}, sum(tried)
+        monkeypatch.undo()
+    (whole, pairs), (dealt, fewer) = found[1 << 40], found[1 << 8]
+    assert sum((i, 1500 + i) in dealt for i in true) >= 0.95 * sum((i, 1500 + i) in whole for i in true) > 0.9 * 0.95 * len(true)
+    assert fewer < pairs / 20
+
+
 def test_texts_of_one_fingerprint_all_take_part(spark):
     """Two texts of one fingerprint have sketches of their own: what is like the second is linked, too."""
     low, some = minhash.signatures(["a b c d e f", "a b c d e g"])
