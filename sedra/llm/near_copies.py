@@ -28,7 +28,7 @@ from sedra.llm.shared import cut, in_batches, join_hot
 LIKENESS = 0.8
 BANDS, ROWS = 20, 5  # a pair of likeness 0.8 agrees in some band with probability 0.9996
 CELL = 1024  # rows of a side of a cell, give or take what hashing does
-MOST_PAIRS = 1 << 18  # that a bucket is tried for before it is dealt again
+MOST_PAIRS = 1 << 21  # that a bucket is tried for before it is dealt again
 LEVELS = 3  # times that rows are dealt to buckets
 SUB_BANDS, SUB_BYTES = 14, 5  # bands of a bucket's parts, and the bytes of two bins each
 
