@@ -1,21 +1,29 @@
 """A collection: a named table of (id, embedding, metadata, document), made by one embedder.
 
 It is a log. Each write puts Parquet files into a folder of their own, numbered by step: rows, or sources that are deleted
-from all earlier steps. Nothing that is stored is written again, so a write costs its own size. A step counts once the
-next manifest names it: a small file that is created only if there is none of its number, so that of two writers at once
-one goes first and the other follows, and readers keep what they began with. compact() folds the log into one step.
+from all earlier steps. Nothing that is stored is written again, so a write costs its own size.
+
+A step counts once its manifest is there, a small file that names what is new. It is written under a name of its own and
+then put in its place by a move that fails if the place is taken; so of two writers at once one goes first and the other
+follows, a writer that dies leaves nothing that counts, and a manifest is whole or absent. One that can't be read, by
+whatever wrote it, is passed over: the next step goes after it.
+
+A manifest also names the one that it goes on from, and takes over the entries of those before it that hold no more than
+itself; so of n writes each has been copied log n times at most, and a reader opens log n manifests. compact() folds the
+log into one step while others write; vacuum() removes what has been out of use for long enough that no reader can hold it.
 """
 
 from __future__ import annotations
 
 import json
+import time
 import uuid
 from dataclasses import dataclass
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sedra.sources.shared import drop, file_system, new_table
+from sedra.sources.shared import drop, exists, file_system, new_table, put_new, read_bytes
 
 METADATA = "struct<source_file:string,file_name:string,length:int,token:int,created_at:string>"
 SCHEMA = f"id string, embedding array<double>, metadata {METADATA}, document string"
@@ -33,56 +41,70 @@ class Collection:
 
     def __post_init__(self) -> None:
         self.path = f"{(self.path or new_table(self.spark)).rstrip('/')}/{self.name}"
-        if self._newest() < 0:
-            self._create(0, {"embedder": self.embedder, "rows": [], "gone": []})
-        made_by = self._manifest()["embedder"]
+        self._last = self._listed()  # a manifest that is known to be there; -1 for none
+        if self._last < 0:
+            self._create(0, {"embedder": self.embedder, "before": None, "entries": []})
+        made_by = self._log()[0][1]["embedder"]
         if made_by != self.embedder:
             raise ValueError(f"collection {self.name} was made with embedder {made_by}, not {self.embedder}")
 
     def _file(self, n: int) -> str:
         return f"{self.path}/manifest-{n:08d}.json"
 
-    def _newest(self) -> int:
-        """The number of the last manifest, -1 for none."""
+    def _listed(self) -> int:
         fs, target = file_system(self.spark, self.path)
-        if not fs.exists(target):
-            return -1
-        names = (s.getPath().getName() for s in fs.listStatus(target))
+        names = (s.getPath().getName() for s in fs.listStatus(target)) if fs.exists(target) else ()
         return max((int(n.split("-")[1].split(".")[0]) for n in names if n.startswith("manifest-")), default=-1)
 
+    def _newest(self) -> int:
+        """The number of the last manifest, readable or not."""
+        if not exists(self.spark, self._file(self._last)):  # it was vacuumed
+            self._last = self._listed()
+        while exists(self.spark, self._file(self._last + 1)):
+            self._last += 1
+        return self._last
+
     def _create(self, n: int, content: dict) -> bool:
         """Whether manifest n is ours now; False if there is one."""
-        fs, target = file_system(self.spark, self._file(n))
-        try:
-            out = fs.create(target, False)
-        except Exception as e:
-            if fs.exists(target):
-                return False
-            raise e
+        return put_new(self.spark, self._file(n), json.dumps(content).encode())
+
+    def _read_manifest(self, n: int) -> dict | None:
+        """Manifest n; None if it can't be read as one."""
         try:
-            out.write(bytearray(json.dumps(content).encode()))
-        finally:
-            out.close()
-        return True
-
-    def _manifest(self, n: int | None = None) -> dict:
-        """Manifest n or the last one; one that is being written counts as not there yet."""
-        n = self._newest() if n is None else n
-        while True:
-            text = "\n".join(r.value for r in self.spark.read.text(self._file(n), wholetext=True).collect())
-            try:
-                return json.loads(text) | {"number": n}
-            except ValueError:
-                if n == 0:
-                    raise
-                n -= 1
+            found = json.loads(read_bytes(self.spark, self._file(n)))
+        except ValueError:
+            return None
+        return found if isinstance(found, dict) and "entries" in found else None
+
+    def _log(self, newest: int | None = None) -> list[tuple[int, dict]]:
+        """The manifests that hold what counts, from the newest back, each with its number."""
+        n = self._newest() if newest is None else newest
+        while (now := self._read_manifest(n)) is None:
+            n -= 1
+            if n < 0 or not exists(self.spark, self._file(n)):
+                raise ValueError(f"{self.path} has no manifest that can be read")
+        out = [(n, now)]
+        while (n := out[-1][1]["before"]) is not None:
+            out.append((n, self._read_manifest(n)))
+        return out
+
+    @staticmethod
+    def _entries(log: list[tuple[int, dict]]) -> list[list]:
+        """[step, kind, path] of all that counts, in order."""
+        return [e for _, m in reversed(log) for e in m["entries"]]
 
     def _publish(self, kinds: dict[str, str]) -> int:
         """Names written folders (kind: path) as the next step; returns its number."""
         for _ in range(TRIES):
-            now = self._manifest()
-            step = now.pop("number") + 1
-            if self._create(step, {**now, **{k: [*now[k], [step, path]] for k, path in kinds.items()}}):
+            step = self._newest() + 1
+            log = self._log(step - 1)
+            own = [[step, kind, path] for kind, path in kinds.items()]
+            embedder, before = log[0][1]["embedder"], log[0][0]
+            for _, m in log:
+                if len(m["entries"]) > len(own):
+                    break
+                own, before = m["entries"] + own, m["before"]
+            if self._create(step, {"embedder": embedder, "before": before, "entries": own}):
                 return step
         raise RuntimeError(f"{TRIES} other writers were first")
 
@@ -91,22 +113,26 @@ class Collection:
         df.write.parquet(path)
         return path
 
-    def _read(self, steps: list, schema: str) -> DataFrame:
-        """The tables of [step, path] entries with their step; folders of one step share a name and a schema."""
-        out = self.spark.createDataFrame([], f"{schema}, step int")
-        if not steps:
-            return out
-        # One scan of all folders: the file's folder tells the step.
-        number = F.create_map(*[F.lit(x) for step, path in steps for x in (path.rsplit("/", 1)[1], step)])
-        rows = self.spark.read.schema(schema).parquet(*[path for _, path in steps])
-        return rows.withColumn("step", F.element_at(number, F.regexp_extract(F.col("_metadata.file_path"), r"/(step-[0-9a-f]+)/", 1)))
+    def _read(self, entries: list[list], schema: str, numbered: bool) -> DataFrame:
+        """The tables of entries, with their step if `numbered`."""
+        if not entries:
+            return self.spark.createDataFrame([], f"{schema}, step int" if numbered else schema)
+        # One scan of all folders: the file's folder tells the step, by a join of a row a step.
+        rows = self.spark.read.schema(schema).parquet(*[path for _, _, path in entries])
+        if not numbered:
+            return rows
+        steps = self.spark.createDataFrame([(path.rsplit("/", 1)[1], step) for step, _, path in entries], "_folder string, step int")
+        return rows.withColumn("_folder", F.regexp_extract(F.col("_metadata.file_path"), r"/(step-[0-9a-f]+)/", 1)).join(steps, "_folder").drop("_folder")
 
     def rows(self) -> DataFrame:
         """The rows that are there now; later writes don't change the result."""
-        now = self._manifest()
-        rows = self._read(now["rows"], SCHEMA)
-        if now["gone"]:
-            gone = self._read(now["gone"], "source_file string").groupBy("source_file").agg(F.max("step").alias("until"))
+        return self._live(self._entries(self._log()))
+
+    def _live(self, entries: list[list]) -> DataFrame:
+        of = lambda kind: [e for e in entries if e[1] == kind]
+        rows = self._read(of("rows"), SCHEMA, bool(of("gone")))
+        if of("gone"):
+            gone = self._read(of("gone"), "source_file string", True).groupBy("source_file").agg(F.max("step").alias("until"))
             rows = rows.join(gone, (F.col("metadata.source_file") == F.col("source_file")) & (F.col("step") < F.col("until")), "left_anti")
         return rows.select("id", "embedding", "metadata", "document")
 
@@ -134,25 +160,39 @@ class Collection:
     def _stored(self, path: str) -> DataFrame:
         return self.spark.read.schema(SCHEMA).parquet(path)
 
-    def compact(self) -> None:
-        """Fold the log: the live rows are written once, and folders that no manifest needs then are removed. Not beside other writers."""
-        now = self._manifest()
-        path = self._write(self.rows())
-        number = now["number"]
-        if not self._create(number + 1, {"embedder": now["embedder"], "rows": [[number + 1, path]], "gone": []}):
-            drop(self.spark, path)
-            raise RuntimeError("another writer was first")
-        for _, old in [*now["rows"], *now["gone"]]:
-            drop(self.spark, old)
-        for n in range(number, -1, -1):
-            drop(self.spark, self._file(n))
-
-    def stats(self) -> DataFrame:
-        """(collection, n): one row."""
-        return stats(self.rows(), self.name)
+    def compact(self) -> int:
+        """Fold the log: the live rows are written once, as one step; returns the manifest's number. What other writers add meanwhile follows it. What is folded stays until vacuum()."""
+        log = self._log()
+        until, folded = log[0][0], self._entries(log)
+        path = self._write(self._live(folded))
+        for _ in range(TRIES):
+            step = self._newest() + 1
+            now = self._log(step - 1)
+            entries = self._entries(now)
+            if entries[: len(folded)] != folded:
+                break  # another compact() was first
+            if self._create(step, {"embedder": now[0][1]["embedder"], "before": None, "entries": [[until, "rows", path], *entries[len(folded) :]]}):
+                return step
+        drop(self.spark, path)
+        raise RuntimeError("other writers were first")
 
+    def vacuum(self, seconds: float = 86_400) -> int:
+        """Remove folders that no manifest in use names, and manifests out of use, if both they and the newest manifest are `seconds` old: longer than any reader or writer takes. Returns how many went."""
+        log = self._log()
+        used = {self._file(n) for n, _ in log} | {path for _, _, path in self._entries(log)}
+        fs, target = file_system(self.spark, self.path)
+        least = min(n for n, _ in log)
+        used |= {self._file(n) for n in range(least, self._newest() + 1)}  # so that numbers stay without a gap
+        found = {f"{self.path}/{s.getPath().getName()}": s.getModificationTime() / 1000 for s in fs.listStatus(target)}
+        before = time.time() - seconds
+        if found[self._file(log[0][0])] > before:
+            return 0
+        old = [p for p, at in found.items() if p not in used and at <= before]
+        for p in old:
+            drop(self.spark, p)
+        return len(old)
 
-def stats(self) -> DataFrame:
+    def stats(self) -> DataFrame:
         """(collection, n): one row."""
         return stats(self.rows(), self.name)
 

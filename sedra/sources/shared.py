@@ -57,6 +57,47 @@ def exists(spark: SparkSession, path: str) -> bool:
     return fs.exists(target)
 
 
+def read_bytes(spark: SparkSession, path: str) -> bytes:
+    """A small file's content."""
+    fs, target = file_system(spark, path)
+    stream = fs.open(target)
+    try:
+        return bytes(spark._jvm.org.apache.commons.io.IOUtils.toByteArray(stream))
+    finally:
+        stream.close()
+
+
+def put_new(spark: SparkSession, path: str, content: bytes) -> bool:
+    """Put a small file in a place that must be free: False if it is taken. It is there whole or not at all.
+
+    The file is written beside its place and moved there: by a hard link on a local disk, elsewhere by the file system's
+    rename without overwriting, which is atomic on HDFS and its like.
+    """
+    fs, target = file_system(spark, path)
+    beside = f"{path.rsplit('/', 1)[0]}/.{uuid.uuid4().hex}.tmp"
+    hidden = file_system(spark, beside)[1]
+    out = fs.create(hidden, False)
+    try:
+        out.write(bytearray(content))
+    finally:
+        out.close()
+    jvm = spark._jvm
+    try:
+        if fs.getScheme() == "file":
+            place = lambda p: jvm.java.nio.file.Path.of(p.toUri())
+            jvm.java.nio.file.Files.createLink(place(fs.makeQualified(target)), place(fs.makeQualified(hidden)))
+        else:
+            none = spark.sparkContext._gateway.new_array(jvm.org.apache.hadoop.fs.Options.Rename, 0)
+            jvm.org.apache.hadoop.fs.FileContext.getFileContext(fs.getUri(), spark._jsc.hadoopConfiguration()).rename(hidden, target, none)
+        return True
+    except Exception:
+        if fs.exists(target):
+            return False
+        raise
+    finally:
+        fs.delete(hidden, False)
+
+
 def drop(spark: SparkSession, path: str) -> None:
     """Delete a table of cut_at() that no later plan reads."""
     fs, target = file_system(spark, path)

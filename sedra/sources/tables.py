@@ -4,16 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from sedra.sources.shared import file_system
-
-ONE_TASK = (1 << 20, 128 << 20)  # bytes of a lone file that are too much for one task, but no more than one split
-
 
 def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
-    """A table as it lies, but for a lone file of a split's size at most: that is often one row group, and so one task's work however small the splits. Its rows are dealt to all cores; larger tables and those of several files are never shuffled here."""
-    df = spark.read.parquet(f"{folder}/{name}.parquet")
-    files = df.inputFiles()
-    if len(files) != 1:
-        return df
-    fs, target = file_system(spark, files[0])
-    return df.repartition(spark.sparkContext.defaultParallelism) if ONE_TASK[0] <= fs.getFileStatus(target).getLen() <= ONE_TASK[1] else df
+    """A table as it lies. How many tasks read it is for its layout and the session's split size to say."""
+    return spark.read.parquet(f"{folder}/{name}.parquet")

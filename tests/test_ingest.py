@@ -5,11 +5,13 @@ from __future__ import annotations
 import io
 import zipfile
 import zlib
+from concurrent.futures import ThreadPoolExecutor
+from uuid import uuid4
 
 import pytest
 from pyspark.sql import functions as F
 
-from sedra.operators.collection import Collection, vectorized_status
+from sedra.operators.collection import SCHEMA, Collection, vectorized_status
 from sedra.plans import chats
 from sedra.plans.ingest import IngestConfig, ingest
 from sedra.plans.search import Retriever
@@ -128,19 +130,60 @@ def test_collection_log(spark, tmp_path):
     other.append(table(("b", "2")))
     assert held(own) == held(other) == ["None:1", "a:2", "b:1", "b:2"] and sorted(r.id for r in before.collect()) == ["None:1", "a:1", "b:1"]
     assert all(p.stat().st_mtime_ns == t for p, t in stamps.items())
-    now = own._manifest()["number"]
+    now = own._newest()
     assert not own._create(now, {}) and own._newest() == now
     own.delete_sources(gone("b"))
     own.append(table(("b", "3")))
     want = held(own)
     assert want == ["None:1", "a:2", "b:3"]
+    reader, folders = own.rows(), lambda: len([p for p in (tmp_path / "store" / "documents").iterdir() if p.is_dir()])
     own.compact()
-    assert held(own) == held(other) == want and len([p for p in (tmp_path / "store" / "documents").iterdir() if p.is_dir()]) == 1
+    assert held(own) == held(other) == want and own.vacuum() == 0 and sorted(r.id for r in reader.collect()) == want
     other.append(table(("a", "4")))
-    assert held(own) == sorted([*want, "a:4"])
+    assert own.vacuum(0) > 0 and folders() == 2 and held(own) == held(other) == held(Collection(spark, f"file://{tmp_path}/store")) == sorted([*want, "a:4"])
     assert held(Collection(spark, name="of its own")) == []
 
 
+def test_dead_writers_and_torn_manifests(spark, tmp_path):
+    """What a writer leaves that dies before its manifest is in place counts for nothing; a manifest that can't be read is passed over."""
+    own = Collection(spark, f"file://{tmp_path}/store")
+    folder = tmp_path / "store" / "documents"
+    one = own._write(spark.createDataFrame([("a", [1.0], None, "a")], SCHEMA))
+    (folder / ".dead.tmp").write_text('{"embed')
+    own._publish({"rows": one})
+    for torn in ("", '{"embedder": "hash', "[]"):
+        (folder / f"manifest-{own._newest() + 1:08d}.json").write_text(torn)
+        assert own.rows().count() == Collection(spark, f"file://{tmp_path}/store").rows().count() == 1
+    own.append(spark.createDataFrame([("b", [1.0], None, "b")], SCHEMA))
+    assert own._newest() == 5 and own.rows().count() == 2
+    own.compact()
+    assert own.vacuum(0) and own.rows().count() == 2 and not (folder / ".dead.tmp").exists()
+    for f in folder.glob("manifest-*"):
+        f.write_text("")
+    with pytest.raises(ValueError):
+        Collection(spark, f"file://{tmp_path}/store")
+
+
+def test_writers_at_once_all_land(spark, tmp_path):
+    own = [Collection(spark, f"file://{tmp_path}/store") for _ in range(8)]
+    with ThreadPoolExecutor(8) as pool:
+        steps = list(pool.map(lambda c: [c._publish({"rows": f"{c.path}/step-{uuid4().hex}"}) for _ in range(5)], own))
+    assert sorted(sum(steps, [])) == list(range(1, 41)) and all(s == sorted(s) for s in steps)
+    assert [e[0] for e in own[0]._entries(own[0]._log())] == list(range(1, 41))
+
+
+def test_a_thousand_writes_cost_linear_bytes(spark, tmp_path):
+    own = Collection(spark, f"file://{tmp_path}/store")
+    size = {}
+    for n in range(1, 1001):
+        own._publish({"rows": f"{own.path}/step-{n:032x}"})
+        if n in (250, 1000):
+            size[n] = sum(p.stat().st_size for p in (tmp_path / "store" / "documents").glob("manifest-*"))
+    log = own._log()
+    assert [e[0] for e in own._entries(log)] == list(range(1, 1001)) and len(log) <= 11
+    assert size[1000] < 5.5 * size[250] and size[1000] < 1000 * 1500  # about log n copies of an entry
+
+
 def test_stream(spark, folder, tmp_path):
     own = Collection(spark, f"file://{tmp_path}/store")
     go = lambda: ingest_stream(spark, folder, own, f"file://{tmp_path}/progress", IngestConfig(40, 5)).awaitTermination()
