@@ -23,6 +23,7 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from sedra.operators import inverted_file, vectors
 from sedra.sources.shared import drop, exists, file_system, new_table, put_new, read_bytes
 
 METADATA = "struct<source_file:string,file_name:string,length:int,token:int,created_at:string>"
@@ -161,7 +162,7 @@ class Collection:
         return self.spark.read.schema(SCHEMA).parquet(path)
 
     def compact(self) -> int:
-        """Fold the log: the live rows are written once, as one step; returns the manifest's number. What other writers add meanwhile follows it. What is folded stays until vacuum()."""
+        """Fold the log: the live rows are written once, as one step; returns the manifest's number. What other writers add meanwhile follows it. What is folded stays until vacuum(). An index goes, as it knows nothing of what is folded: index() makes a new one."""
         log = self._log()
         until, folded = log[0][0], self._entries(log)
         path = self._write(self._live(folded))
@@ -192,6 +193,36 @@ class Collection:
             drop(self.spark, p)
         return len(old)
 
+    def index(self, config: inverted_file.Config | None = None) -> bool:
+        """Store an inverted file of the live rows with the collection, in place of an earlier one; False if there is no vector. Later writes don't change it: nearest() reads what they added beside it."""
+        log = self._log()
+        path = f"{self.path}/step-{uuid.uuid4().hex}"
+        rows = self._live(self._entries(log)).select("id", "embedding", F.col("metadata.source_file").alias("source_file"))
+        if inverted_file.build(rows, path, config, more=("source_file",)) is None:
+            return False
+        put_new(self.spark, f"{path}/until.json", json.dumps(log[0][0]).encode())
+        self._publish({"index": path})
+        return True
+
+    def nearest(self, queries: DataFrame, k: int = 10, query: str = "query_id", vector: str = "embedding") -> DataFrame:
+        """vectors.nearest() over the rows, by squared Euclidean distance, with doc_id for a row's id. With an index it is approximate: of what is indexed, cells near a query are read. Rows that came later are tried one by one, and rows whose source was deleted later are left out; many of both call for a new index(). Queries of another length than the index's vectors find nothing."""
+        entries = self._entries(self._log())
+        path = next((p for _, kind, p in reversed(entries) if kind == "index"), None)
+        until = None if path is None else json.loads(read_bytes(self.spark, f"{path}/until.json"))
+        plain = lambda rows: rows.select(F.col("id").alias("doc_id"), "embedding")
+        if path is None or entries[0][0] > until:  # none, or one from before what was folded since
+            return vectors.nearest(queries, plain(self._live(entries)), k, query=query, vector=vector)
+        later = [e for e in entries if e[0] > until]
+        found = inverted_file.search(queries, path, k, query, vector, ("source_file",))
+        gone = [e for e in later if e[1] == "gone"]
+        if gone:
+            found = found.join(self._read(gone, "source_file string", False).distinct(), "source_file", "left_anti")
+        found = found.drop("source_file")
+        if any(e[1] == "rows" for e in later):
+            own = lambda df, v: df.where(F.size(v) == inverted_file.load(self.spark, path).dim)
+            found = found.unionByName(vectors.nearest(own(queries, vector), own(plain(self._live(later)), "embedding"), k, query=query, vector=vector).drop("retrieval_rank"))
+        return vectors.ranked(found, k, query, "doc_id")
+
     def stats(self) -> DataFrame:
         """(collection, n): one row."""
         return stats(self.rows(), self.name)

@@ -63,8 +63,8 @@ def nearest(queries: DataFrame, collection: DataFrame, k: int = 10, metric: str
     most = min(BROADCAST_QUERIES, BROADCAST_BYTES // (8 * max(1, len(first[0]["v"])))) if first else BROADCAST_QUERIES
     asked = own.limit(most + 1).collect()
     if len(asked) > most:
-        return _ranked(_in_blocks(queries, collection, k, metric, query, doc, vector), k, query, doc)
-    return _ranked(_against_few(asked, queries.schema[query], collection, k, metric, query, doc, vector), k, query, doc)
+        return ranked(_in_blocks(queries, collection, k, metric, query, doc, vector), k, query, doc)
+    return ranked(_against_few(asked, queries.schema[query], collection, k, metric, query, doc, vector), k, query, doc)
 
 
 def _apart(q: np.ndarray, c: np.ndarray, metric: str) -> np.ndarray:
@@ -106,7 +106,8 @@ def _against_few(asked: list, key: StructField, collection: DataFrame, k: int, m
     return out.select(F.col("q").alias(query), F.col("d").alias(doc), "distance")
 
 
-def _ranked(pairs: DataFrame, k: int, query: str, doc: str) -> DataFrame:
+def ranked(pairs: DataFrame, k: int, query: str, doc: str) -> DataFrame:
+    """pairs with retrieval_rank, the k nearest of each query."""
     rank = F.row_number().over(Window.partitionBy(query).orderBy("distance", doc))
     return pairs.withColumn("retrieval_rank", rank).where(F.col("retrieval_rank") <= k)
 
@@ -212,7 +213,7 @@ def nearest_lsh(queries: DataFrame, collection: DataFrame, k: int = 10, query: s
     place = F.row_number().over(Window.partitionBy("q").orderBy("apart", "d"))
     kept = near.withColumn("place", place).where(F.col("place") <= n).select(F.col("q").alias(query), F.col("d").alias(doc))
     pairs = kept.join(queries.select(query, F.col(vector).alias("_q")), query).join(collection.select(doc, F.col(vector).alias("_c")), doc)
-    return _ranked(pairs.select(query, doc, METRICS["cosine"](F.col("_q"), F.col("_c")).alias("distance")), k, query, doc)
+    return ranked(pairs.select(query, doc, METRICS["cosine"](F.col("_q"), F.col("_c")).alias("distance")), k, query, doc)
 
 
 def linkage(vectors: DataFrame, cluster: str = "label", vector: str = "embedding") -> DataFrame:

@@ -339,6 +339,16 @@ def search_collection(spark: SparkSession, folder: str) -> DataFrame:
     return Retriever.of(own).search(_asked(spark, folder)).select("query_id", "doc_id", F.round("score", 6).alias("score"), "rank")
 
 
+@query
+def search_indexed(spark: SparkSession, folder: str) -> DataFrame:
+    """The ten nearest stored chunks of all documents for each benchmark text, by the collection's inverted file."""
+    own = Collection(spark, name="indexed")
+    own.append(collection_rows(_as_files(_documents(spark, folder)), TOKEN_INGEST))
+    own.index()
+    asked = _asked(spark, folder).select("query_id", HashingEmbedder().embed(F.col("query")).alias("embedding"))
+    return own.nearest(asked).select("query_id", "doc_id", F.round("distance", 6).alias("distance"), "retrieval_rank")
+
+
 @query
 def files_extracted(spark: SparkSession, folder: str) -> DataFrame:
     """Sources uploaded as text files of their counts, a picture, an empty file, and one that is deleted again: what the folder's files hold."""
