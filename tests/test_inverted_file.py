@@ -53,7 +53,7 @@ ROWS = [(f"r{i}", [float(np.cos(i * k)) for k in range(1, 7)], (f"s{i % 7}", "",
 
 def test_later_writes_are_seen(spark, tmp_path):
     own = Collection(spark, f"file://{tmp_path}/store")
-    own.append(spark.createDataFrame([*ROWS, ("null", None, None, ""), ("short", [1.0], None, "")], SCHEMA))
+    own.append(spark.createDataFrame([*ROWS, ("null", None, None, "")], SCHEMA))
     assert own.index(inverted_file.Config(probes=1.0, per=40, parts=4))
     own.replace_sources(spark.createDataFrame([("new", ROWS[0][1], ("s0", "", 0, 0, ""), "")], SCHEMA), spark.createDataFrame([("s0",)], "source_file string"))
     own.append(spark.createDataFrame([("again", ROWS[8][1], ("s1", "", 0, 0, ""), "")], SCHEMA))
@@ -72,8 +72,9 @@ def test_later_writes_are_seen(spark, tmp_path):
 def test_many_queries_equal_few(spark, tmp_path, monkeypatch):
     path = f"file://{tmp_path}/x"
     df = spark.createDataFrame(ROWS, SCHEMA)
+    odd = spark.createDataFrame([("null", None, None, ""), ("short", [1.0], None, "")], SCHEMA)
     monkeypatch.setattr(inverted_file, "FILE_ROWS", 5)
-    inverted_file.build(df, path, inverted_file.Config(cells=9, parts=5))
+    inverted_file.build(df.unionByName(odd), path, inverted_file.Config(cells=9, parts=5))
     asked = df.select(F.col("id").alias("query_id"), "embedding")
     rows = lambda: sorted((r.query_id, r.doc_id, round(r.distance, 9)) for r in inverted_file.search(asked, path, 4).collect())
     few = rows()
