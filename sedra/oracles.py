@@ -103,6 +103,20 @@ def goes_on(previous: str, now: str) -> str:
     return f"({starts} or len({a}) = 0 or len({b}) = 0 or {jaccard(a, b)} > 0.2)"
 
 
+def bm25(k: int = 10, k1: float = 1.2, b: float = 0.75) -> str:
+    """The k best of all documents for each benchmark text, all of them scored."""
+    words = lambda x: f"list_filter(regexp_extract_all(lower(coalesce({x}, '')), '[{WORD}]{{2,}}'), lambda w: not list_contains({names(STOP_WORDS)}, w))"
+    return f"""with d as (select doc_id, {words('text')} as words from documents),
+    s as (select count(*) as n, avg(len(words)) as mean from d),
+    t as (select doc_id, len(words) as size, unnest(words) as term from d),
+    c as (select doc_id, size, term, count(*) as tf from t group by all),
+    f as (select term, ln(1 + (any_value(n) - count(*) + 0.5) / (count(*) + 0.5)) as idf from c, s group by term),
+    q as (select query_id, term, count(*) as asked from (select item_id as query_id, unnest({words('text')}) as term from benchmark) group by all),
+    r as (select query_id, doc_id, round(sum(asked * idf * (tf * {k1 + 1} / (tf + {k1} * (1 - {b} + {b} * size / mean)))), 9) as score from q join f using (term) join c using (term), s group by all),
+    o as (select *, (row_number() over (partition by query_id order by score desc, doc_id))::int as rank from r)
+    select query_id, doc_id, round(score, 6) as score, rank from o where rank <= {k}"""
+
+
 def marked(x: str) -> str:
     """With chr(2) before and chr(3) after each run of word characters: RE2 has no Unicode word edges, so they are written out."""
     return f"regexp_replace({x}, '([{WORD}]+)', chr(2) || '\\1' || chr(3), 'g')"
@@ -307,6 +321,9 @@ ORACLES: dict[str, str] = {
     "knn_cosine": knn("cosine", "query_id, doc_id, round(distance, 6) as distance, retrieval_rank"),
     "knn_score": knn("l2", "query_id, doc_id::varchar as doc_id, round(1 / (1 + distance), 6) as score"),
     "retrieve_candidates": f"with {FOUND} select query_id, doc_id, round(retrieval_score, 6) as retrieval_score, retrieval_rank from found",
+    "bm25_search": bm25(),
+    "file_table": """with f as (select '/data/' || source || '/' || doc_id || '.' || ['txt', 'PDF', 'odd'][doc_id % 3 + 1] as file, doc_id % 3 as kind from documents)
+        select row_number() over (order by file) as id, string_split(file, '/')[-1] as name, file, ['txt', 'pdf', 'other'][kind + 1] as file_type from f""",
     "tfidf_terms": f"with {FOUND} select query_id, doc_id, term, tf, df, round(idf, 6) as idf, round(weight, 6) as weight from terms",
     "tfidf_scores": f"with {FOUND} select query_id, doc_id, round(tfidf, 6) as tfidf from tfidf",
     "rerank_minmax": f"with {FOUND} select query_id, doc_id, round({min_max('retrieval_score')}, 6) as normalised from found",

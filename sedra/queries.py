@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from sedra.functions import text as T
-from sedra.operators import chunking, ranking, similarity, vectors
+from sedra.operators import chunking, lexical, ranking, similarity, vectors
 from sedra.operators.collection import Collection, stats, vectorized_status, without_sources
 from sedra.operators.embedding import HashingEmbedder
 from sedra.operators.ranking import Reranking
@@ -349,6 +349,23 @@ def search_indexed(spark: SparkSession, folder: str) -> DataFrame:
     return own.nearest(asked).select("query_id", "doc_id", F.round("distance", 6).alias("distance"), "retrieval_rank")
 
 
+@query
+def bm25_search(spark: SparkSession, folder: str) -> DataFrame:
+    """The ten best of all documents for each benchmark text by BM25, from an index with block maxima."""
+    path = new_table(spark)
+    lexical.build(_library(spark, folder), path)
+    return lexical.search(_asked(spark, folder), path).select("query_id", "doc_id", F.round("score", 6).alias("score"), "rank")
+
+
+@query
+def file_table(spark: SparkSession, folder: str) -> DataFrame:
+    """The numbered table of files, one for each document, in folders by source and of three types."""
+    kind = F.element_at(F.array(F.lit("txt"), F.lit("PDF"), F.lit("odd")), (F.pmod("doc_id", F.lit(3)) + 1).cast("int"))
+    path = F.concat(F.lit("/data/"), F.col("source"), F.lit("/"), F.col("doc_id").cast("string"), F.lit("."), kind)
+    listed = _documents(spark, folder).select(path.alias("path"), F.lit("2024-01-01").cast("timestamp").alias("modificationTime"))
+    return files.file_table(listed).select("id", "name", "file", "file_type")
+
+
 @query
 def files_extracted(spark: SparkSession, folder: str) -> DataFrame:
     """Sources uploaded as text files of their counts, a picture, an empty file, and one that is deleted again: what the folder's files hold."""

@@ -12,6 +12,8 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from sedra.sources.numbering import numbered
+
 #: File types that are known, and of these the ones with text to extract.
 KNOWN_TYPES = ("pdf", "docx", "xlsx", "png", "jpg", "jpeg", "txt", "other")
 READABLE = ("pdf", "docx", "txt")
@@ -171,13 +173,7 @@ def extract(files: DataFrame, pages_of: Callable[[bytes], list[str]] | None = No
 
 
 def file_table(files: DataFrame, first_id: int = 1) -> DataFrame:
-    """The table of uploaded files (FILE_SCHEMA) from scan(); types out of KNOWN_TYPES become `other`. Ids go by path."""
+    """The table of uploaded files (FILE_SCHEMA) from scan(); types out of KNOWN_TYPES become `other`. Ids go by path, numbered by ranges of it."""
     kind = F.lower(F.regexp_extract("path", r"\.([^./]+)$", 1))
     own = files.select("path", F.when(kind.isin(*KNOWN_TYPES), kind).otherwise("other").alias("file_type"), F.col("modificationTime").alias("uploaded_at"))
-    return own.select((F.row_number().over(_by_path()) + first_id - 1).cast("long").alias("id"), F.element_at(F.split("path", "/"), -1).alias("name"), F.col("path").alias("file"), "file_type", "uploaded_at")
-
-
-def _by_path():
-    from pyspark.sql import Window
-
-    return Window.orderBy("path")
+    return numbered(own, "path").select((F.col("number") + first_id).cast("long").alias("id"), F.element_at(F.split("path", "/"), -1).alias("name"), F.col("path").alias("file"), "file_type", "uploaded_at")
