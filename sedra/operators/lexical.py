@@ -20,8 +20,8 @@ from sedra.operators.ranking import terms
 from sedra.sources.numbering import numbered
 from sedra.sources.shared import cut
 
-RANGE = 64  # documents of a range
-FIRST = 4  # ranges of a query that give the threshold, for each k documents of a range's size
+RANGE = 16  # documents of a range
+FIRST = 32  # ranges of a query that give the threshold, for each k documents of a range's size
 MOST_TERMS = 10_000  # terms that a scan of postings is asked for by name; more are found by a join alone
 DIGITS = 9  # of scores; sums of the same parts in another order may differ beyond
 
