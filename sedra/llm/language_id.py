@@ -52,8 +52,20 @@ def _folding() -> np.ndarray:
     return _tables["fold"]
 
 
+def _ngrams(c: np.ndarray) -> Iterator[tuple[int, np.ndarray]]:
+    """(n, the bucket of the n-gram that begins at each place) for n of 1 to SIZES, in a stream of folded code points."""
+    h = np.zeros(len(c), np.uint32)
+    with np.errstate(over="ignore"):
+        for n in range(1, min(SIZES, len(c)) + 1):
+            h = (h[: len(c) - n + 1] * np.uint32(0x01000193) + c[n - 1 :] + np.uint32(1)) * np.uint32(0x9E3779B1)
+            h ^= h >> np.uint32(15)
+            yield n, (h * np.uint32(0x85EBCA77 + 2 * n)) >> np.uint32(32 - BUCKET_BITS)
+
+
 def presence(texts: list[str | None]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(text numbers, buckets): each distinct n-gram bucket of each text, sorted; and whether a text has a letter. At most 4096 texts."""
+    if len(texts) == 1 and texts[0] and len(texts[0]) > _CHUNK:
+        return _presence_of_long(texts[0])
     padded = [f" {t} " if t else "  " for t in texts]
     lens = np.fromiter(map(len, padded), np.int64, len(padded))
     raw = np.frombuffer("".join(padded).encode("utf-32-le", "surrogatepass"), np.uint32)
@@ -65,22 +77,32 @@ def presence(texts: list[str | None]) -> tuple[np.ndarray, np.ndarray, np.ndarra
     keep[0] = True
     keep[1:] |= letter[:-1] | (doc[1:] != doc[:-1])
     c, doc = c[keep], doc[keep]
-    out, h = [], np.zeros(len(c), np.uint32)
-    with np.errstate(over="ignore"):
-        for n in range(1, SIZES + 1):
-            if len(c) < n:
-                break
-            h = (h[: len(c) - n + 1] * np.uint32(0x01000193) + c[n - 1 :] + np.uint32(1)) * np.uint32(0x9E3779B1)
-            h ^= h >> np.uint32(15)
-            same = doc[: len(h)] == doc[n - 1 :]
-            key = (h * np.uint32(0x85EBCA77 + 2 * n)) >> np.uint32(32 - BUCKET_BITS)
-            out.append(((doc[: len(h)] << np.uint32(BUCKET_BITS)) | key)[same])
+    out = [((doc[: len(key)] << np.uint32(BUCKET_BITS)) | key)[doc[: len(key)] == doc[n - 1 :]] for n, key in _ngrams(c)]
     keys = np.sort(np.concatenate(out)) if out else np.empty(0, np.uint32)
     if len(keys):
         keys = keys[np.concatenate(([True], keys[1:] != keys[:-1]))]
     return (keys >> np.uint32(BUCKET_BITS)).astype(np.int64), (keys & np.uint32((1 << BUCKET_BITS) - 1)).astype(np.int64), has
 
 
+def _presence_of_long(text: str) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """presence() of one long text, in pieces that carry the end of the folded stream over: memory of a piece and of a mark a bucket."""
+    marks, has = np.zeros(1 << BUCKET_BITS, bool), False
+    held, after_letter = np.empty(0, np.uint32), True  # the stream's first space counts
+    for i in range(0, len(text), _CHUNK):
+        piece = " " * (i == 0) + text[i : i + _CHUNK] + " " * (i + _CHUNK >= len(text))
+        c = _folding()[np.frombuffer(piece.encode("utf-32-le", "surrogatepass"), np.uint32)]
+        letter = c != 32
+        has = has or bool(letter.any())
+        keep = letter | np.concatenate(([after_letter], letter[:-1]))
+        after_letter = bool(letter[-1])
+        stream = np.concatenate((held, c[keep]))
+        for _, key in _ngrams(stream):
+            marks[key] = True
+        held = stream[max(0, len(stream) - SIZES + 1) :]
+    own = np.flatnonzero(marks)
+    return np.zeros(len(own), np.int64), own, np.array([has])
+
+
 def has_letter(text: str | None) -> bool:
     return bool(text) and any(map(str.isalpha, text))
 

@@ -24,6 +24,25 @@ def test_query_equals_sql(spark, duck, data, name):
     assert check(spark, duck, data, queries.QUERIES[name], queries.ORACLES[name]()) > 0
 
 
+def test_long_texts_have_the_same_ngrams_in_pieces(monkeypatch):
+    """Pieces of any size give what the whole text gives, and twenty million characters take little more memory than a piece."""
+    rng = random.Random(6)
+    texts = ["".join(rng.choices("abZé ß.,1\n😀語", k=rng.randrange(30, 200))) for _ in range(60)] + ["   . ", "x" * 40, ". a" * 20, "1 2 3 " * 9]
+    whole = [language_id.presence([t]) for t in texts]
+    for size in (1, 2, 3, 7, 29):
+        monkeypatch.setattr(language_id, "_CHUNK", size)
+        for t, (doc, gram, has) in zip(texts, whole, strict=True):
+            got = language_id.presence([t])
+            assert np.array_equal(got[0], doc) and np.array_equal(got[1], gram) and np.array_equal(got[2], has)
+    monkeypatch.undo()
+    text = "abcde fghij " * (20_000_000 // 12)
+    language_id.presence([text[:1000]])
+    tracemalloc.start()
+    language_id.presence([text])
+    assert tracemalloc.get_traced_memory()[1] < 100 << 20
+    tracemalloc.stop()
+
+
 def test_topk_odd_vectors(spark):
     nan, inf = float("nan"), float("inf")
     rows = [(0, [1.0, 2.0]), (20, [1.0, 2.0]), (1, [1.0, nan]), (2, [inf, 1.0]), (3, None), (4, [None, 1.0]), (5, [1.0]), (None, [9.0, 9.0]), (6, [-0.01, 0.0]), (6, [-0.01, 0.0]), (40, [])]
