@@ -236,7 +236,8 @@ def candidates_of(found: DataFrame, queries: DataFrame, documents: DataFrame, fe
     """Candidate rows from nearest(): found (query_id, doc_id, distance, retrieval_rank), queries (query_id, query), documents (doc_id, document).
 
     `few` says that the rows of found are known to be few: they are sent to the documents then, which stay where they are.
+    Only ids and numbers are sent; the queries' texts, of any length, are joined to what is found.
     """
-    asked = found.join(queries.select("query_id", "query"), "query_id")
-    joined = documents.select("doc_id", "document").join(F.broadcast(asked) if few else asked, "doc_id")
+    near = found.select("query_id", "doc_id", "distance", "retrieval_rank")
+    joined = documents.select("doc_id", "document").join(F.broadcast(near) if few else near, "doc_id").join(queries.select("query_id", "query"), "query_id")
     return joined.select("query_id", "query", "doc_id", "document", score_of(F.col("distance")).alias("retrieval_score"), "retrieval_rank", F.create_map().cast("map<string,double>").alias("rerank_scores"))
