@@ -12,11 +12,12 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from sedra.sources import xlsx
 from sedra.sources.numbering import numbered
 
 #: File types that are known, and of these the ones with text to extract.
 KNOWN_TYPES = ("pdf", "docx", "xlsx", "png", "jpg", "jpeg", "txt", "other")
-READABLE = ("pdf", "docx", "txt")
+READABLE = ("pdf", "docx", "xlsx", "txt")
 
 #: The table of uploaded files.
 FILE_SCHEMA = "id long, name string, file string, file_type string, uploaded_at timestamp"
@@ -163,7 +164,7 @@ def extract(files: DataFrame, pages_of: Callable[[bytes], list[str]] | None = No
                 try:
                     if kind not in READABLE:
                         raise ValueError(f"unsupported file format: .{kind}")
-                    text = {"pdf": lambda c: _pdf(c, pages_of, ocr), "docx": _docx, "txt": lambda c: c.decode("utf-8", "replace")}[kind](bytes(content))
+                    text = {"pdf": lambda c: _pdf(c, pages_of, ocr), "docx": _docx, "xlsx": xlsx.text_of, "txt": lambda c: c.decode("utf-8", "replace")}[kind](bytes(content))
                     rows.append((path, kind, text, None))
                 except Exception as e:
                     rows.append((path, kind, None, f"error extracting text from {path}: {e}"))

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import io
+import tracemalloc
 import zipfile
 import zlib
 from concurrent.futures import ThreadPoolExecutor
@@ -15,7 +16,7 @@ from sedra.operators.collection import SCHEMA, Collection, vectorized_status
 from sedra.plans import chats
 from sedra.plans.ingest import IngestConfig, ingest
 from sedra.plans.search import Retriever
-from sedra.sources import files
+from sedra.sources import files, xlsx
 from sedra.streaming.ingest import ingest_stream
 
 
@@ -29,6 +30,20 @@ def docx(paragraphs, cells=()) -> bytes:
     return out.getvalue()
 
 
+def workbook(sheets, strings) -> bytes:
+    """Sheets (file name, rows' XML) in the workbook's order, which is not that of their files' names."""
+    main, rel = "http://schemas.openxmlformats.org/spreadsheetml/2006/main", "http://schemas.openxmlformats.org/officeDocument/2006/relationships"
+    out = io.BytesIO()
+    with zipfile.ZipFile(out, "w", zipfile.ZIP_DEFLATED) as z:
+        z.writestr("xl/workbook.xml", f'<workbook xmlns="{main}" xmlns:r="{rel}"><sheets>' + "".join(f'<sheet name="s{k}" sheetId="{k + 1}" r:id="r{k}"/>' for k in range(len(sheets))) + "</sheets></workbook>")
+        z.writestr("xl/_rels/workbook.xml.rels", "<Relationships>" + "".join(f'<Relationship Id="r{k}" Target="{"/xl/" if k else ""}worksheets/{name}"/>' for k, (name, _) in enumerate(sheets)) + "</Relationships>")
+        if strings:
+            z.writestr("xl/sharedStrings.xml", f'<sst xmlns="{main}">{"".join(f"<si>{s}</si>" for s in strings)}</sst>')
+        for name, rows in sheets:
+            z.writestr(f"xl/worksheets/{name}", f'<worksheet xmlns="{main}"><sheetData>{rows}</sheetData></worksheet>')
+    return out.getvalue()
+
+
 def pdf(*pages, packed=False) -> bytes:
     out = b"%PDF-1.4\n"
     for k, text in enumerate(pages):
@@ -74,6 +89,31 @@ def test_extract(spark, folder):
     assert texts(read)["c.pdf"][0] == "seen 0\ntext\n"
 
 
+def test_workbook(spark, tmp_path):
+    first = '<row r="1"><c r="A1" t="s"><v>1</v></c><c r="C1"><v>2.5</v></c></row><row r="2"/><row r="3"><c r="AB3" t="b"><v>1</v></c></row>'
+    second = '<row><c t="inlineStr"><is><r><t>in</t></r><r><t>line</t></r></is></c><c t="str"><f>A1</f><v>x\ty</v></c><c t="e"><v>#N/A</v></c><c/></row>'
+    strings = ["<t>unused</t>", "<r><t>two </t></r><r><t>runs</t></r><rPh><t>reading</t></rPh>"]
+    content = workbook([("sheet2.xml", first), ("sheet1.xml", second), ("sheet3.xml", "")], strings)
+    want = "two runs\t\t2.5\n" + "\t" * 27 + "TRUE\n\ninline\tx y\t#N/A\t\n"
+    assert xlsx.text_of(content) == want and xlsx.text_of(workbook([], [])) == ""
+    folder = f"file://{tmp_path}/landing"
+    files.upload(spark, folder, "a.XLSX", content)
+    files.upload(spark, folder, "b.xlsx", content[:100])
+    found = texts(files.extract(files.scan(spark, folder)))
+    assert found["a.XLSX"] == (want, None) and found["b.xlsx"][0] is None and "error" in found["b.xlsx"][1]
+
+
+def test_long_workbook_is_streamed():
+    """A sheet of 300,000 rows takes the memory of its text, not of its tree."""
+    rows = "".join(f'<row r="{k}"><c r="A{k}"><v>{k}</v></c><c r="B{k}" t="s"><v>0</v></c></row>' for k in range(1, 300_001))
+    content = workbook([("sheet1.xml", rows)], ["<t>s</t>"])
+    del rows
+    tracemalloc.start()
+    text = xlsx.text_of(content)
+    assert text.count("\n") == 300_000 and text.startswith("1\ts\n2\ts\n") and tracemalloc.get_traced_memory()[1] < 60 << 20
+    tracemalloc.stop()
+
+
 def test_packed_pdf():
     assert [p.strip() for p in files._plain_pdf_pages(pdf("one", "two", packed=True))] == ["one", "two"]
 
