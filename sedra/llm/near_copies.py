@@ -9,7 +9,7 @@ Texts that share a template, but not LIKENESS, share buckets by the thousand. A
 try is dealt again, by SUB_BANDS bands of ten further bins that its own key chooses, and its parts are worked like
 buckets; what is still large is dealt once more, and then all pairs are tried. A pair of likeness 0.8 meets in a part of its
 bucket with probability 0.85, independently in each bucket, so that over all bands it meets with probability 0.998 where
-every bucket is dealt once more, and 0.995 where it is twice; a pair of likeness 0.4 in one of 10,000 buckets.
+every bucket is dealt once more, and 0.995 where it is twice; a pair of likeness 0.4 meets in one part of 280 buckets.
 """
 
 from __future__ import annotations
