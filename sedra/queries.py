@@ -14,6 +14,7 @@ from sedra.operators.embedding import HashingEmbedder
 from sedra.operators.ranking import Reranking
 from sedra.operators.splitters import Size
 from sedra.plans import chats, prompt
+from sedra.plans.calls import CallTable
 from sedra.plans.ingest import IngestConfig, collection_rows, store
 from sedra.plans.search import Retriever, retrieve
 from sedra.sources import files
@@ -390,6 +391,15 @@ def reply_stub(spark: SparkSession, folder: str) -> DataFrame:
     return prompt.replies(prompt_build(spark, folder))
 
 
+@query
+def replies_kept(spark: SparkSession, folder: str) -> DataFrame:
+    """The stand-in's reply to every user turn, each different prompt asked once, through a table of calls."""
+    own = table(spark, folder, "conversations").where("role = 'user'")
+    asked = own.select(F.struct("conv_id", "turn").alias("query_id"), F.concat(F.lit("Repeat:\n1: "), F.col("text")).alias("prompt"))
+    calls = CallTable(new_table(spark), model="extractive")
+    return calls.replies(asked, lambda: prompt.extractive).select("query_id.conv_id", "query_id.turn", "reply")
+
+
 @query
 def chat_turns_update(spark: SparkSession, folder: str) -> DataFrame:
     """A chat opened, a question and an answer added to each chat that ends with the user, chats of one turn deleted."""
