@@ -12,7 +12,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sedra.sources import xlsx
+from sedra.sources import pdf, xlsx
 from sedra.sources.numbering import numbered
 
 #: File types that are known, and of these the ones with text to extract.
@@ -108,7 +108,7 @@ _PDF_ESCAPE = re.compile(rb"\\([nrtbf()\\]|[0-7]{1,3})")
 
 
 def _plain_pdf_pages(content: bytes) -> list[str]:
-    """The text that the content streams of a simple PDF show, a page a stream: Flate or plain streams, literal strings in Latin-1."""
+    """What the content streams of a PDF without a page tree show, a page a stream: Flate or plain streams, literal strings in Latin-1."""
     import zlib
 
     def literal(raw: bytes) -> str:
@@ -143,15 +143,15 @@ def _pdf(content: bytes, pages_of: Callable[[bytes], list[str]] | None, ocr: Cal
     """Each page's text and a newline; a blank page goes to `ocr`, if there is one."""
     if not content.startswith(b"%PDF"):
         raise ValueError("not a PDF file")
-    pages = (pages_of or _plain_pdf_pages)(content)
+    pages = pages_of(content) if pages_of else pdf.pages_of(content) or _plain_pdf_pages(content)
     return "".join((ocr(content, k) if ocr and not page.strip() else page) + "\n" for k, page in enumerate(pages))
 
 
 def extract(files: DataFrame, pages_of: Callable[[bytes], list[str]] | None = None, ocr: Callable[[bytes, int], str] | None = None) -> DataFrame:
     """(path, file_type, text, error) for each row of scan(): text or the reason why there is none, never both.
 
-    The type is the extension, lower-cased. `pages_of` is a PDF library's page reader; without one, a plain reader takes
-    what simple PDFs show. `ocr` reads page k of a PDF that has no text there.
+    The type is the extension, lower-cased. `pages_of` is a PDF library's page reader in the place of
+    sedra.sources.pdf. `ocr` reads page k of a PDF that has no text there.
     """
     kind = F.lower(F.regexp_extract("path", r"\.([^./]+)$", 1))
     # Only readable types are handed their content.
