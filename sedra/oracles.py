@@ -350,6 +350,7 @@ ORACLES: dict[str, str] = {
     "search_collection": by("cross_score", "where rank <= 3").replace(LIBRARY, CHUNK_LIBRARY),
     "files_extracted": """select source || '.txt' as name, 'txt' as file_type, source || ': ' || count(*) || ' documents' || chr(10) || sum(n_chars)::bigint || ' characters' as text, false as failed from documents group by source
     union all values ('picture.PNG', 'png', null, true), ('empty.txt', 'txt', '', false)""",
+    "pdf_pages": "select doc_id, length(coalesce(text, '') || chr(10)) as n_chars, md5(coalesce(text, '') || chr(10)) as text_md5, cast(null as varchar) as error from documents",
     "replies_kept": "select conv_id, turn, split_part(text, chr(10), 1) as reply from conversations where role = 'user'",
     "reply_stub": f"""with {SCORES}, placed as (select *, row_number() over (partition by query_id order by cross_score desc, retrieval_rank)::int as rank from scored),
     l as (select query_id, string_agg(replace(replace({q(LINE)}, '%d', rank::varchar), '%s', document), '' order by rank) as body from placed where rank <= 5 group by query_id),

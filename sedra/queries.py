@@ -16,8 +16,9 @@ from sedra.operators.splitters import Size
 from sedra.plans import chats, prompt
 from sedra.plans.calls import CallTable
 from sedra.plans.ingest import IngestConfig, collection_rows, store
+from sedra.plans.model_split import chunk_by_calls
 from sedra.plans.search import Retriever, retrieve
-from sedra.sources import files
+from sedra.sources import files, pdf
 from sedra.sources.shared import new_table
 from sedra.sources.tables import table
 
@@ -89,6 +90,11 @@ def chunk_llm_stub(spark: SparkSession, folder: str) -> DataFrame:
     return chunking.chunk(_documents(spark, folder), "llm", SIZE, ask=prompt.asking(prompt.every_hundred, SIZE.chunk))
 
 
+@query
+def chunk_llm_kept(spark: SparkSession, folder: str) -> DataFrame:
+    """chunk_llm_stub's rows through a table of calls: sections are prompts, equal ones are asked once."""
+    calls = CallTable(new_table(spark), model="every hundred")
+    return chunk_by_calls(_documents(spark, folder), calls, lambda: lambda prompts: [prompt.every_hundred(p) for p in prompts], SIZE)
 
 @query
 def chunk_fixed_stride(spark: SparkSession, folder: str) -> DataFrame:
@@ -380,6 +386,19 @@ def files_extracted(spark: SparkSession, folder: str) -> DataFrame:
     return read.select(F.element_at(F.split("path", "/"), -1).alias("name"), "file_type", "text", F.col("error").isNotNull().alias("failed"))
 
 
+@query
+def pdf_pages(spark: SparkSession, folder: str) -> DataFrame:
+    """Every document as a PDF file with a page a line, made by tasks, and the text that is read from it: each line and a newline."""
+    own = _documents(spark, folder).select(F.concat(F.col("doc_id").cast("string"), F.lit(".pdf")).alias("path"), F.coalesce("text", F.lit("")).alias("text"))
+
+    def run(batches):
+        for b in batches:
+            yield b.assign(content=[pdf.written(t.split("\n")) for t in b["text"]])[["path", "content"]]
+
+    read = files.extract(own.mapInPandas(run, "path string, content binary"))
+    return read.select(F.split_part("path", F.lit("."), F.lit(1)).cast("long").alias("doc_id"), F.length("text").alias("n_chars"), F.md5(F.col("text").cast("binary")).alias("text_md5"), "error")
+
+
 @query
 def prompt_build(spark: SparkSession, folder: str) -> DataFrame:
     asked = _asked(spark, folder)

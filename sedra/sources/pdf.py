@@ -9,6 +9,7 @@ from __future__ import annotations
 
 import base64
 import re
+import struct
 import unicodedata
 import zlib
 from collections.abc import Iterator
@@ -297,10 +298,11 @@ def _glyph(name: str) -> str:
         return "\ufffd"
 
 
-class Font:
-    """Codes to characters and widths: (text, width in ems) of a shown string."""
+class Font(dict):
+    """(text, width in ems) by code, worked out when a code is first met; shown() gives both for a string."""
 
     def __init__(self, doc: Document, own: dict):
+        super().__init__()
         self.wide = own.get("Subtype") == "Type0"
         self.map: dict[bytes, str] = {}
         self.lengths = {2} if self.wide else {1}
@@ -344,17 +346,25 @@ class Font:
                             self.map[code] = text(to[:-2] + ((int.from_bytes(to[-2:], "big") + k) & 0xFFFF).to_bytes(2, "big"))
             held = []
 
+    def __missing__(self, code: bytes) -> tuple[str, float]:
+        text = self.map[code] if code in self.map else "\ufffd" if self.wide else code.decode(self.codec, "replace")
+        k = code[0] - self.first
+        own = self.widths[k] if len(code) == 1 and 0 <= k < len(self.widths) else None
+        self[code] = text, own / 1000 if isinstance(own, float) else self.usual
+        return self[code]
+
     def shown(self, raw: bytes) -> tuple[str, float]:
-        out, width, at, sizes = [], 0.0, 0, sorted(self.lengths)
-        while at < len(raw):
-            size = next((n for n in sizes if raw[at : at + n] in self.map), sizes[-1])
-            code = raw[at : at + size]
-            out.append(self.map[code] if code in self.map else "\ufffd" if self.wide else code.decode(self.codec, "replace"))
-            k = code[0] - self.first
-            own = self.widths[k] if size == 1 and 0 <= k < len(self.widths) else None
-            width += own / 1000 if isinstance(own, float) else self.usual
-            at += size
-        return "".join(out), width
+        sizes = sorted(self.lengths)
+        if len(sizes) == 1:
+            codes = [c for (c,) in struct.iter_unpack(f"{sizes[0]}s", raw[: len(raw) // sizes[0] * sizes[0]])]
+        else:
+            codes, at = [], 0
+            while at < len(raw):
+                size = next((n for n in sizes if raw[at : at + n] in self.map), sizes[-1])
+                codes.append(raw[at : at + size])
+                at += size
+        found = list(map(self.__getitem__, codes))
+        return "".join([t for t, _ in found]), sum([w for _, w in found])
 
 
 class _Page:
@@ -374,13 +384,16 @@ class _Page:
         self.move((a, b, c, d, e + a * x + c * y, f + b * x + d * y))
 
     def show(self, raw: bytes) -> None:
-        text, width = self.font.shown(raw) if self.font else (raw.decode("cp1252", "replace"), len(raw) / 2)
+        text, width = self.font.shown(raw) if self.font is not None else (raw.decode("cp1252", "replace"), len(raw) / 2)
         a, b, _, d, e, f = self.matrix
         em = abs(self.size) * (abs(a) or abs(b) or 1.0)
         at = (e + a * self.along, f + b * self.along)
-        if self.last and self.out and not self.out[-1][-1:].isspace():
+        if self.last and self.out:
             if abs(at[1] - self.last[1]) > 0.3 * em:
-                self.out.append("\n")
+                if not self.out[-1].endswith("\n"):
+                    self.out.append("\n")
+            elif self.out[-1][-1:].isspace():
+                pass
             elif at[0] - self.last[0] > 0.2 * em or at[0] < self.last[0] - em:
                 self.out.append(" ")
         if text:
@@ -445,3 +458,30 @@ def pages_of(content: bytes) -> list[str]:
         own.run(b"\n".join(doc.decoded(s) for s in map(doc.get, parts) if isinstance(s, Stream)), doc.get(page["Resources"]) or {})
         out.append("".join(own.out))
     return out
+
+
+def written(pages: list[str]) -> bytes:
+    """A PDF file that shows these texts, each a page: codes of a composite font with a ToUnicode map. At most 65,535 different characters."""
+    chars = {c: k for k, c in enumerate(sorted(set("".join(pages))), 1)}
+    mapped = "".join(f"<{k:04X}> <{c.encode('utf-16-be').hex()}>\n" for c, k in chars.items())
+    streams = [f"1 begincodespacerange <0000> <FFFF> endcodespacerange {len(chars)} beginbfchar\n{mapped}endbfchar"]
+    for text in pages:
+        parts = "".join(f"<{''.join(f'{chars[c]:04X}' for c in text[k : k + 80])}>" for k in range(0, len(text), 80))
+        streams.append(f"BT /F 10 Tf 50 700 Td [{parts}] TJ ET")
+    objects = ["<< /Type /Catalog /Pages 2 0 R >>", "", "<< /Type /Font /Subtype /Type0 /Encoding /Identity-H /ToUnicode 4 0 R >>", streams[0]]
+    kids = []
+    for body in streams[1:]:
+        kids.append(f"{len(objects) + 1} 0 R")
+        objects += [f"<< /Type /Page /Parent 2 0 R /Contents {len(objects) + 2} 0 R >>", body]
+    objects[1] = f"<< /Type /Pages /Count {len(kids)} /Kids [{' '.join(kids)}] /Resources << /Font << /F 3 0 R >> >> >>"
+    out, places = bytearray(b"%PDF-1.4\n"), []
+    for k, body in enumerate(objects, 1):
+        places.append(len(out))
+        raw = body.encode()
+        if not body.startswith("<<"):
+            raw = zlib.compress(raw, 1)
+            raw = b"<< /Length %d /Filter /FlateDecode >>\nstream\n%s\nendstream" % (len(raw), raw)
+        out += b"%d 0 obj\n%s\nendobj\n" % (k, raw)
+    at = len(out)
+    out += b"xref\n0 %d\n0000000000 65535 f \n" % (len(objects) + 1) + b"".join(b"%010d 00000 n \n" % p for p in places)
+    return bytes(out + b"trailer\n<< /Size %d /Root 1 0 R >>\nstartxref\n%d\n%%%%EOF" % (len(objects) + 1, at))

@@ -8,7 +8,12 @@ from concurrent.futures import ThreadPoolExecutor
 
 import pytest
 
+from sedra.operators.chunking import chunk
+from sedra.operators.splitters import Size, grouped, sentences
+from sedra.plans import prompt
 from sedra.plans.calls import CallTable
+from sedra.plans.model_split import chunk_by_calls
+from sedra.queries import QUERIES
 
 
 def counting(folder, broken: str = ""):
@@ -101,3 +106,51 @@ def test_wrong_numbers_of_replies_are_errors(spark, places):
     assert calls.replies(asked, lambda: lambda prompts: []).first().error == "1 prompts, 0 replies"
     with pytest.raises(ValueError):
         CallTable(places[1], batch=0)
+
+
+def rows(df):
+    return sorted((tuple(r) for r in df.collect()), key=repr)
+
+
+def test_splitting_by_kept_calls_equals_the_method(spark, data):
+    assert rows(QUERIES["chunk_llm_kept"](spark, data)) == rows(QUERIES["chunk_llm_stub"](spark, data))
+
+
+def test_split_sections_are_asked_once(spark, places):
+    notes, path = places
+    size, long = Size(60, 2), "\n\n".join("A sentence here. " * 40 + f"Part {k % 3}." for k in range(20))
+    texts = [(1, "Short. "), (2, None), (3, ""), (None, "  \n "), (None, "One sentence. Another one follows it here. " * 4), (4, "One sentence. Another one follows it here. " * 4), (4, long), (4, long), (2**60 + 1, "x" * 300)]
+    docs = spark.createDataFrame([(k, t, "clash") for k, t in texts], "doc_id long, text string, chunk string")
+    note = counting(notes)
+
+    def load():
+        model = note()
+
+        def answer(prompts):
+            model([str(hash(p)) for p in prompts])
+            return [prompt.every_hundred(p) for p in prompts]
+
+        return answer
+
+    calls = CallTable(path, in_flight=2, batch=3)
+    want = rows(chunk(docs, "llm", size, ask=prompt.asking(prompt.every_hundred, size.chunk)))
+    assert rows(chunk_by_calls(docs, calls, load, size)) == want and {r[0] for r in want} == {1, None, 4, 2**60 + 1}
+    first = seen(notes)
+    assert set(first.values()) == {1}
+    assert rows(chunk_by_calls(docs, calls, load, size)) == want and seen(notes) == first
+    assert chunk_by_calls(docs.limit(0), calls, load, size).count() == 0
+
+
+def test_sections_without_a_reply_are_cut_by_sentences(spark, places):
+    size, text = Size(60, 0), "One sentence stands here. " * 10
+    docs = spark.createDataFrame([(1, text)], "doc_id int, text string")
+
+    def load():
+        def model(prompts):
+            raise RuntimeError("down")
+
+        return model
+
+    got = chunk_by_calls(docs, CallTable(places[1], in_flight=1, tries=1), load, size).orderBy("chunk_pos").collect()
+    assert [r.chunk for r in got] == grouped(sentences(text), size) and [r.chunk_pos for r in got] == list(range(len(got)))
+    assert chunk_by_calls(docs, CallTable(places[1], in_flight=1), lambda: lambda prompts: [prompt.every_hundred(p) for p in prompts], size).count() > 0
