@@ -11,6 +11,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from sedra.operators.joins import left_join_hot
 from sedra.sources.shared import drop, exists, new_table
 
 Model = Callable[[list[str]], list[str]]
@@ -51,7 +52,7 @@ class CallTable:
         self._ask(keyed, load)
         known = self._stored(asked).groupBy("digest").agg(F.min("reply").alias("reply"), F.max("error").alias("error"))
         known = known.select("digest", "reply", F.when(F.col("reply").isNull(), F.col("error")).alias("error"))
-        return keyed.select("query_id", "digest").join(known, "digest", "left").select("query_id", "reply", "error")
+        return left_join_hot(keyed.select("query_id", "digest"), known, "digest", "query_id").select("query_id", "reply", "error")
 
     def _ask(self, keyed: DataFrame, load: Callable[[], Model]) -> None:
         spark, path = keyed.sparkSession, new_table(keyed.sparkSession)

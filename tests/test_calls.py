@@ -7,8 +7,10 @@ from collections import Counter
 from concurrent.futures import ThreadPoolExecutor
 
 import pytest
+from pyspark.sql import functions as F
 
 from sedra.operators.chunking import chunk
+from sedra.operators.joins import left_join_hot
 from sedra.operators.splitters import Size, grouped, sentences
 from sedra.plans import prompt
 from sedra.plans.calls import CallTable
@@ -154,3 +156,11 @@ def test_sections_without_a_reply_are_cut_by_sentences(spark, places):
     got = chunk_by_calls(docs, CallTable(places[1], in_flight=1, tries=1), load, size).orderBy("chunk_pos").collect()
     assert [r.chunk for r in got] == grouped(sentences(text), size) and [r.chunk_pos for r in got] == list(range(len(got)))
     assert chunk_by_calls(docs, CallTable(places[1], in_flight=1), lambda: lambda prompts: [prompt.every_hundred(p) for p in prompts], size).count() > 0
+
+
+def test_hot_keys_are_dealt(spark):
+    left = spark.range(20_000).select(F.when(F.col("id") % 3 == 0, "hot").when(F.col("id") % 3 == 1, F.col("id").cast("string")).alias("k"), "id")
+    right = spark.createDataFrame([("hot", 1), ("1", 2), ("none", 3), (None, 4)], "k string, v int")
+    got = {r.id: (r.k, r.v) for r in left_join_hot(left, right, "k", "id").collect()}
+    assert got == {i: [("hot", 1), (str(i), 2 if i == 1 else None), (None, None)][i % 3] for i in range(20_000)}
+    assert left_join_hot(left.limit(0), right, "k", "id").count() == 0 and left_join_hot(left, right.limit(0), "k", "id").count() == 20_000
