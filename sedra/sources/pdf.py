@@ -41,6 +41,10 @@ class Stream(NamedTuple):
 
 
 def _hex(raw: bytes) -> bytes:
+    try:
+        return bytes.fromhex(raw.decode())
+    except ValueError:  # an odd number of digits, or others
+        pass
     digits = re.sub(rb"[^0-9A-Fa-f]", b"", raw)
     return bytes.fromhex((digits + b"0" * (len(digits) % 2)).decode())
 
@@ -108,7 +112,7 @@ def _unpredicted(data: bytes, how: dict) -> bytes:
 
 class Document:
     def __init__(self, content: bytes):
-        self.content, self.places, self.trailer, self.packed, self.known, self.searched = content, {}, {}, {}, {}, False
+        self.content, self.places, self.trailer, self.packed, self.known, self.fonts, self.searched = content, {}, {}, {}, {}, {}, False
         try:
             self._read_references()
             whole = isinstance(self.get(self.get(self.trailer.get("Root")).get("Pages")), dict)
@@ -371,7 +375,7 @@ class _Page:
     """What a page's operators show: a newline where the line changes, a space where a gap of over a fifth of an em is left."""
 
     def __init__(self, doc: Document):
-        self.doc, self.out, self.fonts = doc, [], {}
+        self.doc, self.out = doc, []
         self.font, self.size, self.lead = None, 1.0, 0.0
         self.move((1.0, 0.0, 0.0, 1.0, 0.0, 0.0))
         self.last: tuple[float, float] | None = None  # where the last shown text ended
@@ -416,11 +420,10 @@ class _Page:
     def do(self, op: str, args: list, resources: dict, depth: int) -> None:
         doc = self.doc
         if op == "Tf":
-            name = (id(resources), args[-2])
-            if name not in self.fonts:
-                own = doc.get((doc.get(resources.get("Font")) or {}).get(args[-2]))
-                self.fonts[name] = (Font(doc, own) if isinstance(own, dict) else None), resources
-            self.font, self.size = self.fonts[name][0], args[-1]
+            own = doc.get((doc.get(resources.get("Font")) or {}).get(args[-2]))
+            if id(own) not in doc.fonts:  # the font's dictionary is kept beside it, so its id stays its own
+                doc.fonts[id(own)] = (Font(doc, own) if isinstance(own, dict) else None), own
+            self.font, self.size = doc.fonts[id(own)][0], args[-1]
         elif op == "BT":
             self.move((1.0, 0.0, 0.0, 1.0, 0.0, 0.0))
         elif op == "Tm":
