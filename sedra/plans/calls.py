@@ -63,6 +63,7 @@ class CallTable:
         rounds = -(-new.count() // self.per_round)
         if rounds:
             new.withColumn("round", F.pmod(F.xxhash64("digest"), F.lit(rounds)).cast("int")).write.partitionBy("round").parquet(f"{path}/rounds")
+            drop(spark, f"{path}/new")
             for k in range(rounds):
                 own = f"{path}/rounds/round={k}"
                 if exists(spark, own):

@@ -8,7 +8,6 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from sedra.operators.joins import left_join_hot
 from sedra.operators.splitters import SECTIONED_FROM, Size, grouped, sections, sentences, split_at, validated
 from sedra.plans.calls import CallTable, Model
 from sedra.plans.prompt import parsed_points, split_prompt
@@ -36,9 +35,8 @@ def chunk_by_calls(df: DataFrame, calls: CallTable, load: Callable[[], Model], s
     # Written, so that row numbers and sections are the same for the prompts and for the cuts.
     found = cut(own.select("row", "k", "whole", F.posexplode(parts).alias("n", "x")))
     prompt = F.concat(F.lit(split_prompt("", size.chunk)), "x")
-    found = found.withColumn("digest", F.sha2("x", 256))
-    asked = found.where(~F.col("whole")).select(F.col("digest").alias("query_id"), prompt.alias("prompt")).dropDuplicates(["query_id"])
-    replies = calls.replies(asked, load).select(F.col("query_id").alias("digest"), "reply")
+    asked = found.where(~F.col("whole")).select(F.struct("row", "n").alias("query_id"), prompt.alias("prompt"))
+    replies = calls.replies(asked, load).select("query_id.row", "query_id.n", "reply")
 
     @F.pandas_udf("array<string>")
     def cuts(batches: Iterator[tuple[pd.Series, pd.Series, pd.Series]]) -> Iterator[pd.Series]:
@@ -50,6 +48,6 @@ def chunk_by_calls(df: DataFrame, calls: CallTable, load: Callable[[], Model], s
         for columns in batches:
             yield pd.Series([one(*v) for v in zip(*columns, strict=True)], dtype=object)
 
-    chunks = left_join_hot(found, replies, "digest", "row").select("row", "k", "n", F.posexplode(cuts("x", "whole", "reply")).alias("at", "chunk"))
+    chunks = found.join(replies, ["row", "n"], "left").select("row", "k", "n", F.posexplode(cuts("x", "whole", "reply")).alias("at", "chunk"))
     place = F.row_number().over(Window.partitionBy("row").orderBy("n", "at")) - 1
     return chunks.select(F.col("k").alias(key), place.alias("chunk_pos"), "chunk")
