@@ -19,7 +19,7 @@ def chunk_by_calls(df: DataFrame, calls: CallTable, load: Callable[[], Model], s
 
     Equal sections are asked once, wherever they stand, and never again once `calls` holds a reply. A section whose calls
     all failed is cut in groups of sentences; it is asked again by the next run. Null and blank texts give no chunk; rows
-    with equal or null keys are split each for itself. Sections are shuffled once, to meet their replies, and chunks once,
+    with equal or null keys are split each for itself. Texts are shuffled as prompts, as sections that meet their replies, and as chunks,
     to be numbered.
     """
     size = size or Size()
