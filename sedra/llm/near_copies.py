@@ -5,11 +5,11 @@ which links almost all of a group of copies. Only members that it does not link
 every member of the bucket, in cells of about CELL rows a side; a bucket whose members are all linked costs a row each.
 Likeness is estimated from the packed bins. A cell gives a spanning forest of its links, never its pairs.
 
-Texts that share a template, but not LIKENESS, share buckets by the thousand. A bucket with more than MOST_PAIRS pairs to
-try is dealt again, by SUB_BANDS bands of ten further bins that its own key chooses, and its parts are worked like
-buckets; what is still large is dealt once more, and then all pairs are tried. A pair of likeness 0.8 meets in a part of its
-bucket with probability 0.85, independently in each bucket, so that over all bands it meets with probability 0.998 where
-every bucket is dealt once more, and 0.995 where it is twice; a pair of likeness 0.4 meets in one part of 280 buckets.
+So every pair of a bucket that is alike is linked, whatever the bucket's size. Texts that share a template, but not
+LIKENESS, share buckets by the thousand, and trying them is quadratic in them: a pair takes some ten nanoseconds, as it is
+left once the first half of its bins differs too much, and the cells are spread over all tasks. Where that is too much,
+MOST_PAIRS bounds a bucket's pairs at the cost of links: a bucket above it is dealt again, by SUB_BANDS bands of ten further
+bins that its own key chooses, up to twice, and a pair of likeness 0.8 meets in a part of its bucket with probability 0.85.
 """
 
 from __future__ import annotations
@@ -27,8 +27,8 @@ from sedra.llm.shared import cut, in_batches, join_hot
 
 LIKENESS = 0.8
 BANDS, ROWS = 20, 5  # a pair of likeness 0.8 agrees in some band with probability 0.9996
-CELL = 1024  # rows of a side of a cell, give or take what hashing does
-MOST_PAIRS = 1 << 21  # that a bucket is tried for before it is dealt again
+CELL = 4096  # rows of a side of a cell, give or take what hashing does
+MOST_PAIRS: int | None = None  # that a bucket is tried for before it is dealt again, which loses links; None: all pairs are tried
 LEVELS = 3  # times that rows are dealt to buckets
 SUB_BANDS, SUB_BYTES = 14, 5  # bands of a bucket's parts, and the bytes of two bins each
 
@@ -57,11 +57,43 @@ def _matrix(bins: pa.Array) -> np.ndarray:
     return np.frombuffer(b"".join(bins.to_pylist()), np.uint8).reshape(-1, minhash.BINS // 2)
 
 
+#: Bins that may differ in a pair which alike() accepts.
+MOST_APART = max(d for d in range(minhash.BINS + 1) if ((minhash.BINS - d) / minhash.BINS - 2.0**-minhash.LOW) / (1 - 2.0**-minhash.LOW) >= LIKENESS)
+_WORDS = minhash.BINS // 64
+_TILE = 2048  # rows that are tried at once, so that what they need stays in a core's cache
+
+
+def _planes(bins: np.ndarray) -> np.ndarray:
+    """Rows of packed bins as bits: uint64 of shape LOW x BINS / 64 x rows, the k-th bit of 64 bins a word."""
+    own = np.stack([bins >> 4, bins & 15], axis=-1).reshape(len(bins), -1)
+    return np.stack([np.ascontiguousarray(np.packbits(own >> k & 1, axis=1).view(np.uint64).T) for k in range(minhash.LOW)])
+
+
+def _differ(planes: np.ndarray, one: np.ndarray) -> np.ndarray:
+    """In how many bins rows of _planes() differ from one row of them."""
+    return np.bitwise_count(np.bitwise_or.reduce(planes ^ one[:, :, None], axis=0)).sum(axis=0, dtype=np.uint16)
+
+
+def _near(tiles: list[tuple[np.ndarray, np.ndarray]], one: np.ndarray) -> np.ndarray:
+    """The rows, given by halves of their words in tiles, that are alike() to one row: those that differ too much in the first half are not looked at further."""
+    found, half = [], _WORDS // 2
+    for k, (head, tail) in enumerate(tiles):
+        apart = _differ(head, one[:, :half])
+        left = np.flatnonzero(apart <= MOST_APART)
+        if len(left):
+            apart = apart[left] + _differ(tail[:, :, left], one[:, half:])
+            found.append(k * _TILE + left[apart <= MOST_APART])
+    return np.concatenate(found) if found else np.empty(0, np.int64)
+
+
 def forest(apart: np.ndarray, bins: np.ndarray, label: np.ndarray) -> list[tuple[int, int]]:
     """Pairs of rows of `bins` that connect what links from the rows `apart` to any row connect. `label` numbers what is connected already, and is brought up to date."""
-    out = []
+    out, planes, half = [], _planes(bins), _WORDS // 2
+    tiles = [(np.ascontiguousarray(planes[:, :half, i : i + _TILE]), np.ascontiguousarray(planes[:, half:, i : i + _TILE])) for i in range(0, len(bins), _TILE)]
     for r in apart:
-        near = np.flatnonzero(alike(bins, bins[r]))
+        near = _near(tiles, planes[:, :, r])
+        if len(near) < 2:  # itself
+            continue
         known, first = np.unique(label[near], return_index=True)
         if len(known) > 1:
             out += [(r, x) for x in near[first] if label[x] != label[r]]
@@ -72,26 +104,28 @@ def forest(apart: np.ndarray, bins: np.ndarray, label: np.ndarray) -> list[tuple
 def links(sketches: DataFrame) -> DataFrame:
     """Edges (u, v) of ids that connect texts which are alike, for sketches (id: distinct longs, keys, bins)."""
     bins = sketches.select("id", "bins")
-    told, edges = _starred(sketches.select("id", F.explode("keys").alias("key"), F.lit(True).alias("apart")), bins)  # keys differ between bands
+    told, edges = _starred(sketches.select("id", F.explode("keys").alias("key"), F.lit(True).alias("apart"), F.lit(None).cast("long").alias("hub")), bins)  # keys differ between bands
     for level in range(LEVELS):
         buckets = told.groupBy("key").agg(F.count("*").alias("n"), F.count_if("apart").alias("m"), F.sum(F.xxhash64("id", "apart").cast("decimal(38,0)")).alias("same"))
         # Two members have been tried; of buckets with the same members, one is enough.
         todo = cut(buckets.where("m > 0 and n > 2").groupBy("n", "m", "same").agg(F.min("key").alias("key")).select("key", "n", "m"))
-        large = F.col("m") * F.col("n") > MOST_PAIRS if level < LEVELS - 1 else F.lit(False)
+        if MOST_PAIRS is None or level == LEVELS - 1:
+            return edges.unionByName(_all_pairs(told, todo, bins))
+        large = F.col("m") * F.col("n") > MOST_PAIRS
         edges = edges.unionByName(_all_pairs(told, todo.where(~large), bins))
         again = todo.where(large)
         if again.isEmpty():
-            break
+            return edges
         told, more = _starred(_dealt_again(join_hot(told, again.select("key", "n"), "key"), bins, level), bins)
         edges = edges.unionByName(more)
     return edges
 
 
 def _starred(rows: DataFrame, bins: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """The members (key, id, apart) of buckets that hold a member apart, for rows of the same columns, and the edges (u, v) from a bucket's members to its least. Those are not apart any more."""
+    """The members (key, id, apart, hub) of buckets that hold a member apart, for rows of the same columns, and the edges (u, v) from a bucket's members to its least. Those are not apart any more: `hub` is what they hang on."""
     rows = cut(rows)
     shared = cut(rows.groupBy("key").agg(F.count("*").alias("n"), F.min("id").alias("least"), F.count_if("apart").alias("m")).where("n > 1 and m > 0").drop("m"))
-    members = cut(join_hot(rows, shared, "key").select("key", "id", "least", "apart"))
+    members = cut(join_hot(rows, shared, "key").select("key", "id", "least", "apart", "hub"))
     star = cut(members.where("id <> least").select(F.col("id").alias("u"), F.col("least").alias("v")).distinct())
     hubs = star.groupBy("v").agg(F.count("*").alias("n")).join(bins.select(F.col("id").alias("v"), F.col("bins").alias("b")), "v")
     both = join_hot(star.join(bins.select(F.col("id").alias("u"), F.col("bins").alias("a")), "u"), hubs, "v")
@@ -102,7 +136,7 @@ def _starred(rows: DataFrame, bins: DataFrame) -> tuple[DataFrame, DataFrame]:
 
     near = cut(in_batches(both.select("u", "v", "a", "b"), tried, "u long, v long"))
     told = members.join(near.select(F.col("u").alias("id"), F.col("v").alias("least"), F.lit(True).alias("linked")), ["id", "least"], "left")
-    return cut(told.select("key", "id", F.expr("apart and id <> least and linked is null").alias("apart"))), near
+    return cut(told.select("key", "id", F.expr("apart and id <> least and linked is null").alias("apart"), F.expr("coalesce(hub, if(id = least or linked, least, null))").alias("hub"))), near
 
 
 def sub_keys(keys: np.ndarray, bins: np.ndarray, level: int) -> np.ndarray:
@@ -122,35 +156,35 @@ def sub_keys(keys: np.ndarray, bins: np.ndarray, level: int) -> np.ndarray:
 
 
 def _dealt_again(members: DataFrame, bins: DataFrame, level: int) -> DataFrame:
-    """(key, id, apart) by sub_keys(), for members of large buckets."""
+    """(key, id, apart, hub) by sub_keys(), for members of large buckets."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             if b.num_rows:
                 keys = sub_keys(np.asarray(b["key"]), _matrix(b["bins"]), level)
                 row = pa.array(np.repeat(np.arange(len(keys)), SUB_BANDS))
-                yield pa.RecordBatch.from_arrays([pa.array(keys.ravel()), b["id"].take(row), b["apart"].take(row)], names=["key", "id", "apart"])
+                yield pa.RecordBatch.from_arrays([pa.array(keys.ravel()), *(b[c].take(row) for c in ("id", "apart", "hub"))], names=["key", "id", "apart", "hub"])
 
-    return in_batches(members.select("key", "id", "apart").join(bins, "id"), run, "key long, id long, apart boolean")
+    return in_batches(members.select("key", "id", "apart", "hub").join(bins, "id"), run, "key long, id long, apart boolean, hub long")
 
 
 def _all_pairs(told: DataFrame, todo: DataFrame, bins: DataFrame) -> DataFrame:
-    """Edges (u, v) from the members apart to any of their bucket, for members (key, id, apart) and the buckets (key, n, m) to do."""
+    """Edges (u, v) that connect each member apart with all of its bucket that are alike, for members (key, id, apart, hub) and the buckets (key, n, m) to do."""
     parts = lambda of: F.ceil(F.col(of) / CELL).cast("int")
     part = lambda of: F.pmod(F.xxhash64("id", F.lit(of)), F.col(of)).cast("int")
     own = join_hot(told, todo.select("key", "n", parts("m").alias("down"), parts("n").alias("across")), "key")
     # A member apart stands in a row of cells, and every member in a column.
     down = F.when(F.col("apart"), F.transform(F.sequence(F.lit(0), F.col("across") - 1), lambda j: F.struct(part("down").alias("i"), j.alias("j"), F.lit(True).alias("asks"))))
     across = F.transform(F.sequence(F.lit(0), F.col("down") - 1), lambda i: F.struct(i.alias("i"), part("across").alias("j"), F.lit(False).alias("asks")))
-    dealt = own.select("key", "id", "apart", F.explode(F.concat(F.coalesce(down, F.array().cast("array<struct<i:int,j:int,asks:boolean>>")), across)).alias("at"))
-    cells = dealt.groupBy("key", "at.i", "at.j", "id", "apart").agg(F.bool_or("at.asks").alias("asks")).join(bins, "id").groupBy("key", "i", "j").agg(F.collect_list(F.struct("id", "apart", "asks", "bins")).alias("rows"))
+    dealt = own.select("key", "id", "hub", F.explode(F.concat(F.coalesce(down, F.array().cast("array<struct<i:int,j:int,asks:boolean>>")), across)).alias("at"))
+    cells = dealt.groupBy("key", "at.i", "at.j", "id", "hub").agg(F.bool_or("at.asks").alias("asks")).join(bins, "id").groupBy("key", "i", "j").agg(F.collect_list(F.struct("id", F.coalesce("hub", "id").alias("hub"), "asks", "bins")).alias("rows"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             for cell in b["rows"]:
                 rows = cell.values
-                ids, apart, asks = (np.asarray(rows.field(c).to_numpy(zero_copy_only=False)) for c in ("id", "apart", "asks"))
-                label = np.where(apart, np.arange(len(ids)), len(ids))  # the least member links all that are not apart
+                ids, hubs, asks = (np.asarray(rows.field(c).to_numpy(zero_copy_only=False)) for c in ("id", "hub", "asks"))
+                label = np.unique(hubs, return_inverse=True)[1]  # what hangs on one hub is connected; in a bucket that was dealt again there are several
                 pairs = np.array(forest(np.flatnonzero(asks), _matrix(rows.field("bins")), label), np.int64).reshape(-1, 2)
                 yield pa.RecordBatch.from_arrays([pa.array(ids[pairs[:, k]]) for k in (0, 1)], names=["u", "v"])
 

@@ -188,6 +188,31 @@ def test_large_buckets_are_dealt_again(spark, monkeypatch):
     assert fewer < pairs / 20
 
 
+def test_large_buckets_lose_no_link(spark):
+    """A bucket of 1,700 unlike texts, 2.9 million pairs: every planted pair that just reaches LIKENESS is linked, and no other."""
+    rng = np.random.default_rng(3)
+    nibbles = rng.integers(0, 16, (1700, minhash.BINS), np.uint8)
+    for i in range(120):
+        nibbles[1500 + i] = nibbles[i]
+        nibbles[1500 + i, rng.permutation(minhash.BINS)[: near_copies.MOST_APART + i % 2]] ^= 1  # each second pair is one bin short
+    bins = (nibbles[:, 0::2] << 4) | nibbles[:, 1::2]
+    assert near_copies.alike(bins[1500:1620], bins[:120]).tolist() == [True, False] * 60
+    sketches = spark.createDataFrame([(i, [7], b.tobytes()) for i, b in enumerate(bins)], "id long, keys array<long>, bins binary")
+    assert {(min(r.u, r.v), max(r.u, r.v)) for r in near_copies.links(sketches).collect()} == {(i, 1500 + i) for i in range(0, 120, 2)}
+
+
+def test_one_member_connects_two_hubs(spark):
+    """In a bucket that was dealt again, members that are not apart may hang on different hubs: one that is like both connects them."""
+    a = np.zeros(minhash.BINS // 2, np.uint8)
+    b, c = a.copy(), a.copy()
+    b[:96], c[:48] = 0x11, 0x11  # a and b differ in 192 bins, c from either in 96
+    bins = spark.createDataFrame([(i, x.tobytes()) for i, x in ((1, a), (2, b), (3, c))], "id long, bins binary")
+    told = spark.createDataFrame([(7, 1, False, 1), (7, 2, False, 2), (7, 3, True, None)], "key long, id long, apart boolean, hub long")
+    todo = spark.createDataFrame([(7, 3, 1)], "key long, n long, m long")
+    assert near_copies.MOST_APART == 96
+    assert {tuple(sorted(r)) for r in near_copies._all_pairs(told, todo, bins).collect()} == {(1, 3), (2, 3)}
+
+
 def test_texts_of_one_fingerprint_all_take_part(spark):
     """Two texts of one fingerprint have sketches of their own: what is like the second is linked, too."""
     low, some = minhash.signatures(["a b c d e f", "a b c d e g"])
