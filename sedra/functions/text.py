@@ -13,6 +13,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from sedra.functions import patterns as P
+from sedra.sources.shared import bound_batches
 
 
 def _nfc(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
@@ -22,6 +23,7 @@ def _nfc(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
 
 def nfc(text: Column) -> Column:
     """Unicode normal form C. Characters below U+0300 are in it already, so other texts only are handed to Python."""
+    bound_batches()
     return F.coalesce(F.pandas_udf(_nfc, "string")(F.when(text.rlike(r"[^\x{0}-\x{2ff}]"), text)), text)
 
 

@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
-from sedra.sources.shared import cut, cut_at, drop, exists, new_table, shared_dir, tables_removed  # noqa: F401
+from sedra.sources.shared import BATCH_BYTES, bound_batches, cut, cut_at, drop, exists, new_table, shared_dir, tables_removed  # noqa: F401
 from sedra.sources.tables import table  # noqa: F401
 
 UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
@@ -19,17 +19,9 @@ def ascii_lower(text: Column) -> Column:
     return F.translate(text, UPPER, UPPER.lower())
 
 
-BATCH_BYTES = 4 << 20
-
-
 def in_batches(df: DataFrame, run: Callable, schema: str | StructType) -> DataFrame:
-    """df.mapInArrow(run, schema) with batches of about BATCH_BYTES at most, so that long texts don't make large ones.
-
-    Spark takes the bound from the session, when the plan runs; so it is set there, and stays, unless another was set.
-    """
-    conf, name = df.sparkSession.conf, "spark.sql.execution.arrow.maxBytesPerBatch"
-    if conf.get(name) == "67108864b":  # the default; a value that was set stays
-        conf.set(name, f"{BATCH_BYTES}b")
+    """df.mapInArrow(run, schema) with batches of about BATCH_BYTES at most."""
+    bound_batches(df.sparkSession)
     return df.mapInArrow(run, schema)
 
 

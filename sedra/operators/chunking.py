@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 from sedra.functions import text as T
 from sedra.functions.text import let
 from sedra.operators.splitters import METHODS, Size, grouped, split
+from sedra.sources.shared import bound_batches
 
 
 def _not_blank(chunks: Column) -> Column:
@@ -72,6 +73,7 @@ def with_overlap(chunks: DataFrame, size: Size, key: str = "doc_id", pos: str =
 
 def grouped_sentences(parts: Column, size: Size) -> Column:
     """Sentences that go on with each other, joined while they fit."""
+    bound_batches()
 
     @F.pandas_udf("array<string>")
     def run(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
@@ -82,6 +84,8 @@ def grouped_sentences(parts: Column, size: Size) -> Column:
 
 
 def _splitter(method: str, size: Size, ask: Callable[[str], list[int]] | None) -> Callable:
+    bound_batches()
+
     @F.pandas_udf("array<string>")
     def run(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
         for texts in batches:

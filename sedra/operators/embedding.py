@@ -16,6 +16,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from sedra.functions import text as T
+from sedra.sources.shared import bound_batches
 
 
 def bucket(word: str, dim: int) -> int:
@@ -24,6 +25,8 @@ def bucket(word: str, dim: int) -> int:
 
 
 def _counter(dim: int) -> Callable:
+    bound_batches()
+
     @F.arrow_udf("array<double>")
     def run(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         for lists in batches:
@@ -63,6 +66,7 @@ class ModelEmbedder:
 
     def embed(self, text: Column) -> Column:
         load = self.load
+        bound_batches()
 
         @F.pandas_udf("array<double>")
         def run(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:

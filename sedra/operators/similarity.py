@@ -12,6 +12,7 @@ from pyspark.sql.types import ArrayType, DoubleType, IntegerType, StructField, S
 
 from sedra.functions import text as T
 from sedra.operators.splitters import sentence_clusters, similarity_rows
+from sedra.sources.shared import bound_batches
 
 ROWS_OUT = 1 << 21  # bytes of similarities in a batch
 
@@ -46,6 +47,7 @@ def pair_similarities(df: DataFrame, text: str = "text", key: str = "doc_id") ->
     the sentences, their sets, and a few rows of similarities. The pairs are what is asked for; text.pair_similarity() is
     the same for two columns.
     """
+    bound_batches(df.sparkSession)
     own = df.select(F.col(key).alias("key"), T.sentences(F.col(text)).alias("parts"))
     rows = own.mapInArrow(_later, StructType([own.schema["key"], StructField("i", IntegerType()), StructField("sims", ArrayType(DoubleType()))]))
     pairs = rows.select("key", "i", F.posexplode("sims").alias("at", "sim"))
@@ -62,5 +64,6 @@ def clustered(df: DataFrame, text: str = "text", key: str = "doc_id") -> DataFra
 
     A document is one task's work, in memory linear in its sentences.
     """
+    bound_batches(df.sparkSession)
     own = df.select(key, F.pandas_udf(_clusters, "array<array<int>>")(T.sentences(F.col(text))).alias("c"))
     return own.select(key, F.posexplode("c").alias("cluster_pos", "members")).select(key, "cluster_pos", F.explode("members").alias("i"))

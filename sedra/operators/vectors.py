@@ -13,6 +13,8 @@ from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_type
 from pyspark.sql.types import StructField
 
+from sedra.sources.shared import bound_batches
+
 BROADCAST_QUERIES = 4096  # queries that are sent to every executor, if they have
 BROADCAST_BYTES = 64 << 20  # bytes of vectors at most; more are dealt in blocks
 BLOCK_ROWS = 65536  # collection rows of a block
@@ -58,6 +60,7 @@ def nearest(queries: DataFrame, collection: DataFrame, k: int = 10, metric: str
     Up to BROADCAST_QUERIES queries of BROADCAST_BYTES are broadcast and the collection is read once, each batch passing on k
     rows a query at most. More queries are dealt in blocks against blocks of the collection.
     """
+    bound_batches(queries.sparkSession)
     own = queries.select(query, _doubles(F.col(vector)).alias("v"))
     first = own.where("v is not null").limit(1).collect()
     most = min(BROADCAST_QUERIES, BROADCAST_BYTES // (8 * max(1, len(first[0]["v"])))) if first else BROADCAST_QUERIES
@@ -144,6 +147,7 @@ PER_NEIGHBOUR = 10  # candidates of a query for each of its k neighbours
 
 def _sketched(df: DataFrame, key: str, vector: str, name: str, planes: np.ndarray) -> DataFrame:
     """(name, code): on which side of each plane a vector lies, packed. Null vectors and those of another size are left out."""
+    bound_batches(df.sparkSession)
     dim = planes.shape[0]
     source = df.select(F.col(key).alias(name), _doubles(F.col(vector)).alias("v")).where(F.size("v") == dim)
 

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from sedra.operators.splitters import SECTIONED_FROM, Size, grouped, sections, sentences, split_at, validated
 from sedra.plans.calls import CallTable, Model
 from sedra.plans.prompt import parsed_points, split_prompt
-from sedra.sources.shared import cut
+from sedra.sources.shared import bound_batches, cut
 
 
 def chunk_by_calls(df: DataFrame, calls: CallTable, load: Callable[[], Model], size: Size | None = None, text: str = "text", key: str = "doc_id") -> DataFrame:
@@ -22,6 +22,7 @@ def chunk_by_calls(df: DataFrame, calls: CallTable, load: Callable[[], Model], s
     with equal or null keys are split each for itself. Texts are shuffled as prompts, as sections that meet their replies, and as chunks,
     to be numbered.
     """
+    bound_batches(df.sparkSession)
     size = size or Size()
     own = df.select(F.monotonically_increasing_id().alias("row"), F.col(key).alias("k"), F.col(text).alias("x")).where("x != ''").withColumn("whole", F.length("x") <= size.chunk)
 

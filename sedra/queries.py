@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -19,7 +20,7 @@ from sedra.plans.ingest import IngestConfig, collection_rows, store
 from sedra.plans.model_split import chunk_by_calls
 from sedra.plans.search import Retriever, retrieve
 from sedra.sources import files, pdf
-from sedra.sources.shared import new_table
+from sedra.sources.shared import BATCH_BYTES, bound_batches, new_table
 from sedra.sources.tables import table
 
 #: Put before each text that is cleaned, as the tables hold few of the patterns.
@@ -389,11 +390,19 @@ def files_extracted(spark: SparkSession, folder: str) -> DataFrame:
 @query
 def pdf_pages(spark: SparkSession, folder: str) -> DataFrame:
     """Every document as a PDF file with a page a line, made by tasks, and the text that is read from it: each line and a newline."""
+    bound_batches(spark)
     own = _documents(spark, folder).select(F.concat(F.col("doc_id").cast("string"), F.lit(".pdf")).alias("path"), F.coalesce("text", F.lit("")).alias("text"))
 
     def run(batches):
         for b in batches:
-            yield b.assign(content=[pdf.written(t.split("\n")) for t in b["text"]])[["path", "content"]]
+            own, size = [], 0
+            for path, text in zip(b["path"], b["text"], strict=True):
+                own.append((path, pdf.written(text.split("\n"))))
+                size += len(own[-1][1])
+                if size > BATCH_BYTES:  # files are many times as long as their texts
+                    yield pd.DataFrame(own, columns=["path", "content"])
+                    own, size = [], 0
+            yield pd.DataFrame(own, columns=["path", "content"])
 
     read = files.extract(own.mapInPandas(run, "path string, content binary"))
     return read.select(F.split_part("path", F.lit("."), F.lit(1)).cast("long").alias("doc_id"), F.length("text").alias("n_chars"), F.md5(F.col("text").cast("binary")).alias("text_md5"), "error")

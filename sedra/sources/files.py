@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 
 from sedra.sources import pdf, xlsx
 from sedra.sources.numbering import numbered
+from sedra.sources.shared import BATCH_BYTES, bound_batches
 
 #: File types that are known, and of these the ones with text to extract.
 KNOWN_TYPES = ("pdf", "docx", "xlsx", "png", "jpg", "jpeg", "txt", "other")
@@ -153,13 +154,14 @@ def extract(files: DataFrame, pages_of: Callable[[bytes], list[str]] | None = No
     The type is the extension, lower-cased. `pages_of` is a PDF library's page reader in the place of
     sedra.sources.pdf. `ocr` reads page k of a PDF that has no text there.
     """
+    bound_batches(files.sparkSession)
     kind = F.lower(F.regexp_extract("path", r"\.([^./]+)$", 1))
     # Only readable types are handed their content.
     typed = files.select("path", kind.alias("file_type"), F.when(kind.isin(*READABLE), F.col("content")).alias("content"))
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
-            rows = []
+            rows, chars = [], 0
             for path, kind, content in zip(b["path"], b["file_type"], b["content"], strict=True):
                 try:
                     if kind not in READABLE:
@@ -168,6 +170,10 @@ def extract(files: DataFrame, pages_of: Callable[[bytes], list[str]] | None = No
                     rows.append((path, kind, text, None))
                 except Exception as e:
                     rows.append((path, kind, None, f"error extracting text from {path}: {e}"))
+                chars += len(rows[-1][2] or "")
+                if chars > BATCH_BYTES:  # a small file may hold a long text
+                    yield pd.DataFrame(rows, columns=["path", "file_type", "text", "error"])
+                    rows, chars = [], 0
             yield pd.DataFrame(rows, columns=["path", "file_type", "text", "error"])
 
     return typed.mapInPandas(run, "path string, file_type string, text string, error string")

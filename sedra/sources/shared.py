@@ -52,6 +52,19 @@ def file_system(spark: SparkSession, path: str):
     return target.getFileSystem(spark._jsc.hadoopConfiguration()), target
 
 
+BATCH_BYTES = 4 << 20
+
+
+def bound_batches(spark: SparkSession | None = None) -> None:
+    """Bounds the batches that go to Python to about BATCH_BYTES, so that long rows don't make large ones: a worker holds some copies of a batch, so its memory grows with neither the rows of a task nor their length.
+
+    Spark takes the bound from the session (the active one, if none is given), when the plan runs; so it is set there, and stays, unless another was set.
+    """
+    spark, name = spark or SparkSession.getActiveSession(), "spark.sql.execution.arrow.maxBytesPerBatch"
+    if spark is not None and spark.conf.get(name) == "67108864b":  # the default; a value that was set stays
+        spark.conf.set(name, f"{BATCH_BYTES}b")
+
+
 def exists(spark: SparkSession, path: str) -> bool:
     fs, target = file_system(spark, path)
     return fs.exists(target)
