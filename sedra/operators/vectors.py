@@ -142,6 +142,7 @@ def _in_blocks(queries: DataFrame, collection: DataFrame, k: int, metric: str, q
 
 
 SKETCH_BITS = 512
+QUERY_ROWS = 64  # queries whose candidates leave a task at once
 PER_NEIGHBOUR = 10  # candidates of a query for each of its k neighbours
 
 
@@ -200,7 +201,9 @@ def nearest_lsh(queries: DataFrame, collection: DataFrame, k: int = 10, query: s
             for b in batches:
                 if b.num_rows and codes:
                     b = b.take(pc.sort_indices(b["d"]))  # so that a stable sort by bits breaks ties
-                    yield pa.RecordBatch.from_arrays(found(ids, q, b["d"], _codes(b["code"])), names=["q", "d", "apart"])
+                    c = _codes(b["code"])
+                    for i in range(0, len(q), QUERY_ROWS):
+                        yield pa.RecordBatch.from_arrays(found(ids.slice(i, QUERY_ROWS), q[i : i + QUERY_ROWS], b["d"], c), names=["q", "d", "apart"])
 
         near = right.mapInArrow(each, schema)
     else:

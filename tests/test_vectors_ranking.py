@@ -70,6 +70,17 @@ def test_lsh_reads_few_and_finds_most(spark, data, monkeypatch):
     assert V.nearest_lsh(own, short, 3).count() == 9 and V.nearest_lsh(own, short.where("false"), 3).count() == 0 and V.nearest_lsh(own.where("false"), short, 3).count() == 0
 
 
+def test_lsh_queries_leave_in_parts(spark, data, monkeypatch):
+    """A few queries' candidates at a time give what all at once give."""
+    all_ = spark.read.parquet(f"{data}/embeddings.parquet").select(F.col("vec_id").alias("doc_id"), "embedding")
+    asked = all_.where("doc_id % 10 = 0").select(F.col("doc_id").alias("query_id"), "embedding")
+    found = []
+    for rows in (1 << 20, 3):
+        monkeypatch.setattr(V, "QUERY_ROWS", rows)
+        found.append(sorted((r.query_id, r.retrieval_rank, r.doc_id) for r in V.nearest_lsh(asked, all_, 10).collect()))
+    assert found[0] == found[1] and len(found[0]) > 0
+
+
 def test_lsh_recall(spark, data):
     all_ = spark.read.parquet(f"{data}/embeddings.parquet").select(F.col("vec_id").alias("doc_id"), "embedding")
     asked = all_.where("doc_id % 10 = 0").select(F.col("doc_id").alias("query_id"), "embedding")
