@@ -59,3 +59,24 @@ PHRASE = rf"[{PHRASE_LETTERS}]+[{WS}]+[{PHRASE_LETTERS}]+"
 def bounded(pattern: str) -> str:
     """The pattern between word edges."""
     return f"{EDGE}{pattern}{EDGE}"
+
+
+# The same classes and patterns for Java's engine alone, which tries the members of a class one after the other: those
+# below U+0100 that are listed one by one are looked up in a table, and the rest is tried for other characters only. A
+# pattern's first character is matched before what must not stand before it is looked at, and runs are possessive where
+# giving characters back could not lead to a match.
+_BEYOND = r"\x{80}-\x{10ffff}"
+_ASCII_WORD = "abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789_"
+JAVA_WS = rf"[[\t\n\x0b\x0c\r\x1c\x1d\x1e\x1f\x20\x85\xa0][\x{{1680}}-\x{{3000}}&&[{WS}]]]"
+JAVA_WORD = rf"[[{_ASCII_WORD}][{_BEYOND}&&[\p{{L}}\p{{N}}𝒜]]]"  # one letter beyond U+FFFF by itself: without any, Java looks back by UTF-16 units
+JAVA_DIGIT = rf"[[0123456789][{_BEYOND}&&[\p{{Nd}}]]]"
+JAVA_PHRASE_LETTER = rf"[[abcdefghijklmnopqrstuvwxyz][{_BEYOND}&&[{PHRASE_LETTERS}]]]"
+JAVA_EDGE = rf"(?:(?<={JAVA_WORD})(?!{JAVA_WORD})|(?<!{JAVA_WORD})(?={JAVA_WORD}))"
+JAVA_EMAIL = rf"{JAVA_EDGE}[A-Za-z0-9._%+-]++@[A-Za-z0-9.-]+\.[A-Z|a-z]{{2,}}{JAVA_EDGE}"
+JAVA_AFTER_SENTENCE = rf"{JAVA_WS}(?<=[{SENTENCE_END}]{JAVA_WS}){JAVA_WS}*+"
+JAVA_NUMBER = rf"{JAVA_DIGIT}(?<!{JAVA_WORD}{JAVA_DIGIT}){JAVA_DIGIT}*(?:[.,]{JAVA_DIGIT}+)*(?!{JAVA_WORD})"
+JAVA_DATE = rf"{JAVA_DIGIT}(?<!{JAVA_WORD}{JAVA_DIGIT}){JAVA_DIGIT}?[/-]{JAVA_DIGIT}{{1,2}}[/-]{JAVA_DIGIT}{{2,4}}(?!{JAVA_WORD})"
+JAVA_NAME = rf"[A-Z](?<!{JAVA_WORD}[A-Z])[a-z]++(?!{JAVA_WORD})"
+JAVA_PHRASE = rf"{JAVA_PHRASE_LETTER}(?<!{JAVA_WORD}{JAVA_PHRASE_LETTER}){JAVA_PHRASE_LETTER}*+{JAVA_WS}++{JAVA_PHRASE_LETTER}++(?!{JAVA_WORD})"
+JAVA_SINGLE_LETTER = rf"[A-Za-z](?!{JAVA_WORD})(?<!{JAVA_WORD}[A-Za-z])"
+JAVA_DISALLOWED = rf"[^[{_ASCII_WORD}\t\n\x0b\x0c\r\x1c\x1d\x1e\x1f\x20\x85\xa0.,:;!?()\[\]{{}}\"'\\/\-][{_BEYOND}&&[\p{{L}}\p{{N}}{WS}]]]"

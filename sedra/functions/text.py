@@ -63,7 +63,7 @@ def single_spaces(text: Column) -> Column:
 
 
 def two_newlines(text: Column) -> Column:
-    return F.regexp_replace(text, rf"\n[{P.WS}]*\n[{P.WS}]*\n+", "\n\n")
+    return F.regexp_replace(text, rf"\n{P.JAVA_WS}*\n{P.JAVA_WS}*\n+", "\n\n")
 
 
 def rtrim_lines(text: Column) -> Column:
@@ -73,7 +73,7 @@ def rtrim_lines(text: Column) -> Column:
 
 def drop_single_letters(text: Column) -> Column:
     """Every ASCII letter that stands alone goes: the t of don't as well."""
-    return F.regexp_replace(text, rf"(?<![{P.WORD}])[A-Za-z](?![{P.WORD}])", "")
+    return F.regexp_replace(text, P.JAVA_SINGLE_LETTER, "")
 
 
 def short_punctuation(text: Column) -> Column:
@@ -84,7 +84,7 @@ def short_punctuation(text: Column) -> Column:
 
 def drop_number_lines(text: Column) -> Column:
     """Lines of digits alone go, with white space around them, newlines included."""
-    return F.regexp_replace(text, rf"(?md)^[{P.WS}]*\p{{Nd}}+[{P.WS}]*$", "")
+    return F.regexp_replace(text, rf"(?md)^{P.JAVA_WS}*{P.JAVA_DIGIT}+{P.JAVA_WS}*$", "")
 
 
 def drop_page_marks(text: Column) -> Column:
@@ -96,12 +96,12 @@ def drop_urls(text: Column) -> Column:
 
 
 def drop_emails(text: Column) -> Column:
-    return F.regexp_replace(text, P.bounded(P.EMAIL), "")
+    return F.regexp_replace(text, P.JAVA_EMAIL, "")
 
 
 def allowed_characters(text: Column) -> Column:
     """Anything but word characters, white space and common punctuation becomes a space."""
-    return F.regexp_replace(text, P.DISALLOWED, " ")
+    return F.regexp_replace(text, P.JAVA_DISALLOWED, " ")
 
 
 def drop_blank_lines(text: Column) -> Column:
@@ -143,12 +143,12 @@ def clean(text: Column) -> Column:
 
 def words(text: Column) -> Column:
     """Runs of letters, digits and underscores."""
-    return F.regexp_extract_all(text, F.lit(f"([{P.WORD}]+)"), 1)
+    return F.regexp_extract_all(text, F.lit(f"{P.JAVA_WORD}+"), 0)
 
 
 def tokens(text: Column) -> Column:
-    """What white space separates; no empty ones."""
-    return F.filter(F.split(text, f"[{P.WS}]+"), lambda t: t != "")
+    """What white space separates; no empty ones. By a pattern that is compiled once: split() compiles its own for every text."""
+    return F.regexp_extract_all(text, F.lit(f"[^{P.JAVA_WS}]+"), 0)
 
 
 def count_tokens(text: Column) -> Column:
@@ -157,7 +157,7 @@ def count_tokens(text: Column) -> Column:
 
 def sentences(text: Column) -> Column:
     """Split after sentence ends that white space follows; stripped, without empty ones. Null gives none."""
-    parts = F.split(F.coalesce(text, F.lit("")), rf"(?<=[{P.SENTENCE_END}])[{P.WS}]+")
+    parts = F.split(F.coalesce(text, F.lit("")), P.JAVA_AFTER_SENTENCE)
     return F.filter(F.transform(parts, strip), lambda s: s != "")
 
 
@@ -188,20 +188,20 @@ def should_group(previous: Column, current: Column) -> Column:
 
 
 def numbers(text: Column) -> Column:
-    return F.regexp_extract_all(text, F.lit(f"({P.bounded(P.NUMBER)})"), 1)
+    return F.regexp_extract_all(text, F.lit(P.JAVA_NUMBER), 0)
 
 
 def dates(text: Column) -> Column:
-    return F.regexp_extract_all(text, F.lit(f"({P.bounded(P.DATE)})"), 1)
+    return F.regexp_extract_all(text, F.lit(P.JAVA_DATE), 0)
 
 
 def names(text: Column) -> Column:
-    return F.regexp_extract_all(text, F.lit(f"({P.bounded(P.NAME)})"), 1)
+    return F.regexp_extract_all(text, F.lit(P.JAVA_NAME), 0)
 
 
 def phrases(lowered: Column) -> Column:
     """Pairs of words that don't overlap, from lower-case text. Names can't occur in it, so there is no pattern for them."""
-    return F.array_distinct(F.regexp_extract_all(lowered, F.lit(f"({P.bounded(P.PHRASE)})"), 1))
+    return F.array_distinct(F.regexp_extract_all(lowered, F.lit(P.JAVA_PHRASE), 0))
 
 
 def entities(text: Column) -> Column:

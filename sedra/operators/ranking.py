@@ -17,7 +17,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from sedra.functions import text as T
-from sedra.functions.patterns import GROUPING_STOP_WORDS, WORD
+from sedra.functions.patterns import GROUPING_STOP_WORDS, JAVA_WORD
 from sedra.operators.embedding import HashingEmbedder, ModelEmbedder
 from sedra.operators.vectors import cosine, score_of
 
@@ -72,7 +72,7 @@ def min_max(score: Column, alone: Column | None = None) -> Column:
 
 def terms(text: Column) -> Column:
     """Lower-case words of two characters or more, without stop words; repeats stay."""
-    return F.filter(F.regexp_extract_all(F.lower(text), F.lit(f"([{WORD}]{{2,}})"), 1), lambda t: ~t.isin(*STOP_WORDS))
+    return F.filter(F.regexp_extract_all(F.lower(text), F.lit(f"{JAVA_WORD}{{2,}}"), 0), lambda t: ~t.isin(*STOP_WORDS))
 
 
 def tfidf_terms(candidates: DataFrame) -> DataFrame:
