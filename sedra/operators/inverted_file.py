@@ -5,7 +5,8 @@ folder of its cell, with its code and its vector. A query ranks the cells, reads
 nothing else of them; its best candidates by code are fetched with their vectors, from the cells that hold them, and
 ranked by exact distance. So of a cell that is probed a column of PARTS bytes a row is read, and of few cells the vectors.
 
-The more cells, the shorter each: 8 sqrt(n) of them keep the centroids that are sent along, and what a cell holds, in step.
+The more cells, the shorter each: 8 sqrt(n) of them up to CELLS_BY_ROWS, so that from a million rows on the work of a row and
+the number of folders stay as they are. A cell grows then, in files of FILE_ROWS, and a query reads the same share of the codes.
 """
 
 from __future__ import annotations
@@ -26,13 +27,15 @@ from sedra.sources.shared import cut, put_new, read_bytes
 
 SAMPLE_BYTES = 64 << 20  # of the vectors that centroids and codes are trained on; the bound of what the driver holds
 MOST_CELLS = 1 << 17
+CELLS_BY_ROWS = 1 << 13  # that a number of rows calls for at most; more must be asked for
+MOST_FOR_BOOKS = 1 << 15  # vectors of the sample that codes are trained on: 128 for each of 256 entries
 FILE_ROWS = 1 << 18  # of a cell's file, about
 ROUNDS = 10  # of k-means
 
 
 @dataclass(frozen=True)
 class Config:
-    """cells: None for 8 sqrt(rows). probes: the share of the cells that a query reads codes of. per: candidates for each of k neighbours."""
+    """cells: None for cells_for(rows). probes: the share of the cells that a query reads codes of. per: candidates for each of k neighbours."""
 
     cells: int | None = None
     parts: int = 16
@@ -46,6 +49,10 @@ class Config:
             raise ValueError(f"{self}: need parts, cells and per of at least 1, 1 to 256 entries, and 0 < probes <= 1")
 
 
+def cells_for(rows: int) -> int:
+    return max(1, min(CELLS_BY_ROWS, round(8 * math.sqrt(rows))))
+
+
 def _closest(x: np.ndarray, centres: np.ndarray) -> np.ndarray:
     """The nearest centre of each row, the first of equals."""
     half = (centres * centres).sum(axis=1) / 2
@@ -79,7 +86,8 @@ class Model:
     @classmethod
     def train(cls, sample: np.ndarray, cells: int, config: Config) -> Model:
         centroids = kmeans(sample, cells, config.seed)
-        left = _split(sample - centroids[_closest(sample, centroids)], config.parts)
+        some = sample[np.random.default_rng(config.seed).permutation(len(sample))[:MOST_FOR_BOOKS]]
+        left = _split(some - centroids[_closest(some, centroids)], config.parts)
         books = [kmeans(left[p], config.entries, config.seed + 1 + p) for p in range(config.parts)]
         most = max(map(len, books))
         return cls(config, sample.shape[1], centroids, np.stack([np.pad(b, ((0, most - len(b)), (0, 0)), mode="edge") for b in books]))
@@ -130,7 +138,7 @@ def build(rows: DataFrame, path: str, config: Config | None = None, key: str = "
     share = F.lit(min(1.0, 0.9 * most / n)) * (1 << 30)
     sample = own.where(F.pmod(F.xxhash64("id", F.lit(config.seed)), F.lit(1 << 30)) < share).select("v").limit(most).collect()
     sample = np.array([r["v"] for r in sample or own.select("v").limit(most).collect()], np.float64)
-    model = Model.train(sample, min(MOST_CELLS, config.cells or max(1, round(8 * math.sqrt(n)))), config)
+    model = Model.train(sample, min(MOST_CELLS, config.cells or cells_for(n)), config)
     shipped = spark.sparkContext.broadcast(model)  # MOST_CELLS vectors at most, and entries
 
     def encoded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

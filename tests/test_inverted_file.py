@@ -89,3 +89,8 @@ def test_no_vectors(spark, tmp_path):
     with pytest.raises(ValueError):
         inverted_file.Config(probes=0)
     assert Path(tmp_path).exists()
+
+
+def test_cells_are_bounded():
+    """A row is compared with every centroid, and a cell is a folder: both stay as they are in large collections."""
+    assert [inverted_file.cells_for(n) for n in (0, 1, 10_000, 100_000, 24_000_000, 10**9)] == [1, 8, 800, 2530, 8192, 8192]
