@@ -32,6 +32,13 @@ def let(value: Column, f: Callable[[Column], Column]) -> Column:
     return F.get(F.transform(F.array(value), f), F.lit(0))
 
 
+def rounded(value: Column, digits: int) -> Column:
+    """F.round() of a double, which goes by way of its decimal digits: for these only where the value is near a tie, or large; else the nearest whole number of units is clear."""
+    units = value * 10.0**digits
+    clear = (F.abs(units) < 2.0**32) & (F.abs(units - F.rint(units)) < 0.4999)
+    return F.when(clear, F.rint(units) / 10.0**digits + 0.0).otherwise(F.round(value, digits))
+
+
 def strip(text: Column) -> Column:
     """Without white space (all of Unicode's, not just spaces) at both ends."""
     return F.btrim(text, F.lit(P.WS_CHARS))

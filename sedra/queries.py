@@ -146,7 +146,7 @@ def sentence_features(spark: SparkSession, folder: str) -> DataFrame:
 
 @query
 def sentence_pair_similarity(spark: SparkSession, folder: str) -> DataFrame:
-    return similarity.pair_similarities(_documents(spark, folder)).select("doc_id", "i", "j", F.round("sim", 9).alias("sim"))
+    return similarity.pair_similarities(_documents(spark, folder)).select("doc_id", "i", "j", T.rounded(F.col("sim"), 9).alias("sim"))
 
 
 @query
