@@ -128,3 +128,15 @@ def tables_removed() -> Iterator[None]:
         for spark, path in _written[since:]:
             drop(spark, path)
         del _written[since:]
+
+
+@contextmanager
+def shuffles_removed(spark: SparkSession) -> Iterator[None]:
+    """What a query that runs while it is open has shuffled goes when the query ends, not when the driver happens to collect its garbage. For queries that are written, whose plans no later one shares."""
+    name = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+    before = spark.conf.get(name, None)
+    spark.conf.set(name, "true")
+    try:
+        yield
+    finally:
+        spark.conf.unset(name) if before is None else spark.conf.set(name, before)

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import math
 import random
+import time
 from collections import Counter
 
 import pytest
@@ -69,6 +70,26 @@ def test_most_postings_are_skipped(spark, tmp_path):
     assert late < 0.3 * whole
 
 
+def test_what_is_shuffled_goes_when_the_index_is_written(spark, tmp_path):
+    ids = lambda: {str(b) for b in spark._jsc.sc().env().blockManager().diskBlockManager().getAllBlocks().mkString(" ").split() if "shuffle_" in b}
+    before = ids()
+    lexical.build(spark.createDataFrame([(i, f"w{i} w{i % 7} both") for i in range(200)], "doc_id long, document string").repartition(3), f"file://{tmp_path}/x")
+    until = time.monotonic() + 20
+    while ids() - before and time.monotonic() < until:  # removed beside what the driver does next
+        time.sleep(0.1)
+    assert not ids() - before
+    assert spark.conf.get("spark.sql.classic.shuffleDependency.fileCleanup.enabled") == "false"
+
+
+def test_many_queries_are_dealt_out(spark, tmp_path, monkeypatch):
+    """Ids that are strings, and terms of queries that no task is given as a whole."""
+    monkeypatch.setattr(lexical, "MOST_ASKED", 0)
+    docs = [(f"d{i:03}", " ".join(f"w{j}" for j in range(i % 13) if i % (j + 2))) for i in range(150)]
+    queries = [(i, f"w{i} w{i % 3} w{i + 4}") for i in range(9)]
+    lexical.build(spark.createDataFrame(docs, "doc_id string, document string"), f"file://{tmp_path}/x")
+    assert rows_of(lexical.search(spark.createDataFrame(queries, "query_id long, query string"), f"file://{tmp_path}/x", 4)) == brute(docs, queries, 4)
+
+
 def test_numbers_follow_the_order(spark):
     rng = random.Random(1)
     rows = [(rng.choice((None, *range(50))), i) for i in range(2000)]
